@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, simhash
+from lodestar.llm import chat, html_extract, langid, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_html_text": html_extract.op3_html_text,
+        "op4_perspectives": chat.op4_perspectives,
+        "op5_language": langid.op5_language,
         "op7_mixing": mixing.op7_mixing,
         "op9_simhash": simhash.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_perspectives": chat.OP4_SQL}
