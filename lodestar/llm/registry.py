@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, html_extract, langid, mixing, simhash
+from lodestar.llm import chat, html_extract, langid, mixing, simhash, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_perspectives": chat.op4_perspectives,
         "op5_language": langid.op5_language,
         "op7_mixing": mixing.op7_mixing,
+        "op8_token_ids": token_ids.op8_token_ids,
         "op9_simhash": simhash.op9_simhash,
     }
 
