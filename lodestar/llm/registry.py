@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, html_extract, langid, mixing, simhash, token_ids
+from lodestar.llm import chat, html_extract, langid, media, mixing, simhash, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": mixing.op7_mixing,
         "op8_token_ids": token_ids.op8_token_ids,
         "op9_simhash": simhash.op9_simhash,
+        "op10_webp": media.op10_webp,
     }
 
 
