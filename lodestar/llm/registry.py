@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, html_extract, langid, media, mixing, simhash, token_ids
+from lodestar.llm import chat, decontaminate, html_extract, langid, media, mixing, simhash, substrings, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": html_extract.op3_html_text,
         "op4_perspectives": chat.op4_perspectives,
         "op5_language": langid.op5_language,
+        "op6_substrings": substrings.op6_substrings,
         "op7_mixing": mixing.op7_mixing,
         "op8_token_ids": token_ids.op8_token_ids,
         "op9_simhash": simhash.op9_simhash,
