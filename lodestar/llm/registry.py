@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, html_extract, langid, media, mixing, simhash, substrings, token_ids
+from lodestar.llm import chat, decontaminate, html_extract, kneser_ney, langid, media, mixing, simhash, substrings, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kneser_ney": kneser_ney.op1_kneser_ney,
         "op2_leaks": decontaminate.op2_leaks,
         "op3_html_text": html_extract.op3_html_text,
         "op4_perspectives": chat.op4_perspectives,
