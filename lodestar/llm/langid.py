@@ -120,6 +120,21 @@ class Filters:
         score = np.where(found, top / np.maximum(top + second, 1e-12), 0.0)
         return [self.langs[b] if f else UNKNOWN for b, f in zip(best, found)], score
 
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text, a bounded number of bytes at a time."""
+        preds, scores, at = [], [np.zeros(0)], 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (end == at or held < BLOCK):
+                held += len(texts[end] or "")
+                end += 1
+            part = texts[at:end]
+            pred, score = self.decide([(t or "").encode() for t in part], [bool(t and LETTER.search(t)) for t in part])
+            preds += pred
+            scores.append(score)
+            at = end
+        return preds, np.concatenate(scores)
+
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters from (doc_id, text, lang), of which rows with null text or lang teach nothing."""
@@ -148,19 +163,9 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(filters)  # the planes have a fixed size
 
     def run(batches):
-        f = held.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                part, size = [], 0
-                while at + len(part) < len(texts) and (not part or size < BLOCK):
-                    part.append(texts[at + len(part)])
-                    size += len(part[-1] or "")
-                known = [bool(t and LETTER.search(t)) for t in part]
-                pred, score = f.decide([(t or "").encode() for t in part], known)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(pred, type=pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-                at += len(part)
+            pred, score = held.value.predict(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, type=pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

@@ -12,17 +12,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only where ``spark.checkpoint.dir`` is unset (local tests) a temporary one is chosen."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestar-"))
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there on.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary one is chosen. Replicated by the shared store, so a lost executor
-    costs a re-read and never a recomputation or a failure.
+    The shared store keeps it, so a lost executor costs a re-read and never a failure.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestar-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
