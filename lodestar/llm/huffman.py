@@ -74,19 +74,25 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
 
 def encode(symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """(bytes, bit offset of every block)."""
-    top = max(1, int(lengths.max(initial=0)))
-    shifts = np.arange(top - 1, -1, -1, dtype=np.uint32)
     ln = lengths[symbols].astype(np.int64)
-    if len(ln) and ln.min() == 0:
+    if len(ln) == 0:
+        return b"", np.zeros(0, dtype=np.uint64)
+    if ln.min() == 0:
         raise ValueError("a symbol has no code")
     ends = np.cumsum(ln)
-    offsets = np.concatenate([[0], ends])[: max(len(ln), 0) : BLOCK].astype(np.uint64)
-    bits = []
+    begins = ends - ln
+    words = np.zeros(int(ends[-1]) // 64 + 2, dtype=np.uint64)
     for at in range(0, len(symbols), _PACK):
-        part, size = codes[symbols[at : at + _PACK]], ln[at : at + _PACK]
-        every = (part[:, None] >> shifts & np.uint32(1)).astype(np.uint8)
-        bits.append(every[shifts[None, :] < size[:, None]])
-    return np.packbits(np.concatenate(bits) if bits else np.zeros(0, np.uint8)).tobytes(), offsets
+        value, pos = codes[symbols[at : at + _PACK]].astype(np.uint64), begins[at : at + _PACK]
+        free = 64 - (pos & 63) - ln[at : at + _PACK]
+        word = pos >> 6
+        heads = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
+        fits = free >= 0
+        here = np.where(fits, value << np.maximum(free, 0).astype(np.uint64), value >> np.maximum(-free, 0).astype(np.uint64))
+        words[word[heads]] |= np.bitwise_or.reduceat(here, heads)
+        over = np.nonzero(~fits)[0]
+        words[word[over] + 1] |= value[over] << (64 + free[over]).astype(np.uint64)
+    return words.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], begins[::BLOCK].astype(np.uint64)
 
 
 def decode(data: bytes, offsets: np.ndarray, n: int, table: np.ndarray, top: int) -> np.ndarray:

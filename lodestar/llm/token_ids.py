@@ -26,15 +26,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import huffman
-from lodestar.llm.shared import durable, free_shuffles, read
+from lodestar.llm.shared import durable, free_shuffles, read, shared_folder
 
 MAGIC = b"LSTK0001"
 END_ID = 1
 #: Documents' bytes that go to one file, about.
 FILE_BYTES = 16 << 20
-MEMO = 400_000
-#: Pieces of these letters only are single tokenizer words in normal form, in lower case.
-PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Pieces and words that a worker remembers; what comes later is encoded each time.
+MEMO = 250_000
+#: Pieces of these characters only are in normal form once they are in lower case ...
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: ... and fall into the tokenizer's words by its own rule for them.
+PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 def tokenizer_path() -> str:
@@ -60,41 +63,31 @@ class PieceIds(dict):
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        """The ids of one word of plain letters: what the tokenizer's model makes of its bytes."""
+        """The ids of one word: what the tokenizer's model makes of its bytes."""
         found = self.words.get(word)
         if found is None:
             shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(shown)]
-            found = self.words[word] = struct.pack(f"<{len(ids)}H", *ids)
+            found = struct.pack(f"<{len(ids)}H", *ids)
+            if len(self.words) < MEMO:
+                self.words[word] = found
         return found
 
-    def _any(self, piece: str) -> bytes:
-        ids = self.whole.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}H", *ids)
-
     def __missing__(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if PLAIN.fullmatch(text):
-            ids = self._word(text)
-        elif (m := re.fullmatch("([a-zß-öø-ÿ]+)([,.;:!?|]+)", text)):
-            # a word and what follows it are tokens of their own
-            mark = self.words.get(m[2])
-            if mark is None:
-                mark = self.words[m[2]] = self._any(m[2])
-            ids = self._word(m[1]) + mark
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            ids = b"".join(map(self._word, PARTS.findall(text.lower())))
         else:
-            ids = self._any(text)
-        self[piece] = ids
+            known = self.whole.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(known)}H", *known)
+        if len(self) < MEMO:
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         data = text.encode()
         # special tokens are sought before letters are lowered
         data = data if b"<|" in data else data.lower()
-        if len(self) > MEMO:
-            self.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, data.split())), dtype="<u2")
 
 
@@ -103,29 +96,31 @@ def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)
 
 
-def tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n, ids): every text's ids with the end id, packed."""
+def tokenise(docs: DataFrame, path: str, edges: np.ndarray) -> DataFrame:
+    """(file, doc_id, n, ids): every text's ids with the end id, packed, and the file it belongs to."""
     def run(batches):
         memo, pack = piece_ids(path), zstandard.ZstdCompressor(level=1)
+        end = np.array([END_ID], dtype="<u2")
         for batch in batches:
             n, packed = [], []
             for text in batch.column(1).to_pylist():
-                ids = np.append(memo.encode(text), np.array([END_ID], dtype="<u2")) if text else np.array([END_ID], dtype="<u2")
+                ids = np.append(memo.encode(text), end) if text else end
                 n.append(len(ids))
                 packed.append(pack.compress(ids.astype("<u2").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(packed, type=pa.binary())], names=["doc_id", "n", "ids"])
+            names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            file = np.where(np.isnan(names), 0, np.searchsorted(edges, np.nan_to_num(names), side="right"))
+            yield pa.RecordBatch.from_arrays([pa.array(file, type=pa.int32()), batch.column(0), pa.array(n, type=pa.int64()), pa.array(packed, type=pa.binary())], names=["file", "doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file int, doc_id long, n long, ids binary")
 
 
 def _counts(batches):
     total = np.zeros(1 << 16, dtype=np.int64)
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for packed in batch.column(0).to_pylist():
-            total += np.bincount(np.frombuffer(unpack.decompress(packed), dtype="<u2"), minlength=1 << 16) if len(packed) > 4096 else 0
-            if len(packed) <= 4096:
-                np.add.at(total, np.frombuffer(unpack.decompress(packed), dtype="<u2"), 1)
+        every = batch.column(0).to_pylist()
+        for at in range(0, len(every), 500):
+            total += np.bincount(np.frombuffer(b"".join(map(unpack.decompress, every[at : at + 500])), dtype="<u2"), minlength=1 << 16)
     used = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -171,13 +166,7 @@ def write_files(docs: DataFrame, path: str | None = None, file_bytes: int = FILE
     cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / files for i in range(1, files)], 0.1 / files) if files > 1 else []
     edges = np.array(sorted(set(cuts)), dtype=np.float64)
 
-    def deal(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            file = np.where(np.isnan(ids), 0, np.searchsorted(edges, np.nan_to_num(ids), side="right"))
-            yield pa.RecordBatch.from_arrays([pa.array(file, type=pa.int32()), *batch.columns], names=["file", "doc_id", "n", "ids"])
-
-    dealt = tokenise(docs, path).mapInArrow(deal, "file int, doc_id long, n long, ids binary").repartition(len(edges) + 1, "file")
+    dealt = tokenise(docs, path, edges).repartition(len(edges) + 1, "file")
     tokens = durable(dealt.sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids"))
     del dealt
     free_shuffles(spark)
@@ -206,7 +195,7 @@ def write_files(docs: DataFrame, path: str | None = None, file_bytes: int = FILE
         if file is not None:
             yield done()
 
-    folder = spark.sparkContext.getCheckpointDir() + f"/token-files-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     tokens.mapInArrow(pack, "file int, tokens long, blob binary").write.option("compression", "none").parquet(folder)
     del tokens
     free_shuffles(spark)
