@@ -1,0 +1,123 @@
+"""Merging, validation, resolving, snapshots and traversal on small rows, as the engine's rules state them."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.functions import identity as I
+from lodestar.functions import text as T
+from lodestar.operators import extract, graph, merge, resolve, snapshots, validate
+from lodestar.sources import config, repositories
+
+DISC = "seq long, identity string, kind string, properties map<string,string>, evidence array<struct<file:string>>, confidence double"
+
+
+def values(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_merge_rules(spark):
+    d = spark.createDataFrame([
+        (0, "a", "Entity", {"x": "1", "y": "1"}, [("f0",)], 0.5), (1, "a", "Event", {"x": "2"}, [("f1",)], 0.5), (2, "b", "Service", {}, [("g",), ("g",)], 1.0), (3, "b", "Service", {}, [], 0.5)], DISC)
+    rows = {r["identity"]: r for r in merge.canonical_nodes(d).collect()}
+    assert rows["a"]["confidence"] == pytest.approx(0.75) and rows["a"]["kind"] == "Entity"
+    assert rows["a"]["properties"] == {"x": "2", "y": "1", "AlternateKinds": "Event"}
+    assert [e["file"] for e in rows["a"]["evidence"]] == ["f0", "f1"]
+    assert rows["b"]["confidence"] == 1.0 and len(rows["b"]["evidence"]) == 2
+
+
+def test_merge_does_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    rows = [(i, f"n{rng.randrange(20)}", rng.choice("KLM"), {"p": str(rng.randrange(3))}, [(f"f{i}",)], rng.random()) for i in range(200)]
+    one = merge.canonical_nodes(spark.createDataFrame(rows, DISC).coalesce(1))
+    many = merge.canonical_nodes(spark.createDataFrame(rng.sample(rows, len(rows)), DISC).repartition(7))
+    shape = lambda df: values(df.select("identity", "kind", F.to_json("properties"), F.to_json("evidence"), F.round("confidence", 9)))
+    assert shape(one) == shape(many)
+
+
+def simulate(edges, known):
+    known, out = set(known), set()
+    for seq, a, b in sorted(edges):
+        if a != b and (a in known or b in known):
+            known |= {a, b}
+            out.add(seq)
+    return out
+
+
+def test_external_closure_follows_emission_order(spark):
+    rng = random.Random(3)
+    for _ in range(3):
+        edges = [(i, rng.choice("abcdefghij"), rng.choice("abcdefghij")) for i in range(12)]
+        df = spark.createDataFrame([(s, "T", a, b, 0.5) for s, a, b in edges], "seq long, type string, from_id string, to_id string, confidence double")
+        known = spark.createDataFrame([("a",)], "identity string")
+        got = {r["seq"] for r in validate.accepted(df, known).where("accepted").collect()}
+        assert got == simulate(edges, {"a"})
+
+
+def test_endpoint_classes_and_invariants(spark):
+    e = spark.createDataFrame([("T", "x", "y"), ("T", "x", "m"), ("T", "m", "n")], "type string, from_id string, to_id string")
+    known = spark.createDataFrame([("x",), ("y",)], "identity string")
+    assert {r["class"] for r in validate.endpoint_classes(e, known).collect()} == {"both", "one", "neither"}
+    nodes = spark.createDataFrame([("x", "K", 1.5), ("x", "K/", 0.5)], "identity string, kind string, confidence double")
+    broken = {r["rule"]: r["violations"] for r in validate.invariants(nodes, e).collect()}
+    assert broken == {"duplicate_identity": 1, "dangling_from": 1, "dangling_to": 3, "self_edge": 0, "bad_confidence": 1, "bad_kind": 1}
+
+
+def test_routes(spark):
+    calls = spark.createDataFrame([(1, "GET", "/api/customer"), (2, "GET", "/clients"), (3, "GET", "/dup")], "call_id long, verb string, url string")
+    ends = spark.createDataFrame([(10, "get", "/api/Customer", 1), (11, "GET", "/api/v1/clients", 2), (12, "GET", "/v1/dup", 3), (13, "GET", "/v2/dup", 4)], "endpoint_id long, verb string, route string, seq long")
+    assert values(resolve.route_matches(calls, ends)) == [(1, 10, 0.9), (2, 11, 0.75)]
+
+
+def test_traverse_impact_and_cycles(spark):
+    edges = spark.createDataFrame([(1, "T", "a", "b"), (2, "U", "a", "c"), (3, "T", "b", "d"), (4, "T", "c", "d"), (5, "T", "d", "a")], "seq long, type string, from_id string, to_id string")
+    nodes = spark.createDataFrame([("a", "K"), ("b", "K"), ("c", "L")], "identity string, kind string")
+    assert values(graph.traverse(nodes, edges, "a", 2)) == [("b", "T", 1, "K"), ("c", "U", 1, "L"), ("d", "T", 2, "?")]
+    assert graph.traverse(nodes, edges, "a", 0).count() == 0
+    assert {r["node"] for r in graph.impact(edges, "a").collect()} == {"a", "b", "c", "d"}
+    assert graph.impact(edges, "nowhere").count() == 0
+
+
+def test_identity_round_trip(spark):
+    row = spark.createDataFrame([("Shop/App", "GET /api/{id} 100%25")], "a string, v string").select(I.mint(("app", F.col("a")), ("endpoint", F.col("v"))).alias("i"))
+    got = row.select("i", I.short_name(F.col("i")), I.owning_app(F.col("i"))).first()
+    assert got[0] == "node://app:Shop%2FApp/endpoint:GET %2Fapi%2F{id} 100%2525"
+    assert got[1] == "GET /api/{id} 100%25" and got[2] == "Shop/App"
+
+
+def test_diff_apply_and_carry(spark):
+    a, b = spark.createDataFrame([("x",), ("y",)], "identity string"), spark.createDataFrame([("y",), ("z",)], "identity string")
+    assert snapshots.diff(a, a, ["identity"]).count() == 0
+    assert values(snapshots.diff(a, b, ["identity"])) == [("x", "removed"), ("z", "added")]
+    carried = snapshots.carry_nodes(a, a.where("identity = 'x'"), b.where("identity = 'z'"))
+    assert values(carried) == [("y", "carried"), ("z", "fresh")]
+
+
+def test_configuration():
+    rows = [("P", [], ["B", "F"], False, False), ("B", [], [], False, False), ("F", [], [], False, False)]
+    assert config.check(rows) == ["B", "F", "P"]
+    with pytest.raises(ValueError, match="A -> B -> A"):
+        config.check([("A", [], ["B"], False, False), ("B", [], ["A"], False, False)])
+    with pytest.raises(ValueError, match="unknown child"):
+        config.check([("A", [], ["B"], False, False)])
+
+
+def test_repository_rules(spark):
+    files = spark.createDataFrame([("App.sln", 'Project("x") = "A", "A\\A.csproj"'), ("A/A.csproj", ""), ("B/B.csproj", ""), ("web/package.json", '{"dependencies":{"react":"1"}}'), ("site/package.json", '{"react":1, "react-dom": "react", "x":"react"}'), ("site/next.config.js", "")], "path string, text string")
+    found = {(r["path"], r["technology"]) for r in repositories.artifacts(files).collect()}
+    assert ("A/A.csproj", "dotnet") in found and ("B/B.csproj", "dotnet") not in found
+    assert ("web/package.json", "react") in found and ("site/package.json", "react") not in found and ("site/next.config.js", "nextjs") in found
+
+
+def test_extractors_find_lines_and_skip_lookalikes(spark):
+    files = spark.createDataFrame([("a.tsx", "\nfunction Card() {}\n\nconst useThing = 1;\nconst lower = () => 1;"), ("b.css", "function Nope() {}")], "path string, text string")
+    assert values(extract.react_components(files).select("path", "line", "name")) == [("a.tsx", 2, "Card")]
+    assert values(extract.react_hooks(files).select("line", "name")) == [(4, "useThing")]
+    assert extract.react_charts(files).count() == 0
+    assert extract.balanced("x{'}' {}}y", 1, "{", "}") == 9 and extract.balanced("{", 0, "{", "}") == -1
+
+
+def test_text_rules(spark):
+    row = spark.range(1).select(T.normalize_route(F.lit(" API/${x}/:id/{k:int}/?q=1")), T.next_route(F.lit("app/(g)/a/[...s]/page.tsx")), T.capped_list(F.array(*map(F.lit, "abc")), 2)).first()
+    assert tuple(row) == ("/api/{}/{}/{}", "/a/{s}", "a, b, …and 1 more")
