@@ -86,11 +86,50 @@ def _literal(spark, rows):
     return spark.createDataFrame(rows, "path string, text string")
 
 
+#: What each extractor finds in the sources above: (path, line, kind, name, detail, confidence), read off by hand.
+_APP, _AUTH, _PAGE, _LIST, _CS = "src/App.tsx", "src/auth.ts", "app/(shop)/items/[id]/page.tsx", "src/app/list.component.ts", "Api/OrdersController.cs"
+EXPECTED: dict[str, list[tuple]] = {
+    "react_components": [(_APP, 6, "UIComponent", "App", None, 0.85), (_APP, 15, "UIComponent", "Users", None, 0.85), (_PAGE, 1, "UIComponent", "Page", None, 0.85)],
+    "react_hooks": [(_AUTH, 2, "Hook", "useAuth", None, 0.85)],
+    "react_hook_uses": [(_APP, 9, "USES", "useAuth", _APP, 0.7), (_AUTH, 2, "USES", "useAuth", _AUTH, 0.7)],
+    "react_api_calls": [(_APP, 10, "ApiCall", "GET /api/items", None, 0.75), (_APP, 11, "ApiCall", "POST /api/items/${id}", None, 0.75)],
+    "react_contexts": [(_APP, 3, "Context", "UserContext", "context", 0.8)],
+    "react_routes": [(_APP, 13, "Route", "/users", "Users", 0.85)],
+    "react_renders": [(_APP, 13, "RENDERS", x, _APP, 0.6) for x in ("Guard", "Route", "Users", "LineChart")] + [(_PAGE, 1, "RENDERS", "Users", _PAGE, 0.6)],
+    "react_roles": [(_APP, 4, "Role", "admin", None, 0.9), (_APP, 4, "Role", "viewer", None, 0.9)],
+    "react_role_gates": [(_APP, 13, "GATES", "admin", _APP, 0.6)],
+    "react_grids": [(_AUTH, 4, "DataGrid", "id", "column", 0.85), (_APP, 13, "DataGrid", "Name", "heading", 0.8)],
+    "react_charts": [(_APP, 1, "AnalyticsChart", "App.tsx", "recharts", 0.8)],
+    "react_filters": [(_APP, 7, "Filter", "activeTab", "tab", 0.6), (_APP, 8, "Filter", "selectedIds", "multi-select", 0.75)],
+    "react_imports_exports": [(_AUTH, 5, "ImportExport", "exportCsv", None, 0.8)],
+    "react_form_fields": [(_APP, 15, "FormField", "email", None, 0.8), (_AUTH, 3, "FormField", "email", "string", 0.65), (_AUTH, 3, "FormField", "age", "number", 0.65)],
+    "react_default_routes": [(_APP, 5, "ROUTES_TO", "admin", "/users", 0.65), (_APP, 5, "ROUTES_TO", "viewer", "/home", 0.65)],
+    "angular_components": [(_LIST, 1, "UIComponent", "ListComponent", "app-list", 0.9), ("src/app/row.component.ts", 1, "UIComponent", "RowComponent", "app-row", 0.9)],
+    "angular_services": [("src/app/list.service.ts", 1, "UIService", "ListService", None, 0.9)],
+    "angular_guards": [("src/app/list.service.ts", 3, "Guard", "AuthGuard", "CanActivate", 0.85)],
+    "angular_dependencies": [(_LIST, 5, "DEPENDS_ON", "HttpClient", _LIST, 0.8), (_LIST, 5, "DEPENDS_ON", "ListService", _LIST, 0.8)],
+    "angular_form_fields": [(_LIST, 4, "FormField", "name", "validated", 0.8)],
+    "angular_filters": [(_LIST, 3, "Filter", "statusFilter", "single-value", 0.75)],
+    "angular_http": [(_LIST, 5, "ApiCall", "GET /api/list", None, 0.8)],
+    "angular_template_tags": [(_LIST, 2, "RENDERS", "RowComponent", "ListComponent", 0.85)],
+    "angular_routes": [("src/app/routes.ts", 1, "Route", r, c, 0.85) for r, c in (("/a", "AComponent"), ("/a/b", "BComponent"), ("/g/c", "CComponent"))],
+    "next_routes": [(_PAGE, 1, "Route", "/items/{id}", "page", 0.9)],
+    "frontend_auth": [(_AUTH, 1, "AuthProvider", "msal", "@azure/msal-browser", 0.85), (_AUTH, 2, "TokenStorage", "access_token", "get+set", 0.75)],
+    "packages": [("Api/Api.csproj", 1, "Project", "Api", "web", 1.0), ("Api/Api.csproj", 1, "Technology", "MediatR", "package", 1.0), ("Api/Api.csproj", 1, "REFERENCES", "Core", "Api/Api.csproj", 1.0)],
+    "configuration": [("Api/appsettings.json", 1, "DataStore", "Main", "connection string", 1.0)],
+    "csharp_types": [(_CS, 2, "Controller", "OrdersController", "ControllerBase", 0.6), (_CS, 8, "Query", "GetOrderQuery", "IRequest<Order>", 0.6)],
+    "csharp_endpoints": [(_CS, 4, "Endpoint", "GET /api/Orders/{id}", "Get", 0.6)],
+    "csharp_calls": [(_CS, 5, "DISPATCHES", "GetOrderQuery", "Send", 0.5), (_CS, 6, "BusinessRule", "must be open", "RuleException", 0.5)],
+}
+
+
 def _register(name: str, extractor: str, rows: list) -> None:
     def run(spark, sf_dir):
         return X.EXTRACTORS[extractor](_literal(spark, rows))
     run.__name__ = name
-    query()(run)
+    quoted = lambda v: "null::varchar" if v is None else f"'{v}'"
+    found = ", ".join(f"({quoted(p)}, {n}::integer, {quoted(k)}, {quoted(w)}, {quoted(d)}, {c}::double)" for p, n, k, w, d, c in EXPECTED[extractor])
+    query(f"select * from (values {found}) t(path, line, kind, name, detail, confidence)")(run)
 
 
 for _name in X.EXTRACTORS:

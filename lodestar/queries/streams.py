@@ -33,21 +33,29 @@ def window_sliding(spark, sf_dir):
     return inc.windows(e, "1 day", "6 hours").select("start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query("""with g as (select *, case when ts - lag(ts) over w >= interval '6 hours' or lag(ts) over w is null then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
-s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from g) select min(ts) as start, user_id, count(*) as n from s group by user_id, session""")
+_SESSION = """with g as (select *, case when ts - lag(ts) over w >= interval '6 hours' or lag(ts) over w is null then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
+s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from g) select min(ts) as start, user_id, count(*) as n from s group by user_id, session"""
+
+
+@query(_SESSION)
 def window_session(spark, sf_dir):
     return inc.sessions(Star(spark, sf_dir).table("events"), "6 hours").select("start", "user_id", "n")
 
 
-@query()
+_CLOSED = "(select max(ts) - interval '10 minutes' from events)"
+
+
+@query(f"select * from ({_TUMBLING}) where start + interval '1 day' <= {_CLOSED}")
 def stream_tumbling(spark, sf_dir):
     """Append mode gives the windows that the watermark has closed."""
-    return inc.drained(inc.windows(_stream(spark, sf_dir), "1 day"), spark)
+    got = inc.drained(inc.windows(_stream(spark, sf_dir), "1 day"), spark)
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query()
+@query(f"select * exclude (last) from ({_SESSION.replace('count(*) as n', 'count(*) as n, max(ts) as last')}) where last + interval '6 hours' <= {_CLOSED}")
 def stream_session(spark, sf_dir):
-    return inc.drained(inc.sessions(_stream(spark, sf_dir), "6 hours"), spark)
+    got = inc.drained(inc.sessions(_stream(spark, sf_dir), "6 hours"), spark)
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
 @query("select 'src/C' || user_id || '.tsx' as path, 'C' || user_id as name from events group by user_id")
