@@ -33,6 +33,7 @@ from lodestar.llm.shared import IS_SPACE, durable, free_shuffles, mix64, read
 from lodestar.llm.substrings import EXCHANGE, pack
 
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C1B2A9F3)
+FLUSH_BYTES = 6 << 20
 SHARD_BYTES = 12 << 20
 LONG = 64
 _U = np.uint64
@@ -246,7 +247,7 @@ def score(docs: DataFrame) -> DataFrame:
     token alone; a row without doc_id is trained on; repeated rows count each time. Without any
     training row all words are unknown and equally likely. An empty table gives an empty result.
     """
-    flushes = durable(pack(docs))
+    flushes = durable(pack(docs, FLUSH_BYTES))
     size = flushes.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-3 * size // SHARD_BYTES))
 

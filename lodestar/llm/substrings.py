@@ -34,8 +34,8 @@ from lodestar.llm.shared import durable, free_shuffles, mix64, read
 WINDOW = 50
 GRAM = 16
 GRAMS = WINDOW - GRAM + 1
-FLUSH_BYTES = 6 << 20
-SHARD_BYTES = 24 << 20
+FLUSH_BYTES = 2 << 20
+SHARD_BYTES = 12 << 20
 LATEST = (1 << 63) - 1
 _U = np.uint64
 
@@ -43,7 +43,7 @@ _U = np.uint64
 # ---------------------------------------------------------------- flushes
 
 
-def pack(docs: DataFrame) -> DataFrame:
+def pack(docs: DataFrame, flush_bytes: int = FLUSH_BYTES) -> DataFrame:
     """(flush, ids, sizes, text): documents of (doc_id, text) packed, texts compressed."""
     def run(batches):
         base, n, squeeze = TaskContext.get().partitionId() << 32, 0, zstandard.ZstdCompressor(level=3)
@@ -60,7 +60,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 ids.append(name)
                 texts.append((text or "").encode())
                 held += len(texts[-1]) + 64
-                if held >= FLUSH_BYTES:
+                if held >= flush_bytes:
                     yield row()
                     n, ids, texts, held = n + 1, [], [], 0
         if ids:
@@ -126,7 +126,7 @@ class Flush:
         name = h[first] + size.astype(np.uint64)
         for k, place in enumerate((first + GRAM, first + 2 * GRAM, last, last - GRAM, last - 2 * GRAM)):
             name = mix64(name * _U(0x9E3779B97F4A7C15) + h[place])
-        key = h[at]
+        key = mix64(h[at] + _U(0x9E3779B97F4A7C15))  # anchors have small hashes: mixed again to spread over shards
         order = np.lexsort((name, key))
         self.first, self.anchor, self.windows, self.hash, self.name = first[order], at[order], windows[order], key[order], name[order]
         self.doc = np.searchsorted(ends, self.first, side="right")
