@@ -1,8 +1,9 @@
 """Connected components over a link table, by alternating large-star and small-star rounds.
 
-Every round is a pair of shuffles on the remaining links; links shrink to stars, so the number
-of rounds grows with the logarithm of the longest path. Hot nodes only meet a partial minimum
-and an equi-join that adaptive execution may split, never a per-node task.
+Every round is two small plans on the remaining links; links shrink to stars, so the number of
+rounds grows with the logarithm of the longest path. Hot nodes only meet a partial minimum and a
+sort-merge join that adaptive execution may split, never a per-node task, and no links go to the
+driver, not even for a broadcast.
 """
 
 from __future__ import annotations
@@ -13,17 +14,28 @@ from pyspark.sql import functions as F
 from lodestar.llm.shared import durable
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def _flipped(links: DataFrame) -> DataFrame:
+    return links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every node sends its larger neighbours to its least neighbour (itself included)."""
+    both = links.union(_flipped(links))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    met = both.join(least, "a")
-    if large:
-        out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            met.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return both.where("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Every node sends itself and its smaller neighbours to the least of them; links have a > b."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    moved = links.hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """No node has two links up, or links both up and down."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,12 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = durable(links.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        links = durable(_star(_star(links, True), False))
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
-            break
-        seen = now
+    while not _are_stars(links):
+        links = durable(_small_star(durable(_large_star(links))))
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
