@@ -28,6 +28,7 @@ PROBES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 SAMPLE = 3000
 LEAST = 4
 KEEP = 0.5
+FEW_LANGUAGES = 10_000
 #: Up to so many bytes of texts are counted at once.
 BLOCK = 4 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -140,6 +141,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters from (doc_id, text, lang), of which rows with null text or lang teach nothing."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    if sizes.count() <= FEW_LANGUAGES:  # a row a language: sent to all, so texts are chosen where they are read
+        sizes = F.broadcast(sizes)
     place = F.xxhash64(F.lit(5), F.col("doc_id")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     chosen = rows.join(sizes, "lang").where(place * F.col("rows") < sample).select("text", "lang")
     counts = chosen.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
