@@ -34,6 +34,7 @@ END_ID = 1
 FILE_BYTES = 16 << 20
 #: Pieces and words that a worker remembers; what comes later is encoded each time.
 MEMO = 250_000
+FEW_FILES = 100_000
 #: Pieces of these characters only are in normal form once they are in lower case ...
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: ... and fall into the tokenizer's words by its own rule for them.
@@ -215,6 +216,8 @@ def read_documents(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends - sizes, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.int64()), pa.array(base + ends - sizes), pa.array(sizes.astype(np.int64)), pa.array(crc, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    # a few bytes a file: sent to all while that is little, else joined by shuffle
+    firsts = F.broadcast(firsts) if firsts.count() <= FEW_FILES else firsts
     return files.join(firsts, "file").select("base", "blob").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
