@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -21,21 +22,27 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there on.
 
-    The shared store keeps it, so a lost executor costs a re-read and never a failure.
+    The shared store keeps it, so a lost executor costs a re-read and never a failure. What was
+    shuffled to make it is not needed any more and is dropped.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    free_shuffles(df.sparkSession)
+    return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Python workers get at most so many rows at once: whole texts, so memory stays bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shuffle_width(spark: SparkSession) -> int:
