@@ -30,7 +30,7 @@ LEAST = 4
 KEEP = 0.5
 FEW_LANGUAGES = 10_000
 #: Up to so many bytes of texts are counted at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
