@@ -342,6 +342,46 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.deduplicate(empty).count() == 0 and neardup.deduplicate(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("pairs", [16, 2])
+def test_links_in_buckets_are_whole(spark, monkeypatch, pairs):
+    import pyarrow as pa
+
+    def one_bucket(batches):
+        for batch in batches:
+            same = pa.array([t.encode() for t in batch.column(1).to_pylist()], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array([b"8 bytes."] * len(same), type=pa.binary())], names=["doc", "same", "keys"])
+
+    monkeypatch.setattr(neardup, "PAIRS", pairs)
+    monkeypatch.setattr(neardup, "_describe", one_bucket)
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, x = [], fresh(200)
+    for _ in range(6):  # a chain: only neighbours are similar
+        texts.append(x)
+        at = rng.randrange(180)
+        x = x[:at] + fresh(14) + x[at + 14 :]
+    centre = fresh(200)
+    for i in range(14):  # a star: copies are similar to the centre only
+        at = 14 * i
+        texts.append(centre[:at] + fresh(14) + centre[at + 14 :])
+    texts += [centre, fresh(100), fresh(100)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.8 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j], key=lambda r: order[r])
+    for ids in (order, list(range(len(texts)))):
+        table = spark.createDataFrame([(d, " ".join(t)) for d, t in zip(ids, texts)], "doc_id long, text string")
+        got = {r.doc: r.root for r in neardup.groups(table).collect()}
+        least = {r: min(d for d, x in zip(ids, root) if x == r) for r in root}
+        assert {d: got.get(d, d) for d in ids} == {d: least[r] for d, r in zip(ids, root)}
+    assert len(set(root)) == 4
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     frame = docs
     bench = spark.createDataFrame([(1, corpus()[5][1])], "item_id long, text string")
