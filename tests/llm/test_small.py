@@ -382,6 +382,23 @@ def test_links_in_buckets_are_whole(spark, monkeypatch, pairs):
     assert len(set(root)) == 4
 
 
+def test_similar_texts_meet_in_a_bucket():
+    rng = np.random.default_rng(31)
+    pairs, met, similar = 0, 0, []
+    for _ in range(400):  # one block of fresh words replaces one of the text
+        n = int(rng.integers(20, 600))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        size = max(1, int(n * rng.uniform(0.05, 0.11)) - 4)
+        at, b = int(rng.integers(0, n - size + 1)), a.copy()
+        b[at : at + size] = rng.integers(0, 2**63, size)
+        j = neardup.jaccard(neardup.shingles(a), neardup.shingles(b))
+        if j >= 0.8:
+            one, two = neardup.keys_of([neardup.shingle_hashes(a), neardup.shingle_hashes(b)])
+            pairs, met = pairs + 1, met + bool(set(one.tolist()) & set(two.tolist()))
+            similar.append(j)
+    assert pairs >= 200 and min(similar) < 0.81 and met == pairs
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     frame = docs
     bench = spark.createDataFrame([(1, corpus()[5][1])], "item_id long, text string")
