@@ -3,9 +3,9 @@
 A page is read into blocks (runs of text between block-level tags), each with its root-to-leaf tag
 path. Per path the text length, punctuation and linked text of all its blocks are added up; the
 text-to-path and punctuation-to-path ratios are smoothed along the page and fused, and paths above
-a share of the page's best select the content. The smallest container that holds most of the
-selected text (an article or main element where there is one) closes the selection: headings and
-short paragraphs in it belong to it, link lists do not. Elements that by name, class, id or role
+a share of the page's best select the content. An article or main element closes the selection
+where there is one; else headings and short paragraphs of the smallest container that holds most
+of the selected text belong to it as well, link lists do not. Elements that by name, class, id or role
 are page furniture are never content.
 """
 
@@ -144,7 +144,8 @@ def extract(html: str) -> str:
         container = "/".join(parts[:depth])
         if weight[[under(b[0], container) for b in found]].sum() >= 0.75 * total:
             break
-    return " ".join(b[1] for b, c in zip(found, core) if under(b[0], container) and (c or 2 * b[2] < len(b[1])))
+    # the container adds headings and short paragraphs; what its path selected stays wherever it is
+    return " ".join(b[1] for b, c in zip(found, core) if c or (under(b[0], container) and 2 * b[2] < len(b[1])))
 
 
 def under(path: str, container: str) -> bool:

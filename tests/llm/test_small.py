@@ -132,6 +132,12 @@ def test_html(spark):
     assert html_extract.main_texts(pages.where("false")).count() == 0
 
 
+def test_html_keeps_selected_siblings():
+    said = [" ".join(f"Part {k}, sentence {i}, with words and more of them." for i in range(n)) for k, n in enumerate((4, 30, 4))]
+    page = "<body><ul><li><a href=/>Home</a></ul>" + "".join(f'<div class="{c}"><p>{t}</p></div>' for c, t in zip(("intro", "story", "end"), said)) + "</body>"
+    assert html_extract.extract(page) == " ".join(said)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|x|>"), (1, 2, "bob", None), (1, 3000, "ann", "again"), (1, 3000, "ann", "again"), (2, None, None, "who"), (None, 1, "x", ""), (3, 1, "system", "alone")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
