@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Items are compared as patterns: whole, or windows of ``WINDOW`` characters every ``STRIDE`` if they
-are longer, so that a quoted part is found as well. A pattern of m characters that occurs in a text
+Items are compared as patterns: windows of ``WINDOW`` characters every ``STRIDE`` and up to ``WHOLE``
+characters whole as well, so that every verbatim part of ``WINDOW + STRIDE - 1`` characters is found. A pattern of m characters that occurs in a text
 with at most e edits shares at least m - q + 1 - q * e of its q-grams with it, all on diagonals no
 further than e apart. Shared q-grams are therefore counted in diagonal bands of twice the width
 e + 1 that overlap by half; bands that reach the bound are verified by an alignment that is
@@ -22,8 +22,10 @@ from lodestar.llm.shared import mix64, read
 
 Q = 10
 ERROR_RATE = 0.07
-WINDOW = 120
-STRIDE = 60
+WINDOW = 60
+STRIDE = 15
+#: Longer items need not be compared whole: of two windows side by side one has half the edits at most.
+WHOLE = 150
 BLOCK_GRAMS = 500_000
 #: Up to so many characters of texts are searched at once.
 BLOCK_CHARS = 1 << 20
@@ -147,9 +149,10 @@ def patterns(items: list[tuple[int, str]]) -> list[Patterns]:
         t = normal(text)
         if len(t) < Q:
             continue
-        starts = [0] if len(t) <= WINDOW + STRIDE // 2 else [*range(0, len(t) - WINDOW, STRIDE), len(t) - WINDOW]
-        for s in starts:
-            piece = t if len(starts) == 1 else t[s : s + WINDOW]
+        pieces = [t] if len(t) <= WHOLE else [t[-2 * WINDOW : -WINDOW]]
+        if len(t) > WINDOW:
+            pieces += [t[s : s + WINDOW] for s in [*range(0, len(t) - WINDOW, STRIDE), len(t) - WINDOW]]
+        for piece in pieces:
             ids.append(item)
             texts.append(piece)
             held += len(piece)
@@ -198,7 +201,7 @@ def benchmark_blocks(benchmark: DataFrame):
     ids, held = [], 0
     for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().toLocalIterator():
         ids.append((row[0], row[1]))
-        held += len(row[1]) * 2
+        held += len(row[1]) * (WINDOW // STRIDE + 1)
         if held >= BLOCK_GRAMS:
             yield from patterns(sorted(ids))
             ids, held = [], 0

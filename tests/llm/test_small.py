@@ -93,6 +93,18 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.clean(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("size", [70, 140, 150, 151, 400])
+def test_partial_quotes(size):
+    rng = random.Random(size)
+    item = "".join(rng.choice("abcdefghijklmnop ") for _ in range(size)).replace("  ", " x").strip().ljust(size, "z")
+    size = len(item)
+    long = 74
+    texts = ["#" * 30 + item[a : a + n] + "#" * 30 for n in (30, min(long, size), 90, 125, 178) if n <= size for a in range(size - n + 1)]
+    blocks = decontaminate.patterns([(1, item)])
+    found = [any(decontaminate.matches(b, [t])[0] for b in blocks) for t in texts]
+    assert found == [len(t) - 60 >= min(long, size) for t in texts]
+
+
 def test_alignment_against_full_table():
     def full(p, t):
         row = [0] * (len(t) + 1)
