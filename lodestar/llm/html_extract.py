@@ -6,7 +6,7 @@ text-to-path and punctuation-to-path ratios are smoothed along the page and fuse
 a share of the page's best select the content. An article or main element closes the selection
 where there is one; else headings and short paragraphs of the smallest container that holds most
 of the selected text belong to it as well, link lists do not. Elements that by name, class, id or role
-are page furniture are never content.
+are page furniture are never content, unless a form or a marked element wraps what the page is about.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label wbr".split())
 #: Elements that are page furniture wherever they stand.
-FURNITURE = frozenset("head nav footer aside form button select option menu dialog fieldset".split()) | RAW
+FURNITURE = frozenset("head nav footer aside button select option menu dialog".split()) | RAW
+#: Furniture unless they hold the page's text, as do elements with MARKS.
+FORMS = frozenset("form fieldset".split())
 #: ... and class, id or role words that say the same.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|notice|consent|alert|menu|nav|navbar|navigation|sidebar|footer|breadcrumbs?|comments?|reply|replies|respond|"
     r"related|share|sharing|social|subscribe|newsletter|popup|modal|login|signup|search|toolbar|pagination|contentinfo|complementary|disclaimer|masthead)(?:$|[\s_-])", re.I)
+#: Words that say what an element has or lacks, not what it is.
+HAVING = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[-_]\S+", re.I)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?\"'()¿¡«»…–—。，、！？；：]")
@@ -39,13 +43,20 @@ PUNCTUATION = re.compile(r"[.,;:!?\"'()¿¡«»…–—。，、！？；：]")
 SIBLINGS = {t: frozenset(s.split()) for s in ("li", "dt dd", "tr", "td th", "option", "thead tbody tfoot") for t in s.split()}
 LIMITS = frozenset("ul ol dl table tr body html article section div main aside td th".split())
 SELECT_SHARE = 0.3
+#: A form or marked element with at least such a share of the page's text holds the page.
+HOLDS = 0.75
 SMOOTH = (0.25, 0.5, 0.25)
 
 
-def blocks(html: str) -> list[tuple[str, str, int, bool]]:
-    """(path, text, linked characters, furniture) of every block with text, in page order."""
-    out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label in the path, furniture from here on
+def blocks(html: str) -> list[tuple[str, str, int, bool, tuple[int, ...], int]]:
+    """(path, text, linked characters, furniture, marked, outer) of every block with text, in page order.
+
+    ``marked`` numbers the forms and marked elements around it, the first ``outer`` of which stand
+    around its article or main element as well.
+    """
+    out: list[tuple[str, str, int, bool, tuple[int, ...], int]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...], int]] = []  # tag, label in the path, furniture from here on, marked, outer
+    number = 0
     text: list[str] = []
     linked, in_link = 0, 0
     at, search = 0, TAG.search
@@ -55,7 +66,7 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
         if text:
             said = " ".join(entities.unescape("".join(text)).split())
             if said:
-                out.append(("/".join(x[1] for x in stack), said, min(linked, len(said)), bool(stack) and stack[-1][2]))
+                out.append(("/".join(x[1] for x in stack), said, min(linked, len(said)), *(stack[-1][2:] if stack else (False, (), 0))))
             text.clear()
         linked = 0
 
@@ -104,19 +115,50 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
         attributes = m[3] or m[6] or ""
         names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if attributes else ""
         within = any(x[0] in ("article", "main") for x in stack)
-        bad = (bool(stack) and stack[-1][2]) or tag in FURNITURE or (tag == "header" and not within) or bool(names and tag not in ("html", "body", "article", "main") and MARKS.search(names)) or bool(attributes and HIDDEN.search(attributes))
-        stack.append((tag, f"{tag}.{names.split()[0]}" if names.split() else tag, bad))
+        bad = (bool(stack) and stack[-1][2]) or tag in FURNITURE or (tag == "header" and not within) or bool(attributes and HIDDEN.search(attributes))
+        marked, outer = stack[-1][3:] if stack else ((), 0)
+        if tag in FORMS or (names and tag not in ("html", "body", "article", "main") and MARKS.search(HAVING.sub(" ", names))):
+            number += 1
+            marked += (number,)
+        if tag in ("article", "main") and not within:
+            outer = len(marked)
+        stack.append((tag, f"{tag}.{names.split()[0]}" if names.split() else tag, bad, marked, outer))
     flush()
     return out
 
 
+def content(every: list) -> list:
+    """The blocks that are not furniture.
+
+    Marked elements do not count around an article or main element that has more text than is
+    unmarked, if no unmarked text is in such an element, nor where they hold most of the page.
+    """
+    some = [b for b in every if not b[3]]
+    clean = [b for b in some if not b[4]]
+    if len(clean) == len(some):
+        return clean
+    lead = re.compile(r"(?:^|/)(?:article|main)(?:[./]|$)")
+    freed: set[int] = set()
+    if not any(lead.search(b[0]) for b in clean):
+        inner = [b for b in some if b[5] and len(b[4]) == b[5]]
+        main = any(re.search(r"(?:^|/)main(?:[./]|$)", b[0]) for b in inner)
+        if main or sum(len(b[1]) for b in inner) > sum(len(b[1]) for b in clean):
+            freed = {k for b in inner for k in b[4][: b[5]]}
+        held: dict[int, int] = {}
+        for b in some:
+            for k in b[4]:
+                held[k] = held.get(k, 0) + len(b[1])
+        freed |= {k for k, n in held.items() if n >= HOLDS * sum(len(b[1]) for b in some)}
+    return [b for b in some if freed.issuperset(b[4])]
+
+
 def extract(html: str) -> str:
     """The main text of one page; empty if it has none."""
-    found = [b for b in blocks(html) if not b[3]]
+    found = content(blocks(html))
     if not found:
         return ""
     paths: dict[str, list[int]] = {}
-    for path, text, linked, _ in found:
+    for path, text, linked, *_ in found:
         s = paths.setdefault(path, [0, 0, 0, 0])
         s[0] += 1
         s[1] += len(text)

@@ -150,6 +150,15 @@ def test_html_keeps_selected_siblings():
     assert html_extract.extract(page) == " ".join(said)
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="no-comments"', 'form action="/"', 'div class="search layout"'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_wrappers_are_not_furniture(wrapper, inner):
+    said = " ".join(f"Sentence {i}, with words and more of them." for i in range(20))
+    marked = '<div class="comments"><p>A comment, at some length.</p></div><form><fieldset><p>Your name, please.</p></fieldset></form>'
+    page = f"<body><nav>Home</nav><{wrapper}><select><option>One</select><{inner}><p>{said}</p>{marked}</{inner}></{wrapper.split()[0]}><p class=ad>Buy, now.</p></body>"
+    assert html_extract.extract(page) == said
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|x|>"), (1, 2, "bob", None), (1, 3000, "ann", "again"), (1, 3000, "ann", "again"), (2, None, None, "who"), (None, 1, "x", ""), (3, 1, "system", "alone")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
