@@ -121,3 +121,37 @@ def split_list(text: Column, separator: str = "[;,]") -> Column:
 def line_at(text: Column, offset: Column) -> Column:
     head = F.substring(text, F.lit(1), offset)
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+
+
+def running_sum(items: Column, block: int = 256) -> Column:
+    """The sums of an array's numbers up to each of them, block by block so that its length counts once."""
+    def summed(values: Column) -> Column:
+        empty = F.array().cast("array<int>")
+        return F.aggregate(values, empty, lambda sums, x: F.array_append(sums, F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + x))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int")), lambda b: summed(F.slice(items, b * block + 1, F.lit(block))))
+    ends = summed(F.transform(blocks, lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0))))
+    return F.when(F.size(items) > 0, F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(ends, i - 1), F.lit(0)))))).otherwise(F.array().cast("array<int>"))
+
+
+def short_sha(commit: Column) -> Column:
+    return F.substring(commit, 1, 7)
+
+
+def operation_label(operation: Column, entity: Column, method: Column) -> Column:
+    """What a database operation is shown as: the operation on its entity, else the method, else the operation."""
+    return F.when(F.coalesce(entity, F.lit("")) != "", F.concat_ws(" ", F.upper(F.coalesce(operation, F.lit(""))), entity)).otherwise(F.coalesce(method, operation, F.lit("")))
+
+
+def log_level(severity: Column) -> Column:
+    return F.when(severity.isin("Error", "Warning", "Debug"), severity).otherwise("Information")
+
+
+def order_number(value: Column, fallback: int = (1 << 31) - 1) -> Column:
+    """A whole number to order by; what is none comes last, or first with a fallback of 0."""
+    return F.coalesce(value.try_cast("int"), F.lit(fallback))
+
+
+def relation_name(name: Column) -> Column:
+    """A name that diagrams take: letters, digits and underscores."""
+    return F.regexp_replace(name, "[^A-Za-z0-9_]", "_")

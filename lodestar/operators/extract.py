@@ -1,8 +1,9 @@
 """Extractors: table functions from files(path, text) to discovery rows.
 
-Rows are (path, line, kind, name, detail, confidence), lines from 1. Patterns run in the JVM; only
+Rows are (path, line, kind, name, detail, confidence), lines from 1. A kind in capitals is a relation from
+``detail`` to ``name``; else ``detail`` has further properties, "key=value" joined by "; ". Patterns run in the JVM; only
 what is not regular (balanced braces, nested routes) is read by Arrow-batched Python. Rules that
-stand for compiler analysis are lexical here, carry lower confidence and say so in their name.
+stand for compiler analysis are lexical (``dotnet``), carry lower confidence and say so in their name.
 """
 
 from __future__ import annotations
@@ -14,124 +15,267 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators.merge import first_by
 
 SCHEMA = "path string, line int, kind string, name string, detail string, confidence double"
 
 
-def occurrences(files: DataFrame, pattern: str, *groups: int) -> DataFrame:
-    """(path, text, line, g1, g2, …) for every match: the text is cut at the matches, so lines follow from the pieces before."""
+def occurrences(files: DataFrame, pattern: str, *groups: int, keep: tuple[str, ...] = (), rest: bool = False) -> DataFrame:
+    """(path, line, g1, g2, …, kept columns) for every match of ``pattern`` in ``text``.
+
+    The text is cut at the matches once; the pieces' line breaks, summed up along the array, give all
+    lines, and the text itself does not go with the matches. A column ``from_line`` of ``files`` is the
+    line that the text begins on. With ``rest`` each match has the piece up to the next one as ``text``
+    and the line it begins on as ``from_line``.
+    """
     whole = F.regexp_extract_all("text", F.lit(pattern), 0)
-    columns = [F.regexp_extract_all("text", F.lit(pattern), g) for g in groups]
-    rows = files.withColumn("whole_", whole).where(F.size("whole_") > 0)
+    first = F.col("from_line") if "from_line" in files.columns else F.lit(1)
     names = [f"g{i + 1}" for i in range(len(groups))]
-    rows = rows.select("*", F.posexplode(F.arrays_zip(F.col("whole_").alias("w"), *[c.alias(n) for c, n in zip(columns, names)])).alias("n_", "m_"))
-    before = F.array_join(F.slice(F.split("text", pattern, -1), F.lit(1), F.col("n_") + 1), "")
+    rows = files.withColumn("whole_", whole).where(F.size("whole_") > 0)
+    rows = rows.withColumn("pieces_", F.split("text", pattern, -1)).select("path", *keep, first.alias("first_"), "whole_", "pieces_", *[F.regexp_extract_all("text", F.lit(pattern), g).alias(n) for g, n in zip(groups, names)])
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    inside = F.aggregate(F.slice("whole_", F.lit(1), F.col("n_")), F.lit(0), lambda a, w: a + breaks(w))
-    return rows.select("path", "text", (breaks(before) + inside + 1).cast("int").alias("line"), *[F.col(f"m_.{n}").alias(n) for n in names])
+    before = F.concat(F.array(F.lit("")), F.slice("whole_", F.lit(1), F.size("whole_") - 1))
+    gaps = F.zip_with(F.slice("pieces_", F.lit(1), F.size("whole_")), before, lambda p, w: breaks(p) + breaks(w))
+    more = [F.slice("pieces_", F.lit(2), F.size("whole_")).alias("rest_"), F.transform("whole_", breaks).alias("broken_")] if rest else []
+    rows = rows.select("path", *keep, "first_", T.running_sum(gaps).alias("lines_"), *names, *more)
+    each = rows.select("path", *keep, "first_", F.explode(F.arrays_zip("lines_", *names, *(["rest_", "broken_"] if rest else []))).alias("m_"))
+    line = (F.col("first_") + F.col("m_.lines_")).cast("int")
+    extra = [F.col("m_.rest_").alias("text"), (line + F.col("m_.broken_")).alias("from_line")] if rest else []
+    return each.select("path", line.alias("line"), *[F.col(f"m_.{n}").alias(n) for n in names], *keep, *extra)
 
 
 def facts(rows: DataFrame, kind: Column | str, name: Column, detail: Column | None, confidence: float | Column) -> DataFrame:
     k = F.lit(kind) if isinstance(kind, str) else kind
     c = F.lit(confidence) if isinstance(confidence, float) else confidence
-    return rows.select("path", "line", k.alias("kind"), name.alias("name"), (detail if detail is not None else F.lit(None).cast("string")).alias("detail"), c.alias("confidence"))
+    return rows.select("path", F.col("line").cast("int").alias("line"), k.alias("kind"), name.alias("name"), (detail if detail is not None else F.lit(None).cast("string")).alias("detail"), c.alias("confidence"))
+
+
+def properties(**given: Column) -> Column:
+    """The detail text of the properties that are there, null without any."""
+    parts = [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{k}="), c)) for k, c in given.items()]
+    return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
+
+
+def union(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _sources(files: DataFrame, pattern: str) -> DataFrame:
     return files.where(F.col("path").rlike(pattern))
 
 
+def stem(path: Column) -> Column:
+    """The file's name without its last extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+
+
+def whole_files(files: DataFrame, *keep: Column) -> DataFrame:
+    return files.select("path", F.lit(1).alias("line"), *keep)
+
+
 # ---- React ---------------------------------------------------------------------------------
 
-_BUILTIN_HOOKS = "use(State|Effect|Memo|Callback|Ref|Context|Reducer|LayoutEffect|ImperativeHandle|DebugValue|Id|Transition|DeferredValue|SyncExternalStore|InsertionEffect|OptimisticState|FormStatus|ActionState)$"
+#: React's own hooks, from its documentation.
+BUILTIN_HOOKS = (
+    "useActionState", "useCallback", "useContext", "useDebugValue", "useDeferredValue", "useEffect", "useFormStatus", "useId", "useImperativeHandle",
+    "useInsertionEffect", "useLayoutEffect", "useMemo", "useOptimistic", "useReducer", "useRef", "useState", "useSyncExternalStore", "useTransition")
+
+#: The forms in which components, hooks and filters are written.
+_PARAMETERS = r"\(([^)]*)\)"
+_DEFAULT_COMPONENT = r"export\s+default\s+function\s+(\w+)\s*" + _PARAMETERS
+_NAMED_COMPONENT = r"export\s+(?:function\s+|const\s+)([A-Z]\w*)\s*(?::[^=]+)?(?:=\s*(?:React\.)?(?:(?:memo|forwardRef)(?:<[^>]*>)?\(\s*)?)?" + _PARAMETERS + r"\s*(?::[^={]+)?(?:=>|\{)"
+
+
+def owner_component(text: Column) -> Column:
+    """The component that a file is about: its default export, or else its first named one."""
+    named = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"export\s+default\s+(?:async\s+)?function\s+([A-Z]\w*)", r"export\s+default\s+([A-Z]\w*)", r"export\s+(?:function|const)\s+([A-Z]\w*)")]
+    return F.coalesce(*named)
 
 
 def react_components(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx$"), r"(?:function\s+|const\s+)([A-Z][A-Za-z0-9]*)\s*(?:=\s*(?:\([^)]*\)|[a-z][A-Za-z0-9]*)\s*=>|\()", 1)
-    return facts(rows, "UIComponent", F.col("g1"), None, 0.85)
+    """Exported components: the kind that the file's name gives the default one, how it is rendered, what it is given, the
+    hooks of the file, and of the default one the only heading and what is shown when its only list is empty."""
+    src = _sources(files, r"\.[tj]sx$")
+    text = F.col("text")
+    hooks = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(use[A-Z]\w*)\s*\("), 1))
+    headings = F.regexp_extract_all("text", F.lit(r"<h[12][^>]*>\s*([^<{}]{1,80}?)\s*</h[12]>"), 1)
+    empties = F.regexp_extract_all("text", F.lit(r"\w+\.length\s*===\s*0\s*\?([\s\S]{0,300})"), 1)
+    shown = src.select(
+        "path", "text", F.array_join(F.slice(hooks, 1, 12), ", ").alias("hooks"), F.when(text.rlike("[\"']use client[\"']"), "client").otherwise("server").alias("rendering"),
+        F.when(F.size(headings) == 1, F.trim(F.get(headings, F.lit(0)))).alias("heading"),
+        F.when(F.regexp_count("text", F.lit(r"\w+\.length\s*===\s*0\s*\?")) == 1, F.trim(F.regexp_extract(F.get(empties, F.lit(0)), r">\s*([A-Za-z][^<>{}\r\n]{2,80}?)\s*<", 1))).alias("empty"))
+    keep = ("hooks", "rendering", "heading", "empty")
+    given = F.array_join(F.regexp_extract_all("g2", F.lit(r"(?:^|[{,])\s*(\w+)\s*(?=[,}=:?]|$)"), 1), ", ")
+    kind = F.when(F.lower(stem(F.col("path"))).isin("page", "layout", "loading", "error"), F.lower(stem(F.col("path")))).otherwise("component")
+    default = occurrences(shown, _DEFAULT_COMPONENT, 1, 2, keep=keep).where(~F.col("g1").startswith("use"))
+    named = occurrences(shown, _NAMED_COMPONENT, 1, 2, keep=keep)
+    return union(
+        facts(default, "UIComponent", F.col("g1"), properties(kind=kind, rendering=F.col("rendering"), props=given, hooks=F.col("hooks"), displayName=F.col("heading"), emptyStateLabel=F.col("empty")), 0.85),
+        facts(named, "UIComponent", F.col("g1"), properties(kind=F.lit("component"), rendering=F.col("rendering"), props=given, hooks=F.col("hooks")), 0.85))
 
 
 def react_hooks(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"(?:function|const)\s+(use[A-Z][A-Za-z0-9]*)\b", 1)
+    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"export\s+(?:default\s+)?(?:function|const)\s+(use[A-Z]\w*)\b", 1)
     return facts(rows, "Hook", F.col("g1"), None, 0.85)
 
 
 def react_hook_uses(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"\b(use[A-Z][A-Za-z0-9]*)\(", 1).where(~F.col("g1").rlike(_BUILTIN_HOOKS))
-    return facts(rows, "USES", F.col("g1"), F.col("path"), 0.7).distinct()
+    """USES: a component and the hooks that its file calls, React's own ones left out."""
+    src = _sources(files, r"\.[tj]sx$").withColumn("owner", owner_component(F.col("text"))).where("owner is not null")
+    rows = occurrences(src, r"\b(use[A-Z]\w*)\s*\(", 1, keep=("owner",)).where(~F.col("g1").isin(*BUILTIN_HOOKS))
+    return facts(first_by(rows, ["path", "owner", "g1"], ["line"]), "USES", F.col("g1"), F.col("owner"), 0.7)
+
+
+def url_bases(text: Column, pattern: str = r"(?:const|let|var)\s+(\w+)\s*=\s*[`'\"]([^`'\"]+)[`'\"]") -> Column:
+    """array<struct<name, value>> of constants that look like the beginnings of addresses; of one name the last."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("name"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("value"))
+    return F.filter(found, lambda b: b["value"].contains("/api") | b["value"].startswith("http") | b["value"].startswith("/"))
+
+
+#: The endings of files that are no endpoints.
+ASSETS = r"(?i)\.(css|scss|png|jpe?g|gif|svg|ico|woff2?|ttf|eot|json|txt|map|mjs|js)$"
+
+
+def resolve_url(raw: Column, bases: Column) -> Column:
+    """The path that a call goes to: constants put in, host and an unknown beginning dropped; null for assets and what has no literal step."""
+    s = F.aggregate(F.reverse(bases), F.trim(raw), lambda t, b: F.replace(t, F.concat(F.lit("${"), b["name"], F.lit("}")), b["value"]))
+    s = F.regexp_replace(F.regexp_replace(s, r"^https?://[^/]+", ""), r"^\$\{[^}]*\}", "")
+    s = F.when(s.startswith("/"), s).otherwise(F.concat(F.lit("/"), s))
+    return F.when(~s.rlike(ASSETS) & F.exists(F.split(s, "/"), lambda p: p.rlike(r"^\p{L}")), s)
 
 
 def react_api_calls(files: DataFrame) -> DataFrame:
-    """fetch, axios and wrapped clients; hosts and leading placeholders are dropped, static assets and bare placeholders too."""
-    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"""\b(?:fetch|(?:axios|api|client|http)\.(get|post|put|patch|delete))\s*(?:<[^>]*>)?\(\s*[`'"]([^`'"]+)[`'"]""", 1, 2)
-    url = F.regexp_replace(F.regexp_replace("g2", r"^https?://[^/]+", ""), r"^\$\{[^}]*\}", "")
-    url = F.concat(F.lit("/"), F.regexp_replace(F.substring_index(url, "?", 1), "^/+", ""))
-    verb = F.when(F.col("g1") == "", "GET").otherwise(F.upper("g1"))
-    kept = rows.withColumn("url", url).where(~F.col("url").rlike(r"\.(svg|png|jpe?g|css|ico|woff2?)$") & F.exists(F.split("url", "/"), lambda p: (p != "") & ~p.rlike(r"^\$\{.*\}$")))
-    return facts(kept, "ApiCall", F.concat(verb, F.lit(" "), "url"), None, 0.75)
+    """fetch with its method, axios and wrapped clients; CALLS from the component that the file is about."""
+    src = _sources(files, r"\.[tj]sx?$").select("path", "text", url_bases(F.col("text")).alias("bases"), owner_component(F.col("text")).alias("owner"))
+    keep = ("bases", "owner")
+    fetched = occurrences(src, r"\bfetch\s*\(\s*[`'\"]([^`'\"]+)[`'\"](?:\s*,\s*\{[^}]*?method\s*:\s*[`'\"](\w+)[`'\"])?", 2, 1, keep=keep)
+    clients = occurrences(src, r"(?i)\b(?:axios|\w*(?:api|client|http)\w*)\s*\.\s*(get|post|put|patch|delete|postFormData)\s*(?:<[^>]*>)?\s*\(\s*[`'\"]([^`'\"]+)[`'\"]", 1, 2, keep=keep)
+    verb = F.when(F.coalesce("g1", F.lit("")) == "", "GET").when(F.lower("g1") == "postformdata", "POST").otherwise(F.upper("g1"))
+    calls = union(fetched, clients).withColumn("url", resolve_url(F.col("g2"), F.col("bases"))).where("url is not null").withColumn("call", F.concat(verb, F.lit(" "), "url"))
+    return union(facts(calls, "ApiCall", F.col("call"), None, 0.75), facts(calls.where("owner is not null"), "CALLS", F.col("call"), F.col("owner"), 0.7))
 
 
 def react_contexts(files: DataFrame) -> DataFrame:
     rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"(?:const|let)\s+([A-Za-z0-9]+)\s*=\s*(createContext|createStore|configureStore|create)\s*[(<]", 1, 2)
-    return facts(rows, "Context", F.col("g1"), F.when(F.col("g2") == "createContext", "context").otherwise("store"), 0.8)
+    return facts(rows, "Context", F.col("g1"), properties(kind=F.when(F.col("g2") == "createContext", "context").otherwise("store")), 0.8)
+
+
+_TAG = r"<([A-Z][A-Za-z0-9]*)(?=[\s/>])"
 
 
 def react_routes(files: DataFrame) -> DataFrame:
-    jsx = occurrences(_sources(files, r"\.[tj]sx$"), r"""<Route\b[^>]*?\bpath=["{'`]+([^"'`}]+)["'`}]+[^>]*?element=\{\s*<([A-Z][A-Za-z0-9]*)""", 1, 2)
-    table = occurrences(_sources(files, r"\.[tj]sx?$"), r"""\{\s*path:\s*["']([^"']+)["'],\s*element:\s*<([A-Z][A-Za-z0-9]*)""", 1, 2)
-    return facts(jsx, "Route", F.col("g1"), F.col("g2"), 0.85).unionByName(facts(table, "Route", F.col("g1"), F.col("g2"), 0.75))
+    """Routes of route elements and of router tables, each with the text up to the next one: whether and for whom it is
+    guarded, and RENDERS to every component in it."""
+    jsx = _sources(files, r"\.[tj]sx?$").where(F.col("text").contains("react-router-dom"))
+    blocks = occurrences(jsx, r"(<Route\s+path\s*=\s*[\"']([^\"']*)[\"'](?:(?!<Route\b|</Routes>)[\s\S])*)", 2, 1).withColumn("weight", F.lit(0.85))
+    tables = _sources(files, r"\.[tj]sx?$").where(F.col("text").rlike(r"create(?:Browser|Hash)Router\s*\("))
+    rows = occurrences(tables, r"(\bpath\s*:\s*[\"']([^\"']*)[\"'](?:(?!\bpath\s*:\s*[\"']|\]\s*\)|\]\s*;)[\s\S])*)", 2, 1).withColumn("weight", F.lit(0.75))
+    found = union(blocks, rows).withColumn("route", F.when(F.col("g1") == "", "(index)").otherwise(F.col("g1")))
+    guarded = F.when(F.col("g2").rlike("ProtectedRoute|PrivateRoute"), "yes").otherwise("no")
+    listed = F.regexp_extract("g2", r"allowedRoles\s*=\s*\{\s*\[([^\]]*)\]", 1)
+    roles = F.array_join(F.array_distinct(F.regexp_extract_all(listed, F.lit(r"(?:ROLES\.)?(\w+)"), 1)), ", ")
+    rendered = found.select("path", "line", "route", F.explode(F.array_distinct(F.regexp_extract_all("g2", F.lit(_TAG), 1))).alias("child")).where("child <> 'Route'")
+    return union(facts(found, "Route", F.col("route"), properties(protected=guarded, roles=roles), F.col("weight")), facts(rendered, "RENDERS", F.col("child"), F.col("route"), 0.6))
 
 
 def react_renders(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx$"), r"<([A-Z][A-Za-z0-9]*)(?=[\s/>])", 1)
-    return facts(rows, "RENDERS", F.col("g1"), F.col("path"), 0.6).distinct()
+    """RENDERS: the component that a file is about and the components that its markup names."""
+    src = _sources(files, r"\.[tj]sx$").withColumn("owner", owner_component(F.col("text"))).where("owner is not null")
+    each = whole_files(src, F.col("owner"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TAG), 1))).alias("child")).where("child <> owner")
+    return facts(each, "RENDERS", F.col("child"), F.col("owner"), 0.6)
 
 
 def react_roles(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.tsx?$"), r"""(?:enum\s+[A-Za-z]*Roles?\b|const\s+ROLES\b[^=]*=)\s*\{([^}]*)\}""", 1)
-    return facts(rows.select("path", "line", F.explode(F.regexp_extract_all("g1", F.lit(r"""['"]([^'"]+)['"]"""), 1)).alias("r")), "Role", F.col("r"), None, 0.9)
+    """The roles of a ROLES constant or a role enumeration, by name with their value."""
+    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"(?:enum\s+[A-Za-z]*Roles?\b\s*|const\s+ROLES\b[^={]*=\s*)\{([^}]*)\}", 1)
+    entry = r"(\w+)\s*[:=]\s*[\"']([^\"']+)[\"']"
+    each = rows.select("path", "line", F.explode(F.arrays_zip(F.regexp_extract_all("g1", F.lit(entry), 1).alias("name"), F.regexp_extract_all("g1", F.lit(entry), 2).alias("value"))).alias("r"))
+    return facts(each, "Role", F.col("r.name"), properties(value=F.col("r.value")), 0.9)
 
 
 def react_role_gates(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx$"), r"""\b(?:allowedRoles|roles)=\{\s*\[([^\]]*)\]""", 1)
-    named = F.slice(F.regexp_extract_all("g1", F.lit(r"""(?:['"]|\bR(?:ole|OLES)\w*\.)([A-Za-z_]+)"""), 1), 1, 10)
-    return facts(rows.select("path", "line", F.explode(named).alias("r")), "GATES", F.col("r"), F.col("path"), 0.6)
+    """GATES: a file that checks roles and the first ten of those it names; files that define the checks are left out."""
+    name = stem(F.col("path"))
+    src = _sources(files, r"\.[tj]sx?$").where(F.col("text").rlike(r"\b(?:use\w*Role\w*|use\w*Permission\w*|hasAnyRole|hasRole|hasPermission)\s*\(") & ~name.rlike(r"^use[A-Z]|(?:Utils?|Helpers?|Service)$"))
+    named = F.regexp_extract_all("text", F.lit(r"(?:\bROLES\.|(?<=[\"'])(?=[A-Z][A-Z_]*\.[A-Z][A-Z_]*[\"']))(\w+(?:\.[A-Z_]+)?)"), 1)
+    return facts(whole_files(src, F.explode(F.slice(F.array_distinct(named), 1, 10)).alias("role"), name.alias("owner")), "GATES", F.col("owner"), F.col("role"), 0.6)
 
 
 def react_grids(files: DataFrame) -> DataFrame:
-    keys = occurrences(_sources(files, r"\.[tj]sx?$"), r"""accessorKey:\s*["']([^"']+)["']""", 1)
-    heads = occurrences(_sources(files, r"\.[tj]sx$"), r"<th\b[^>]*>\s*([^<>{}]+?)\s*</th>", 1)
-    return facts(keys, "DataGrid", F.col("g1"), F.lit("column"), 0.85).unionByName(facts(heads, "DataGrid", F.col("g1"), F.lit("heading"), 0.8))
+    """Grids and what they show: the column keys of a table library, or else the headings of each table."""
+    src = _sources(files, r"\.[tj]sx?$")
+    library = F.col("text").contains("useReactTable")
+    keys = F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(r"accessorKey\s*:\s*[`'\"](\w+)[`'\"]"), 1)), ", ")
+    grids = whole_files(src.where(library), stem(F.col("path")).alias("owner"), keys.alias("columns")).where("columns <> ''")
+    tables = occurrences(src.where(~library).withColumn("owner", stem(F.col("path"))), r"(?i)(<table\b[\s\S]*?</table\s*>)", 1, keep=("owner",))
+    heads = F.transform(F.regexp_extract_all("g1", F.lit(r"(?i)<th\b[^>]*>([\s\S]*?)</th\s*>"), 1), lambda h: F.trim(F.regexp_replace(F.regexp_replace(h, "<[^>]+>", ""), r"\s+", " ")))
+    shown = tables.withColumn("columns", F.array_join(F.array_distinct(F.filter(heads, lambda h: (h != "") & ~h.startswith("{"))), ", ")).where("columns <> ''")
+    nth = F.row_number().over(_by("path").orderBy("line"))
+    named = shown.withColumn("n", nth).withColumn("name", F.when(F.col("n") == 1, F.col("owner")).otherwise(F.concat("owner", F.lit(" (table "), "n", F.lit(")"))))
+    return union(facts(grids, "DataGrid", F.col("owner"), properties(columns=F.col("columns")), 0.85), facts(named, "DataGrid", F.col("name"), properties(columns=F.col("columns")), 0.8))
 
 
-_CHARTS = ("recharts", "chart.js", "react-chartjs-2", "d3", "echarts", "victory", "highcharts", "apexcharts", "@nivo")
+def _by(*keys: str):
+    from pyspark.sql import Window
+    return Window.partitionBy(*keys)
+
+
+#: The chart libraries by what is imported.
+CHARTS = (("recharts", "recharts"), ("react-chartjs-2", "Chart.js"), ("chart.js", "Chart.js"))
 
 
 def react_charts(files: DataFrame) -> DataFrame:
-    """Only files that import a charting library."""
-    lib = "|".join(re.escape(c) for c in _CHARTS)
-    rows = occurrences(_sources(files, r"\.[tj]sx?$"), rf"""from\s+["']((?:{lib})(?:/[^"']*)?)["']""", 1)
-    return facts(rows, "AnalyticsChart", F.element_at(F.split("path", "/"), -1), F.col("g1"), 0.8)
+    """Files that import a charting library, by the first that they name."""
+    library = F.coalesce(*[F.when(F.col("text").rlike(f"[\"']{re.escape(i)}[\"']"), F.lit(n)) for i, n in CHARTS])
+    rows = whole_files(_sources(files, r"\.[tj]sx?$"), stem(F.col("path")).alias("owner"), library.alias("library")).where("library is not null")
+    return facts(rows, "AnalyticsChart", F.col("owner"), properties(library=F.col("library")), 0.8)
+
+
+def target_field(text: Column, name: Column) -> Column:
+    """What a filter's state is compared with or sent as: a predicate's field either way round, a query string, a builder's key, an object's key."""
+    n = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    forms = (
+        (r"\.filter\s*\(\s*\w+\s*=>[\s\S]{0,120}?\.(\w+)\s*[!=]==?\s*", r"\b"), (r"\.filter\s*\(\s*\w+\s*=>[\s\S]{0,120}?", r"\s*[!=]==?\s*\w+\.(\w+)\b"),
+        (r"[?&]([\w-]+)=\$\{", r"\}"), (r"\.(?:append|set)\s*\(\s*['\"`]([\w-]+)['\"`]\s*,\s*", r"\b"), (r"(\w+)\s*:\s*", r"\s*[,}]"))
+    return F.coalesce(*[F.nullif(F.call_function("regexp_extract", text, F.concat(F.lit(a), n, F.lit(b)), F.lit(1)), F.lit("")) for a, b in forms])
 
 
 def react_filters(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx$"), r"const\s*\[\s*([A-Za-z0-9]*(?:[Ff]ilters?|[sS]elected[A-Za-z0-9]*|Tab|[sS]earch[A-Za-z0-9]*))\s*,\s*set[A-Z]\w*\s*\]\s*=\s*useState", 1)
-    shape = T.classify_shape(F.col("g1"))
-    fetches = F.col("text").rlike(r"\b(fetch|axios|useQuery)\b")
-    kept = rows.withColumn("shape", shape).where(F.col("shape").isNotNull() & ((F.col("shape") != "tab") | fetches))
-    return facts(kept, "Filter", F.col("g1"), F.col("shape"), F.when(F.col("shape") == "tab", 0.6).otherwise(0.75))
+    """Filter states with their shape and the field they narrow; tab and view states only where the file fetches."""
+    src = _sources(files, r"\.[tj]sx?$").withColumn("owner", stem(F.col("path")))
+    state = lambda names: r"const\s*\[\s*(" + names + r")\s*,\s*set\w+\s*\]\s*=\s*useState"
+    filters = first_by(occurrences(src, state(r"\w*[Ff]ilters?\w*"), 1, keep=("owner", "text")), ["path", "g1"], ["line"])
+    shaped = filters.withColumn("shape", T.classify_shape(F.col("g1"))).where("shape is not null")
+    tabs = first_by(occurrences(src.where(F.col("text").rlike(r"(?i)\b(?:fetch|axios|api\w*\.(?:get|post))\s*\(")), state(r"\w*(?:[Tt]ab|[Vv]iew)\w*"), 1, keep=("owner",)), ["path", "g1"], ["line"])
+    return union(
+        facts(shaped, "Filter", F.col("g1"), properties(component=F.col("owner"), kind=F.col("shape"), targetField=target_field(F.col("text"), F.col("g1"))), 0.75),
+        facts(tabs.where(~F.col("g1").rlike("[Ff]ilter")), "Filter", F.col("g1"), properties(component=F.col("owner"), kind=F.lit("view-tab")), 0.6))
 
 
 def react_imports_exports(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"\b((?:import|export|upload|download)(?:Csv|CSV|Excel|Xlsx|Pdf|File|Data)\w*)\b", 1)
-    polling = F.when(F.col("text").rlike("setInterval|refetchInterval"), "polling")
-    return facts(rows, "ImportExport", F.col("g1"), polling, F.when(F.col("g1").rlike("^(import|export)"), 0.8).otherwise(0.6)).distinct()
+    """Handlers that import, export, download or upload, whether the file polls a job, and file inputs without a handler."""
+    src = _sources(files, r"\.[tj]sx?$")
+    handler = r"(?:const|function)\s+(handle(Import|Export|Download|Upload)\w*)\b"
+    polls = F.when(F.col("text").rlike(r"(?i)\bsetInterval\s*\(|\bpoll\w*\s*\(|[\"'](?:Pending|Processing)[\"']"), "polls job status")
+    rows = occurrences(src.withColumn("polls", polls), handler, 1, 2, keep=("polls",))
+    inputs = whole_files(src.where(F.col("text").rlike(r"type\s*=\s*[\"']file[\"']") & ~F.col("text").rlike(handler)), stem(F.col("path")).alias("owner"))
+    return union(
+        facts(rows, "ImportExport", F.col("g1"), properties(kind=F.col("g2"), **{"async": F.col("polls")}), 0.8),
+        facts(inputs, "ImportExport", F.concat("owner", F.lit(" file upload")), properties(kind=F.lit("Upload")), 0.6))
 
 
 def react_form_fields(files: DataFrame) -> DataFrame:
-    named = occurrences(_sources(files, r"\.[tj]sx$"), r"""\bregister\(\s*["']([^"']+)["']""", 1)
-    schema = occurrences(_sources(files, r"\.[tj]sx?$"), r"\b([a-z][A-Za-z0-9]*):\s*(?:z|yup|Yup)\.(string|number|boolean|date|array)\b", 1, 2)
-    return facts(named, "FormField", F.col("g1"), None, 0.8).unionByName(facts(schema, "FormField", F.col("g1"), F.col("g2"), 0.65))
+    """Registered fields, messages that are assigned to a field's error, and, within functions that validate or submit, to any object's field."""
+    src = _sources(files, r"\.[tj]sx?$").withColumn("form", stem(F.col("path")))
+    named = first_by(occurrences(src, r"\bregister\s*\(\s*[`'\"](\w+)[`'\"]", 1, keep=("form",)), ["path", "g1"], ["line"])
+    errors = first_by(occurrences(src, r"(?:newErrors|errors)\.(\w+)\s*=\s*[`'\"]([^`'\"]+)[`'\"]", 1, 2, keep=("form",)), ["path", "g1"], ["line"])
+    inside = _python(src.select("path", "text"), _validated)
+    return union(
+        facts(named, "FormField", F.col("g1"), properties(form=F.col("form")), 0.8),
+        facts(errors, "FormField", F.col("g1"), properties(form=F.col("form"), validation=F.col("g2")), 0.8), inside)
 
 
 def balanced(text: str, at: int, opening: str, closing: str) -> int:
@@ -163,16 +307,35 @@ def _python(files: DataFrame, rule) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, SCHEMA)
 
 
-_DEFAULTS = re.compile(r"\b(?:defaultRoutes?|homeByRole|roleHome)\w*\b[^={]*=\s*\{")
-_PAIR = re.compile(r"""(?:\[\s*[A-Za-z_.]*?\.?([A-Za-z_]+)\s*\]|["']?([A-Za-z_]+)["']?)\s*:\s*["'](/[^"']*)["']""")
+_BODY = r"\s*[:=]?\s*(?:\([^)]*\)|\w+)?\s*(?:=>)?\s*\{"
+_CHECKS = re.compile(r"\b(?:function\s+)?(?:validate|handlesubmit|checkform|onsubmit)\w*" + _BODY, re.I)
+_MESSAGE = re.compile(r"""\b\w+\.(\w+)\s*=\s*[`'"]([^`'"]+)[`'"]""")
+_DEFAULTS = re.compile(r"\b(?:function\s+)?(?:get\w*default\w*route\w*|default\w*route\w*for\w*)" + _BODY, re.I)
+_CASE = re.compile(r"""case\s+(?:ROLES\.)?(\w+)\s*:[\s\S]{0,120}?return\s+[`'"]([^`'"]+)[`'"]""")
+
+
+def _within(text: str, opened: re.Pattern, wanted: re.Pattern):
+    """(line, match) of the first match of each first group in every body that ``opened`` opens."""
+    for m in opened.finditer(text):
+        end = balanced(text, m.end() - 1, "{", "}")
+        seen = set()
+        for p in wanted.finditer(text, m.end(), max(end, m.end())):
+            if p[1] not in seen:
+                seen.add(p[1])
+                yield text.count("\n", 0, p.start()) + 1, p
+
+
+def _validated(path: str, text: str):
+    form = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
+    for line, p in _within(text, _CHECKS, _MESSAGE):
+        yield line, "FormField", p[1], f"form={form}; validation={p[2]}", 0.65
 
 
 def react_default_routes(files: DataFrame) -> DataFrame:
+    """ROUTES_TO: where a function of default routes sends each role."""
     def rule(path, text):
-        for m in _DEFAULTS.finditer(text):
-            end = balanced(text, m.end() - 1, "{", "}")
-            for p in _PAIR.finditer(text, m.end(), max(end, m.end())):
-                yield text.count("\n", 0, p.start()) + 1, "ROUTES_TO", p[1] or p[2], p[3], 0.65
+        for line, p in _within(text, _DEFAULTS, _CASE):
+            yield line, "ROUTES_TO", p[2], p[1], 0.65
     return _python(_sources(files, r"\.[tj]sx?$"), rule)
 
 
@@ -181,7 +344,7 @@ def react_default_routes(files: DataFrame) -> DataFrame:
 
 def angular_components(files: DataFrame) -> DataFrame:
     rows = occurrences(_sources(files, r"\.ts$"), r"""@Component\(\{[^}]*?selector:\s*["']([^"']+)["'][\s\S]*?export\s+class\s+([A-Za-z0-9]+)""", 1, 2)
-    return facts(rows, "UIComponent", F.col("g2"), F.col("g1"), 0.9)
+    return facts(rows, "UIComponent", F.col("g2"), properties(selector=F.col("g1")), 0.9)
 
 
 def angular_services(files: DataFrame) -> DataFrame:
@@ -192,39 +355,48 @@ def angular_services(files: DataFrame) -> DataFrame:
 def angular_guards(files: DataFrame) -> DataFrame:
     rows = occurrences(_sources(files, r"\.ts$"), r"export\s+(?:class|const)\s+([A-Za-z0-9]+)[^\n{]*?\b(CanActivate|CanActivateFn|CanMatchFn|Resolve|ResolveFn|HttpInterceptor|HttpInterceptorFn)\b", 1, 2)
     kind = F.when(F.col("g2").startswith("Can"), "Guard").when(F.col("g2").startswith("Resolve"), "Resolver").otherwise("Interceptor")
-    return facts(rows, kind, F.col("g1"), F.col("g2"), 0.85)
+    return facts(rows, kind, F.col("g1"), properties(contract=F.col("g2")), 0.85)
 
 
 _PRIMITIVES = ("string", "number", "boolean", "any", "unknown", "void", "object", "Date", "never", "symbol")
 
 
 def angular_dependencies(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.ts$"), r"constructor\(([^)]*)\)", 1)
-    types = F.regexp_extract_all("g1", F.lit(r":\s*([A-Za-z][A-Za-z0-9]*)"), 1)
-    each = rows.select("path", "line", F.explode(types).alias("t")).where(~F.col("t").isin(*_PRIMITIVES))
-    return facts(each, "DEPENDS_ON", F.col("t"), F.col("path"), 0.8)
+    """DEPENDS_ON: a class and the types that its constructor is given, primitive ones left out."""
+    src = _sources(files, r"\.ts$").withColumn("owner", F.nullif(F.regexp_extract("text", r"export\s+class\s+(\w+)", 1), F.lit(""))).where("owner is not null")
+    rows = occurrences(src, r"constructor\(([^)]*)\)", 1, keep=("owner",))
+    each = rows.select("path", "line", "owner", F.explode(F.array_distinct(F.regexp_extract_all("g1", F.lit(r":\s*([A-Za-z][A-Za-z0-9]*)"), 1))).alias("t")).where(~F.col("t").isin(*_PRIMITIVES))
+    return facts(each, "DEPENDS_ON", F.col("t"), F.col("owner"), 0.8)
 
 
 def angular_form_fields(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.ts$"), r"\b([a-z][A-Za-z0-9]*):\s*(?:new\s+FormControl\(|\[\s*[^\]]*Validators|this\.fb\.control\()", 1)
-    return facts(rows, "FormField", F.col("g1"), F.when(F.col("text").rlike(r"Validators\.required"), "validated"), 0.8)
+    """Form controls with the validators of their own declaration, up to the next control."""
+    rows = occurrences(_sources(files, r"\.ts$"), r"\b([a-z][A-Za-z0-9]*):\s*((?:new\s+FormControl\(|\[\s*(?=[^\]]*Validators)|this\.fb\.control\()(?:(?!\b[a-z][A-Za-z0-9]*:\s*(?:new\s+FormControl|\[|this\.fb))[^;}])*)", 1, 2)
+    checks = F.array_join(F.array_distinct(F.regexp_extract_all("g2", F.lit(r"Validators\.(\w+)"), 1)), ", ")
+    return facts(rows, "FormField", F.col("g1"), properties(validation=checks), 0.8)
 
 
 def angular_filters(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.ts$"), r"(?m)^\s*(?:public\s+|private\s+)?((?!constructor)[a-z][A-Za-z0-9]*(?:Filters?|Tab)|selected[A-Z]\w*)\s*(?::[^=;\n]+)?=", 1)
-    shaped = rows.withColumn("shape", T.classify_shape(F.col("g1"))).where("shape is not null")
-    return facts(shaped, "Filter", F.col("g1"), F.col("shape"), 0.75)
+    """Filter fields of components, with their shape and the field they narrow; what only opens and closes is none."""
+    src = _sources(files, r"\.ts$").where(F.col("text").contains("@Component")).withColumn("owner", F.regexp_extract("text", r"export\s+class\s+(\w+)", 1))
+    rows = occurrences(src, r"(?m)^\s*(?:public\s+|private\s+|protected\s+)?((?!constructor)(?:[a-z]\w*(?:Filters?|Tab)|selected[A-Z]\w*))\s*(?::[^=;\n]+)?=", 1, keep=("owner", "text"))
+    shaped = first_by(rows, ["path", "g1"], ["line"]).withColumn("shape", T.classify_shape(F.col("g1"))).where("shape is not null")
+    return facts(shaped, "Filter", F.col("g1"), properties(component=F.col("owner"), kind=F.col("shape"), targetField=target_field(F.regexp_replace("text", r"\bthis\.", ""), F.col("g1"))), 0.75)
 
 
 def angular_http(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.ts$"), r"""\bhttp\.(get|post|put|patch|delete)\s*(?:<[^(]*>)?\(\s*[`'"]([^`'"]+)[`'"]""", 1, 2)
-    url = F.regexp_replace(F.regexp_replace("g2", r"^https?://[^/]+", ""), r"^\$\{[^}]*\}", "")
-    return facts(rows.withColumn("url", url).where(F.contains("url", F.lit("/api"))), "ApiCall", F.concat(F.upper("g1"), F.lit(" "), F.regexp_extract("url", r"(/api.*)$", 1)), None, 0.8)
+    """Client calls below /api: fields of the class put in, alone or within a template, hosts dropped; CALLS from the class."""
+    src = _sources(files, r"\.ts$").select("path", "text", F.nullif(F.regexp_extract("text", r"export\s+class\s+(\w+)", 1), F.lit("")).alias("owner"), url_bases(F.col("text"), r"\b(\w+)\s*(?::\s*string\s*)?=\s*[`'\"]([^`'\"]+)[`'\"]").alias("bases"))
+    rows = occurrences(src, r"\bhttp\.(get|post|put|patch|delete)\s*(?:<[^(]*>)?\(\s*(?:[`'\"]([^`'\"]+)[`'\"]|this\.(\w+))", 1, 2, 3, keep=("owner", "bases"))
+    given = F.when(F.coalesce("g3", F.lit("")) != "", F.concat(F.lit("${"), "g3", F.lit("}"))).otherwise(F.replace(F.col("g2"), F.lit("${this."), F.lit("${")))
+    url = F.aggregate(F.reverse("bases"), given, lambda t, b: F.replace(t, F.concat(F.lit("${"), b["name"], F.lit("}")), b["value"]))
+    kept = rows.withColumn("url", F.regexp_replace(url, r"^https?://[^/]+", "")).where(F.contains("url", F.lit("/api"))).withColumn("call", F.concat(F.upper("g1"), F.lit(" "), F.regexp_extract("url", r"(/api.*)$", 1)))
+    return union(facts(kept, "ApiCall", F.col("call"), None, 0.8), facts(kept.where("owner is not null"), "CALLS", F.col("call"), F.col("owner"), 0.7))
 
 
 def angular_template_tags(files: DataFrame) -> DataFrame:
     """RENDERS: a component's template file names other components' selectors; paths meet whatever their case."""
-    c = angular_components(files).select(F.col("path").alias("owner_path"), F.col("name").alias("owner"), F.col("detail").alias("selector"))
+    c = angular_components(files).select(F.col("path").alias("owner_path"), F.col("name").alias("owner"), F.regexp_replace("detail", "^selector=", "").alias("selector"))
     urls = occurrences(_sources(files, r"\.ts$"), r"""templateUrl:\s*["']\./([^"']+)["']""", 1).select(F.col("path").alias("owner_path"), F.lower(F.concat(F.regexp_replace("path", "[^/]*$", ""), "g1")).alias("template"))
     tags = occurrences(_sources(files, r"\.html$"), r"<([a-z][a-z0-9]*-[a-z0-9-]+)", 1).select(F.lower("path").alias("template"), "line", F.col("g1").alias("selector"))
     met = c.select("owner_path", "owner").join(urls, "owner_path").join(tags, "template").join(c.select("selector", F.col("owner").alias("child")), "selector").where("child <> owner")
@@ -233,7 +405,7 @@ def angular_template_tags(files: DataFrame) -> DataFrame:
 
 def angular_routes(files: DataFrame) -> DataFrame:
     """Routes with their children's paths joined; a wrapper without component of its own only groups."""
-    start, path_of, part = re.compile(r":\s*Routes\s*=\s*\["), re.compile(r"""\bpath:\s*["']([^"']*)["']"""), re.compile(r"\b(?:component:\s*([A-Za-z0-9]+)|loadComponent|loadChildren|redirectTo)")
+    start, path_of, part = re.compile(r":\s*Routes\s*=\s*\["), re.compile(r"""\bpath:\s*["']([^"']*)["']"""), re.compile(r"""\b(?:component:\s*([A-Za-z0-9]+)|(?:loadComponent|loadChildren):[^}]*?\.then\(\s*\(?\w+\)?\s*=>\s*\w+\.(\w+)|loadComponent|loadChildren|redirectTo:\s*["']([^"']*)["'])""")
 
     def read(text, at, end, prefix):
         i = at
@@ -247,7 +419,8 @@ def angular_routes(files: DataFrame) -> DataFrame:
             route = "/".join(x for x in (prefix, p[1] if p else "") if x)
             c = part.search(own)
             if c:
-                yield text.count("\n", 0, i) + 1, "Route", "/" + route, c[1], 0.85
+                target = f"component={c[1]}" if c[1] else f"loads={c[2]}" if c[2] else f"redirectTo={c[3]}" if c[3] is not None else None
+                yield text.count("\n", 0, i) + 1, "Route", "/" + route, target, 0.85
             if kids > 0 and (opened := text.find("[", kids, stop)) > 0:
                 yield from read(text, opened + 1, balanced(text, opened, "[", "]") - 1, route)
             i = stop
@@ -265,7 +438,7 @@ def angular_routes(files: DataFrame) -> DataFrame:
 
 def next_routes(files: DataFrame) -> DataFrame:
     kinds = files.withColumn("kind_", F.regexp_extract("path", r"(?:^|/)app/(?:.*/)?(page|layout|loading|error)\.[tj]sx?$", 1)).where("kind_ <> ''")
-    return facts(kinds.withColumn("line", F.lit(1)), "Route", T.next_route(F.col("path")), F.col("kind_"), 0.9)
+    return facts(kinds.withColumn("line", F.lit(1)), "Route", T.next_route(F.col("path")), properties(kind=F.col("kind_")), 0.9)
 
 
 _PROVIDERS = (("msal", r"@azure/msal"), ("auth0", r"@auth0/|auth0-"), ("firebase", r"firebase/auth"), ("okta", r"@okta/"), ("keycloak", r"keycloak-js"), ("next-auth", r"next-auth"), ("cognito", r"amazon-cognito|aws-amplify"))
@@ -277,31 +450,20 @@ def frontend_auth(files: DataFrame) -> DataFrame:
     imports = occurrences(src, r"""from\s+["']([^"']+)["']""", 1)
     rules = files.sparkSession.createDataFrame(_PROVIDERS, "provider string, pattern string")
     hits = imports.join(F.broadcast(rules), F.rlike(F.col("g1"), F.col("pattern"))).groupBy("provider").agg(F.min(F.struct("path", "line", "g1")).alias("f"))
-    out = hits.select("f.path", "f.line", F.lit("AuthProvider").alias("kind"), F.col("provider").alias("name"), F.col("f.g1").alias("detail"), F.lit(0.85).alias("confidence"))
+    out = hits.select("f.path", "f.line", F.lit("AuthProvider").alias("kind"), F.col("provider").alias("name"), F.concat(F.lit("import="), "f.g1").alias("detail"), F.lit(0.85).alias("confidence"))
     stored = occurrences(src, r"""\b(?:local|session)Storage\.(set|get|remove)Item\(\s*["']([^"']*[tT]oken[^"']*)["']""", 1, 2)
     ops = stored.groupBy("g2").agg(F.min(F.struct("path", "line")).alias("f"), F.bool_or(F.col("g1") == "set").alias("s"), F.bool_or(F.col("g1") == "get").alias("g"))
     how = F.when(F.col("s") & F.col("g"), "get+set").when(F.col("s"), "set").when(F.col("g"), "get").otherwise("remove")
-    out = out.unionByName(ops.select("f.path", "f.line", F.lit("TokenStorage").alias("kind"), F.col("g2").alias("name"), how.alias("detail"), F.lit(0.75).alias("confidence")))
+    out = out.unionByName(ops.select("f.path", "f.line", F.lit("TokenStorage").alias("kind"), F.col("g2").alias("name"), F.concat(F.lit("operation="), how).alias("detail"), F.lit(0.75).alias("confidence")))
     bearer = occurrences(src, r"(Bearer \$\{|setHeaders:\s*\{\s*Authorization)", 1)
-    return out.unionByName(facts(bearer, "TokenAttachment", F.lit("Authorization"), None, 0.75))
-
-
-def packages(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Projects, their package and project references, from project files."""
-    proj = _sources(files, r"\.csproj$")
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.csproj$", "")
-    kind = F.when(F.col("text").rlike("Microsoft.NET.Test.Sdk|xunit"), "test").when(F.col("text").rlike(r"Sdk\.Web"), "web").when(F.col("text").rlike(r"<OutputType>\s*Exe"), "executable").otherwise("library")
-    out = facts(proj.withColumn("line", F.lit(1)), "Project", name, kind, 1.0)
-    refs = occurrences(proj, r'<PackageReference\s+Include="([^"]+)"', 1)
-    out = out.unionByName(facts(refs, "Technology", F.col("g1"), F.lit("package"), 1.0))
-    links = occurrences(proj, r'<ProjectReference\s+Include="(?:[^"]*[\\/])?([^"\\/]+)\.csproj"', 1)
-    return out.unionByName(facts(links, "REFERENCES", F.col("g1"), F.col("path"), 1.0))
+    settings = first_by(occurrences(src, r"\b(?:process\.env\.|import\.meta\.env\.)(\w*(?:CLIENT_ID|TENANT|AUTHORITY|AUDIENCE|ISSUER|DOMAIN)\w*)", 1), ["g1"], ["path", "line"])
+    return union(out, facts(bearer, "TokenAttachment", F.lit("Authorization"), None, 0.75), facts(settings, "Configuration", F.col("g1"), properties(source=F.lit("environment")), 0.85))
 
 
 def configuration(files: DataFrame) -> DataFrame:
     """Connection strings' names in settings files with comments; unreadable files give nothing."""
     parsed = _sources(files, r"appsettings[^/]*\.json$").select("path", F.from_json(F.regexp_replace("text", r",(\s*[}\]])", "$1"), "ConnectionStrings map<string,string>", {"allowComments": "true"}).alias("j"))
-    return parsed.select("path", F.explode(F.map_keys("j.ConnectionStrings")).alias("name")).select("path", F.lit(1).alias("line"), F.lit("DataStore").alias("kind"), "name", F.lit("connection string").alias("detail"), F.lit(1.0).alias("confidence"))
+    return parsed.select("path", F.explode(F.map_keys("j.ConnectionStrings")).alias("name")).select("path", F.lit(1).alias("line"), F.lit("DataStore").alias("kind"), "name", F.lit("kind=connection string").alias("detail"), F.lit(1.0).alias("confidence"))
 
 
 def vulnerable_packages(reports: DataFrame) -> DataFrame:
@@ -333,58 +495,7 @@ def secrets(rows: DataFrame, key: str) -> DataFrame:
     return out
 
 
-# ---- C#, lexically ---------------------------------------------------------------------------
-
-
-def csharp_types(files: DataFrame) -> DataFrame:
-    """Controllers, services, repositories, handlers, validators and entities by their declarations (lexical)."""
-    rows = occurrences(_sources(files, r"\.cs$"), r"(?m)^\s*(?:\[[^\]]*\]\s*)*(?:public|internal)\s+(?:sealed\s+|abstract\s+|partial\s+|static\s+)*(class|interface|record)\s+([A-Za-z0-9_]+)\s*(?:\([^)]*\))?\s*(?::\s*([^\n{;]+))?", 1, 2, 3)
-    n, base = F.col("g2"), F.coalesce("g3", F.lit(""))
-    kind = (F.when(F.col("g1") == "interface", "Interface").when(n.endswith("Controller") | base.rlike(r"\bController(Base)?\b"), "Controller").when(base.rlike("DbContext"), "DataStore")
-            .when(base.rlike("AbstractValidator<"), "Validator").when(base.rlike("I(Request|Command|Query|Notification)Handler<"), "Handler").when(base.rlike(r"\bINotification\b"), "Event")
-            .when(base.rlike(r"\bI(Request|Command|Query)\b") & n.endswith("Query"), "Query").when(base.rlike(r"\bI(Request|Command)\b"), "Command").when(base.rlike("IConsumer<"), "Consumer")
-            .when(base.rlike("BackgroundService|IHostedService"), "BackgroundJob").when(base.rlike("ActionFilter|ExceptionFilter|AuthorizationFilter"), "Filter").when(base.rlike(r"\bMigration\b"), "Migration")
-            .when(n.endswith("Service"), "Service").when(n.endswith("Repository"), "Repository").when(n.endswith("Middleware"), "Middleware"))
-    return facts(rows.withColumn("k", kind).where("k is not null"), F.col("k"), n, F.nullif(F.trim(base), F.lit("")), 0.6)
-
-
-def csharp_endpoints(files: DataFrame) -> DataFrame:
-    """Attribute routes of controllers and mapped minimal endpoints (lexical)."""
-    src = _sources(files, r"\.cs$")
-    attr = occurrences(src, r'\[Http(Get|Post|Put|Delete|Patch)(?:\("([^"]*)"[^)]*\))?\][\s\S]{0,400}?\s([A-Za-z0-9_]+)\s*\(', 1, 2, 3)
-    controller = F.regexp_extract("text", r"class\s+([A-Za-z0-9_]+Controller)\b", 1)
-    template = F.nullif(F.regexp_extract("text", r'\[Route\("([^"]*)"\)\]', 1), F.lit(""))
-    route = T.strip_constraints(T.resolve_route(controller, template, F.nullif(F.col("g2"), F.lit("")), F.col("g3")))
-    mapped = occurrences(src, r'\.Map(Get|Post|Put|Delete|Patch)\(\s*"([^"]*)"', 1, 2)
-    group = F.regexp_extract("text", r'MapGroup\(\s*"([^"]*)"', 1)
-    minimal = T.strip_constraints(F.concat(F.lit("/"), T.combine_routes(group, F.col("g2"))))
-    return facts(attr, "Endpoint", F.concat(F.upper("g1"), F.lit(" "), route), F.col("g3"), 0.6).unionByName(facts(mapped, "Endpoint", F.concat(F.upper("g1"), F.lit(" "), minimal), None, 0.6))
-
-
-def csharp_calls(files: DataFrame) -> DataFrame:
-    """Registrations, dispatches, published messages, outbound calls, audits, thrown rules and functions (lexical)."""
-    src = _sources(files, r"\.cs$")
-    rules = (
-        ("Registration", r"\.Add(Scoped|Transient|Singleton)<\s*([A-Za-z0-9_.]+)", 2, 1), ("DISPATCHES", r"\.(Send|Publish)(?:Async)?\(\s*new\s+([A-Za-z0-9_]+)", 2, 1),
-        ("OutboundCall", r"\b\w*[cC]lient\.(Get|Post|Put|Delete|Patch)\w*Async\(\s*\$?\"([^\"]+)\"", 2, 1), ("AuditLog", r"\b(\w*[aA]udit\w*)\.Log\w*\(\s*\"([^\"]+)\"", 2, 1),
-        ("BusinessRule", r"throw\s+new\s+([A-Za-z0-9_]+)\(\s*\$?\"([^\"]+)\"", 2, 1), ("AzureFunction", r"\[Function\(\"?([^\")]+)\"?\)\][\s\S]{0,300}?\[(\w+)Trigger", 1, 2),
-        ("AuthorizationPolicy", r"\.AddPolicy\(\s*\"([^\"]+)\"()", 1, 2), ("Configuration", r"\b[cC]onfiguration\[\s*\"([^\"]+)\"()", 1, 2), ("VALIDATES", r"RuleFor\(\s*\w+\s*=>\s*\w+\.([A-Za-z0-9_]+)()", 1, 2))
-    out = None
-    for kind, pattern, name, detail in rules:
-        rows = occurrences(src, pattern, name, detail)
-        one = facts(rows, kind, F.col("g1"), F.nullif(F.col("g2"), F.lit("")), 0.5)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def status_workflows(files: DataFrame) -> DataFrame:
-    """(path, values): files that compare or assign at least two different status literals, at most ten listed."""
-    rows = occurrences(_sources(files, r"\.cs$"), r'\b[sS]tatus\s*(?:==|=|!=)\s*"([A-Za-z]+)"', 1)
-    g = rows.groupBy("path", F.upper("g1").alias("u")).agg(F.min("g1").alias("v")).groupBy("path").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    return g.where(F.size("vs") >= 2).select("path", F.array_join(F.slice("vs", 1, 10), ", ").alias("values"))
-
-
 EXTRACTORS = {f.__name__: f for f in (
     react_components, react_hooks, react_hook_uses, react_api_calls, react_contexts, react_routes, react_renders, react_roles, react_role_gates, react_grids, react_charts, react_filters,
     react_imports_exports, react_form_fields, react_default_routes, angular_components, angular_services, angular_guards, angular_dependencies, angular_form_fields, angular_filters, angular_http,
-    angular_template_tags, angular_routes, next_routes, frontend_auth, packages, configuration, csharp_types, csharp_endpoints, csharp_calls)}
+    angular_template_tags, angular_routes, next_routes, frontend_auth, configuration)}

@@ -47,13 +47,22 @@ def cross_repository(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     return hit.where("repo <> server_repo").select(F.col("repo").alias("caller_repo"), "server_repo").distinct()
 
 
+def _piece(column: str, size: int):
+    return lambda at: F.substring(F.col(column), at, F.lit(size))
+
+
 def capability(names: DataFrame, rules: DataFrame) -> DataFrame:
     """(name, category): the first rule (rule, fragment, category) whose fragment the name contains, whatever its case.
 
-    The rules are a short literal table and are broadcast as such; names meet it once each.
+    A fragment is sought by its first three characters, or all if it has fewer: names are joined by
+    equality with those, and only what meets is compared in full, however many rules there are.
     """
-    each = names.select("name").distinct()
-    met = each.join(F.broadcast(rules.limit(10_000)), F.contains(F.upper("name"), F.upper("fragment")))
+    each = names.select("name").where("name is not null").distinct().withColumn("upper_", F.upper("name"))
+    size = F.length("upper_")
+    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), _piece("upper_", n)) for n in (1, 2, 3)]
+    keyed = each.select("name", "upper_", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *pieces))).alias("key_"))
+    sought = rules.withColumn("fragment_", F.upper("fragment")).withColumn("key_", F.substring("fragment_", 1, 3))
+    met = keyed.join(sought, "key_").where(F.contains("upper_", "fragment_"))
     return met.groupBy("name").agg(F.min_by("category", "rule").alias("category"))
 
 
@@ -69,3 +78,33 @@ def closest_ancestor(files: DataFrame, projects: DataFrame) -> DataFrame:
 def top_per_group(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def closest_solution(projects: DataFrame, solutions: DataFrame, most: int = 5) -> DataFrame:
+    """(path, solution): the solution file nearest above each project, at most ``most`` levels up; of one level a .sln before a .slnx."""
+    parts = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    up = projects.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(most - 1))), lambda n: F.struct(n.alias("up"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - n), "/").alias("dir")))).alias("u")).select("path", "u.up", "u.dir")
+    homes = solutions.select(F.col("path").alias("solution"), F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
+    found = up.join(homes, "dir").groupBy("path").agg(F.min(F.struct("up", F.col("solution").endswith(".slnx").alias("x"), "solution"))["solution"].alias("solution"))
+    return projects.select("path").join(found, "path", "left")
+
+
+def landing(applications: DataFrame) -> DataFrame:
+    """The applications that are no other's children."""
+    children = applications.select(F.explode("children").alias("name"))
+    return applications.join(children, "name", "left_anti")
+
+
+def zipped(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """(key columns, at, left, right): two arrays by place, as far as the shorter goes."""
+    n = F.least(F.size(left), F.size(right))
+    both = F.arrays_zip(F.slice(left, F.lit(1), n).alias("l"), F.slice(right, F.lit(1), n).alias("r"))
+    rest = [c for c in rows.columns if c not in (left, right)]
+    return rows.select(*rest, F.posexplode(both).alias("at", "z")).select(*rest, "at", F.col("z.l").alias(left), F.col("z.r").alias(right))
+
+
+def tokens_of(locations: DataFrame, credentials: DataFrame) -> DataFrame:
+    """(location, token): the token of a location's host, null for unknown hosts and what is no address."""
+    host = F.lower(F.nullif(F.regexp_extract("location", r"^(?:[a-z][a-z0-9+.-]*)://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
+    met = locations.withColumn("host", host).join(credentials.select(F.lower("host").alias("host"), "token"), "host", "left")
+    return met.select("location", "token")

@@ -1,10 +1,12 @@
-"""Extractors over pages, documents and short literal sources."""
+"""Extractors over pages, documents and a generated source tree."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestar.operators import dotnet as D
 from lodestar.operators import extract as X
+from lodestar.plans import sources
 from lodestar.plans.starmap import Star
 from lodestar.queries.registry import query
 
@@ -37,123 +39,159 @@ def secret_scan(spark, sf_dir):
     return X.secrets(Star(spark, sf_dir).table("documents").select("doc_id", "text"), "doc_id")
 
 
-REACT = [
-    ("src/App.tsx", """import { LineChart } from "recharts";
-import { useAuth } from "./auth";
-export const UserContext = createContext(null);
-export enum UserRole { Admin = "admin", Viewer = "viewer" }
-const defaultRoutes: Record<string, string> = { admin: "/users", viewer: "/home" };
-export function App() {
-  const [activeTab, setActiveTab] = useState("a");
-  const [selectedIds, setSelectedIds] = useState([]);
-  const user = useAuth();
-  fetch("/api/items?x=1");
-  api.post(`${BASE}/api/items/${id}`);
-  fetch("/logo.svg");
-  return <Guard allowedRoles={["admin"]}><Route path="/users" element={<Users />} /><th>Name</th><LineChart /></Guard>;
+_APP, _USERS, _AUTH, _ROUTES, _ROUTER, _GRID, _PAGE = (p for p, _ in sources.REACT)
+_LIST, _ROW, _HTML, _SERVICE, _NG = (p for p, _ in sources.ANGULAR)
+_PROJ, _SETTINGS, _PROG, _CTL, _DATA, _MSG = (p for p, _ in sources.DOTNET)
+_EF = "approach=EF Core"
+#: What each extractor finds in a product, read off its sources by hand: (path, line, kind, name, detail, confidence).
+EXPECTED: dict[str, list[tuple]] = {
+    "react_components": [
+        (_APP, 6, "UIComponent", "App__K__", "kind=component; rendering=client; props=title, items; hooks=useState, useAuth__K__; displayName=All items; emptyStateLabel=No items yet", 0.85),
+        (_USERS, 2, "UIComponent", "Users__K__", "kind=component; rendering=server; props=id", 0.85), (_PAGE, 1, "UIComponent", "Page__K__", "kind=page; rendering=server", 0.85)],
+    "react_hooks": [(_AUTH, 2, "Hook", "useAuth__K__", None, 0.85)],
+    "react_hook_uses": [(_APP, 11, "USES", "useAuth__K__", "App__K__", 0.7)],
+    "react_api_calls": [x for n, c in ((13, "GET /api/v__K__/items"), (14, "POST /api/orders"), (15, "PUT /api/items/7")) for x in ((_APP, n, "ApiCall", c, None, 0.75), (_APP, n, "CALLS", c, "App__K__", 0.7))],
+    "react_contexts": [(_APP, 5, "Context", "User__K__Context", "kind=context", 0.8)],
+    "react_routes": [
+        (_ROUTES, 2, "Route", "/users/__K__", "protected=yes; roles=ADMIN, OWNER", 0.85), (_ROUTES, 3, "Route", "(index)", "protected=no", 0.85), (_ROUTER, 2, "Route", "/a__K__", "protected=yes", 0.75), (_ROUTER, 3, "Route", "/b", "protected=no", 0.75),
+        (_ROUTES, 2, "RENDERS", "ProtectedRoute", "/users/__K__", 0.6), (_ROUTES, 2, "RENDERS", "Users__K__", "/users/__K__", 0.6), (_ROUTES, 3, "RENDERS", "Home", "(index)", 0.6),
+        (_ROUTER, 2, "RENDERS", "PrivateRoute", "/a__K__", 0.6), (_ROUTER, 2, "RENDERS", "Page__K__", "/a__K__", 0.6), (_ROUTER, 3, "RENDERS", "B", "/b", 0.6)],
+    "react_renders": [(_APP, 0, "RENDERS", x, "App__K__", 0.6) for x in ("Empty__K__", "LineChart", "Users__K__")] + [(_PAGE, 0, "RENDERS", "Users__K__", "Page__K__", 0.6)],
+    "react_roles": [(_AUTH, 3, "Role", "ADMIN", "value=admin__K__", 0.9), (_AUTH, 3, "Role", "VIEWER", "value=viewer", 0.9)],
+    "react_role_gates": [(_USERS, 0, "GATES", "Users__K__", "ADMIN", 0.6), (_USERS, 0, "GATES", "Users__K__", "SHOP.EDIT", 0.6)],
+    "react_grids": [(_GRID, 0, "DataGrid", "Grid__K__", "columns=id, name", 0.85), (_USERS, 5, "DataGrid", "Users__K__", "columns=Name, Due date", 0.8)],
+    "react_charts": [(_APP, 0, "AnalyticsChart", "App__K__", "library=recharts", 0.8)],
+    "react_filters": [
+        (_APP, 7, "Filter", "statusFilter", "component=App__K__; kind=single-value; targetField=state", 0.75), (_APP, 8, "Filter", "selectedFilters", "component=App__K__; kind=multi-select", 0.75),
+        (_APP, 10, "Filter", "activeTab", "component=App__K__; kind=view-tab", 0.6)],
+    "react_imports_exports": [(_USERS, 4, "ImportExport", "handleExportCsv", "kind=Export; async=polls job status", 0.8), (_GRID, 0, "ImportExport", "Grid__K__ file upload", "kind=Upload", 0.6)],
+    "react_form_fields": [(_USERS, 5, "FormField", "email", "form=Users__K__", 0.8), (_USERS, 3, "FormField", "name", "form=Users__K__; validation=Name is required", 0.8), (_USERS, 8, "FormField", "city", "form=Users__K__; validation=City is required", 0.65)],
+    "react_default_routes": [(_AUTH, 6, "ROUTES_TO", "/users/__K__", "ADMIN", 0.65), (_AUTH, 7, "ROUTES_TO", "/home", "VIEWER", 0.65)],
+    "angular_components": [(_LIST, 1, "UIComponent", "List__K__Component", "selector=app-list", 0.9), (_ROW, 1, "UIComponent", "Row__K__Component", "selector=app-row__K__", 0.9)],
+    "angular_services": [(_SERVICE, 1, "UIService", "List__K__Service", None, 0.9)],
+    "angular_guards": [(_SERVICE, 3, "Guard", "Auth__K__Guard", "contract=CanActivate", 0.85), (_SERVICE, 4, "Resolver", "load", "contract=ResolveFn", 0.85)],
+    "angular_dependencies": [(_LIST, 7, "DEPENDS_ON", "HttpClient", "List__K__Component", 0.8), (_LIST, 7, "DEPENDS_ON", "List__K__Service", "List__K__Component", 0.8)],
+    "angular_form_fields": [(_LIST, 6, "FormField", "name", "validation=required, email", 0.8), (_LIST, 6, "FormField", "note", None, 0.8)],
+    "angular_filters": [(_LIST, 4, "Filter", "statusFilter", "component=List__K__Component; kind=single-value; targetField=status", 0.75)],
+    "angular_http": [x for c in ("GET /api/list", "POST /api/v__K__/items", "GET /api/v__K__") for x in ((_LIST, 7, "ApiCall", c, None, 0.8), (_LIST, 7, "CALLS", c, "List__K__Component", 0.7))],
+    "angular_template_tags": [(_LIST, 2, "RENDERS", "Row__K__Component", "List__K__Component", 0.85)],
+    "angular_routes": [(_NG, 1, "Route", "/a__K__", "component=AComponent", 0.85), (_NG, 1, "Route", "/a__K__/b", "component=BComponent", 0.85), (_NG, 1, "Route", "/g/c", "component=CComponent", 0.85), (_NG, 2, "Route", "/l", "loads=LazyModule", 0.85), (_NG, 2, "Route", "/old", "redirectTo=a__K__", 0.85)],
+    "next_routes": [(_PAGE, 0, "Route", "/items/{id}", "kind=page", 0.9)],
+    "configuration": [(_SETTINGS, 0, "DataStore", "Main__K__", "kind=connection string", 1.0)],
+    "csharp_types": [
+        (_CTL, 3, "Controller", "Orders__K__Controller", "bases=ControllerBase", 0.7), (_DATA, 27, "Repository", "Order__K__Repository", "bases=IOrder__K__Store", 0.6), (_MSG, 4, "Service", "Order__K__Service", None, 0.6),
+        (_MSG, 22, "BackgroundJob", "Tick__K__", "bases=BackgroundService", 0.7)],
+    "csharp_contracts": [(_DATA, 34, "Interface", "IOrder__K__Store", None, 0.8), (_DATA, 27, "IMPLEMENTS", "IOrder__K__Store", "Order__K__Repository", 0.7)],
+    "csharp_entities": [
+        (_DATA, 14, "Entity", "Order__K__", "fields=Code: string; Name: string; validated=Name; key=Code", 0.7), (_DATA, 22, "Entity", "Line__K__", "fields=Id: int; key=Id", 0.7),
+        (_DATA, 14, "HAS_MANY", "Line__K__", "Order__K__", 0.65), (_DATA, 22, "REFERENCES", "Order__K__", "Line__K__", 0.65)],
+    "csharp_data_contexts": [
+        (_DATA, 3, "DataStore", "Shop__K__DbContext", "kind=ef-dbcontext", 0.8), (_DATA, 5, "Entity", "Order__K__", None, 0.8), (_DATA, 6, "Entity", "Line__K__", None, 0.8), (_DATA, 5, "OWNS", "Order__K__", "Shop__K__DbContext", 0.8),
+        (_DATA, 6, "OWNS", "Line__K__", "Shop__K__DbContext", 0.8), (_DATA, 10, "HAS_MANY", "Line__K__", "Order__K__", 0.7), (_DATA, 11, "HAS_ONE", "Order__K__", "Line__K__", 0.7),
+        (_DATA, 9, "Entity", "Order__K__", "tableName=orders__K__", 0.8), (_DATA, 9, "Entity", "Order__K__", "primaryKey=Code", 0.8)],
+    "csharp_migrations": [(_DATA, 35, "Migration", "Init__K__", "operations=CreateTable(orders__K__); AddColumn(note)", 0.8)],
+    "csharp_database_operations": [
+        (_CTL, 26, "DatabaseOperation", "MakeOrder__K__Handler.Handle:Add", f"operation=Insert; entity=Order__K__; {_EF}", 0.6), (_CTL, 27, "DatabaseOperation", "MakeOrder__K__Handler.Handle:SaveChangesAsync", f"operation=Persist; {_EF}; async=true", 0.6),
+        (_DATA, 30, "DatabaseOperation", "Order__K__Repository.Open:ToListAsync", f"operation=Read; entity=Order__K__; {_EF}; operators=AsNoTracking, Where, OrderBy; tracking=no-tracking; async=true", 0.6),
+        (_DATA, 31, "DatabaseOperation", "Order__K__Repository.Raw:FromSqlRaw", f'operation=StoredProcedure; entity=Order__K__; {_EF}; sql="EXEC find__K__"', 0.6),
+        (_DATA, 31, "DatabaseOperation", "Order__K__Repository.Raw:Query", 'operation=Read; entity=Order__K__; approach=Dapper; sql="select 1"', 0.6)],
+    "csharp_dependencies": [(_CTL, 7, "DEPENDS_ON", "Order__K__Service", "Orders__K__Controller", 0.7), (_CTL, 23, "DEPENDS_ON", "Shop__K__DbContext", "MakeOrder__K__Handler", 0.7)],
+    "csharp_registrations": [x for n, made, contract, life, kind in ((3, "Order__K__Repository", "IOrder__K__Store", "Scoped", "Repository"), (4, "Clock__K__", "IClock", "Singleton", "Service"), (5, "Listed__K__", "IList", "Transient", "Service"))
+                             for x in ((_PROG, n, kind, made, f"lifetime={life}", 0.8), (_PROG, n, "IMPLEMENTS", contract, made, 0.8))],
+    "csharp_program": [(_PROG, 0, "Component", "Program", "role=host", 1.0)],
+    "csharp_policies": [(_PROG, 7, "AuthorizationPolicy", "Admins__K__", "requirements=RequireRole(admin); RequireClaim(org)", 0.6)],
+    "csharp_configuration_usage": [(_PROG, 15, "Configuration", "Jwt:Key__K__", "source=IConfiguration", 0.6), (_PROG, 16, "Configuration", "HOME__K__", "source=EnvironmentVariable", 0.6)],
+    "csharp_filters": [(_MSG, 23, "Filter", "Trace__K__Filter", "kind=action", 0.8)],
+    "csharp_cqrs": [
+        (_CTL, 18, "Query", "GetOrder__K__Query", "returns=Order__K__", 0.7), (_CTL, 19, "Command", "MakeOrder__K__Command", None, 0.7), (_CTL, 20, "Event", "Order__K__Made", None, 0.7),
+        (_CTL, 21, "Handler", "MakeOrder__K__Handler", None, 0.7), (_CTL, 21, "HANDLES", "MakeOrder__K__Command", "MakeOrder__K__Handler", 0.75)],
+    "csharp_dispatches": [
+        (_CTL, 9, "DISPATCHES", "GetOrder__K__Query", "Orders__K__Controller", 0.6), (_CTL, 15, "DISPATCHES", "MakeOrder__K__Command", "Orders__K__Controller", 0.6), (_CTL, 28, "DISPATCHES", "Order__K__Made", "MakeOrder__K__Handler", 0.6)],
+    "csharp_outbound": [(_MSG, 12, "OutboundCall", "GET https://other/api/__K__", "owner=Order__K__Service", 0.6)],
+    "csharp_business_rules": [(_MSG, 8, "BusinessRule", "must be open __K__", "owner=Order__K__Service; method=ValidateOrder", 0.5)],
+    "csharp_audits": [(_MSG, 9, "AuditLog", "order changed", "source=Order__K__Service", 0.6)],
+    "csharp_functions": [(_MSG, 26, "AzureFunction", "Hook__K__", "trigger=Queue", 0.8)],
+    "csharp_validators": [(_MSG, 18, "Validator", "Order__K__Validator", "rules=Name: NotEmpty, MaximumLength(50); Age: GreaterThan(0)", 0.8), (_MSG, 18, "VALIDATES", "Order__K__Sent", "Order__K__Validator", 0.8)],
+    "csharp_endpoints": [
+        (_CTL, 8, "Endpoint", "GET /api/Orders__K__/{id}", 'action=Get; auth=Authorize(Roles = "admin")', 0.7), (_CTL, 10, "Endpoint", "POST /api/Orders__K__", "action=Create; auth=anonymous", 0.7),
+        (_CTL, 8, "EXPOSES", "GET /api/Orders__K__/{id}", "Orders__K__Controller", 0.7), (_CTL, 10, "EXPOSES", "POST /api/Orders__K__", "Orders__K__Controller", 0.7),
+        (_PROG, 12, "Endpoint", "GET /shop__K__/items/{id}", "auth=Authorize", 0.6), (_PROG, 13, "Endpoint", "POST /shop__K__/in/items", None, 0.6), (_PROG, 14, "Endpoint", "DELETE /all", None, 0.6)],
+    "packages": [
+        (_PROJ, 0, "Project", "Api__K__", "kind=web; framework=net8.0", 1.0), (_PROJ, 1, "Technology", "MediatR (CQRS/mediator)", "category=Application; package=MediatR; version=12.__K__", 1.0),
+        (_PROJ, 1, "Technology", "Dapper", "category=Data Access; package=Dapper; version=2.1", 1.0), (_PROJ, 1, "REFERENCES", "Core__K__", "Api__K__", 1.0)],
 }
-export const Users = () => <input {...register("email")} />;
-"""),
-    ("src/auth.ts", """import { PublicClientApplication } from "@azure/msal-browser";
-export function useAuth() { localStorage.setItem("access_token", "x"); return localStorage.getItem("access_token"); }
-const schema = z.object({ email: z.string(), age: z.number() });
-const columns = [{ accessorKey: "id" }];
-export const exportCsv = () => {};
-"""),
-    ("app/(shop)/items/[id]/page.tsx", "export default function Page() { return <Users />; }\n"),
-]
-ANGULAR = [
-    ("src/app/list.component.ts", """@Component({ selector: 'app-list', templateUrl: './list.component.html' })
-export class ListComponent {
-  statusFilter = '';
-  form = { name: new FormControl('', Validators.required) };
-  constructor(private http: HttpClient, private svc: ListService, n: number) { this.http.get<string[]>('/api/list'); }
+#: Facts that are told once for all products, or list what several have.
+OF_ALL: dict[str, str] = {
+    "frontend_auth": f"""select min(replace('{_AUTH}', '__K__', s_suppkey::varchar)) as path, kind, name, detail, confidence from supplier cross join
+(values ('AuthProvider', 'msal', 'import=@azure/msal-browser', 0.85::double), ('TokenStorage', 'access_token', 'operation=get+set', 0.75), ('Configuration', 'AUTH_CLIENT_ID', 'source=environment', 0.85)) t(kind, name, detail, confidence) group by all""",
+    "csharp_data_access": f"""select min(replace('{_DATA}', '__K__', s_suppkey::varchar)) as path, kind, name, detail, confidence from supplier cross join
+(values ('DataAccess', 'ADO.NET (SQL Server)', 'approach=ADO.NET; db=SQL Server', 0.7::double), ('DataAccess', 'Dapper (micro-ORM)', 'approach=Dapper (micro-ORM)', 0.7)) t(kind, name, detail, confidence) group by all""",
 }
-"""),
-    ("src/app/row.component.ts", "@Component({ selector: 'app-row', template: '' })\nexport class RowComponent {}\n"),
-    ("src/app/list.component.html", "<div>\n<app-row></app-row></div>\n"),
-    ("src/app/list.service.ts", "@Injectable({ providedIn: 'root' })\nexport class ListService {}\nexport class AuthGuard implements CanActivate {}\n"),
-    ("src/app/routes.ts", "const routes: Routes = [{ path: 'a', component: AComponent, children: [{ path: 'b', component: BComponent }] }, { path: 'g', children: [{ path: 'c', component: CComponent }] }];\n"),
-]
-DOTNET = [
-    ("Api/Api.csproj", '<Project Sdk="Microsoft.NET.Sdk.Web"><ItemGroup><PackageReference Include="MediatR" Version="1" /><ProjectReference Include="..\\Core\\Core.csproj" /></ItemGroup></Project>'),
-    ("Api/appsettings.json", '{ // settings\n "ConnectionStrings": { "Main": "Server=x", } }'),
-    ("Api/OrdersController.cs", '[Route("api/[controller]")]\npublic class OrdersController : ControllerBase\n{\n  [HttpGet("{id:int}")]\n  public async Task<Order> Get(int id) => await mediator.Send(new GetOrderQuery(id));\n  void Check() { if (status == "Open" || status == "Closed") throw new RuleException("must be open"); }\n}\npublic record GetOrderQuery(int Id) : IRequest<Order>;\n'),
-]
+_SETUP = [(_PROG, 6, "Cors", "CORS configured", "detail=policy; origins=https://a, https://b", 0.8), (_PROG, 7, "Authorization", "Authorization policies", None, 0.8), (_PROG, 8, "Cache", "In-memory cache", "detail=IMemoryCache", 0.8),
+          (_MSG, 22, "BackgroundJob", "Tick__K__ (Timer)", "detail=timer", 0.6), (_MSG, 22, "BackgroundJob", "Tick__K__", "detail=hosted service", 0.8)]
+_MESSAGES = [
+    (_MSG, 17, "Consumer", "Sent__K__Consumer", None, 0.7), (_MSG, 17, "Message", "Order__K__Sent", None, 0.65), (_MSG, 17, "CONSUMES", "Order__K__Sent", "Sent__K__Consumer", 0.7), (_MSG, 11, "Message", "Order__K__Sent", None, 0.6),
+    (_MSG, 11, "PUBLISHES", "Order__K__Sent", "Order__K__Service", 0.65), (_MSG, 10, "Message", "SendReceipt", "kind=notification", 0.55), (_MSG, 10, "PUBLISHES", "SendReceipt", "Order__K__Service", 0.55)]
 
 
-def _literal(spark, rows):
-    return spark.createDataFrame(rows, "path string, text string")
+def _register(name: str, run, sql: str) -> None:
+    run.__name__ = name
+    query(sql)(run)
 
 
-#: What each extractor finds in the sources above: (path, line, kind, name, detail, confidence), read off by hand.
-_APP, _AUTH, _PAGE, _LIST, _CS = "src/App.tsx", "src/auth.ts", "app/(shop)/items/[id]/page.tsx", "src/app/list.component.ts", "Api/OrdersController.cs"
-EXPECTED: dict[str, list[tuple]] = {
-    "react_components": [(_APP, 6, "UIComponent", "App", None, 0.85), (_APP, 15, "UIComponent", "Users", None, 0.85), (_PAGE, 1, "UIComponent", "Page", None, 0.85)],
-    "react_hooks": [(_AUTH, 2, "Hook", "useAuth", None, 0.85)],
-    "react_hook_uses": [(_APP, 9, "USES", "useAuth", _APP, 0.7), (_AUTH, 2, "USES", "useAuth", _AUTH, 0.7)],
-    "react_api_calls": [(_APP, 10, "ApiCall", "GET /api/items", None, 0.75), (_APP, 11, "ApiCall", "POST /api/items/${id}", None, 0.75)],
-    "react_contexts": [(_APP, 3, "Context", "UserContext", "context", 0.8)],
-    "react_routes": [(_APP, 13, "Route", "/users", "Users", 0.85)],
-    "react_renders": [(_APP, 13, "RENDERS", x, _APP, 0.6) for x in ("Guard", "Route", "Users", "LineChart")] + [(_PAGE, 1, "RENDERS", "Users", _PAGE, 0.6)],
-    "react_roles": [(_APP, 4, "Role", "admin", None, 0.9), (_APP, 4, "Role", "viewer", None, 0.9)],
-    "react_role_gates": [(_APP, 13, "GATES", "admin", _APP, 0.6)],
-    "react_grids": [(_AUTH, 4, "DataGrid", "id", "column", 0.85), (_APP, 13, "DataGrid", "Name", "heading", 0.8)],
-    "react_charts": [(_APP, 1, "AnalyticsChart", "App.tsx", "recharts", 0.8)],
-    "react_filters": [(_APP, 7, "Filter", "activeTab", "tab", 0.6), (_APP, 8, "Filter", "selectedIds", "multi-select", 0.75)],
-    "react_imports_exports": [(_AUTH, 5, "ImportExport", "exportCsv", None, 0.8)],
-    "react_form_fields": [(_APP, 15, "FormField", "email", None, 0.8), (_AUTH, 3, "FormField", "email", "string", 0.65), (_AUTH, 3, "FormField", "age", "number", 0.65)],
-    "react_default_routes": [(_APP, 5, "ROUTES_TO", "admin", "/users", 0.65), (_APP, 5, "ROUTES_TO", "viewer", "/home", 0.65)],
-    "angular_components": [(_LIST, 1, "UIComponent", "ListComponent", "app-list", 0.9), ("src/app/row.component.ts", 1, "UIComponent", "RowComponent", "app-row", 0.9)],
-    "angular_services": [("src/app/list.service.ts", 1, "UIService", "ListService", None, 0.9)],
-    "angular_guards": [("src/app/list.service.ts", 3, "Guard", "AuthGuard", "CanActivate", 0.85)],
-    "angular_dependencies": [(_LIST, 5, "DEPENDS_ON", "HttpClient", _LIST, 0.8), (_LIST, 5, "DEPENDS_ON", "ListService", _LIST, 0.8)],
-    "angular_form_fields": [(_LIST, 4, "FormField", "name", "validated", 0.8)],
-    "angular_filters": [(_LIST, 3, "Filter", "statusFilter", "single-value", 0.75)],
-    "angular_http": [(_LIST, 5, "ApiCall", "GET /api/list", None, 0.8)],
-    "angular_template_tags": [(_LIST, 2, "RENDERS", "RowComponent", "ListComponent", 0.85)],
-    "angular_routes": [("src/app/routes.ts", 1, "Route", r, c, 0.85) for r, c in (("/a", "AComponent"), ("/a/b", "BComponent"), ("/g/c", "CComponent"))],
-    "next_routes": [(_PAGE, 1, "Route", "/items/{id}", "page", 0.9)],
-    "frontend_auth": [(_AUTH, 1, "AuthProvider", "msal", "@azure/msal-browser", 0.85), (_AUTH, 2, "TokenStorage", "access_token", "get+set", 0.75)],
-    "packages": [("Api/Api.csproj", 1, "Project", "Api", "web", 1.0), ("Api/Api.csproj", 1, "Technology", "MediatR", "package", 1.0), ("Api/Api.csproj", 1, "REFERENCES", "Core", "Api/Api.csproj", 1.0)],
-    "configuration": [("Api/appsettings.json", 1, "DataStore", "Main", "connection string", 1.0)],
-    "csharp_types": [(_CS, 2, "Controller", "OrdersController", "ControllerBase", 0.6), (_CS, 8, "Query", "GetOrderQuery", "IRequest<Order>", 0.6)],
-    "csharp_endpoints": [(_CS, 4, "Endpoint", "GET /api/Orders/{id}", "Get", 0.6)],
-    "csharp_calls": [(_CS, 5, "DISPATCHES", "GetOrderQuery", "Send", 0.5), (_CS, 6, "BusinessRule", "must be open", "RuleException", 0.5)],
-}
+def _templates(name: str) -> list:
+    return sources.ANGULAR if name.startswith("angular") else sources.DOTNET if name in D.EXTRACTORS or name == "configuration" else sources.REACT
 
 
-def _register(name: str, extractor: str, rows: list) -> None:
-    def run(spark, sf_dir):
-        return X.EXTRACTORS[extractor](_literal(spark, rows))
-    run.__name__ = name
-    quoted = lambda v: "null::varchar" if v is None else f"'{v}'"
-    found = ", ".join(f"({quoted(p)}, {n}::integer, {quoted(k)}, {quoted(w)}, {quoted(d)}, {c}::double)" for p, n, k, w, d, c in EXPECTED[extractor])
-    query(f"select * from (values {found}) t(path, line, kind, name, detail, confidence)")(run)
+EXTRACTORS = X.EXTRACTORS | D.EXTRACTORS
+_MIDDLEWARE = f" union all select replace('{_PROG}', '__K__', k), 11 + gap, 'Middleware', 'Authentication', 'order=' || (11 + gap), 0.8::double from keys"
+_BROKERS = f""" union all select min(replace(p, '__K__', k)), 1, 'MessageBroker', b, null, 0.8::double from keys cross join (values ('{_PROG}', 'MassTransit'), ('{_MSG}', 'RabbitMQ')) b(p, b) group by b
+union all select min(replace('{_MSG}', '__K__', k)), 1, 'Messaging', 'Dead-letter queue (DLQ)', null, 0.7::double from keys"""
+EXPECTED |= {"csharp_infrastructure": _SETUP, "csharp_messaging": _MESSAGES}
+_MORE = {"csharp_infrastructure": _MIDDLEWARE, "csharp_messaging": _BROKERS}
 
+for _name, _extract in EXTRACTORS.items():
+    if _name in EXPECTED:
+        _register(f"extract_{_name}", lambda spark, sf_dir, n=_name, x=_extract: x(sources.files(Star(spark, sf_dir), _templates(n))), sources.facts_sql(EXPECTED[_name]) + _MORE.get(_name, ""))
+    elif _name in OF_ALL:
+        _register(f"extract_{_name}", lambda spark, sf_dir, n=_name, x=_extract: x(sources.files(Star(spark, sf_dir), _templates(n))).drop("line"), OF_ALL[_name])
 
-for _name in X.EXTRACTORS:
-    _register(f"extract_{_name}", _name, ANGULAR if _name.startswith("angular") else DOTNET if _name.startswith(("csharp", "packages", "configuration")) else REACT)
 
-_REPORT = '{"projects":[{"frameworks":[{"topLevelPackages":[{"id":"Newtonsoft.Json","resolvedVersion":"12.0.1","vulnerabilities":[{"severity":"High"}]},{"id":"Ok","resolvedVersion":"1.0"}]}]}]}'
+@query(f"""with keys as (select s_suppkey::varchar as k from supplier),
+owners as (select replace(o, '__K__', k) as owner, k, ms from keys cross join (values ('Orders__K__Controller', ['Send']), ('MakeOrder__K__Handler', ['Add', 'Publish', 'SaveChangesAsync'])) t(o, ms)),
+six as (select owner || ' (' || array_to_string(ms, ', ') || ')' as used, row_number() over (order by owner) as n from owners)
+select (select min(replace('{_CTL}', '__K__', k)) from keys) as path, 'Technology' as kind, 'MediatR (CQRS/mediator)' as name, 'category=Application; usage=' || string_agg(used, '; ' order by n) as detail, 0.5::double as confidence from six where n <= 6""")
+def extract_technology_usage(spark, sf_dir):
+    found = D.technology_usage(sources.files(Star(spark, sf_dir), sources.DOTNET))
+    return found.where("name = 'MediatR (CQRS/mediator)'").drop("line")
 
 
-@query("select 'report.json' as path, 'Newtonsoft.Json 12.0.1' as name, 'High' as severity")
+_REPORT = '{"projects":[{"frameworks":[{"topLevelPackages":[{"id":"Newtonsoft.Json","resolvedVersion":"12.0.__K__","vulnerabilities":[{"severity":"High"},{"severity":"Low"}]},{"id":"Ok","resolvedVersion":"1.0"}]}]}]}'
+_NESTED = '{"projects":[{"frameworks":[{"transitivePackages":[{"id":"Deep__K__","resolvedVersion":"2.0","vulnerabilities":[{"severity":"Low"}]}]}]}]}'
+
+
+@query("""select 'r' || s_suppkey || '.json' as path, 'Newtonsoft.Json 12.0.' || s_suppkey as name, 'High' as severity from supplier union all select 'n' || s_suppkey || '.json', 'Deep' || s_suppkey || ' 2.0', 'Low' from supplier""")
 def extract_vuln_json(spark, sf_dir):
-    return X.vulnerable_packages(_literal(spark, [("report.json", _REPORT), ("bad.json", "not json")]))
+    return X.vulnerable_packages(sources.files(Star(spark, sf_dir), [("r__K__.json", _REPORT), ("n__K__.json", _NESTED), ("bad__K__.json", "not json")]))
 
 
-@query("select 'audit.json' as path, 'lodash' as name, 'high' as severity")
+@query("select 'a' || s_suppkey || '.json' as path, 'lodash' || s_suppkey as name, 'high' as severity from supplier")
 def extract_audit_json(spark, sf_dir):
-    return X.audit_findings(_literal(spark, [("audit.json", '{"vulnerabilities":{"lodash":{"severity":"high"}}}'), ("bad.json", "{")]))
+    return X.audit_findings(sources.files(Star(spark, sf_dir), [("a__K__.json", '{"vulnerabilities":{"lodash__K__":{"severity":"high"}}}'), ("bad__K__.json", "{")]))
 
 
-@query("select 'Api/OrdersController.cs' as path, 'Closed, Open' as values")
+@query(f"select replace('{_MSG}', '__K__', s_suppkey::varchar) as path, 'Closed, Open' as values from supplier")
 def extract_status_workflows(spark, sf_dir):
-    return X.status_workflows(_literal(spark, DOTNET))
+    return D.status_workflows(sources.files(Star(spark, sf_dir), sources.DOTNET))
+
+
+_TREE = [("a__K__/App.slnx", '<Solution><Project Path="Api/Api__K__.csproj" /></Solution>'), ("a__K__/Api/Api__K__.csproj", ""), ("a__K__/Old/Old.csproj", ""), ("a__K__/web/package.json", '{"dependencies":{"react":"1"}}'),
+         ("a__K__/site/package.json", '{"dependencies":{"react":"1"}}'), ("a__K__/site/next.config.js", ""), ("a__K__/ng/angular.json", "{}")]
 
 
-@query("select * from (values ('Api/Api.csproj', 'dotnet', 'Api'), ('Api/Api.csproj', 'security', 'Api')) t(path, technology, name)")
+@query("""select replace(p, '__K__', s_suppkey::varchar) as path, t as technology, replace(n, '__K__', s_suppkey::varchar) as name from supplier cross join (values
+('a__K__/Api/Api__K__.csproj', 'dotnet', 'Api__K__'), ('a__K__/ng/angular.json', 'angular', 'a__K__/ng'), ('a__K__/site/next.config.js', 'nextjs', 'a__K__/site'), ('a__K__/web/package.json', 'react', 'a__K__/web'),
+('a__K__/Api/Api__K__.csproj', 'security', 'a__K__/Api'), ('a__K__/Old/Old.csproj', 'security', 'a__K__/Old'), ('a__K__/web/package.json', 'security', 'a__K__/web'), ('a__K__/site/package.json', 'security', 'a__K__/site')) v(p, t, n)""")
 def scan_artifacts(spark, sf_dir):
     from lodestar.sources.repositories import artifacts
-    return artifacts(_literal(spark, DOTNET))
+    return artifacts(sources.files(Star(spark, sf_dir), _TREE))
