@@ -59,9 +59,10 @@ def canonical_nodes(found: DataFrame) -> DataFrame:
 
 
 def merged_edges(found: DataFrame) -> DataFrame:
-    """One row for each (type, from_id, to_id), self-edges dropped."""
+    """One row for each (type, from_id, to_id) with all evidence in emission order, self-edges dropped."""
+    evidence = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"])).alias("evidence")] if "evidence" in found.columns else []
     return found.where("from_id <> to_id").groupBy("type", "from_id", "to_id").agg(
-        F.min("seq").alias("seq"), noisy_or(F.col("confidence")).alias("confidence"), F.count("*").alias("members"))
+        F.min("seq").alias("seq"), noisy_or(F.col("confidence")).alias("confidence"), F.count("*").alias("members"), *evidence)
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

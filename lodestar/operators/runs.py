@@ -38,10 +38,73 @@ def trailing_sum(uses: DataFrame, tier: str, ts: str, tokens: str, seconds: int
     return uses.withColumn("used", F.expr(over))
 
 
-def admitted(uses: DataFrame, most: int, tokens: str) -> DataFrame:
-    """A use is admitted if it fits the window or the window holds nothing else; a limit of 0 admits all."""
-    fits = (F.col("used") <= most) | (F.col("used") == F.col(tokens)) | F.lit(most == 0)
-    return uses.withColumn("admitted", fits)
+def admitted(uses: DataFrame, most: int, tier: str, ts: str, tokens: str, seconds: int = 60, order: str | None = None) -> DataFrame:
+    """Each use with ``admitted``: it fits into the trailing window of what was admitted before it, or that window is empty.
+
+    A limit of 0 admits all. What is refused takes no room, so a tier is gone through in order of
+    time; only the window is held, and tiers are gone through side by side.
+    """
+    if most == 0:
+        return uses.withColumn("admitted", F.lit(True))
+    names, schema = uses.columns, uses.withColumn("admitted", F.lit(True)).schema
+    where = {c: names.index(c) for c in (tier, ts, tokens)}
+
+    def run(batches):
+        import datetime
+        from collections import deque
+
+        import pyarrow as pa
+
+        now, window, held, span = None, deque(), 0, datetime.timedelta(seconds=seconds)
+        for batch in batches:
+            good = []
+            for t, at, n in zip(*(batch.column(where[c]).to_pylist() for c in (tier, ts, tokens))):
+                if t != now:
+                    now, held = t, 0
+                    window.clear()
+                while window and window[0][0] < at - span:
+                    held -= window.popleft()[1]
+                fits = held + n <= most or not window
+                good.append(fits)
+                if fits:
+                    window.append((at, n))
+                    held += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good)], names=[*names, "admitted"])
+
+    return uses.repartition(tier).sortWithinPartitions(tier, ts, *([order] if order else [])).mapInArrow(run, schema)
+
+
+def with_repositories(runs: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Runs with ``repositories``: their repository rows in order of name, empty without any."""
+    rest = [c for c in repositories.columns if c != "run_id"]
+    g = repositories.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("repository", *[c for c in rest if c != "repository"]))).alias("repositories"))
+    return runs.join(g, "run_id", "left").withColumn("repositories", F.coalesce("repositories", F.filter(F.array(F.lit(None).cast(g.schema["repositories"].dataType.elementType)), lambda x: x.isNotNull())))
+
+
+def repository_runs(runs: DataFrame, repositories: DataFrame, application: str) -> DataFrame:
+    """The repository rows of an application's runs."""
+    return repositories.join(runs.where(F.col("application") == application).select("run_id", "application"), "run_id")
+
+
+def stored_results(results: DataFrame) -> DataFrame:
+    """The last result saved under each id."""
+    rest = [c for c in results.columns if c not in ("id", "seq")]
+    return results.groupBy("id").agg(F.max(F.struct("seq", *rest)).alias("r")).select("id", *[f"r.{c}" for c in rest])
+
+
+def outcomes(diagnostics: DataFrame) -> DataFrame:
+    """(run_id, outcome, level): Partial with any error, else Completed, and the level it is logged at."""
+    g = diagnostics.groupBy("run_id").agg(F.when(F.bool_or(F.col("severity") == "Error"), "Partial").otherwise("Completed").alias("outcome"))
+    return g.withColumn("level", F.when(F.col("outcome") == "Partial", "Warning").otherwise("Information"))
+
+
+def lifecycle(reports: DataFrame) -> DataFrame:
+    """(execution, seq, problem): reports that a run's life does not allow: before it runs, after its end, or a second end."""
+    w = Window.partitionBy("execution").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.col("state").isin("Completed", "Failed")
+    ended, begun = F.coalesce(F.max(ends.cast("int")).over(w), F.lit(0)) == 1, F.coalesce(F.max((F.col("state") == "Running").cast("int")).over(w), F.lit(0)) == 1
+    problem = F.when(ended & ends, "ended twice").when(ended, "after the end").when(~begun & (F.col("state") != "Running"), "before the start")
+    return reports.withColumn("problem", problem).where("problem is not null").select("execution", "seq", "problem")
 
 
 def next_version(versions: DataFrame) -> DataFrame:

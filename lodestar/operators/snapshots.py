@@ -62,3 +62,70 @@ def composite(nodes: DataFrame, snapshots: DataFrame, children: list[str]) -> Da
     chosen = latest(snapshots.where(F.col("application").isin(children)))
     rows = nodes.join(chosen, ["application", "snapshot_id"], "left_semi")
     return rows.groupBy("identity").agg(F.max_by(F.struct("kind", "application"), "application").alias("r")).select("identity", "r.kind", "r.application")
+
+
+def diff_lists(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(app, four sorted lists): what came and went by owner; an edge is its source's owner's, unowned changes are dropped."""
+    edge = F.concat_ws(" ", "type", "from_id", F.lit("->"), "to_id")
+    owned = nodes.select(owning_app(F.col("identity")).alias("app"), F.concat(F.col("change"), F.lit("_nodes")).alias("list"), F.col("identity").alias("label"))
+    owned = owned.unionByName(edges.select(owning_app(F.col("from_id")).alias("app"), F.concat(F.col("change"), F.lit("_edges")).alias("list"), edge.alias("label"))).where("app is not null")
+    one = lambda name: F.array_sort(F.collect_list(F.when(F.col("list") == name, F.col("label")))).alias(name)
+    return owned.groupBy("app").agg(*map(one, ("added_nodes", "removed_nodes", "added_edges", "removed_edges")))
+
+
+def changed_sets(repositories: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(repository) that are new in whole, and (name) of changed files, from (repository, commit, previous, files).
+
+    Whole: all if forced, those without a previous commit, and those whose commit differs while the changed files are unknown (null).
+    """
+    moved = ~F.col("commit").eqNullSafe(F.col("previous"))
+    whole = F.lit(True) if force else F.col("previous").isNull() | (moved & F.col("files").isNull())
+    marked = repositories.withColumn("whole", whole).withColumn("moved", moved)
+    names = marked.where(F.col("moved") & ~F.col("whole") & ~F.lit(force)).select(F.explode("files").alias("file")).select(basename(F.col("file")).alias("name")).distinct()
+    return marked.where("whole").select("repository"), names
+
+
+def own_facts(nodes: DataFrame, edges: DataFrame, application: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes that an application owns and the edges of which it owns both ends: what may be carried forward."""
+    mine = lambda c: owning_app(F.col(c)).eqNullSafe(F.lit(application))
+    return nodes.where(mine("identity")), edges.where(mine("from_id") & mine("to_id"))
+
+
+def missing_children(snapshots: DataFrame, children: DataFrame) -> DataFrame:
+    """(severity, message) of children(application) that have no snapshot."""
+    gone = children.join(latest(snapshots).select("application"), "application", "left_anti")
+    return gone.select(F.lit("Warning").alias("severity"), F.concat(F.lit("no snapshot of "), "application").alias("message"))
+
+
+def publishes(diff_rows: DataFrame | None, force: bool = False) -> bool:
+    """Whether a version is published: not if there is a difference to look at and it is empty, unless forced."""
+    return force or diff_rows is None or not diff_rows.isEmpty()
+
+
+def upserted(index: DataFrame, entries: DataFrame, key: str = "name") -> DataFrame:
+    """An index with entries put in place of those of the same key, in order."""
+    return index.join(entries.select(key), key, "left_anti").unionByName(entries).orderBy(key)
+
+
+def version_change(application: str, version: int, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: counts and sorted labels of what came and went, changes by owner if several own them, and edges between applications."""
+    lists = diff_lists(nodes, edges)
+    total = lists.agg(*[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("added_nodes", "removed_nodes", "added_edges", "removed_edges")], F.array_sort(F.collect_set("app")).alias("apps"))
+    across = cross_app(edges).agg(F.count_if(F.col("change") == "added").alias("added_integrations"), F.count_if(F.col("change") == "removed").alias("removed_integrations"))
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("added_nodes", "removed_nodes", "added_edges", "removed_edges")]
+    composite_ = F.exists("apps", lambda a: a != application)
+    return total.join(across, F.lit(True)).select(F.lit(application).alias("application"), F.lit(version).alias("version"), *sizes, "added_nodes", "removed_nodes", "added_edges", "removed_edges", F.when(composite_, F.col("apps")).otherwise(F.array().cast("array<string>")).alias("impact"), "added_integrations", "removed_integrations")
+
+
+SERIAL = "identity string, kind string, properties map<string,string>, confidence double"
+
+
+def serialized(nodes: DataFrame) -> DataFrame:
+    """(identity, json): each node as one JSON text."""
+    return nodes.select("identity", F.to_json(F.struct("identity", "kind", "properties", "confidence")).alias("json"))
+
+
+def deserialized(texts: DataFrame) -> DataFrame:
+    """The nodes of (json) texts; what cannot be read gives no row."""
+    read = texts.select(F.from_json("json", SERIAL).alias("n"))
+    return read.select("n.*").where("identity is not null")

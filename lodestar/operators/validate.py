@@ -52,18 +52,39 @@ def unregistered(nodes: DataFrame, registered: DataFrame) -> DataFrame:
     return nodes.join(registered.select("kind"), "kind", "left_anti")
 
 
+#: What a kind or relation type may look like.
+NAME_FORM = r"^\s*[^/\s][^/]*$"
+
+
 def invariants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rule, violations) of a snapshot; all zero for a sound one."""
-    ids = nodes.select("identity").distinct()
-    dangling = lambda end: edges.join(ids.withColumnRenamed("identity", end), end, "left_anti")
-    rules = {
-        "duplicate_identity": nodes.groupBy("identity").count().where("count > 1"),
-        "dangling_from": dangling("from_id"), "dangling_to": dangling("to_id"),
-        "self_edge": edges.where("from_id = to_id"),
-        "bad_confidence": nodes.where("confidence is null or isnan(confidence) or confidence < 0 or confidence > 1"),
-        "bad_kind": nodes.where("kind is null or trim(kind) = '' or kind like '%/%'")}
+    """(rule, violations) of a snapshot; all zero for a sound one. Nodes and edges are read once and meet once, by identity."""
+    evidence = [F.count_if(F.col("evidence").isNull() | (F.size("evidence") == 0)).alias("no_evidence")] if "evidence" in nodes.columns else [F.lit(0).cast("long").alias("no_evidence")]
+    own = nodes.groupBy("identity").agg(
+        F.count("*").alias("n"), F.count_if(F.col("confidence").isNull() | F.isnan("confidence") | (F.col("confidence") < 0) | (F.col("confidence") > 1)).alias("bad_confidence"),
+        F.count_if(~F.coalesce(F.col("kind").rlike(NAME_FORM), F.lit(False))).alias("bad_kind"), *evidence)
+    ends = edges.select(F.explode(F.array(*[F.struct(F.col(end).alias("identity"), F.lit(end).alias("end"), (F.col("from_id") == F.col("to_id")).alias("self"), (~F.coalesce(F.col("type").rlike(NAME_FORM), F.lit(False)) if "type" in edges.columns else F.lit(False)).alias("form")) for end in ("from_id", "to_id")])).alias("x")).select("x.*")
+    at_from = F.col("end") == "from_id"
+    met = ends.groupBy("identity").agg(F.count_if(at_from).alias("from_n"), F.count_if(~at_from).alias("to_n"), F.count_if(at_from & F.col("self")).alias("self_n"), F.count_if(at_from & F.col("form")).alias("form_n"))
+    both = own.join(met, own.identity.eqNullSafe(met.identity), "full_outer")
+    unknown = F.col("n").isNull()
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    total = both.agg(
+        F.count_if(F.col("n") > 1).alias("duplicate_identity"), add(F.when(unknown, F.col("from_n"))).alias("dangling_from"), add(F.when(unknown, F.col("to_n"))).alias("dangling_to"), add("self_n").alias("self_edge"),
+        add("bad_confidence").alias("bad_confidence"), add("bad_kind").alias("bad_kind"), add("form_n").alias("bad_type"), add("no_evidence").alias("no_evidence"))
+    return total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in total.columns])).alias("r")).select("r.*")
+
+
+def rejected(found: DataFrame) -> DataFrame:
+    """Discoveries that no snapshot takes, with the first ``reason``: without evidence, with a bad confidence, with a bad kind."""
+    reason = (F.when(F.col("evidence").isNull() | (F.size("evidence") == 0), "no evidence").when(F.col("confidence").isNull() | F.isnan("confidence") | ~F.col("confidence").between(0, 1), "confidence")
+              .when(~F.coalesce(F.col("kind").rlike(NAME_FORM), F.lit(False)), "kind"))
+    return found.withColumn("reason", reason).where("reason is not null")
+
+
+def registry(*declared: DataFrame) -> DataFrame:
+    """(kind, namespace) of several registries in order, each kind once as it was first declared."""
     out = None
-    for rule, rows in rules.items():
-        one = rows.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-        out = one if out is None else out.unionByName(one)
-    return out
+    for i, one in enumerate(declared):
+        rows = one.select("kind", "namespace", F.lit(i).alias("registry"), "seq")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("kind").agg(F.min(F.struct("registry", "seq", "namespace")).alias("r")).select("kind", "r.namespace")

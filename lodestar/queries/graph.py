@@ -48,7 +48,7 @@ def node_lookup(spark, sf_dir):
 @query(STAR_SQL + "select type, from_id, to_id from edges where from_id in (select identity from ords where o_orderkey = 5)")
 def out_edges(spark, sf_dir):
     star = Star(spark, sf_dir)
-    source = star.orders().where("o_orderkey = 5").first()["identity"]
+    source = star.orders().where("o_orderkey = 5").first()["identity"]  # the one identity that is asked for
     return graph.out_edges(star.edges(), source).select("type", "from_id", "to_id")
 
 
@@ -59,7 +59,7 @@ select node, min(depth)::bigint as depth, coalesce(any_value(kind), '?') as kind
 where node not in (select identity from start) group by node""")
 def traverse_depth_k(spark, sf_dir):
     star = Star(spark, sf_dir)
-    source = star.orders().where("o_orderkey = 5").first()["identity"]
+    source = star.orders().where("o_orderkey = 5").first()["identity"]  # the one identity that is asked for
     return graph.traverse(star.nodes(), star.edges(), source, 3).select("node", F.col("depth").cast("long").alias("depth"), "kind")
 
 
@@ -184,12 +184,22 @@ def cycle_detect(spark, sf_dir):
     return graph.on_cycles(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("f", "f")], "child string, parent string"))
 
 
-@query(STAR_SQL + """select 'duplicate_identity' as rule, count(*) as violations from (select identity from nodes group by 1 having count(*) > 1)
-union all select 'dangling_from', count(*) from edges where from_id not in (select identity from nodes) union all select 'dangling_to', count(*) from edges where to_id not in (select identity from nodes)
-union all select 'self_edge', count(*) from edges where from_id = to_id union all select 'bad_confidence', 0 union all select 'bad_kind', count(*) from nodes where kind is null or trim(kind) = '' or kind like '%/%'""")
+@query(STAR_SQL + """, broken as (select identity, kind, (length(identity) % 13) / 10.0 as confidence, length(identity) % 7 = 0 as bare from nodes where not (kind = 'Part' and length(identity) % 5 = 0)
+  union all select identity, 'a/' || kind, null, true from nodes where kind = 'Application'),
+links as (select type, from_id, to_id from edges union all select 'PART OF', from_id, from_id from tree where type = 'PART_OF' union all select '', to_id, from_id from tree where type = 'PART_OF')
+select 'duplicate_identity' as rule, count(*) as violations from (select identity from broken group by 1 having count(*) > 1)
+union all select 'dangling_from', count(*) from links where from_id not in (select identity from broken) union all select 'dangling_to', count(*) from links where to_id not in (select identity from broken)
+union all select 'self_edge', count(*) from links where from_id = to_id union all select 'bad_confidence', count(*) from broken where confidence is null or confidence < 0 or confidence > 1
+union all select 'bad_kind', count(*) from broken where kind like '%/%' union all select 'bad_type', count(*) from links where type = '' union all select 'no_evidence', count(*) from broken where bare""")
 def snapshot_invariants(spark, sf_dir):
     star = Star(spark, sf_dir)
-    return validate.invariants(star.nodes(), star.edges())
+    n, size = star.nodes().select("identity", "kind"), F.length("identity")
+    some = lambda bare: F.when(bare, F.array().cast("array<string>")).otherwise(F.array(F.lit("f"))).alias("evidence")
+    nodes = n.where(~((F.col("kind") == "Part") & (size % 5 == 0))).select("identity", "kind", ((size % 13) / 10.0).alias("confidence"), some(size % 7 == 0))
+    nodes = nodes.unionByName(n.where("kind = 'Application'").select("identity", F.concat(F.lit("a/"), "kind").alias("kind"), F.lit(None).cast("double").alias("confidence"), some(F.lit(True))))
+    parts = star.edges(lines=False).where("type = 'PART_OF'")
+    edges = star.edges().select("type", "from_id", "to_id").unionByName(parts.select(F.lit("PART OF").alias("type"), "from_id", F.col("from_id").alias("to_id"))).unionByName(parts.select(F.lit("").alias("type"), F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
+    return validate.invariants(nodes, edges)
 
 
 @query(STAR_SQL + """, walk as (select identity as node, from_id, to_id from tree join cust on identity = from_id) select c.identity as node, p.to_id as value from cust c join tree t on t.from_id = c.identity join tree p on p.from_id = t.to_id""")

@@ -69,10 +69,16 @@ def tpm_window_1h(spark, sf_dir):
     return runs.trailing_sum(_events(spark, sf_dir).withColumn("tokens", F.floor("value")), "event_type", "ts", "tokens", 3600).select("event_id", "used")
 
 
-@query(f"with w as (select *, floor(value)::bigint as tokens from ({_window_sql(3600)}) join events using (event_id)) select event_type as tier, count_if(used <= 60 or used = tokens) as admitted, count(*) as asked from w group by event_type")
+@query("""with recursive e as (select event_type || user_id % 10 as tier, ts, floor(value)::bigint as n, row_number() over (partition by event_type || user_id % 10 order by ts, event_id) as r from events),
+s(tier, r, win, ok) as (
+  select tier, 0::bigint, []::struct(moment timestamp, n bigint)[], false from (select distinct tier from e)
+  union all select tier, r, case when fits then list_append(w, {'moment': ts, 'n': n}) else w end, fits from (
+    select *, coalesce(list_sum(list_transform(w, lambda x: x.n)), 0) + n <= 60 or len(w) = 0 as fits from (
+      select e.*, list_filter(s.win, lambda x: x.moment >= e.ts - interval 3600 seconds) as w from s join e on e.tier = s.tier and e.r = s.r + 1)))
+select tier, count_if(ok) as admitted, count(*) as asked from s where r > 0 group by tier""")
 def throttle_admission(spark, sf_dir):
-    u = runs.trailing_sum(_events(spark, sf_dir).withColumn("tokens", F.floor("value")), "event_type", "ts", "tokens", 3600)
-    return runs.admitted(u, 60, "tokens").groupBy(F.col("event_type").alias("tier")).agg(F.count_if("admitted").alias("admitted"), F.count("*").alias("asked"))
+    u = _events(spark, sf_dir).select(F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("tier"), "ts", "event_id", F.floor("value").alias("tokens"))
+    return runs.admitted(u, 60, "tier", "ts", "tokens", 3600, "event_id").groupBy("tier").agg(F.count_if("admitted").alias("admitted"), F.count("*").alias("asked"))
 
 
 @query("select range::bigint as attempt, least(3000, 500 * 2 ** range)::bigint as wait_ms from range(6)")
