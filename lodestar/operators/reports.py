@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
@@ -40,7 +40,8 @@ def endpoints_by_owner(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     owners = nodes.select(F.col("identity").alias("from_id"), F.coalesce(F.col("properties")["name"], node_label(F.col("identity"), F.col("kind"), F.lit(None).cast("string"))).alias("owner_name"))
     met = ends.join(exposed.select("identity", "from_id"), "identity", "left").join(owners, "from_id", "left")
     rows = met.select(F.coalesce("owner_name", F.lit(GENERAL)).alias("owner"), F.col("name").alias("endpoint"), F.col("properties")["verb"].alias("verb"), F.col("properties")["route"].alias("route"), "identity")
-    return top_per_group(rows, ["owner"], [F.col("route").asc_nulls_first(), F.col("verb").asc_nulls_first(), "identity"], 1 << 30).withColumnRenamed("rank", "place").drop("identity")
+    w = Window.partitionBy("owner").orderBy(F.col("route").asc_nulls_first(), F.col("verb").asc_nulls_first(), "identity")
+    return rows.withColumn("place", F.row_number().over(w)).drop("identity")
 
 
 def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -159,6 +160,55 @@ def read_only_tokens(nodes: DataFrame) -> DataFrame:
     return of_kind(nodes, "TokenStorage").where(F.col("properties")["operation"] == "get").select("name").distinct()
 
 
+def used_by(nodes: DataFrame) -> DataFrame:
+    """(entity, classes): the classes whose calls, as the technologies' usage texts tell, are about an entity; entities without any are left out."""
+    said = of_kind(nodes, "Technology").select(F.explode(T.split_list(F.col("properties")["usage"], ";")).alias("use"))
+    each = said.select(F.trim(F.regexp_extract("use", r"^(\w+)\s*\(", 1)).alias("class"), F.explode(F.regexp_extract_all("use", F.lit(r"\w+\((\w+)\)"), 1)).alias("entity"))
+    known = of_kind(nodes, "Entity").select(F.col("name").alias("entity")).distinct()
+    return each.join(known, "entity").groupBy("entity").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+
+
+def stores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(store, entities): every data store with the entities it owns, none if it owns none."""
+    owned = edges.where("type = 'OWNS'").select(F.col("from_id").alias("identity"), short_name(F.col("to_id")).alias("entity"))
+    s = of_kind(nodes, "DataStore").select("identity", F.col("name").alias("store"))
+    return s.join(owned, "identity", "left").groupBy("identity", "store").agg(F.array_sort(F.collect_set("entity")).alias("entities")).select("store", "entities")
+
+
+def sequences(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, lines): each request flow as the lines of a sequence diagram."""
+    f = request_flows(nodes, edges)
+    step = lambda a, b, how: F.when(F.col(b).isNotNull() & (F.col(b) != ""), F.concat(F.col(a), F.lit("->>"), F.col(b), F.lit(f": {how}")))
+    first = F.concat("component", F.lit("->>"), "endpoint", F.lit(": calls"))
+    return f.select("component", F.concat_ws("\n", first, step("endpoint", "message", "dispatches"), step("message", "handler", "handled by"), step("handler", "dependencies", "uses")).alias("lines"))
+
+
+def journeys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(role, steps): what each role reaches, if that are two steps or more over all roles."""
+    access = role_access(nodes, edges)
+    enough = access.agg(F.sum(F.size("endpoints")).alias("n")).where("n >= 2")
+    return access.join(enough, F.lit(True), "left_semi").select("role", F.col("endpoints").alias("steps"))
+
+
+def component_diagram(edges: DataFrame) -> DataFrame:
+    """(line): who renders and calls whom, each once."""
+    rows = edges.where(F.col("type").isin("RENDERS", "CALLS"))
+    return rows.select(F.concat(short_name(F.col("from_id")), F.lit(" -->|"), F.lower("type"), F.lit("| "), short_name(F.col("to_id"))).alias("line")).distinct()
+
+
+#: The pages and the kinds of which one must be there for a page to be shown; none: always.
+PAGES: dict[str, tuple[str, ...]] = {
+    "Overview": (), "Features": (), "Use cases": (), "Architecture": (), "API reference": (), "Technology stack": (), "Data and storage": ("DataStore", "Entity"),
+    "Security": ("AuthScheme", "Authorization", "AuthorizationPolicy", "Vulnerability", "AuthProvider", "TokenStorage", "Guard", "Endpoint"), "Frontend": ("UIComponent", "Route", "UIService"),
+    "Messaging": ("Message", "MessageBroker", "Consumer"), "Workflows": ("StatusWorkflow", "BusinessRule")}
+
+
+def page_set(nodes: DataFrame) -> DataFrame:
+    """(page, shown) in one pass over the nodes."""
+    flags = nodes.agg(*[(F.lit(True) if not kinds else F.coalesce(F.bool_or(F.col("kind").isin(*kinds)), F.lit(False))).alias(page) for page, kinds in PAGES.items()])
+    return flags.select(F.explode(F.array(*[F.struct(F.lit(p).alias("page"), F.col(f"`{p}`").alias("shown")) for p in PAGES])).alias("p")).select("p.*")
+
+
 def changelog(diff_nodes: DataFrame, most: int = 15) -> DataFrame:
     """(change, listed): labels of added and removed nodes, capped with how many more there are."""
     g = diff_nodes.groupBy("change").agg(F.array_sort(F.collect_list(short_name(F.col("identity")))).alias("labels"))
@@ -177,7 +227,8 @@ SECTIONS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "Overview": lambda n, e: overview(n), "Features": features, "Architecture": architecture_edges, "Patterns": lambda n, e: patterns(n), "Request flows": request_flows, "API reference": endpoints_by_owner,
     "Technology": lambda n, e: technologies(n), "Data": lambda n, e: entity_relations(e), "Access": role_access, "Navigation": lambda n, e: role_routes(n), "Unused components": orphan_components,
     "Filters": lambda n, e: filters_by_component(n), "Forms": lambda n, e: grouped_lists(n, "FormField", "form"), "Business rules": lambda n, e: grouped_lists(n, "BusinessRule", "owner"),
-    "Audit": lambda n, e: grouped_lists(n, "AuditLog", "entity"), "Vulnerabilities": lambda n, e: grouped_lists(n, "Vulnerability", "severity"), "Public endpoints": lambda n, e: public_endpoints(n), "Tokens": lambda n, e: read_only_tokens(n)}
+    "Audit": lambda n, e: grouped_lists(n, "AuditLog", "entity"), "Vulnerabilities": lambda n, e: grouped_lists(n, "Vulnerability", "severity"), "Public endpoints": lambda n, e: public_endpoints(n), "Tokens": lambda n, e: read_only_tokens(n),
+    "Used by": lambda n, e: used_by(n), "Stores": stores, "Sequences": sequences, "Journeys": journeys, "Component diagram": lambda n, e: component_diagram(e)}
 
 
 def project(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Report sections over a small literal snapshot and over the star graph."""
+"""Report sections over a snapshot with a small product for each supplier, and over the star graph."""
 
 from __future__ import annotations
 
@@ -13,54 +13,85 @@ _E = "type string, from_id string, to_id string, seq long"
 
 
 def _i(kind: str, name: str) -> str:
-    return f"node://app:Shop/{kind}:{name}"
+    return f"node://app:Shop__K__/{kind}:{name}"
 
 
+#: A product's nodes and edges; __K__ stands for the supplier's key.
 NODES = [
-    (_i("c", "List"), "UIComponent", {}, 0.9), (_i("c", "Edit"), "UIComponent", {}, 0.9), (_i("c", "Alone"), "UIComponent", {}, 0.9), (_i("call", "GET list"), "ApiCall", {}, 0.7), (_i("call", "PUT item"), "ApiCall", {}, 0.7),
-    (_i("endpoint", "GET list"), "Endpoint", {"verb": "GET", "route": "/api/items", "authorization": "anonymous"}, 1.0), (_i("endpoint", "PUT item"), "Endpoint", {"verb": "PUT", "route": "/api/items/{id}"}, 1.0),
-    (_i("ctl", "ItemsController"), "Controller", {"name": "Items"}, 1.0), (_i("cmd", "UpdateItem"), "Command", {}, 0.9), (_i("handler", "UpdateItemHandler"), "Handler", {}, 0.9),
-    (_i("type", "Shop.ItemRepository"), "Repository", {}, 0.9), (_i("op", "1"), "DatabaseOperation", {"owner": "ItemRepository"}, 0.8), (_i("tech", "MediatR"), "Technology", {"category": "CQRS"}, 1.0),
-    (_i("role", "admin"), "Role", {}, 0.9), (_i("route", "users"), "Route", {"path": "/users", "roles": "admin; owner"}, 0.9), (_i("route", "me"), "Route", {"path": "/me", "protected": "yes"}, 0.9),
-    (_i("filter", "status"), "Filter", {"component": "List", "shape": "single-value"}, 0.7), (_i("token", "access"), "TokenStorage", {"operation": "get"}, 0.7), (_i("token", "refresh"), "TokenStorage", {"operation": "get+set"}, 0.7),
-    (_i("entity", "Order"), "Entity", {}, 1.0), (_i("entity", "Line"), "Entity", {}, 1.0)]
+    (_i("c", "List__K__"), "UIComponent", {}, 0.9), (_i("c", "Edit__K__"), "UIComponent", {}, 0.9), (_i("c", "Alone__K__"), "UIComponent", {}, 0.9), (_i("call", "GET list__K__"), "ApiCall", {}, 0.7), (_i("call", "PUT item__K__"), "ApiCall", {}, 0.7),
+    (_i("endpoint", "GET list__K__"), "Endpoint", {"verb": "GET", "route": "/api/items__K__", "authorization": "anonymous"}, 1.0), (_i("endpoint", "PUT item__K__"), "Endpoint", {"verb": "PUT", "route": "/api/items__K__/{id}"}, 1.0),
+    (_i("ctl", "ItemsController"), "Controller", {"name": "Items__K__"}, 1.0), (_i("cmd", "UpdateItem__K__"), "Command", {}, 0.9), (_i("handler", "UpdateItem__K__Handler"), "Handler", {}, 0.9),
+    (_i("type", "Shop.ItemRepository__K__"), "Repository", {}, 0.9), (_i("op", "1"), "DatabaseOperation", {"owner": "ItemRepository__K__"}, 0.8), (_i("tech", "MediatR__K__"), "Technology", {"category": "CQRS"}, 1.0),
+    (_i("role", "admin__K__"), "Role", {}, 0.9), (_i("route", "users"), "Route", {"path": "/users__K__", "roles": "admin__K__; owner"}, 0.9), (_i("route", "open"), "Route", {"path": "/open__K__"}, 0.9),
+    (_i("filter", "status"), "Filter", {"component": "List__K__", "shape": "single-value"}, 0.7), (_i("token", "access__K__"), "TokenStorage", {"operation": "get"}, 0.7), (_i("token", "refresh"), "TokenStorage", {"operation": "get+set"}, 0.7),
+    (_i("entity", "Order__K__"), "Entity", {}, 1.0), (_i("entity", "Line__K__"), "Entity", {}, 1.0), (_i("store", "Db__K__"), "DataStore", {}, 1.0),
+    (_i("tech", "EF__K__"), "Technology", {"category": "Data", "usage": "OrderService__K__ (Add(Order__K__), Save); CartService__K__ (Find(Order__K__))"}, 1.0)]
 EDGES = [
-    ("EXPOSES", _i("ctl", "ItemsController"), _i("endpoint", "GET list"), 1), ("CALLS", _i("c", "List"), _i("call", "GET list"), 2), ("CALLS", _i("c", "Edit"), _i("call", "PUT item"), 3),
-    ("MAPS_TO", _i("call", "GET list"), _i("endpoint", "GET list"), 4), ("MAPS_TO", _i("call", "PUT item"), _i("endpoint", "PUT item"), 5), ("DISPATCHES", _i("endpoint", "PUT item"), _i("cmd", "UpdateItem"), 6),
-    ("HANDLES", _i("handler", "UpdateItemHandler"), _i("cmd", "UpdateItem"), 7), ("DEPENDS_ON", _i("handler", "UpdateItemHandler"), _i("type", "Shop.ItemRepository"), 8), ("RENDERS", _i("c", "List"), _i("c", "Edit"), 9),
-    ("GATES", _i("role", "admin"), _i("c", "List"), 10), ("HAS_MANY", _i("entity", "Order"), _i("entity", "Line"), 11)]
+    ("EXPOSES", _i("ctl", "ItemsController"), _i("endpoint", "GET list__K__"), 1), ("CALLS", _i("c", "List__K__"), _i("call", "GET list__K__"), 2), ("CALLS", _i("c", "Edit__K__"), _i("call", "PUT item__K__"), 3),
+    ("MAPS_TO", _i("call", "GET list__K__"), _i("endpoint", "GET list__K__"), 4), ("MAPS_TO", _i("call", "PUT item__K__"), _i("endpoint", "PUT item__K__"), 5), ("DISPATCHES", _i("endpoint", "PUT item__K__"), _i("cmd", "UpdateItem__K__"), 6),
+    ("HANDLES", _i("handler", "UpdateItem__K__Handler"), _i("cmd", "UpdateItem__K__"), 7), ("DEPENDS_ON", _i("handler", "UpdateItem__K__Handler"), _i("type", "Shop.ItemRepository__K__"), 8), ("RENDERS", _i("c", "List__K__"), _i("c", "Edit__K__"), 9),
+    ("GATES", _i("role", "admin__K__"), _i("c", "List__K__"), 10), ("HAS_MANY", _i("entity", "Order__K__"), _i("entity", "Line__K__"), 11), ("OWNS", _i("store", "Db__K__"), _i("entity", "Order__K__"), 12)]
 
 
-def _snapshot(spark):
-    return spark.createDataFrame(NODES, _N), spark.createDataFrame(EDGES, _E)
+def _snapshot(spark, sf_dir):
+    """The product's nodes and edges for every supplier."""
+    keys = Star(spark, sf_dir).table("supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    put = lambda v: F.replace(F.lit(v), F.lit("__K__"), F.col("k"))
+    none = F.create_map().cast("map<string,string>")
+    bag = lambda p: F.create_map(*[c for k, v in p.items() for c in (F.lit(k), put(v))]) if p else none
+    nodes = F.array(*[F.struct(put(i).alias("identity"), F.lit(k).alias("kind"), bag(p).alias("properties"), F.lit(c).alias("confidence")) for i, k, p, c in NODES])
+    edges = F.array(*[F.struct(F.lit(t).alias("type"), put(a).alias("from_id"), put(b).alias("to_id"), F.lit(n).cast("long").alias("seq")) for t, a, b, n in EDGES])
+    return keys.select(F.explode(nodes).alias("n")).select("n.*"), keys.select(F.explode(edges).alias("e")).select("e.*")
+
+
+def _values(columns: str, *rows: tuple) -> str:
+    """SQL of the rows for every supplier."""
+    quoted = lambda v: "null::varchar" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
+    said = ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+    put = ", ".join(f"replace({c}, '__K__', s_suppkey::varchar) as {c}" for c in columns.split(", "))
+    return f"select {put} from supplier cross join (values {said}) t({columns})"
 
 
 def _add(name: str, section: str, sql: str, columns: tuple[str, ...]) -> None:
     def run(spark, sf_dir):
-        rows = R.SECTIONS[section](*_snapshot(spark))
+        rows = R.SECTIONS[section](*_snapshot(spark, sf_dir))
         kinds = dict(rows.dtypes)
         return rows.select(*[F.array_join(c, ", ").alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns])
     run.__name__ = name
     query(sql)(run)
 
 
-_add("report_request_flows", "Request flows", "select * from (values ('List', 'GET list', 'GET list', null, null, null), ('Edit', 'PUT item', 'PUT item', 'UpdateItem', 'UpdateItemHandler', 'ItemRepository')) t(component, call, endpoint, message, handler, dependencies)", ("component", "call", "endpoint", "message", "handler", "dependencies"))
-_add("report_api_reference", "API reference", "select * from (values ('Items', 'GET', '/api/items'), ('General', 'PUT', '/api/items/{id}')) t(owner, verb, route)", ("owner", "verb", "route"))
-_add("report_features", "Features", "select * from (values ('Items', 'List Items'), ('General', 'Update a Item')) t(owner, phrase)", ("owner", "phrase"))
-_add("report_role_access", "Access", "select 'admin' as role, 'GET list, PUT item' as endpoints", ("role", "endpoints"))
-_add("report_navigation", "Navigation", "select * from (values ('admin', '/users'), ('admin', '/me')) t(role, path)", ("role", "path"))
-_add("report_unused_components", "Unused components", "select 'Alone' as name", ("name",))
-_add("report_filters", "Filters", "select 'List' as component, 'status' as single, '' as multi, '' as tabs", ("component", "single", "multi", "tabs"))
-_add("report_entities", "Data", "select 'Order ||--o{ Line' as line", ("line",))
-_add("report_tokens", "Tokens", "select 'access' as name", ("name",))
-_add("report_technology", "Technology", "select 'CQRS' as category, 'MediatR' as name", ("category", "name"))
-_add("report_public", "Public endpoints", "select 1 as public, 2 as total", ("public", "total"))
+_FLOW = ("component", "call", "endpoint", "message", "handler", "dependencies")
+_add("report_request_flows", "Request flows", "with f as (" + _values("id, " + ", ".join(_FLOW), (_i("c", "List__K__"), "List__K__", "GET list__K__", "GET list__K__", None, None, None), (_i("c", "Edit__K__"), "Edit__K__", "PUT item__K__", "PUT item__K__", "UpdateItem__K__", "UpdateItem__K__Handler", "ItemRepository__K__")) + f") select {', '.join(_FLOW)} from (select * from f order by component, id limit 8)", _FLOW)
+_add("report_api_reference", "API reference", _values("owner, verb, route", ("Items__K__", "GET", "/api/items__K__"), ("General", "PUT", "/api/items__K__/{id}")), ("owner", "verb", "route"))
+_add("report_features", "Features", _values("owner, phrase", ("Items__K__", "List Items__K__"), ("General", "Update a Items__K__")), ("owner", "phrase"))
+_add("report_role_access", "Access", _values("role, endpoints", ("admin__K__", "GET list__K__, PUT item__K__")), ("role", "endpoints"))
+_add("report_navigation", "Navigation", _values("role, path", ("admin__K__", "/users__K__")), ("role", "path"))
+_add("report_unused_components", "Unused components", _values("name", ("Alone__K__",)), ("name",))
+_add("report_filters", "Filters", _values("component, single, multi, tabs", ("List__K__", "status", "", "")), ("component", "single", "multi", "tabs"))
+_add("report_entities", "Data", _values("line", ("Order__K__ ||--o{ Line__K__",)), ("line",))
+_add("report_tokens", "Tokens", _values("name", ("access__K__",)), ("name",))
+_add("report_technology", "Technology", _values("category, name", ("CQRS", "MediatR__K__"), ("Data", "EF__K__")), ("category", "name"))
+_add("report_public", "Public endpoints", "select count(*) as public, 2 * count(*) as total from supplier", ("public", "total"))
+_add("report_overview", "Overview", "select kind, (n * (select count(*) from supplier))::bigint as n from (values " + ", ".join(f"('{k}', {sum(x[1] == k for x in NODES)})" for k in sorted({x[1] for x in NODES})) + ") t(kind, n)", ("kind", "n"))
 _add("report_patterns", "Patterns", "select * from (values ('CQRS', true), ('Event-driven', false), ('Repository', true), ('Validation pipeline', false), ('Layered projects', false), ('Background processing', false), ('Single-page front end', true)) t(pattern, present)", ("pattern", "present"))
+_add("report_used_by", "Used by", _values("entity, classes", ("Order__K__", "CartService__K__, OrderService__K__")), ("entity", "classes"))
+_add("report_stores", "Stores", _values("store, entities", ("Db__K__", "Order__K__")), ("store", "entities"))
+_add("report_sequences", "Sequences", "with f as (" + _values("id, component, lines", (_i("c", "List__K__"), "List__K__", "List__K__->>GET list__K__: calls"), (_i("c", "Edit__K__"), "Edit__K__", "Edit__K__->>PUT item__K__: calls\nPUT item__K__->>UpdateItem__K__: dispatches\nUpdateItem__K__->>UpdateItem__K__Handler: handled by\nUpdateItem__K__Handler->>ItemRepository__K__: uses")) + ") select component, lines from (select * from f order by component, id limit 8)", ("component", "lines"))
+_add("report_journeys", "Journeys", _values("role, steps", ("admin__K__", "GET list__K__, PUT item__K__")).replace(" from supplier", " from supplier") + " where (select count(*) from supplier) * 2 >= 2", ("role", "steps"))
+_add("report_components", "Component diagram", "with f as (" + _values("source, type, target, n", *[(a.rsplit(":", 1)[1], t, b.rsplit(":", 1)[1], f"{n:02d}") for t, a, b, n in EDGES if t in ("CALLS", "RENDERS")]) + ") select source || ' -->|' || lower(type) || '| ' || target as line from f", ("line",))
+
+
+@query("with s as (select count(*) as k from supplier) select title as page, title <> 'Messaging' and title <> 'Workflows' as shown from (values " + ", ".join(f"('{t}')" for t in R.PAGES) + ") t(title), s where k > 0")
+def report_page_set(spark, sf_dir):
+    return R.page_set(_snapshot(spark, sf_dir)[0])
 
 
-@query()
+@query("""with t as (select string_agg('- access' || s_suppkey, chr(10) order by 'access' || s_suppkey) as body from supplier), u as (select string_agg('- node://app:Shop' || s_suppkey || '/c:Alone' || s_suppkey || ' · Alone' || s_suppkey, chr(10) order by '- node://app:Shop' || s_suppkey || '/c:Alone') as body from supplier)
+select 'tokens.md' as path, md5('# Tokens' || chr(10) || chr(10) || body) as content from t union all select 'unused-components.md', md5('# Unused components' || chr(10) || chr(10) || body) from u""")
 def report_pages(spark, sf_dir):
-    return R.project(*_snapshot(spark))
+    pages = R.project(*_snapshot(spark, sf_dir))
+    return pages.where("path in ('tokens.md', 'unused-components.md')").select("path", F.md5(F.col("content").cast("binary")).alias("content"))
 
 
 @query(STAR_SQL + """, c as (select case when c_custkey % 2 = 0 then 'added' else 'removed' end as change, c_custkey::varchar as k from cust)

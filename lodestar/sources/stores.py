@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+EVIDENCE = "array<struct<repository:string,commit:string,engine:string,method:string,confidence:double,file:string,line:int,symbol:string>>"
+NODES = f"seq long, identity string, kind string, properties map<string,string>, evidence {EVIDENCE}, confidence double"
+EDGES = f"type string, from_id string, to_id string, seq long, confidence double, evidence {EVIDENCE}"
+
+
 class Store:
     """Tables below one folder; nothing is ever updated in place."""
 
@@ -23,7 +28,8 @@ class Store:
         """Writes a snapshot that keeps the invariants; the row in ``snapshots`` comes last and makes it visible."""
         from lodestar.operators.validate import invariants
 
-        broken = [r["rule"] for r in invariants(nodes, edges).where("violations > 0").collect()]
+        bare = nodes.drop("evidence")  # an external node has its edge's, a resolved edge none
+        broken = [r["rule"] for r in invariants(bare, edges).where("violations > 0").collect()]
         if broken:
             raise ValueError(f"snapshot breaks {', '.join(broken)}")
         key = (F.lit(application).alias("application"), F.lit(snapshot_id).alias("snapshot_id"))
@@ -31,10 +37,37 @@ class Store:
         self.append("edges", edges.select(*key, "*"), "application", "snapshot_id")
         self.append("snapshots", self.spark.range(1).select(*key, F.lit(created_at).cast("timestamp").alias("created_at")))
 
+    def has(self, table: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def snapshot(self, application: str) -> str | None:
+        """The id of the application's latest snapshot, if it has any."""
+        if not self.has("snapshots"):
+            return None
+        last = self.read("snapshots").where(F.col("application") == application).agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id"))).first()
+        return last[0]
+
+    def read_snapshot(self, table: str, application: str, snapshot_id: str) -> DataFrame:
+        """The rows of one snapshot; only its partition is read."""
+        rows = self.read(table).where((F.col("application") == application) & (F.col("snapshot_id") == snapshot_id))
+        return rows.drop("application", "snapshot_id")
+
     def latest(self, table: str, application: str) -> DataFrame:
-        """The rows of the application's latest snapshot; only its partition is read."""
-        last = self.read("snapshots").where(F.col("application") == application).agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id"))).first()[0]
-        return self.read(table).where((F.col("application") == application) & (F.col("snapshot_id") == last))
+        """The rows of the application's latest snapshot."""
+        return self.read_snapshot(table, application, self.snapshot(application))
+
+    def last_version(self, application: str) -> int:
+        """The number of the last published version, 0 before the first."""
+        if not self.has("versions"):
+            return 0
+        return self.read("versions").where(F.col("application") == application).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+    def empty_nodes(self) -> DataFrame:
+        return self.spark.createDataFrame([], NODES)
+
+    def empty_edges(self) -> DataFrame:
+        return self.spark.createDataFrame([], EDGES)
 
 
 def safe_path(path: Column) -> Column:
@@ -52,6 +85,10 @@ class Pages:
     def write(self, pages: DataFrame, version: int) -> None:
         self.store.append("pages", pages.select("application", safe_path(F.col("path")).alias("path"), "content", "content_type", F.lit(version).alias("version")), "application")
 
+    def list(self, application: str) -> DataFrame:
+        """(path, version) of the pages that readers see."""
+        return self.read(application).select("path", "version")
+
     def read(self, application: str) -> DataFrame:
         rows = self.store.read("pages").where(F.col("application") == application)
         return rows.groupBy("application", "path").agg(F.max_by(F.struct("content", "content_type", "version"), "version").alias("p")).select("application", "path", "p.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import identity as I
 from lodestar.functions import text as T
-from lodestar.operators import extract, graph, merge, resolve, snapshots, validate
+from lodestar.operators import extract, graph, merge, resolve, runs, snapshots, validate
 from lodestar.sources import config, repositories
 
 DISC = "seq long, identity string, kind string, properties map<string,string>, evidence array<struct<file:string>>, confidence double"
@@ -61,7 +61,7 @@ def test_endpoint_classes_and_invariants(spark):
     assert {r["class"] for r in validate.endpoint_classes(e, known).collect()} == {"both", "one", "neither"}
     nodes = spark.createDataFrame([("x", "K", 1.5), ("x", "K/", 0.5)], "identity string, kind string, confidence double")
     broken = {r["rule"]: r["violations"] for r in validate.invariants(nodes, e).collect()}
-    assert broken == {"duplicate_identity": 1, "dangling_from": 1, "dangling_to": 3, "self_edge": 0, "bad_confidence": 1, "bad_kind": 1}
+    assert broken == {"duplicate_identity": 1, "dangling_from": 1, "dangling_to": 3, "self_edge": 0, "bad_confidence": 1, "bad_kind": 1, "bad_type": 0, "no_evidence": 0}
 
 
 def test_routes(spark):
@@ -111,7 +111,7 @@ def test_repository_rules(spark):
 
 
 def test_extractors_find_lines_and_skip_lookalikes(spark):
-    files = spark.createDataFrame([("a.tsx", "\nfunction Card() {}\n\nconst useThing = 1;\nconst lower = () => 1;"), ("b.css", "function Nope() {}")], "path string, text string")
+    files = spark.createDataFrame([("a.tsx", "\nexport function Card() {}\n\nexport const useThing = 1;\nconst lower = () => 1;"), ("b.css", "export function Nope() {}")], "path string, text string")
     assert values(extract.react_components(files).select("path", "line", "name")) == [("a.tsx", 2, "Card")]
     assert values(extract.react_hooks(files).select("line", "name")) == [(4, "useThing")]
     assert extract.react_charts(files).count() == 0
@@ -121,3 +121,58 @@ def test_extractors_find_lines_and_skip_lookalikes(spark):
 def test_text_rules(spark):
     row = spark.range(1).select(T.normalize_route(F.lit(" API/${x}/:id/{k:int}/?q=1")), T.next_route(F.lit("app/(g)/a/[...s]/page.tsx")), T.capped_list(F.array(*map(F.lit, "abc")), 2)).first()
     assert tuple(row) == ("/api/{}/{}/{}", "/a/{s}", "a, b, …and 1 more")
+
+
+def test_lines_of_many_matches(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice(["x", "\n", "hit", "h\nit", " "]) for _ in range(5000))
+    files = spark.createDataFrame([("a", text), ("b", "no"), ("c", None), ("d", "hit")], "path string, text string")
+    got = sorted((r.path, r.line, r.g1) for r in extract.occurrences(files, r"h\n?it", 0).collect())
+    import re
+    expected = [("a", text.count("\n", 0, m.start()) + 1, m[0]) for m in re.finditer(r"h\n?it", text)] + [("d", 1, "hit")]
+    assert got == sorted(expected) and len(got) > 1500
+
+
+def test_capabilities_against_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abAB.") for _ in range(n))
+    names, rules = [word(rng.randint(1, 9)) for _ in range(200)], [(i, word(rng.randint(0 if i > 28 else 1, 4)), f"c{i}") for i in range(30)]
+    got = {r.name: r.category for r in resolve.capability(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(rules, "rule int, fragment string, category string")).collect()}
+    expected = {n: next((c for _, f, c in rules if f.upper() in n.upper()), None) for n in names}
+    assert got == {n: c for n, c in expected.items() if c}
+
+
+def test_strong_components_against_closure(spark):
+    rng = random.Random(12)
+    for size in (8, 14):
+        pairs = {(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(size)}
+        nodes = {x for p in pairs for x in p}
+        reach = {(a, b) for a, b in pairs}
+        while True:
+            more = reach | {(a, d) for a, b in reach for c, d in pairs if b == c}
+            if more == reach:
+                break
+            reach = more
+        expected = {n: min(m for m in nodes if m == n or ((n, m) in reach and (m, n) in reach)) for n in nodes if (n, n) in reach}
+        got = {r.node: r.root for r in graph.strong_components(spark.createDataFrame(sorted(pairs), "child string, parent string")).collect()}
+        assert got == expected
+    assert graph.strong_components(spark.createDataFrame([], "child string, parent string")).count() == 0
+
+
+def test_ancestors_end_on_circles(spark):
+    parents = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d")], "node string, parent string")
+    children = spark.createDataFrame([("a",), ("c",)], "node string")
+    assert values(graph.nearest_ancestor(children, parents, spark.createDataFrame([("d", "v")], "node string, value string"))) == [("c", "v")]
+    assert graph.nearest_ancestor(children.where("false"), parents, spark.createDataFrame([("d", "v")], "node string, value string")).count() == 0
+
+
+def test_refused_calls_take_no_room(spark):
+    uses = spark.createDataFrame([("t", i, "2024-01-01 00:00:%02d" % i, n) for i, n in enumerate((50, 60, 40, 10, 5))], "tier string, id int, at string, n long").selectExpr("tier", "id", "cast(at as timestamp_ntz) as at", "n")
+    assert [r.admitted for r in runs.admitted(uses, 100, "tier", "at", "n").orderBy("id").collect()] == [True, False, True, True, False]
+    assert all(r.admitted for r in runs.admitted(uses, 0, "tier", "at", "n").collect())
+
+
+def test_edges_keep_their_evidence(spark):
+    found = spark.createDataFrame([(2, "T", "a", "b", [("f2",)], 0.5), (1, "T", "a", "b", [("f1",)], 0.5), (3, "T", "a", "a", [], 1.0)], "seq long, type string, from_id string, to_id string, evidence array<struct<file:string>>, confidence double")
+    rows = merge.merged_edges(found).collect()
+    assert len(rows) == 1 and [e.file for e in rows[0].evidence] == ["f1", "f2"] and rows[0].confidence == pytest.approx(0.75)
