@@ -142,12 +142,13 @@ def resolved(nodes: DataFrame) -> DataFrame:
 EVIDENCE = "array<struct<repository:string,commit:string,engine:string,method:string,confidence:double,file:string,line:int,symbol:string>>"
 
 
-def run(spark: SparkSession, store: Store, application: str, files: DataFrame, snapshot_id: str, created_at: str, changed: DataFrame | None = None, force: bool = False, specs: list[Spec] | None = None) -> Result:
+def run(spark: SparkSession, store: Store, application: str, files: DataFrame, snapshot_id: str, created_at: str, changed: DataFrame | None = None, force: bool = False, specs: list[Spec] | None = None, pages: tuple[str, ...] | None = None) -> Result:
     """Analyse ``files(path, text, repository, commit)`` and commit a snapshot; publish pages if anything differs.
 
     ``changed(repository, file)`` are the files that changed since the previous snapshot: only they
     are analysed, and the previous facts of other files are carried forward. Without it, or if
-    forced, or without a previous snapshot, all is analysed and nothing carried.
+    forced, or without a previous snapshot, all is analysed and nothing carried. ``pages`` names the
+    sections that are published, all without it.
     """
     result = Result("Completed")
     said = result.diagnostics
@@ -202,7 +203,7 @@ def run(spark: SparkSession, store: Store, application: str, files: DataFrame, s
         differing = S.diff(store.read_snapshot("nodes", application, before), nodes, ["identity"]), S.diff(store.read_snapshot("edges", application, before), edges, S.EDGE_KEY)
     both = None if differing is None else differing[0].select("change").unionByName(differing[1].select("change"))
     if S.publishes(both, force):
-        result.version = _publish(store, application, nodes, edges, differing, created_at)
+        result.version = _publish(store, application, nodes, edges, differing, created_at, pages)
     if any(level == "Error" for level, _, _ in said):
         result.status = "Partial"
     store.append("diagnostics", spark.createDataFrame([(application, snapshot_id, *d) for d in said] or [], "application string, snapshot_id string, severity string, message string, source string"))
@@ -225,10 +226,10 @@ def _external(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.select(F.col("e.seq").alias("seq"), "identity", F.lit("External").alias("kind"), bare.alias("properties"), F.col("e.evidence").alias("evidence"), F.col("e.confidence").alias("confidence")).select(*nodes.columns)
 
 
-def _publish(store: Store, application: str, nodes: DataFrame, edges: DataFrame, differing, created_at: str) -> int:
+def _publish(store: Store, application: str, nodes: DataFrame, edges: DataFrame, differing, created_at: str, titles: tuple[str, ...] | None) -> int:
     """The pages of the next version, its manifest row and, from the second on, what changed."""
     version = store.last_version(application) + 1
-    pages = durable(reports.project(nodes, edges))
+    pages = durable(reports.project(nodes, edges, titles))
     Pages(store).write(pages.select(F.lit(application).alias("application"), "path", "content", F.lit("text/markdown").alias("content_type")), version)
     store.append("versions", pages.agg(F.count("*").alias("pages")).select(F.lit(application).alias("application"), F.lit(version).alias("version"), F.lit(created_at).cast("timestamp").alias("created_at"), "pages"))
     if differing is not None and version > 1:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -123,15 +123,25 @@ def line_at(text: Column, offset: Column) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
 
 
-def running_sum(items: Column, block: int = 256) -> Column:
-    """The sums of an array's numbers up to each of them, block by block so that its length counts once."""
-    def summed(values: Column) -> Column:
-        empty = F.array().cast("array<int>")
-        return F.aggregate(values, empty, lambda sums, x: F.array_append(sums, F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + x))
+def summed(values: Column) -> Column:
+    """The sums of a short array's numbers up to each of them."""
+    empty = F.array().cast("array<int>")
+    return F.aggregate(values, empty, lambda sums, x: F.array_append(sums, F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + x))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int")), lambda b: summed(F.slice(items, b * block + 1, F.lit(block))))
-    ends = summed(F.transform(blocks, lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0))))
-    return F.when(F.size(items) > 0, F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.coalesce(F.get(ends, i - 1), F.lit(0)))))).otherwise(F.array().cast("array<int>"))
+
+def running_sum(rows: DataFrame, column: str, name: str, block: int = 256) -> DataFrame:
+    """``rows`` with ``name``: the sums of an array column's numbers up to each of them.
+
+    The array is summed up in blocks, the blocks' ends in turn, so its length counts once. Blocks are
+    a column of their own, as an expression within a lambda is worked out again for every element.
+    """
+    of = F.col(column)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(of) - 1) / block).cast("int")), lambda b: summed(F.slice(of, b * block + 1, F.lit(block))))
+    ends = summed(F.transform("blocks_", lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0))))
+    starts = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size("blocks_"))
+    placed = F.flatten(F.zip_with("blocks_", starts, lambda b, s: F.transform(b, lambda x: x + s)))
+    rows = rows.withColumn("blocks_", F.when(F.size(of) > 0, blocks).otherwise(F.array().cast("array<array<int>>")))
+    return rows.withColumn(name, placed).drop("blocks_")
 
 
 def short_sha(commit: Column) -> Column:

@@ -37,7 +37,8 @@ def occurrences(files: DataFrame, pattern: str, *groups: int, keep: tuple[str, .
     before = F.concat(F.array(F.lit("")), F.slice("whole_", F.lit(1), F.size("whole_") - 1))
     gaps = F.zip_with(F.slice("pieces_", F.lit(1), F.size("whole_")), before, lambda p, w: breaks(p) + breaks(w))
     more = [F.slice("pieces_", F.lit(2), F.size("whole_")).alias("rest_"), F.transform("whole_", breaks).alias("broken_")] if rest else []
-    rows = rows.select("path", *keep, "first_", T.running_sum(gaps).alias("lines_"), *names, *more)
+    rows = rows.select("path", *keep, "first_", gaps.alias("gaps_"), *names, *more)
+    rows = T.running_sum(rows, "gaps_", "lines_")
     each = rows.select("path", *keep, "first_", F.explode(F.arrays_zip("lines_", *names, *(["rest_", "broken_"] if rest else []))).alias("m_"))
     line = (F.col("first_") + F.col("m_.lines_")).cast("int")
     extra = [F.col("m_.rest_").alias("text"), (line + F.col("m_.broken_")).alias("from_line")] if rest else []

@@ -231,10 +231,12 @@ SECTIONS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "Used by": lambda n, e: used_by(n), "Stores": stores, "Sequences": sequences, "Journeys": journeys, "Component diagram": lambda n, e: component_diagram(e)}
 
 
-def project(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path, content, page_order) of every section."""
+def project(nodes: DataFrame, edges: DataFrame, titles: tuple[str, ...] | None = None) -> DataFrame:
+    """(path, content, page_order) of every section, or of those named."""
     out = None
     for order, (title, section) in enumerate(SECTIONS.items()):
+        if titles is not None and title not in titles:
+            continue
         page = render(title, section(nodes, edges)).withColumn("page_order", F.lit(order))
         out = page if out is None else out.unionByName(page)
     return out

@@ -31,6 +31,34 @@ def facts_sql(found: list[tuple]) -> str:
 select {put('path')}, (case when line = 0 then 1 else line + gap end)::integer as line, kind, {put('name')}, {put('detail')}, confidence from keys cross join t"""
 
 
+#: What a product's numbers begin at, by its key.
+STEP = 1000
+
+
+def products(star: Star, rows: list[tuple], schema: str, numbered: tuple[str, ...] = ()) -> DataFrame:
+    """The rows for every supplier: __K__ in texts is its key, ``numbered`` columns count from STEP times the key."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    keys = star.table("supplier").select(F.col("s_suppkey").alias("k"))
+
+    def value(v, name: str, kind: str):
+        if isinstance(v, str):
+            return F.replace(F.lit(v), F.lit(MARK), F.col("k").cast("string"))
+        return (F.lit(v) + STEP * F.col("k") if name in numbered else F.lit(v)).cast(kind)
+
+    each = F.array(*[F.struct(*[value(v, n, t).cast(t).alias(n) for v, (n, t) in zip(r, fields)]) for r in rows])
+    return keys.select(F.explode(each).alias("r")).select("r.*")
+
+
+def products_sql(rows: list[tuple], columns: str, numbered: tuple[str, ...] = ()) -> str:
+    """The same for DuckDB: a query in parentheses."""
+    names = [c.strip() for c in columns.split(",")]
+    quoted = lambda v: "null" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+    said = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+    text = [any(isinstance(r[i], str) for r in rows) for i in range(len(names))]
+    put = ", ".join(f"replace({n}, '{MARK}', s_suppkey::varchar) as {n}" if t else f"({n} + {STEP} * s_suppkey)::bigint as {n}" if n in numbered else n for n, t in zip(names, text))
+    return f"(select {put} from supplier cross join (values {said}) t({', '.join(names)}))"
+
+
 REACT = [
     ("p__K__/src/App__K__.tsx", """"use client";
 import { LineChart } from "recharts";

@@ -8,6 +8,7 @@ from lodestar.functions import identity as I
 from lodestar.functions.text import capped_list
 from lodestar.operators import graph, resolve, validate
 from lodestar.operators.merge import first_by
+from lodestar.plans import sources
 from lodestar.plans.starmap import STAR_SQL, Star
 from lodestar.queries.registry import query
 
@@ -68,10 +69,13 @@ def impact_closure(spark, sf_dir):
     return graph.impact(Star(spark, sf_dir).edges(lines=False), "node://app:ASIA").select("node")
 
 
-@query("""with recursive e(from_id, to_id) as (values ('A', 'B'), ('B', 'C'), ('C', 'A'), ('D', 'B'), ('E', 'F')),
-up as (select from_id as node from e where to_id = 'A' union select from_id from e join up on to_id = node) select node from up""")
+_RING = [("A__K__", "B__K__"), ("B__K__", "C__K__"), ("C__K__", "A__K__"), ("D__K__", "B__K__"), ("E__K__", "F__K__")]
+
+
+@query(f"""with recursive e as {sources.products_sql(_RING, "from_id, to_id")},
+up as (select from_id as node from e where to_id = 'A7' union select from_id from e join up on to_id = node) select node from up""")
 def impact_cycle(spark, sf_dir):
-    return graph.impact(spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "B"), ("E", "F")], "from_id string, to_id string"), "A").select("node")
+    return graph.impact(sources.products(Star(spark, sf_dir), _RING, "from_id string, to_id string"), "A7").select("node")
 
 
 @query(STAR_SQL + "select identity from nodes where contains(upper(identity), 'RING') or len(list_filter(props, lambda p: contains(upper(p), 'RING'))) > 0")
@@ -164,24 +168,26 @@ def capped_list_marker(spark, sf_dir):
     return g.select(F.col("c_nationkey").cast("long").alias("nation"), capped_list(F.transform("k", lambda k: k.cast("string")), 15).alias("listed"))
 
 
-DAG = [("web", "core"), ("web", "auth"), ("auth", "core"), ("jobs", "core"), ("portal", "web"), ("portal", "jobs")]
-_DAG_SQL = ", ".join(f"('{c}', '{p}')" for c, p in DAG)
+DAG = [("web__K__", "core__K__"), ("web__K__", "auth__K__"), ("auth__K__", "core__K__"), ("jobs__K__", "core__K__"), ("portal__K__", "web__K__"), ("portal__K__", "jobs__K__")]
 
 
-@query(f"""with recursive e(parent, child) as (values {_DAG_SQL}), n as (select parent as node from e union select child from e),
+@query(f"""with recursive e as {sources.products_sql(DAG, "parent, child")}, n as (select parent as node from e union select child from e),
 up as (select node, 0 as level from n where node not in (select parent from e) union all select parent, level + 1 from up join e on child = node)
 select node, max(level)::bigint as level from up group by node""")
 def topo_levels(spark, sf_dir):
-    e = spark.createDataFrame(DAG, "parent string, child string")
+    e = sources.products(Star(spark, sf_dir), DAG, "parent string, child string")
     # a parent waits for its children, so it is what the level order calls the later one
     nodes = e.select(F.col("parent").alias("node")).union(e.select("child")).distinct()
     return graph.levels(nodes, e).select("node", F.col("level").cast("long").alias("level"))
 
 
-@query("""with recursive e(child, parent) as (values ('a', 'b'), ('b', 'c'), ('c', 'a'), ('d', 'a'), ('e', 'd'), ('f', 'f')),
+_CIRCLES = [("a__K__", "b__K__"), ("b__K__", "c__K__"), ("c__K__", "a__K__"), ("d__K__", "a__K__"), ("e__K__", "d__K__"), ("f__K__", "f__K__")]
+
+
+@query(f"""with recursive e as {sources.products_sql(_CIRCLES, "child, parent")},
 r as (select child as a, parent as b from e union select a, parent from r join e on child = b) select distinct a as node from r where a = b""")
 def cycle_detect(spark, sf_dir):
-    return graph.on_cycles(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("f", "f")], "child string, parent string"))
+    return graph.on_cycles(sources.products(Star(spark, sf_dir), _CIRCLES, "child string, parent string"))
 
 
 @query(STAR_SQL + """, broken as (select identity, kind, (length(identity) % 13) / 10.0 as confidence, length(identity) % 7 = 0 as bare from nodes where not (kind = 'Part' and length(identity) % 5 = 0)

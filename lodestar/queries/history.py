@@ -86,14 +86,14 @@ def backoff_schedule(spark, sf_dir):
     return spark.range(6).select(F.col("id").alias("attempt"), T.backoff_ms(F.col("id")).alias("wait_ms"))
 
 
-_FAILURES = [(1, 401, None), (2, 429, "slow"), (3, 503, None), (4, None, "Timeout reached"), (5, None, "empty answer"), (6, 404, None), (7, None, None), (8, 403, "x")]
-
-
-@query("with f(id, status, detail) as (values " + ", ".join(f"({i}, {s or 'null'}, {repr(d) if d else 'null'})" for i, s, d in _FAILURES) + """) select id::bigint as id, case when status in (401, 403) then 'Unauthorized' when status = 429 then 'RateLimited' when status in (500, 502, 503, 504) then 'ServerError'
+@query("""with f as (select event_id, [401, 429, 503, null, null, 404, null, 403][event_id % 8 + 1] as status, [null, 'slow', null, 'Timeout reached', 'empty answer', null, null, 'x'][event_id % 8 + 1] as detail from events)
+select event_id, case when status in (401, 403) then 'Unauthorized' when status = 429 then 'RateLimited' when status in (500, 502, 503, 504) then 'ServerError'
 when contains(lower(coalesce(detail, '')), 'timeout') then 'Timeout' when contains(lower(coalesce(detail, '')), 'empty') then 'EmptyResponse' when status = 404 then 'NotFound' else 'Unknown' end as reason from f""")
 def failure_reason_case(spark, sf_dir):
-    f = spark.createDataFrame(_FAILURES, "id long, status int, detail string")
-    return f.select("id", T.failure_reason(F.col("status"), F.col("detail")).alias("reason"))
+    at = (F.col("event_id") % 8 + 1).cast("int")
+    status, detail = F.array(*map(F.lit, (401, 429, 503, None, None, 404, None, 403))), F.array(*map(F.lit, (None, "slow", None, "Timeout reached", "empty answer", None, None, "x")))
+    f = _events(spark, sf_dir).select("event_id", F.element_at(status, at).alias("status"), F.element_at(detail, at).alias("detail"))
+    return f.select("event_id", T.failure_reason(F.col("status"), F.col("detail")).alias("reason"))
 
 
 @query("select user_id % 10 as application, event_type as reason, count(*) as n from events group by 1, 2")

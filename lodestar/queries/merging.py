@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import merge, resolve, validate
+from lodestar.plans import sources
 from lodestar.plans.starmap import STAR_SQL, Star
 from lodestar.queries.registry import query
 
@@ -100,33 +101,36 @@ def external_nodes(spark, sf_dir):
     return validate.external_nodes(*_partial(spark, sf_dir)).select("identity", F.round("confidence", 9).alias("confidence"))
 
 
-_CALLS = [(1, "GET", "/api/customer"), (2, "get", "/clients"), (3, "POST", "/items/${id}?x=1"), (4, "GET", "/dup"), (5, "DELETE", "/none"), (6, "GET", "/orders/:id/")]
-_ENDPOINTS = [(10, "GET", "/api/Customer", 1), (11, "GET", "/api/v1/clients", 2), (12, "POST", "/Items/{itemId}", 3), (13, "GET", "/v1/dup", 4), (14, "GET", "/v2/dup", 5), (15, "GET", "/api/orders/{id:int}", 6), (16, "GET", "/API/customer", 7)]
+_CALLS = [(1, "GET", "/api/customer__K__"), (2, "get", "/clients__K__"), (3, "POST", "/items__K__/${id}?x=1"), (4, "GET", "/dup__K__"), (5, "DELETE", "/none"), (6, "GET", "/orders__K__/:id/")]
+_ENDPOINTS = [
+    (10, "GET", "/api/Customer__K__", 1), (11, "GET", "/api/v1/clients__K__", 2), (12, "POST", "/Items__K__/{itemId}", 3), (13, "GET", "/v1/dup__K__", 4), (14, "GET", "/v2/dup__K__", 5), (15, "GET", "/api/orders__K__/{id:int}", 6),
+    (16, "GET", "/API/customer__K__", 7)]
 _NORM = r"""'/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(lower(trim({0})), '?', 1), '\$\{{[^}}]*\}}', '{{}}', 'g'), '\{{[^}}]*\}}', '{{}}', 'g'), ':[a-z_][a-z0-9_]*', '{{}}', 'g'), '^/+|/+$', '', 'g')"""
-_ROUTES = f"""with calls(call_id, verb, url) as (values {", ".join(map(str, _CALLS))}), endpoints(endpoint_id, verb, route, seq) as (values {", ".join(map(str, _ENDPOINTS))}),
+_ROUTES = f"""with calls as {sources.products_sql(_CALLS, "call_id, verb, url", ("call_id",))}, endpoints as {sources.products_sql(_ENDPOINTS, "endpoint_id, verb, route, seq", ("endpoint_id", "seq"))},
 c as (select call_id, upper(verb) as verb, {_NORM.format('url')} as norm from calls), e as (select endpoint_id, upper(verb) as verb, {_NORM.format('route')} as norm, seq from endpoints),
 exact as (select call_id, arg_min(endpoint_id, seq) as endpoint_id from c join e using (verb, norm) group by call_id),
 near as (select call_id, min(endpoint_id) as endpoint_id, count(*) as n from c join e on c.verb = e.verb and ends_with(e.norm, c.norm) where call_id not in (select call_id from exact) and length(c.norm) > 1 group by call_id)"""
 
 
-def _routes(spark):
-    calls, ends = spark.createDataFrame(_CALLS, "call_id long, verb string, url string"), spark.createDataFrame(_ENDPOINTS, "endpoint_id long, verb string, route string, seq long")
-    return resolve.route_matches(calls, ends), calls
+def _routes(spark, sf_dir):
+    star = Star(spark, sf_dir)
+    calls = sources.products(star, _CALLS, "call_id long, verb string, url string", ("call_id",))
+    return resolve.route_matches(calls, sources.products(star, _ENDPOINTS, "endpoint_id long, verb string, route string, seq long", ("endpoint_id", "seq"))), calls
 
 
 @query(_ROUTES + " select call_id::bigint as call_id, endpoint_id::bigint as endpoint_id, 0.9::double as confidence from exact")
 def route_exact_match(spark, sf_dir):
-    return _routes(spark)[0].where("confidence = 0.9")
+    return _routes(spark, sf_dir)[0].where("confidence = 0.9")
 
 
 @query(_ROUTES + " select call_id::bigint as call_id, endpoint_id::bigint as endpoint_id, 0.75::double as confidence from near where n = 1")
 def route_suffix_unique(spark, sf_dir):
-    return _routes(spark)[0].where("confidence = 0.75")
+    return _routes(spark, sf_dir)[0].where("confidence = 0.75")
 
 
 @query(_ROUTES + " select call_id::bigint as call_id from calls where call_id not in (select call_id from exact) and call_id not in (select call_id from near where n = 1)")
 def route_ambiguous(spark, sf_dir):
-    found, calls = _routes(spark)
+    found, calls = _routes(spark, sf_dir)
     return calls.join(found, "call_id", "left_anti").select("call_id")
 
 
@@ -143,11 +147,15 @@ def pubsub_topic_join(spark, sf_dir):
     return resolve.equal_property(c.where("role = 'user'"), c.where("role = 'assistant'"), "topic").select(F.col("left_id").alias("publisher_turn"), F.col("right_id").alias("subscriber_turn"), "topic")
 
 
-@query("""with a(id, name) as (values (1, 'ORDER'), (2, 'part'), (3, 'Nothing')), e(id, name, seq) as (values (11, 'Order', 1), (12, 'order', 2), (13, 'Part', 3))
-select a.id::bigint as left_id, arg_min(e.id, seq)::bigint as right_id from a join e on upper(a.name) = upper(e.name) group by a.id""")
+_AUDITS = [(1, "ORDER__K__"), (2, "part__K__"), (3, "Nothing")]
+_ENTITIES = [(11, "Order__K__", 1), (12, "order__K__", 2), (13, "Part__K__", 3)]
+
+
+@query(f"""with a as {sources.products_sql(_AUDITS, "id, name", ("id",))}, e as {sources.products_sql(_ENTITIES, "id, name, seq", ("id", "seq"))}
+select a.id as left_id, arg_min(e.id, seq) as right_id from a join e on upper(a.name) = upper(e.name) group by a.id""")
 def audit_entity_join(spark, sf_dir):
-    a = spark.createDataFrame([(1, "ORDER"), (2, "part"), (3, "Nothing")], "id long, name string")
-    return resolve.name_match(a, spark.createDataFrame([(11, "Order", 1), (12, "order", 2), (13, "Part", 3)], "id long, name string, seq long"))
+    star = Star(spark, sf_dir)
+    return resolve.name_match(sources.products(star, _AUDITS, "id long, name string", ("id",)), sources.products(star, _ENTITIES, "id long, name string, seq long", ("id", "seq")))
 
 
 @query("""with c as (select l_orderkey * 10 + l_linenumber as call_id, 'r' || (l_suppkey % 7) as repo, '/x/' || l_partkey as norm from lineitem), e as (select p_partkey as seq, 'r' || (p_partkey % 5) as server_repo, '/x/' || p_partkey as norm from part)
@@ -167,9 +175,12 @@ def capability_rules(spark, sf_dir):
     return resolve.capability(Star(spark, sf_dir).table("part").select(F.col("p_name").alias("name")), spark.createDataFrame(_RULES, "rule int, fragment string, category string"))
 
 
-_FILES = [("src/a/b/x.cs",), ("src/a/y.cs",), ("src/z.cs",), ("other/q.cs",)]
+_FILES = [("p__K__/src/a/b/x.cs",), ("p__K__/src/a/y.cs",), ("p__K__/src/z.cs",), ("p__K__/other/q.cs",)]
+_PROJECTS = [("p__K__/src/a/A.csproj",), ("p__K__/src/a/b/B.csproj",)]
+_NEAREST = [("p__K__/src/a/b/x.cs", "p__K__/src/a/b/B.csproj"), ("p__K__/src/a/y.cs", "p__K__/src/a/A.csproj"), ("p__K__/src/z.cs", None), ("p__K__/other/q.cs", None)]
 
 
-@query("select * from (values ('src/a/b/x.cs', 'src/a/b/B.csproj'), ('src/a/y.cs', 'src/a/A.csproj'), ('src/z.cs', null), ('other/q.cs', null)) t(path, project)")
+@query(f"select * from {sources.products_sql(_NEAREST, 'path, project')}")
 def nearest_project(spark, sf_dir):
-    return resolve.closest_ancestor(spark.createDataFrame(_FILES, "path string"), spark.createDataFrame([("src/a/A.csproj",), ("src/a/b/B.csproj",)], "path string"))
+    star = Star(spark, sf_dir)
+    return resolve.closest_ancestor(sources.products(star, _FILES, "path string"), sources.products(star, _PROJECTS, "path string"))

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from lodestar.queries import estate, extraction, graph, history, merging, reports, scalars, snapshots, streams  # noqa: F401
+    from lodestar.queries import estate, execution, extraction, graph, history, merging, reports, scalars, snapshots, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,10 +1,11 @@
-"""Scalar text rules over table columns and literals."""
+"""Scalar text rules over table columns and rows for each supplier."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.plans import sources
 from lodestar.plans.starmap import Star
 from lodestar.queries.merging import _NORM
 from lodestar.queries.registry import query
@@ -21,20 +22,22 @@ def route_constraint_strip(spark, sf_dir):
     return s.select("s_suppkey", T.strip_constraints(F.concat(F.lit("api/{id"), "s_suppkey", F.lit(":int}/x"))).alias("route"))
 
 
-_FILES = [("app/page.tsx", "/"), ("src/app/(shop)/items/[id]/page.tsx", "/items/{id}"), ("app/docs/[...slug]/page.tsx", "/docs/{slug}"), ("app/a/layout.tsx", "/a")]
+_FILES = [("p__K__/app/page.tsx", "/"), ("p__K__/src/app/(shop)/items__K__/[id]/page.tsx", "/items__K__/{id}"), ("p__K__/app/docs/[...slug__K__]/page.tsx", "/docs/{slug__K__}"), ("p__K__/app/a__K__/layout.tsx", "/a__K__")]
 
 
-@query("select * from (values " + ", ".join(map(str, _FILES)) + ") t(path, route)")
+@query(f"select * from {sources.products_sql(_FILES, 'path, route')}")
 def next_route(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p, _ in _FILES], "path string").select("path", T.next_route(F.col("path")).alias("route"))
+    return sources.products(Star(spark, sf_dir), [(p,) for p, _ in _FILES], "path string").select("path", T.next_route(F.col("path")).alias("route"))
 
 
-_TEMPLATES = [("CustomerController", "api/[controller]", "{id}", "Get", "/api/Customer/{id}"), ("HomeController", None, None, "Index", "/Home/Index"), ("AController", "api/a", "/health", "Ping", "/health"), ("BController", "[controller]/[action]", None, "List", "/B/List")]
+_TEMPLATES = [
+    ("Customer__K__Controller", "api/[controller]", "{id}", "Get", "/api/Customer__K__/{id}"), ("Home__K__Controller", None, None, "Index", "/Home__K__/Index"), ("A__K__Controller", "api/a", "/health__K__", "Ping", "/health__K__"),
+    ("B__K__Controller", "[controller]/[action]", None, "List", "/B__K__/List")]
 
 
-@query("select * from (values " + ", ".join(f"('{c}', '{r}')" for c, *_, r in _TEMPLATES) + ") t(controller, route)")
+@query(f"select * from {sources.products_sql([(c, r) for c, *_, r in _TEMPLATES], 'controller, route')}")
 def resolve_route(spark, sf_dir):
-    t = spark.createDataFrame([x[:4] for x in _TEMPLATES], "controller string, class_template string, method_template string, action string")
+    t = sources.products(Star(spark, sf_dir), [x[:4] for x in _TEMPLATES], "controller string, class_template string, method_template string, action string")
     return t.select("controller", T.resolve_route(F.col("controller"), F.col("class_template"), F.col("method_template"), F.col("action")).alias("route"))
 
 
@@ -59,12 +62,12 @@ def use_case_phrase(spark, sf_dir):
     return p.select("p_partkey", T.use_case_phrase(verb, F.lit("Parts"), F.col("p_size") > 25).alias("phrase"))
 
 
-_SETTERS = [("menuOpen", None), ("selectedIds", "multi-select"), ("SelectedTags", "multi-select"), ("activeFilters", "multi-select"), ("activeTab", "tab"), ("status", "single-value")]
+_SETTERS = [("menu__K__Open", None), ("selected__K__Ids", "multi-select"), ("Selected__K__Tags", "multi-select"), ("active__K__Filters", "multi-select"), ("active__K__Tab", "tab"), ("status__K__", "single-value")]
 
 
-@query("select * from (values " + ", ".join(f"('{n}', {repr(s) if s else 'null'})" for n, s in _SETTERS) + ") t(name, shape)")
+@query(f"select * from {sources.products_sql(_SETTERS, 'name, shape')}")
 def classify_shape(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n, _ in _SETTERS], "name string").select("name", T.classify_shape(F.col("name")).alias("shape"))
+    return sources.products(Star(spark, sf_dir), [(n,) for n, _ in _SETTERS], "name string").select("name", T.classify_shape(F.col("name")).alias("shape"))
 
 
 @query("select doc_id, greatest(1, length(text) // 4)::bigint as tokens from documents")
@@ -94,20 +97,20 @@ def template_render(spark, sf_dir):
     return n.select("n_name", T.render_template(F.lit("Nation {{name}} of {{planet}} no {{key}}"), F.create_map(F.lit("name"), F.col("n_name"), F.lit("key"), F.col("n_nationkey").cast("string"))).alias("page"))
 
 
-_USAGE = "OrderService: Query, Save; CartService: Query , ; Empty:"
+_USAGE = "Order__K__Service: Query, Save; Cart__K__Service: Query , ; Empty:"
 
 
-@query(f"""with s as (select trim(x) as part from (select unnest(string_split('{_USAGE}', ';')) as x)), k as (select split_part(part, ':', 1) as class, unnest(string_split(split_part(part, ':', 2), ',')) as op from s)
-select class, trim(op) as op from k where trim(op) <> ''""")
+@query(f"""with u as (select replace('{_USAGE}', '__K__', s_suppkey::varchar) as u from supplier), s as (select trim(x) as part from (select unnest(string_split(u, ';')) as x from u)),
+k as (select split_part(part, ':', 1) as class, unnest(string_split(split_part(part, ':', 2), ',')) as op from s) select class, trim(op) as op from k where trim(op) <> ''""")
 def usage_parse(spark, sf_dir):
-    s = spark.createDataFrame([(_USAGE,)], "u string").select(F.explode(T.split_list(F.col("u"), ";")).alias("p"))
+    s = sources.products(Star(spark, sf_dir), [(_USAGE,)], "u string").select(F.explode(T.split_list(F.col("u"), ";")).alias("p"))
     return s.select(F.substring_index("p", ":", 1).alias("class"), F.explode(T.split_list(F.substring_index("p", ":", -1), ",")).alias("op"))
 
 
-_URLS = [("https://host.example/x/repo.git#dev", "repo", "dev"), ("https://host.example/x/app/", "app", None), ("/local/dir/tool", "tool", None), ("https://host.example/y/z.git", "z", None)]
+_URLS = [("https://host.example/x/repo__K__.git#dev", "repo__K__", "dev"), ("https://host.example/x/app__K__/", "app__K__", None), ("/local/dir/tool__K__", "tool__K__", None), ("https://host.example/y/z__K__.git", "z__K__", None)]
 
 
-@query("select * from (values " + ", ".join(f"('{u}', '{n}', {repr(b) if b else 'null'})" for u, n, b in _URLS) + ") t(url, name, branch)")
+@query(f"select * from {sources.products_sql(_URLS, 'url, name, branch')}")
 def repository_names(spark, sf_dir):
     from lodestar.sources.repositories import branch_of, repository_name
-    return spark.createDataFrame([(u,) for u, *_ in _URLS], "url string").select("url", repository_name(F.col("url")).alias("name"), branch_of(F.col("url")).alias("branch"))
+    return sources.products(Star(spark, sf_dir), [(u,) for u, *_ in _URLS], "url string").select("url", repository_name(F.col("url")).alias("name"), branch_of(F.col("url")).alias("branch"))
