@@ -69,3 +69,11 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order (never dropDuplicates, which keeps any row)."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def by_specificity(nodes: DataFrame) -> DataFrame:
+    """The nodes in order: identities of more segments first, then longer ones, then as emitted."""
+    from lodestar.functions.identity import segments
+
+    ordered = nodes.withColumn("depth_", F.size(segments(F.col("identity")))).withColumn("length_", F.length("identity"))
+    return ordered.orderBy(F.desc("depth_"), F.desc("length_"), "seq").drop("depth_", "length_")

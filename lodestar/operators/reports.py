@@ -33,6 +33,35 @@ def overview(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
 
 
+def counts(nodes: DataFrame, *kinds: str) -> DataFrame:
+    """One row with the number of nodes of each kind, in one pass."""
+    return nodes.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+
+
+#: What a node of each kind is for, as pages say it.
+ROLES = {
+    "Controller": "Receives HTTP requests and coordinates responses.", "Endpoint": "A single HTTP operation the application exposes.", "Service": "Encapsulates business logic and orchestrates operations.",
+    "Repository": "Provides data access for a domain type.", "Interface": "A contract implemented elsewhere in the application.", "DataStore": "Persists and retrieves application data.",
+    "Entity": "A domain data type the application manages.", "UIComponent": "A building block of the user interface.", "UIService": "A frontend service (data access, state, or shared logic).",
+    "Hook": "A reusable piece of React state/behavior (custom hook).", "Context": "Shared React state exposed to the component tree.", "Guard": "Controls route access on the frontend.",
+    "Interceptor": "Intercepts outgoing HTTP requests on the frontend.", "Component": "A structural building block of the application.", "Route": "A navigable path in the frontend.",
+    "ApiCall": "A call the frontend makes to a backend endpoint.", "Configuration": "An application configuration value.", "Project": "A build unit (project) within the application.",
+    "Technology": "A framework or library the application depends on.", "Cache": "A caching mechanism (in-memory or distributed).", "AuthScheme": "A configured authentication scheme.",
+    "Cors": "Cross-origin resource sharing configuration.", "HealthCheck": "A health-check probe or endpoint.", "Logging": "A logging / audit mechanism.", "Messaging": "A messaging or event-bus integration.",
+    "BackgroundJob": "A background-job or scheduling mechanism.", "Middleware": "A stage in the HTTP request pipeline.", "Authorization": "Authorization policy configuration.",
+    "Command": "A CQRS command (a state-changing request).", "Query": "A CQRS query (a read request).", "Event": "A domain event / notification.", "Handler": "Handles a CQRS request or event.",
+    "Validator": "Validates a request/model (FluentValidation).", "MessageBroker": "A message broker / transport (RabbitMQ, Service Bus, SQS, Kafka, …).", "Consumer": "Consumes messages from the broker.",
+    "Message": "A message/event sent over the broker.", "DataAccess": "A data-access approach (EF Core, Dapper, ADO.NET, MongoDB, …).", "Filter": "An MVC filter (authorization / action / exception / result).",
+    "Resilience": "A resilience policy (retry, circuit-breaker).", "Vulnerability": "A security finding — e.g. a hardcoded credential detected in a config or pipeline file."}
+ANY_ROLE = "A tracked element of the application."
+
+
+def roles(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``role``: what their kind is for, or a general word for other kinds."""
+    table = nodes.sparkSession.createDataFrame(list(ROLES.items()), "kind string, role string")
+    return nodes.join(F.broadcast(table), "kind", "left").withColumn("role", F.coalesce("role", F.lit(ANY_ROLE)))
+
+
 def endpoints_by_owner(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(owner, endpoint, verb, route, place): each endpoint under the first node that exposes it, else General."""
     ends = of_kind(nodes, "Endpoint")

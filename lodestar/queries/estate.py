@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import graph, resolve, runs, validate
+from lodestar.operators import graph, merge, reports, resolve, runs, validate
 from lodestar.operators import snapshots as S
 from lodestar.plans.starmap import STAR_SQL, Star
 from lodestar.queries.registry import query
@@ -75,6 +75,22 @@ def read_commits(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", commit_or_working_copy(said).alias("commit"))
 
 
+@query(STAR_SQL + "select identity, kind, case kind when 'Repository' then 'Provides data access for a domain type.' else 'A tracked element of the application.' end as role from nodes")
+def kind_roles(spark, sf_dir):
+    return reports.roles(Star(spark, sf_dir).nodes().select("identity", "kind"))
+
+
+@query(STAR_SQL + """select count_if(kind = 'Customer') as "Customer", count_if(kind = 'Order') as "Order", count_if(kind = 'Nothing') as "Nothing" from nodes""")
+def scalar_counts(spark, sf_dir):
+    return reports.counts(Star(spark, sf_dir).nodes(), "Customer", "Order", "Nothing")
+
+
+@query(STAR_SQL + """, n as (select identity, len(string_split(split_part(identity, '://', 2), '/')) as depth, length(identity) as size from nodes)
+select identity from n order by depth desc, size desc, identity limit 25""")
+def most_specific_first(spark, sf_dir):
+    return merge.by_specificity(Star(spark, sf_dir).nodes().withColumn("seq", F.col("identity"))).limit(25).select("identity")
+
+
 # ---- joins ---------------------------------------------------------------------------------
 
 

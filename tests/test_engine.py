@@ -176,3 +176,54 @@ def test_edges_keep_their_evidence(spark):
     found = spark.createDataFrame([(2, "T", "a", "b", [("f2",)], 0.5), (1, "T", "a", "b", [("f1",)], 0.5), (3, "T", "a", "a", [], 1.0)], "seq long, type string, from_id string, to_id string, evidence array<struct<file:string>>, confidence double")
     rows = merge.merged_edges(found).collect()
     assert len(rows) == 1 and [e.file for e in rows[0].evidence] == ["f1", "f2"] and rows[0].confidence == pytest.approx(0.75)
+
+
+def test_estate_files(spark):
+    said = """# the estate
+applications:
+  - name: Shop   # with a comment
+    repos: [https://host/a.git#dev, /local/b]
+    children:
+      - Api
+    skipIfUnchanged: true
+    unknown: 1
+  - name: "Api"
+    repos:
+    - https://host/c.git
+  - repos: [x]
+"""
+    rows = {r["name"]: r for r in config.load_applications(spark, said).collect()}
+    assert rows["Shop"].repos == ["https://host/a.git#dev", "/local/b"] and rows["Shop"].children == ["Api"] and rows["Shop"].skip_if_unchanged
+    assert rows["Api"].repos == ["https://host/c.git"] and not rows["Api"].force and set(rows) == {"Shop", "Api"}
+    assert config.load_applications(spark, '{ // json\n "applications": [{"name": "J", "repos": [], }] }').count() == 1
+    assert config.read_yaml("") == {}
+
+
+def test_providers():
+    from lodestar.plans import providers
+
+    waited, tries = [], []
+
+    def busy(prompt):
+        tries.append(prompt)
+        raise providers.Refused(429, 9000 if len(tries) == 1 else None)
+
+    def never(prompt):
+        raise providers.Refused(401)
+
+    got = providers.rewrite("plain", "p", "b", {"a": lambda p: "said " + p, "b": busy}, waited.append)
+    assert got.text == "said p" and got.provider == "a" and waited == [3000, 1000, 2000] and len(tries) == 4
+    assert providers.rewrite("plain", "p", "Auto", {"x": never, "y": lambda p: " "}) == providers.Rewritten("plain", None, (("x", "status 401"), ("y", "empty answer")))
+    assert providers.rewrite("plain", "p", "Auto", {}).text == "plain"
+
+
+def test_sources_and_files(spark, tmp_path):
+    (tmp_path / "tree/src").mkdir(parents=True)
+    (tmp_path / "tree/node_modules").mkdir()
+    for name, text in (("src/a.ts", "x"), ("src/a.spec.ts", "x"), ("node_modules/b.ts", "x"), ("README.md", "r" * 30), ("CLAUDE.md", "c")):
+        (tmp_path / "tree" / name).write_text(text)
+    files = repositories.read_files(spark, str(tmp_path / "tree"))
+    assert {r.path for r in files.collect()} == {"src/a.ts", "src/a.spec.ts", "README.md", "CLAUDE.md"}
+    assert [r.path for r in repositories.sources(files).collect()] == ["src/a.ts"]
+    assert tuple(repositories.notes(files, 10).first()) == ("README.md", "r" * 10 + "\n…")
+    assert repositories.notes(files.where("false")).count() == 0
