@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: So many short rows may be sent to all.
+FEW_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,14 +21,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where ``spark.checkpoint.dir`` is unset (local tests) a temporary one is chosen."""
+    """The session's checkpoint folder; where ``spark.checkpoint.dir`` is unset, a temporary one in local mode and an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestar-"))
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one, deleted when the driver's process ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, folder)
+    return folder
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more; a session that has ended is no error."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001
+        return
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` to be sent to all if they are no more than FEW_ROWS short ones, else to be joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
     gc.collect()
@@ -40,9 +70,16 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on Python workers get at most so many rows at once: whole texts, so memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What is run inside gives Python workers at most so many rows at once: whole texts, so memory stays bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def shuffle_width(spark: SparkSession) -> int:
