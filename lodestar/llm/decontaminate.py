@@ -7,6 +7,8 @@ further than e apart. Shared q-grams are therefore counted in diagonal bands of
 e + 1 that overlap by half; bands that reach the bound are verified by an alignment that is
 confined to the band.
 
+Items of fewer than q characters have no q-gram; they are sought exactly, as whole words.
+
 The patterns' q-grams go to the workers in blocks of at most ``BLOCK_GRAMS``, each a pass of its
 own, so what is broadcast has a fixed bound however large the benchmark is.
 """
@@ -29,6 +31,9 @@ WHOLE = 150
 BLOCK_GRAMS = 500_000
 #: Up to so many characters of texts are searched at once.
 BLOCK_CHARS = 1 << 20
+#: Longer texts are searched in overlapping parts of so many characters, so many shared q-grams at a time.
+PART_CHARS = 1 << 20
+OCCURRENCES = 2_000_000
 BITMAP_LOG2 = 22
 _P = 0x9E3779B97F4A7C15 | 1
 
@@ -63,10 +68,17 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Patterns:
-    """One block of patterns with its q-gram index."""
+    """One block of patterns with its q-gram index, and the (item, text) of items too short for it."""
 
-    def __init__(self, items: list[int], texts: list[str], q: int = Q, rate: float = ERROR_RATE):
+    def __init__(self, items: list[int], texts: list[str], q: int = Q, rate: float = ERROR_RATE, short: list[tuple[int, str]] = ()):
         self.items, self.texts, self.q = items, texts, q
+        self.of_item: dict[int, list[str]] = {}
+        for item, text in zip(items, texts):
+            self.of_item.setdefault(item, []).append(text)
+        #: short texts by their number of words, with their items
+        self.short: dict[int, dict[str, list[int]]] = {}
+        for item, text in short:
+            self.short.setdefault(text.count(" ") + 1, {}).setdefault(text, []).append(item)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.sizes = sizes
         #: the edit budget, no more than leaves one q-gram to count
@@ -83,37 +95,55 @@ class Patterns:
         self.bitmap = np.zeros(1 << BITMAP_LOG2, dtype=bool)
         self.bitmap[(self.keys >> np.uint64(64 - BITMAP_LOG2)).astype(np.int64)] = True
 
-    def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pattern, first diagonal) of every band that reaches its pattern's bound."""
-        empty = np.zeros(0, dtype=np.int64)
+    def candidates(self, text: np.ndarray):
+        """(pattern, first diagonal) of every band that reaches its pattern's bound, in pieces of bounded size."""
+        if not len(self.keys):
+            return
+        overlap = int(self.sizes.max() + 2 * self.width.max()) + self.q
+        for begin in range(0, max(len(text), 1), PART_CHARS):
+            for pattern, diagonal in self._bands(text[begin : begin + PART_CHARS + overlap]):
+                yield pattern, diagonal + begin
+
+    def _bands(self, text: np.ndarray):
         h = gram_hashes(text, self.q)
         at = np.nonzero(self.bitmap[(h >> np.uint64(64 - BITMAP_LOG2)).astype(np.int64)])[0]
         if not len(at):
-            return empty, empty
+            return
         key = np.searchsorted(self.keys, h[at])
         key = np.minimum(key, len(self.keys) - 1)
         real = self.keys[key] == h[at]
         at, key = at[real], key[real]
-        found_p, found_d = [], []
         total = np.cumsum(self.count[key])
+        span = int(len(text) + self.sizes.max() + 2)
+        held, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         begin = 0
         while begin < len(at):  # so many occurrences at a time as fit
-            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 4_000_000, side="right")))
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + OCCURRENCES, side="right")))
             n = self.count[key[begin:end]]
             where = np.repeat(at[begin:end], n)
             listed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[key[begin:end]], n)
-            found_p.append(self.owner[listed])
-            found_d.append(where - self.place[listed])
-            begin = end
-        pattern, diagonal = np.concatenate(found_p), np.concatenate(found_d)
-        band = (diagonal + self.sizes[pattern]) // self.width[pattern]
-        span = int((len(text) + self.sizes.max()) // 1 + 2)
-        both = np.concatenate([pattern * span + band, pattern * span + np.maximum(band - 1, 0)])
-        both, n = np.unique(both, return_counts=True)
-        pattern, band = both // span, both % span
-        kept = n >= self.bound[pattern]
-        pattern, band = pattern[kept], band[kept]
-        return pattern, band * self.width[pattern] - self.sizes[pattern]
+            pattern = self.owner[listed]
+            band = (where - self.place[listed] + self.sizes[pattern]) // self.width[pattern]
+            new, n = np.unique(np.concatenate([pattern * span + band, pattern * span + np.maximum(band - 1, 0)]), return_counts=True)
+            every, of = np.unique(np.concatenate([held, new]), return_inverse=True)
+            counts = np.bincount(of, weights=np.concatenate([counts, n]), minlength=len(every)).astype(np.int64)
+            pattern, band = every // span, every % span
+            # what follows is on later diagonals: bands before them are complete
+            done = np.ones(len(every), dtype=bool) if end == len(at) else band < at[end] // self.width[pattern] - 1
+            good = done & (counts >= self.bound[pattern])
+            if good.any():
+                yield pattern[good], band[good] * self.width[pattern[good]] - self.sizes[pattern[good]]
+            held, counts, begin = every[~done], counts[~done], end
+
+    def short_matches(self, text: str) -> list[tuple[int, int, int]]:
+        """(item, 0, end) of the short items that stand in a normal text as whole words."""
+        found = []
+        if self.short:
+            words, framed = text.split(" "), f" {text} "
+            for n, known in self.short.items():
+                here = known.keys() & (words if n == 1 else map(" ".join, zip(*(words[k:] for k in range(n)))))
+                found += [(item, 0, framed.index(f" {t} ") + len(t)) for t in here for item in known[t]]
+        return sorted(found)
 
     def verify(self, text: np.ndarray, pattern: int, diagonal: int) -> tuple[int, int] | None:
         """(edits, end in the text) of the best alignment within the band, if within the budget."""
@@ -143,24 +173,28 @@ def banded(pattern: np.ndarray, text: np.ndarray, diagonal: int, width: int, edi
 
 
 def patterns(items: list[tuple[int, str]]) -> list[Patterns]:
-    """The benchmark's patterns in blocks of bounded size; items of fewer than Q characters have none."""
-    blocks, ids, texts, held = [], [], [], 0
+    """The benchmark's patterns in blocks of bounded size; items without characters have none."""
+    blocks, ids, texts, short, held = [], [], [], [], 0
     for item, text in items:
         t = normal(text)
-        if len(t) < Q:
+        if not t:
             continue
-        pieces = [t] if len(t) <= WHOLE else [t[-2 * WINDOW : -WINDOW]]
+        if len(t) < Q:
+            short.append((item, t))
+            pieces = []
+        else:
+            pieces = [t] if len(t) <= WHOLE else [t[-2 * WINDOW : -WINDOW]]
         if len(t) > WINDOW:
             pieces += [t[s : s + WINDOW] for s in [*range(0, len(t) - WINDOW, STRIDE), len(t) - WINDOW]]
         for piece in pieces:
             ids.append(item)
             texts.append(piece)
-            held += len(piece)
-            if held >= BLOCK_GRAMS:
-                blocks.append(Patterns(ids, texts))
-                ids, texts, held = [], [], 0
-    if texts:
-        blocks.append(Patterns(ids, texts))
+        held += sum(map(len, pieces)) or Q
+        if held >= BLOCK_GRAMS:
+            blocks.append(Patterns(ids, texts, short=short))
+            ids, texts, short, held = [], [], [], 0
+    if held:
+        blocks.append(Patterns(ids, texts, short=short))
     return blocks
 
 
@@ -176,20 +210,25 @@ def matches(block: Patterns, texts: list[str]) -> list[list[tuple[int, int, int]
         every = codes("\0".join(texts[at:end]))
         sizes = np.array([len(t) + 1 for t in texts[at:end]], dtype=np.int64)
         ends = np.cumsum(sizes)
-        pattern, diagonal = block.candidates(every)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for p, d in zip(pattern.tolist(), diagonal.tolist()):
-            middle = d + int(block.sizes[p]) // 2 + int(block.width[p])
-            for k in {int(np.searchsorted(ends, x, side="right")) for x in (max(0, d + int(block.width[p])), max(0, middle), max(0, d + int(block.sizes[p])))}:
-                if k >= len(sizes):
-                    continue
-                begin = int(ends[k] - sizes[k])
-                key = (k, block.items[p])
-                if best.get(key, (1,))[0] == 0:
-                    continue
-                got = block.verify(every[begin : int(ends[k]) - 1], p, d - begin)
-                if got and (key not in best or got < best[key]):
-                    best[key] = got
+        for pattern, diagonal in block.candidates(every):
+            for p, d in zip(pattern.tolist(), diagonal.tolist()):
+                middle = d + int(block.sizes[p]) // 2 + int(block.width[p])
+                for k in {int(np.searchsorted(ends, x, side="right")) for x in (max(0, d + int(block.width[p])), max(0, middle), max(0, d + int(block.sizes[p])))}:
+                    if k >= len(sizes):
+                        continue
+                    begin = int(ends[k] - sizes[k])
+                    key = (k, block.items[p])
+                    if best.get(key, (1,))[0] == 0:
+                        continue
+                    got = block.verify(every[begin : int(ends[k]) - 1], p, d - begin)
+                    if got and (key not in best or got < best[key]):
+                        best[key] = got
+        for (k, item), (edits, _) in best.items():
+            if edits == 0:  # the first of its exact quotes
+                best[k, item] = 0, min(x + len(p) for p in block.of_item[item] if (x := texts[at + k].find(p)) >= 0)
+        for k in range(at, end):
+            out[k] += block.short_matches(texts[k])
         for (k, item), (edits, stop) in sorted(best.items(), key=lambda x: (x[0][0], x[1][0], x[0][1])):
             out[at + k].append((item, edits, stop))
         at = end
@@ -213,8 +252,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, text_end): a row for every row of ``docs`` and item that it quotes.
 
     ``text_end`` is where the quote ends in the normalised text. Null texts and items quote
-    nothing, nor do items of fewer than Q characters; repeated rows are found each time; an empty
-    table on either side gives an empty result.
+    nothing; items of fewer than Q characters count where they stand as whole words; repeated rows
+    are found once a doc_id; an empty table on either side gives an empty result. Long texts are
+    searched whole, in parts of bounded size.
     """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, edits long, text_end long"
     out = spark.createDataFrame([], schema)
