@@ -2,7 +2,9 @@
 
 A text's UTF-8 bytes, padded with blanks to whole rows of 64 RGB pixels, become an image of 64
 columns; more than 64 rows become the frames of an animation, strip by strip, so images of any
-size decode in parallel lanes of bounded memory.
+size decode in parallel lanes of bounded memory. Every strip is written with the colour cache, palette,
+predictor, cross-colour or subtract-green transform that its pixels ask for, if any. The files are
+stored as a table in the shared folder and read back from there.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import webp
-from lodestar.llm.shared import read
+from lodestar.llm.shared import read, scratch
 
 ROW = 192
 WIDTH = 64
@@ -59,7 +61,7 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         counts.append(len(cut))
     streams = []
     for at in range(0, len(strips), webp.MAX_LANES):
-        streams += webp.encode_images(strips[at : at + webp.MAX_LANES])
+        streams += webp.encode_best(strips[at : at + webp.MAX_LANES])
     out, at = [], 0
     for n in counts:
         out.append(webp.wrap(streams[at : at + n], WIDTH, [len(s) for s in strips[at : at + n]]))
@@ -89,7 +91,11 @@ def describe(argb: np.ndarray) -> str:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) for every row of (doc_id, text); null text is empty."""
+    """(doc_id, n_bytes, media) for every row of (doc_id, text).
+
+    Null text is empty, an empty text one row of blanks; a text of any length is one file; repeated
+    rows have equal files; no other column is looked at; an empty table gives an empty one.
+    """
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
@@ -101,7 +107,11 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def load(media: DataFrame) -> DataFrame:
-    """The digest of every stored row, computed from what its file decodes to. Equal texts, equal values."""
+    """The digest of every row of (doc_id, n_bytes, media), computed from what its file decodes to.
+
+    Equal files give equal values, repeated rows are repeated, a null doc_id stays null; a file that is no lossless
+    WebP is an error.
+    """
     def run(batches):
         for batch in batches:
             files, sizes = batch.column(2).to_pylist(), batch.column(1).to_pylist()
@@ -117,4 +127,6 @@ def load(media: DataFrame) -> DataFrame:
 
 
 def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(store(read(spark, sf_dir, "documents")))
+    folder = scratch(spark, "media")
+    store(read(spark, sf_dir, "documents")).write.option("compression", "none").parquet(folder)
+    return load(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(folder))

@@ -4,8 +4,9 @@ All images of a batch are lanes that advance together: one numpy step decodes th
 every lane (prefix codes, back-references, colour cache), and headers are read the same way. The
 predictor, cross-colour, subtract-green and palette transforms are then inverted image by image.
 
-Pixels are 32-bit ARGB numbers. ``encode_images`` writes literals and back-references, and on
-request a colour cache and any of the four transforms.
+Pixels are 32-bit ARGB numbers. ``encode_images`` writes literals and back-references, and as its
+caller says a colour cache and any of the four transforms; ``encode_best`` chooses for each image what
+makes it smallest by the entropy of its channels.
 """
 
 from __future__ import annotations
@@ -301,9 +302,17 @@ def _undo_predictor(argb: np.ndarray, bits: int, modes: np.ndarray) -> np.ndarra
     h, w = argb.shape
     v = _bytes4(argb).astype(np.int64)
     v[0, 0] = (v[0, 0] + [0, 0, 0, 255]) & 255
+    v[:, 0] = np.cumsum(v[:, 0], axis=0) & 255
+    used = np.unique(modes >> np.uint32(8) & np.uint32(15))
+    if len(used) == 1 and used[0] in (1, 2):  # all from the left, or all from above: running sums
+        axis = 2 - int(used[0])
+        if axis == 1:
+            return _argb(np.cumsum(v, axis=1) & 255)
+        v[0] = np.cumsum(v[0], axis=0) & 255
+        v[:, 1:] = np.cumsum(v[:, 1:], axis=0) & 255
+        return _argb(v)
     v[0] = np.cumsum(v[0], axis=0) & 255
     for y in range(1, h):
-        v[y, 0] = (v[y, 0] + v[y - 1, 0]) & 255
         for x in range(1, w):
             mode = int(modes[y >> bits, x >> bits] >> np.uint32(8) & np.uint32(15))
             right = v[y - 1, x + 1] if x + 1 < w else v[y, 0]
@@ -704,6 +713,80 @@ def encode_images(images: list[np.ndarray], cache_bits: int = 0, transforms: tup
     return [data for data, _ in _entropy_bits([x.ravel() for x in changed], [x.shape[1] for x in changed], cache_bits, writers, True)]
 
 
+#: What an image may be written with: the bits of its colour cache and its transforms.
+CACHE = 6
+PLANS = ((0, ()), (CACHE, ()), (0, ((PALETTE,),)), (0, ((SUBTRACT_GREEN,),)), (0, ((PREDICTOR, 1),)), (0, ((PREDICTOR, 2),)), (0, ((CROSS_COLOUR, 0xFF202020),)))
+#: A plan must promise to save such a share and so many bits, as its estimate and its own data have a cost.
+GAIN, LEAST_GAIN = 0.03, 256.0
+#: Of every so many rows one is looked at; a palette is counted where such a share of pixels is in the cache.
+EVERY, PALETTE_REPEATS = 8, 0.3
+
+
+def _entropies(of: np.ndarray, value: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The bits that each image's values take at least."""
+    counts = np.bincount(of * size + value, minlength=n * size).reshape(n, size).astype(np.float64)
+    total = counts.sum(axis=1)
+    return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1)
+
+
+def plan_costs(images: list[np.ndarray]) -> np.ndarray:
+    """(images, PLANS): the estimated bits of each image of one width by each plan, from every EVERY-th row."""
+    rows = [np.arange(len(x)) % EVERY == len(x) // 2 % EVERY if len(x) > EVERY else np.ones(len(x), dtype=bool) for x in images]
+    above = [np.concatenate([np.full((1, x.shape[1]), 0xFF000000, dtype=np.uint32), x[:-1]])[r] for x, r in zip(images, rows)]
+    some = [x[r] for x, r in zip(images, rows)]
+    n = len(images)
+    of = np.repeat(np.arange(n), [x.size for x in some])
+    grow = np.array([x.size / max(y.size, 1) for x, y in zip(images, some)])
+    now, top = np.concatenate(some), np.concatenate(above)
+    left = np.concatenate([top[:, :1], now[:, :-1]], axis=1)
+    now, top, left = now.ravel(), top.ravel(), left.ravel()
+    red, green, blue = ((now >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 8, 0))
+    out = np.full((n, len(PLANS)), np.inf)
+    bits = lambda *channels: sum(_entropies(of, c & 255, n, 256) for c in channels)
+    out[:, 0] = bits(red, green, blue)
+    slot = ((now * CACHE_HASH) >> np.uint32(32 - CACHE)).astype(np.int64)
+    order = np.argsort(of << CACHE | slot, kind="stable")
+    hit = np.zeros(len(now), dtype=bool)
+    hit[order[1:]] = (of[order][1:] == of[order][:-1]) & (now[order][1:] == now[order][:-1]) & (slot[order][1:] == slot[order][:-1])
+    miss = ~hit
+    out[:, 1] = _entropies(of, np.where(hit, 256 + slot, green), n, 256 + (1 << CACHE)) + sum(_entropies(of[miss], c[miss], n, 256) for c in (red, blue))
+    repeats = np.bincount(of, weights=hit, minlength=n) / np.maximum(np.bincount(of, minlength=n), 1)
+    for i in np.nonzero(repeats >= PALETTE_REPEATS)[0]:
+        x = images[i]
+        if x.size >= 64:
+            colours, count = np.unique(x, return_counts=True)
+            if len(colours) <= 256:
+                out[i, 2] = (24.0 * len(colours) + x.size * np.log2(x.size) - (count * np.log2(count)).sum()) / grow[i]
+    out[:, 3] = bits(red - green, green, blue - green)
+    for k, near in ((4, left), (5, top)):
+        out[:, k] = bits(*(c - (near >> np.uint32(s) & np.uint32(255)).astype(np.int64) for c, s in ((red, 16), (green, 8), (blue, 0))))
+    turn = lambda x: _signed(x) * 32 >> 5
+    out[:, 6] = bits(red - turn(green), green, blue - turn(green) - turn(red))
+    return out * grow[:, None]
+
+
+def chosen_plans(images: list[np.ndarray]) -> np.ndarray:
+    """The plan of each image of one width."""
+    cost = plan_costs(images)
+    best = cost.argmin(axis=1)
+    save = cost[:, 0] - cost[np.arange(len(images)), best]
+    best[save < np.maximum(GAIN * cost[:, 0], LEAST_GAIN)] = 0
+    return best
+
+
+def encode_best(images: list[np.ndarray]) -> list[bytes]:
+    """VP8L streams of images of one width, each by the plan that its pixels ask for."""
+    if not images:
+        return []
+    best = chosen_plans(images)
+    out: list[bytes] = [b""] * len(images)
+    for k in np.unique(best):
+        own = np.nonzero(best == k)[0]
+        for i, data in zip(own, encode_images([images[i] for i in own], *PLANS[k])):
+            out[i] = data
+    return out
+
+
 # ---------------------------------------------------------------- files
 
 
