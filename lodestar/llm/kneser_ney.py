@@ -13,7 +13,12 @@ sorted hash arrays with their counts, in a memory-mapped file that answers by bi
    the shards report (a few numbers each), and every document is summed up.
 
 Only different n-grams travel, once for each flush however frequent they are, so neither frequent
-words nor copies load one task; shards are even because keys are hashes.
+words nor copies load one task; shards are even because keys are hashes. Counts are whole 64-bit numbers;
+keys travel as differences, and all numbers byte by byte, so that zeros cost next to nothing.
+
+The shards write their sorted hash arrays down with their answers. ``store`` keeps them as a model in a
+folder, and ``apply`` scores other documents with it: each worker maps the arrays of the shards that it is
+given and looks up what the documents' flushes ask for.
 """
 
 from __future__ import annotations
@@ -129,15 +134,31 @@ class Tokens:
         return np.searchsorted((keys >> _U(32)) * _U(shards) >> _U(32), np.arange(shards + 1, dtype=np.uint64))
 
 
-def six(keys: np.ndarray) -> bytes:
-    """The lower six bytes of each key: with its shard they tell it from others."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+LOW = _U((1 << 48) - 1)
+
+
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, byte by byte, compressed."""
+    n = len(columns[0])
+    planes = np.stack([c.astype("<i8") for c in columns]).view(np.uint8).reshape(len(columns), n, 8).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze(data: bytes, columns: int) -> np.ndarray:
+    """(columns, n) numbers of ``squeeze``."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[..., 0]
+
 
+def squeeze_list(keys: np.ndarray, *values: np.ndarray) -> bytes:
+    """A sorted list of keys, of which the lower six bytes tell it from others of the shard, with values."""
+    return squeeze(np.diff((keys & LOW).view(np.int64), prepend=0), *values)
 
-def unsix(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(-1, 6)
-    return out.view("<u8").ravel()
+
+def unsqueeze_list(data: bytes, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, (values, n)) of ``squeeze_list``."""
+    found = unsqueeze(data, 1 + values)
+    return np.cumsum(found[0]).view(np.uint64) & LOW, found[1:]
 
 
 # ---------------------------------------------------------------- shards
@@ -156,24 +177,29 @@ def mapped(keys: np.ndarray, *values: np.ndarray):
         del table
 
 
-def _lists(table: pa.Table, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(keys, (n, width) values) of every flush's list."""
-    unpack, keys, values = zstandard.ZstdDecompressor(), [], []
-    for blob in table.column("blob").to_pylist():
-        data = unpack.decompress(blob)
-        n = len(data) // (6 + 4 * width)
-        keys.append(unsix(data, n))
-        values.append(np.frombuffer(data, "<u4", width * n, 6 * n).reshape(width, n).T.astype(np.int64))
-    return keys, values
+#: Under these flush numbers a shard writes what it reports and its sorted arrays.
+REPORT, ARRAYS = -1, -2
+
+
+def _lists(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(keys of every flush's list, (width, all) values)."""
+    found = [unsqueeze_list(blob, width) for blob in table.column("blob").to_pylist()]
+    return [k for k, _ in found], np.concatenate([v for _, v in found], axis=1)
 
 
-def _answer(table: pa.Table, blobs: list[bytes], shard: int, stats: list[int]) -> pa.Table:
-    """The answers, and under flush -1 what the shard reports."""
-    squeeze = zstandard.ZstdCompressor(level=1)
+def _sums(of: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Whole sums by group."""
+    out = np.zeros(n, dtype=np.int64)
+    np.add.at(out, of, value)
+    return out
+
+
+def _answer(table: pa.Table, blobs: list[bytes], shard: int, stats: list[int], arrays: bytes) -> pa.Table:
+    """The answers, what the shard reports and its sorted arrays."""
     return pa.table({
-        "shard": pa.array([shard] * (len(blobs) + 1), type=pa.int32()),
-        "flush": pa.array([*table.column("flush").to_pylist(), -1], type=pa.int64()),
-        "blob": pa.array([*map(squeeze.compress, blobs), np.array(stats, dtype="<i8").tobytes()], type=pa.binary())})
+        "shard": pa.array([shard] * (len(blobs) + 2), type=pa.int32()),
+        "flush": pa.array([*table.column("flush").to_pylist(), REPORT, ARRAYS], type=pa.int64()),
+        "blob": pa.array([*blobs, np.array(stats, dtype="<i8").tobytes(), arrays], type=pa.binary())})
 
 
 def _of_counts(counts: np.ndarray) -> list[int]:
@@ -182,35 +208,48 @@ def _of_counts(counts: np.ndarray) -> list[int]:
 
 def _bigram_shard(key, table):
     keys, values = _lists(table, 1)
-    every, count = np.concatenate(keys), np.concatenate(values)[:, 0]
+    every, count = np.concatenate(keys), values[0]
     known, of = np.unique(every, return_inverse=True)
-    total = np.bincount(of, weights=count, minlength=len(known)).astype(np.int64)
+    total = _sums(of, count, len(known))
     owner = np.full(len(known), len(every))
     has = np.nonzero(count)[0]
     np.minimum.at(owner, of[has], has)
     blobs, at = [], 0
-    with mapped(known, total, owner) as (sorted_keys, (totals, owners)):
-        for k in keys:
-            place = np.searchsorted(sorted_keys, k)
-            mine = owners[place] == np.arange(at, at + len(k))
-            blobs.append((totals[place] << 1 | mine).astype("<u4").tobytes())
-            at += len(k)
-    return _answer(table, blobs, key[0].as_py(), _of_counts(total))
+    for k in keys:
+        place = of[at : at + len(k)]
+        blobs.append(squeeze(total[place] << 1 | (owner[place] == np.arange(at, at + len(k)))))
+        at += len(k)
+    return _answer(table, blobs, key[0].as_py(), _of_counts(total), squeeze_list(known, total))
 
 
 def _word_shard(key, table):
     keys, values = _lists(table, 5)
-    every, value = np.concatenate(keys), np.concatenate(values)
-    known, of = np.unique(every, return_inverse=True)
-    sums = [np.bincount(of, weights=value[:, k], minlength=len(known)).astype(np.int64) for k in range(5)]
-    blobs = []
-    with mapped(known, *sums) as (sorted_keys, columns):
-        for k in keys:
-            place = np.searchsorted(sorted_keys, k)
-            blobs.append(np.concatenate([c[place] for c in columns]).astype("<u4").tobytes())
+    known, of = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.stack([_sums(of, v, len(known)) for v in values])
+    blobs, at = [], 0
+    for k in keys:
+        blobs.append(squeeze(*sums[:, of[at : at + len(k)]]))
+        at += len(k)
     token = known != int(BEGIN) & (1 << 48) - 1
     count, follows = sums[0][token], sums[1][token]
-    return _answer(table, blobs, key[0].as_py(), [int(count.sum()), int((count > 0).sum()), int(follows.sum()), *_of_counts(follows), int((follows > 2).sum())])
+    return _answer(table, blobs, key[0].as_py(), [int(count.sum()), int((count > 0).sum()), int(follows.sum()), *_of_counts(follows), int((follows > 2).sum())], squeeze_list(known, *sums))
+
+
+def _look_up(width: int):
+    """What a worker does with a shard of a stored model and the keys that flushes ask for: map, search, answer."""
+    def run(key, asked, stored):
+        arrays = [unsqueeze_list(blob, width) for blob in stored.column("blob").to_pylist()]
+        keys, values = arrays[0] if arrays else (np.zeros(0, dtype=np.uint64), np.zeros((width, 0), dtype=np.int64))
+        blobs = []
+        with mapped(keys, *values) as (sorted_keys, columns):
+            for blob in asked.column("blob").to_pylist():
+                k, _ = unsqueeze_list(blob, 0)
+                place = np.minimum(np.searchsorted(sorted_keys, k), max(len(sorted_keys) - 1, 0))
+                there = sorted_keys[place] == k if len(sorted_keys) else np.zeros(len(k), dtype=bool)
+                found = [np.where(there, c[place], 0) if len(sorted_keys) else np.zeros(len(k), dtype=np.int64) for c in columns]
+                blobs.append(squeeze(found[0] << 1) if width == 1 else squeeze(*found))
+        return pa.table({"shard": asked.column("shard"), "flush": asked.column("flush"), "blob": pa.array(blobs, type=pa.binary())})
+    return run
 
 
 # ---------------------------------------------------------------- model
@@ -240,70 +279,72 @@ class Model:
         return np.where(context > 0, high + gamma * low, low)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of (doc_id, text).
+def _sent(flush: int, keys: np.ndarray, values: list[np.ndarray], shards: int):
+    cut = Tokens.bounds(keys, shards)
+    here = [s for s in range(shards) if cut[s + 1] > cut[s]]
+    blobs = [squeeze_list(keys[cut[s] : cut[s + 1]], *[v[cut[s] : cut[s + 1]] for v in values]) for s in here]
+    return pa.RecordBatch.from_arrays([pa.array(here, type=pa.int32()), pa.array([flush] * len(here), type=pa.int64()), pa.array(blobs, type=pa.binary())], names=["shard", "flush", "blob"])
 
-    Rows whose crc32(doc_id as text) mod 7 is 2 teach nothing. Null and empty texts are their end
-    token alone; a row without doc_id is trained on; repeated rows count each time. Without any
-    training row all words are unknown and equally likely. An empty table gives an empty result.
-    """
-    flushes = durable(pack(docs, FLUSH_BYTES))
-    size = flushes.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(4, -(-3 * size // SHARD_BYTES))
-
-    def sent(flush: int, keys: np.ndarray, values: list[np.ndarray]):
-        squeeze, cut = zstandard.ZstdCompressor(level=1), Tokens.bounds(keys, shards)
-        here = [s for s in range(shards) if cut[s + 1] > cut[s]]
-        blobs = [squeeze.compress(six(keys[cut[s] : cut[s + 1]]) + b"".join(v[cut[s] : cut[s + 1]].astype("<u4").tobytes() for v in values)) for s in here]
-        return pa.RecordBatch.from_arrays([pa.array(here, type=pa.int32()), pa.array([flush] * len(here), type=pa.int64()), pa.array(blobs, type=pa.binary())], names=["shard", "flush", "blob"])
-
-    def answers(blobs: list[bytes], width: int) -> np.ndarray:
-        unpack = zstandard.ZstdDecompressor()
-        got = [np.frombuffer(unpack.decompress(b), dtype="<u4").reshape(width, -1) for b in blobs]
-        return np.concatenate(got, axis=1).astype(np.int64) if got else np.zeros((width, 0), dtype=np.int64)
-
-    def with_answers(asked: DataFrame, *kinds: tuple[str, DataFrame]) -> DataFrame:
-        for name, frame in kinds:
-            one = frame.where("flush >= 0").groupBy("flush").agg(F.sort_array(F.collect_list(F.struct("shard", "blob"))).alias(name)).select("flush", F.col(f"{name}.blob").alias(name))
-            asked = asked.join(one, "flush", "left")
-        return asked
-
-    def reported(frame: DataFrame, width: int) -> list[int]:
-        rows = frame.where("flush < 0").select("blob").toLocalIterator()  # a few numbers a shard
-        total = np.zeros(width, dtype=np.int64)
-        for row in rows:
-            total += np.frombuffer(row[0], dtype="<i8")
-        return total.tolist()
 
+def _answers(blobs: list[bytes], width: int) -> np.ndarray:
+    """(width, n): the shards' answers to a flush, in the order of its keys."""
+    return np.concatenate([unsqueeze(b, width) for b in blobs], axis=1) if blobs else np.zeros((width, 0), dtype=np.int64)
+
+
+def _with_answers(asked: DataFrame, *kinds: tuple[str, DataFrame]) -> DataFrame:
+    for name, frame in kinds:
+        one = frame.where("flush >= 0").groupBy("flush").agg(F.sort_array(F.collect_list(F.struct("shard", "blob"))).alias(name)).select("flush", F.col(f"{name}.blob").alias(name))
+        asked = asked.join(one, "flush", "left")
+    return asked
+
+
+def _reported(frame: DataFrame, width: int) -> list[int]:
+    total = np.zeros(width, dtype=np.int64)
+    for row in frame.where(F.col("flush") == REPORT).select("blob").toLocalIterator():  # a few numbers a shard
+        total += np.frombuffer(row[0], dtype="<i8")
+    return total.tolist()
+
+
+def _counted(flushes: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """The shards' answers, reports and arrays for bigrams and for words."""
     def send_bigrams(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 t = Tokens(row["ids"], row["sizes"], row["text"])
-                yield sent(row["flush"], t.bigram, [t.bigram_count])
+                yield _sent(row["flush"], t.bigram, [t.bigram_count], shards)
 
     bigrams = durable(flushes.mapInArrow(send_bigrams, EXCHANGE).groupBy("shard").applyInArrow(_bigram_shard, EXCHANGE))
-    free_shuffles(docs.sparkSession)
+    free_shuffles(flushes.sparkSession)
 
     def send_words(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 t = Tokens(row["ids"], row["sizes"], row["text"])
-                got = answers(row["bigrams"], 1)[0]
+                got = _answers(row["bigrams"], 1)[0]
                 count, own = got >> 1, (got & 1) == 1
                 n = len(t.word)
                 tally = lambda which, who: np.bincount(who[own & which], minlength=n)
-                yield sent(row["flush"], t.word, [t.word_count, tally(count > 0, t.right), tally(count == 1, t.left), tally(count == 2, t.left), tally(count > 2, t.left)])
+                yield _sent(row["flush"], t.word, [t.word_count, tally(count > 0, t.right), tally(count == 1, t.left), tally(count == 2, t.left), tally(count > 2, t.left)], shards)
+
+    words = durable(_with_answers(flushes, ("bigrams", bigrams)).mapInArrow(send_words, EXCHANGE).groupBy("shard").applyInArrow(_word_shard, EXCHANGE))
+    free_shuffles(flushes.sparkSession)
+    return bigrams, words
+
+
+def _flushes(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The flushes of ``docs`` and how many shards their n-grams ask for."""
+    flushes = durable(pack(docs, FLUSH_BYTES))
+    size = flushes.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return flushes, max(4, -(-3 * size // SHARD_BYTES))
 
-    words = durable(with_answers(flushes, ("bigrams", bigrams)).mapInArrow(send_words, EXCHANGE).groupBy("shard").applyInArrow(_word_shard, EXCHANGE))
-    free_shuffles(docs.sparkSession)
-    model = Model(reported(bigrams, 4), reported(words, 8))
 
+def _finished(flushes: DataFrame, bigrams: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     def finish(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 t = Tokens(row["ids"], row["sizes"], row["text"])
-                count = answers(row["bigrams"], 1)[0] >> 1
-                total, follows, once, twice, more = answers(row["words"], 5)
+                count = _answers(row["bigrams"], 1)[0] >> 1
+                total, follows, once, twice, more = _answers(row["words"], 5)
                 p = model.probability(count, follows[t.right], total[t.left], once[t.left], twice[t.left], more[t.left])
                 per_token = np.log10(p)[t.bigram_of]
                 base = np.log10((total + 1) / (model.tokens + model.vocabulary + 1))[t.token_of]
@@ -315,7 +356,43 @@ def score(docs: DataFrame) -> DataFrame:
                     pa.array(t.names, type=pa.int64()), pa.array(t.held_out), pa.array(t.n_tokens.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(n, model.tokens, dtype=np.int64)),
                     pa.array(sums[1]), pa.array(sums[2]), pa.array(10 ** (-sums[2] / t.n_tokens))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return with_answers(flushes, ("bigrams", bigrams), ("words", words)).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return _with_answers(flushes, ("bigrams", bigrams), ("words", words)).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of (doc_id, text).
+
+    Rows whose crc32(doc_id as text) mod 7 is 2 teach nothing. Null and empty texts are their end
+    token alone; a row without doc_id is trained on; repeated rows count each time. Without any
+    training row all words are unknown and equally likely. An empty table gives an empty result.
+    """
+    flushes, shards = _flushes(docs)
+    bigrams, words = _counted(flushes, shards)
+    return _finished(flushes, bigrams, words, Model(_reported(bigrams, 4), _reported(words, 8)))
+
+
+def store(docs: DataFrame, folder: str) -> None:
+    """The model of ``docs`` in ``folder``: each shard's sorted hash arrays and reports; the counts are whole."""
+    flushes, shards = _flushes(docs)
+    for name, frame in zip(("bigrams", "words"), _counted(flushes, shards)):
+        frame.where("flush < 0").withColumn("shards", F.lit(shards)).write.option("compression", "none").parquet(f"{folder}/{name}")
+
+
+def apply(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """What ``score`` gives, for other documents and with the model that ``store`` left in ``folder``."""
+    stored = [spark.read.parquet(f"{folder}/{name}") for name in ("bigrams", "words")]
+    shards = int(stored[0].agg(F.max("shards")).first()[0] or 4)
+    flushes, _ = _flushes(docs)
+
+    def ask(which: str):
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield _sent(row["flush"], getattr(Tokens(row["ids"], row["sizes"], row["text"]), which), [], shards)
+        return flushes.mapInArrow(run, EXCHANGE).groupBy("shard")
+
+    found = [durable(ask(which).cogroup(frame.where(F.col("flush") == ARRAYS).select("shard", "flush", "blob").groupBy("shard")).applyInArrow(_look_up(width), EXCHANGE)) for which, frame, width in (("bigram", stored[0], 1), ("word", stored[1], 5))]
+    return _finished(flushes, *found, Model(_reported(stored[0], 4), _reported(stored[1], 8)))
 
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
