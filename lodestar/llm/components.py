@@ -1,9 +1,10 @@
 """Connected components over a link table, by alternating large-star and small-star rounds.
 
 Every round is two small plans on the remaining links; links shrink to stars, so the number of
-rounds grows with the logarithm of the longest path. Hot nodes only meet a partial minimum and a
-sort-merge join that adaptive execution may split, never a per-node task, and no links go to the
-driver, not even for a broadcast.
+rounds grows with the logarithm of the longest path. A node's links are dealt by the node and a
+salt from their other end: a hot node's links are in as many tasks as there are salts, its minimum
+meets one row for each, and only these are joined with the links. No links go to the driver, not
+even for a broadcast.
 """
 
 from __future__ import annotations
@@ -14,22 +15,33 @@ from pyspark.sql import functions as F
 from lodestar.llm.shared import durable
 
 
+#: Parts of a node's links.
+SALTS = 64
+
+
 def _flipped(links: DataFrame) -> DataFrame:
     return links.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
+def _with_least(links: DataFrame, own: bool) -> DataFrame:
+    """(a, b, m): every link with the least neighbour of ``a``, ``a`` included if ``own``."""
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg((F.least(F.min("m"), F.col("a")) if own else F.min("m")).alias("m"))
+    told = parts.select("a", "salt").hint("merge").join(least, "a")
+    return salted.hint("merge").join(told, ["a", "salt"]).select("a", "b", "m")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node sends its larger neighbours to its least neighbour (itself included)."""
-    both = links.union(_flipped(links))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    met = _with_least(links.union(_flipped(links)), own=True)
+    return met.where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node sends itself and its smaller neighbours to the least of them; links have a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    met = _with_least(links, own=False)
+    return met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
 
 
 def _are_stars(links: DataFrame) -> bool:
