@@ -25,7 +25,8 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     that count as the assistant's (after its header, with the end mark), null where masked. Null
     roles speak as "unknown", null texts are empty, turns follow turn (null last), then role and
     text; equal rows are equal turns. A system role is no participant; a conversation without any
-    participant has no view. "<|" in texts and names is broken up so no turn can open a header.
+    participant has no view. "<|" in texts and names is broken up so no turn can open a header. Other
+    columns may have any names, texts any length; an empty table gives an empty result.
     """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

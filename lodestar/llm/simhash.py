@@ -197,8 +197,9 @@ def near_groups(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     Rows link when their fingerprints differ in at most two bits; component_id is the least doc_id
-    reachable. Null or empty text has fingerprint zero and links like any other; repeated rows
-    share a fingerprint; an empty table gives an empty result.
+    reachable, null where no row in reach has any. Null or empty text has fingerprint zero and links like any
+    other; repeated rows share a fingerprint; texts of any length count whole, other columns are not
+    looked at; an empty table gives an empty result.
     """
     fps = durable(fingerprints(docs, words))
     distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
