@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 FEW_ROWS = 200_000
 
 
+#: The sessions' folders, which are deleted when the driver's process ends.
+_OWN: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a temporary folder in local mode and an error on a cluster."""
     context = spark.sparkContext
@@ -21,7 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestar-"))
-    return context.getCheckpointDir()
+    own = context.getCheckpointDir()  # a folder of this session alone, within the one that was named
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_drop, spark, own)
+    return own
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -39,10 +47,9 @@ def _drop(spark: SparkSession, folder: str) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder, of which later plans read only the columns they need; deleted when the driver's process ends."""
+    """``df`` as Parquet in the shared folder, of which later plans read only the columns they need."""
     spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    atexit.register(_drop, spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
