@@ -20,6 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: The sessions' folders, which are deleted when the driver's process ends.
+_OWN: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; where ``spark.checkpoint.dir`` is unset, a temporary one in local mode and an error on a cluster."""
     context = spark.sparkContext
@@ -28,14 +32,16 @@ def shared_folder(spark: SparkSession) -> str:
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestar-"))
-    return context.getCheckpointDir()
+    own = context.getCheckpointDir()  # a folder of this session alone, within the one that was named
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(drop, spark, own)
+    return own
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder of the shared one, deleted when the driver's process ends."""
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(drop, spark, folder)
-    return folder
+    """A new folder of the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drop(spark: SparkSession, folder: str) -> None:
