@@ -34,15 +34,16 @@ def test_a_run_and_its_successors(spark, tree, tmp_path):
     pages = {r["path"]: r for r in Pages(store).read("Shop").collect()}
     assert "Order1 ||--o{ Line1" in pages["data.md"]["content"] and pages["data.md"]["version"] == 1
 
-    same = engine.run(spark, store, "Shop", tree, "s2", "2024-01-02 00:00:00", specs=some)
+    few = ("Overview", "Data")
+    same = engine.run(spark, store, "Shop", tree, "s2", "2024-01-02 00:00:00", specs=some, pages=few)
     assert same.status == "Completed" and same.version is None
 
     edited = tree.withColumn("text", F.when(F.col("path") == "p1/Core/Data1.cs", F.replace(F.col("text"), F.lit("public class Line1\n"), F.lit("public class Item1\n"))).otherwise(F.col("text")))
     changed = spark.createDataFrame([("repo1", "p1/Core/Data1.cs")], "repository string, file string")
-    third = engine.run(spark, store, "Shop", edited, "s3", "2024-01-03 00:00:00", changed=changed, specs=some)
+    third = engine.run(spark, store, "Shop", edited, "s3", "2024-01-03 00:00:00", changed=changed, specs=some, pages=few)
     assert third.version == 2
     after = store.latest("nodes", "Shop")
-    whole = engine.run(spark, Store(spark, str(tmp_path / "other")), "Shop", edited, "t1", "2024-01-03 00:00:00", specs=some)
+    whole = engine.run(spark, Store(spark, str(tmp_path / "other")), "Shop", edited, "t1", "2024-01-03 00:00:00", specs=some, pages=few)
     expected = Store(spark, str(tmp_path / "other")).latest("nodes", "Shop")
     assert whole.version == 1 and {r.identity for r in after.collect()} == {r.identity for r in expected.collect()}
     assert "node://app:Shop/repo:repo1/entity:Item1" in {r.identity for r in after.collect()}
