@@ -131,10 +131,20 @@ class Tokens:
 
     @staticmethod
     def bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-        return np.searchsorted((keys >> _U(32)) * _U(shards) >> _U(32), np.arange(shards + 1, dtype=np.uint64))
+        return np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
 
 
-LOW = _U((1 << 48) - 1)
+KEY_BITS = 48
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys >> _U(32)) * _U(shards) >> _U(32)
+
+
+def within(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Each key's place within its shard, in KEY_BITS bits: rising as the keys do, and together with the shard as telling as those bits and the shard."""
+    base = (shard_of(keys, shards) * _U(1 << 32) + _U(shards - 1)) // _U(shards) << _U(32)
+    return (keys - base) >> _U(max(0, 64 - KEY_BITS - (shards.bit_length() - 1)))
 
 
 def squeeze(*columns: np.ndarray) -> bytes:
@@ -150,15 +160,15 @@ def unsqueeze(data: bytes, columns: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[..., 0]
 
 
-def squeeze_list(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    """A sorted list of keys, of which the lower six bytes tell it from others of the shard, with values."""
-    return squeeze(np.diff((keys & LOW).view(np.int64), prepend=0), *values)
+def squeeze_list(places: np.ndarray, *values: np.ndarray) -> bytes:
+    """A rising list of places within a shard, with values."""
+    return squeeze(np.diff(places.view(np.int64), prepend=0), *values)
 
 
 def unsqueeze_list(data: bytes, values: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, (values, n)) of ``squeeze_list``."""
+    """(places, (values, n)) of ``squeeze_list``."""
     found = unsqueeze(data, 1 + values)
-    return np.cumsum(found[0]).view(np.uint64) & LOW, found[1:]
+    return np.cumsum(found[0]).view(np.uint64), found[1:]
 
 
 # ---------------------------------------------------------------- shards
@@ -222,17 +232,22 @@ def _bigram_shard(key, table):
     return _answer(table, blobs, key[0].as_py(), _of_counts(total), squeeze_list(known, total))
 
 
-def _word_shard(key, table):
-    keys, values = _lists(table, 5)
-    known, of = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.stack([_sums(of, v, len(known)) for v in values])
-    blobs, at = [], 0
-    for k in keys:
-        blobs.append(squeeze(*sums[:, of[at : at + len(k)]]))
-        at += len(k)
-    token = known != int(BEGIN) & (1 << 48) - 1
-    count, follows = sums[0][token], sums[1][token]
-    return _answer(table, blobs, key[0].as_py(), [int(count.sum()), int((count > 0).sum()), int(follows.sum()), *_of_counts(follows), int((follows > 2).sum())], squeeze_list(known, *sums))
+def _word_shard(shards: int):
+    begin = np.array([BEGIN])
+    home, place = int(shard_of(begin, shards)[0]), within(begin, shards)[0]
+
+    def run(key, table):
+        keys, values = _lists(table, 5)
+        known, of = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.stack([_sums(of, v, len(known)) for v in values])
+        blobs, at = [], 0
+        for k in keys:
+            blobs.append(squeeze(*sums[:, of[at : at + len(k)]]))
+            at += len(k)
+        token = known != place if key[0].as_py() == home else np.ones(len(known), dtype=bool)  # the begin mark is no token
+        count, follows = sums[0][token], sums[1][token]
+        return _answer(table, blobs, key[0].as_py(), [int(count.sum()), int((count > 0).sum()), int(follows.sum()), *_of_counts(follows), int((follows > 2).sum())], squeeze_list(known, *sums))
+    return run
 
 
 def _look_up(width: int):
@@ -280,9 +295,9 @@ class Model:
 
 
 def _sent(flush: int, keys: np.ndarray, values: list[np.ndarray], shards: int):
-    cut = Tokens.bounds(keys, shards)
+    cut, places = Tokens.bounds(keys, shards), within(keys, shards)
     here = [s for s in range(shards) if cut[s + 1] > cut[s]]
-    blobs = [squeeze_list(keys[cut[s] : cut[s + 1]], *[v[cut[s] : cut[s + 1]] for v in values]) for s in here]
+    blobs = [squeeze_list(places[cut[s] : cut[s + 1]], *[v[cut[s] : cut[s + 1]] for v in values]) for s in here]
     return pa.RecordBatch.from_arrays([pa.array(here, type=pa.int32()), pa.array([flush] * len(here), type=pa.int64()), pa.array(blobs, type=pa.binary())], names=["shard", "flush", "blob"])
 
 
@@ -326,7 +341,7 @@ def _counted(flushes: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
                 tally = lambda which, who: np.bincount(who[own & which], minlength=n)
                 yield _sent(row["flush"], t.word, [t.word_count, tally(count > 0, t.right), tally(count == 1, t.left), tally(count == 2, t.left), tally(count > 2, t.left)], shards)
 
-    words = durable(_with_answers(flushes, ("bigrams", bigrams)).mapInArrow(send_words, EXCHANGE).groupBy("shard").applyInArrow(_word_shard, EXCHANGE))
+    words = durable(_with_answers(flushes, ("bigrams", bigrams)).mapInArrow(send_words, EXCHANGE).groupBy("shard").applyInArrow(_word_shard(shards), EXCHANGE))
     free_shuffles(flushes.sparkSession)
     return bigrams, words
 
