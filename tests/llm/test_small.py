@@ -93,6 +93,16 @@ def test_kneser_ney_model_is_stored(spark, docs, tmp_path):
     assert np.isfinite(got.score).all()
 
 
+def test_places_within_shards():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    for shards in (1, 4, 7, 64, 1000, 100_000):
+        shard, place = kneser_ney.shard_of(keys, shards), kneser_ney.within(keys, shards)
+        assert place.max() < 1 << 49 and (np.diff(shard.astype(np.int64)) >= 0).all()
+        same = shard[1:] == shard[:-1]
+        assert (place[1:][same] >= place[:-1][same]).all() and len(set(zip(shard.tolist(), place.tolist()))) == len(keys)
+
+
 def test_large_counts_are_whole():
     import pyarrow as pa
 
