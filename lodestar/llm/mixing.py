@@ -50,26 +50,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def inclusion_scales(base: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, scale): what times a size gives the inclusion probability, null where nothing is wanted or all is certain.
+    """(source, scale, most): what times a size gives the inclusion probability, and the largest size that may be drawn.
 
     If the sizes from s on are certain, the others' expected words are scale * (sum of their
-    squares); s is the largest size at which scale * s reaches 1. The windows see a row for each
-    size of a source.
+    squares); s is the largest size at which scale * s reaches 1. The scale is null where nothing is
+    wanted or all is certain. The windows see a row for each size of a source.
     """
     counts = base.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     met = _meet(counts, targets.select("source", "wanted")).where("wanted > 0")
+    fitting = F.sum(F.when(F.col("size") <= F.col("wanted"), F.col("n") * F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
+    met = met.withColumn("most", F.when(fitting >= F.col("wanted"), F.floor("wanted")).otherwise(F.lit((1 << 62))).cast("long")).where(F.col("size") <= F.col("most"))
     down = Window.partitionBy("source").orderBy(F.desc("size"))
     words, squares = F.col("n") * F.col("size").cast("double"), F.col("n") * F.col("size").cast("double") * F.col("size")
     upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     certain = F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     # with all larger sizes certain, this size and the smaller ones share what is left
     placed = met.withColumn("scale", (F.col("wanted") - certain) / F.sum(squares).over(upto))
-    fits = placed.where((F.col("scale") * F.col("size") < 1) & (F.col("scale") > 0))
-    return fits.groupBy("source").agg(F.max_by("scale", "size").alias("scale"))
+    fits = F.when((F.col("scale") * F.col("size") < 1) & (F.col("scale") > 0), F.struct("size", "scale"))
+    return placed.groupBy("source").agg(F.max(fits)["scale"].alias("scale"), F.max("most").alias("most"))
 
 
-def inclusion(size: Column, scale: Column) -> Column:
-    return F.when(scale.isNull() | (size <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), scale * size))
+def inclusion(size: Column, scale: Column, most: Column) -> Column:
+    return F.when(scale.isNull() | (size <= 0) | (size > most), F.lit(0.0)).otherwise(F.least(F.lit(1.0), scale * size))
 
 
 def pareto_rank(p: Column, seed: int, *identity: Column) -> Column:
@@ -87,7 +89,7 @@ def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def plan(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES, seed: int = 7) -> DataFrame:
-    """(source, source_size, target, whole, scale, wanted, last): a row for each source of (source, size, identity...).
+    """(source, source_size, target, whole, scale, most, wanted, last): a row for each source of (source, size, identity...).
 
     ``last`` is the greatest rank that is taken, null where none is.
     """
@@ -98,7 +100,7 @@ def plan(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COP
     wanted = F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
     targets = durable(targets.withColumn("wanted", F.when(wanted > 1e-6, wanted).otherwise(F.lit(0.0))))
     targets = durable(_meet(targets, inclusion_scales(base, targets)))
-    rows = _meet(base, few(targets.select("source", "wanted", "scale"))).withColumn("p", inclusion(F.col("size"), F.col("scale"))).where("p > 0")
+    rows = _meet(base, few(targets.select("source", "wanted", "scale", "most"))).withColumn("p", inclusion(F.col("size"), F.col("scale"), F.col("most"))).where("p > 0")
     place = F.when(F.col("p") >= 1, F.lit(0.0)).otherwise(pareto_rank(F.col("p"), seed, *map(F.col, identity)))
     rows = rows.select("source", "size", "wanted", place.alias("q")).withColumn("bin", F.floor(F.col("q") * BINS)).withColumn("sub", F.floor(F.col("q") * BINS * BINS))
 
@@ -120,7 +122,7 @@ def plan(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COP
     # without a row of the slice, all ranks before it
     told = _meet(_meet(targets, second), last)
     upper = F.when(F.col("edge").isNotNull(), F.col("edge")).when(F.col("cut_sub").isNotNull(), F.col("cut_sub") / float(BINS * BINS) - 1e-18).otherwise(F.lit(1.0))
-    return durable(told.select("source", "source_size", "target", "whole", "scale", "wanted", F.when(F.col("wanted") > 0, upper).alias("last")))
+    return durable(told.select("source", "source_size", "target", "whole", "scale", "most", "wanted", F.when(F.col("wanted") > 0, upper).alias("last")))
 
 
 def mixed(docs: DataFrame, source: Column, size: Column, identity: list[Column], weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES, seed: int = 7, name: str = "mix") -> DataFrame:
@@ -136,7 +138,7 @@ def mixed(docs: DataFrame, source: Column, size: Column, identity: list[Column],
     p = F.col(f"{name}_plan")
     met = docs.withColumn(f"{name}_size", size.cast("long")).withColumn(f"{name}_source", source)
     met = met.join(own, F.col(f"{name}_source").eqNullSafe(p["source"]))
-    chance = inclusion(F.col(f"{name}_size"), p["scale"])
+    chance = inclusion(F.col(f"{name}_size"), p["scale"], p["most"])
     rank = F.when(chance >= 1, F.lit(0.0)).otherwise(pareto_rank(chance, seed, *identity))
     more = F.when((chance > 0) & p["last"].isNotNull() & (rank <= p["last"]), 1).otherwise(0)
     copies = F.least(p["whole"] + more, F.lit(cap)).cast("long")

@@ -396,6 +396,14 @@ def test_mixing(docs, empty):
     assert got.copies.between(0, 3).all()
 
 
+def test_documents_larger_than_what_is_wanted(spark):
+    rows = [(0, "a", 2770)] + [(i, "a", 50) for i in range(1, 51)] + [(100, "b", 4000), (101, "c", 4000), (102, "d", 9000), (103, "d", 10)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mixed(table, F.col("source"), F.col("size"), [F.col("doc_id")], weights=(1, 9, 9, 9)).select("doc_id", "source", "mix.*").toPandas()
+    target, taken = got.groupby("source").target.first(), (got.copies * got["size"]).groupby(got.source).sum()
+    assert target["a"] < 2770 and got.copies[got.doc_id == 0].item() == 0 and abs(taken["a"] - target["a"]) <= 25
+
+
 def test_pareto_inclusion_rates(spark):
     """Over many seeds a document is drawn about as often as its inclusion probability says, by brute force and by the plan."""
     rng = np.random.default_rng(5)
@@ -415,7 +423,7 @@ def test_pareto_inclusion_rates(spark):
     drawn, seeds = np.zeros(len(size)), 60
     told = mixing.plan(table, weights=(2, 5), seed=0).where("source = 'a'").first()
     assert told["whole"] == whole and told["scale"] == pytest.approx(scale) and told["wanted"] == pytest.approx(wanted)
-    ranks = [mixing.pareto_rank(mixing.inclusion(F.col("size"), F.lit(scale)), k, F.col("doc_id")).alias(f"q{k}") for k in range(seeds)]
+    ranks = [mixing.pareto_rank(mixing.inclusion(F.col("size"), F.lit(scale), F.lit(10**9)), k, F.col("doc_id")).alias(f"q{k}") for k in range(seeds)]
     frame = table.where("source = 'a'").select("doc_id", *ranks).toPandas().set_index("doc_id").sort_index()
     for k in range(seeds):
         q = np.where(p >= 1, 0, frame[f"q{k}"].values)
