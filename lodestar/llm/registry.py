@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, html_extract, kneser_ney, langid, media, mixing, simhash, substrings, token_ids
+from lodestar.llm import chat, decontaminate, html_extract, kneser_ney, langid, media, merkle, mixing, simhash, substrings, token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_ids": token_ids.op8_token_ids,
         "op9_simhash": simhash.op9_simhash,
         "op10_webp": media.op10_webp,
+        "op11_merkle": merkle.op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_perspectives": chat.OP4_SQL}
+    return {"op4_perspectives": chat.OP4_SQL, "op11_merkle": merkle.OP11_SQL}
