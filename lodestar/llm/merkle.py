@@ -201,11 +201,11 @@ def manifest(docs: DataFrame, fanout: int = 2, span: int = SPAN) -> DataFrame:
     everyone = Window.partitionBy(F.lit(1))
     langs = durable(subroots.select(F.lit("").alias("g"), F.col("g").alias("lang"), (F.row_number().over(everyone.orderBy(F.col("g").cast("binary"))) - 1).cast("long").alias("pos"), F.count("*").over(everyone).alias("size"), "digest"))
     above = trie.steps(langs.select("g", "pos", "size", "digest"))
-    root = above[-1].select(F.col("digest").alias("root"))
+    root = above[-1].select(F.col("g").alias("top"), F.col("digest").alias("root"))
     path = above[-1].select("g", "pos", F.array().cast(_PATH).alias("path"))
     for nodes in reversed(above[:-1]):
         path = trie.paths(nodes, path)
-    own = langs.select("pos", F.col("lang").alias("g"), F.col("digest").alias("subroot")).join(path.drop("g"), "pos").join(F.broadcast(root))
+    own = langs.select("pos", F.col("g").alias("top"), F.col("lang").alias("g"), F.col("digest").alias("subroot")).join(path.drop("g"), "pos").join(root, "top")
     own = durable(own.select("g", "path", "subroot", "root"))
     path = own.select("g", F.lit(0).cast("long").alias("pos"), "path")
     for nodes in reversed(below[1:-1]):

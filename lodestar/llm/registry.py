@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import chat, decontaminate, html_extract, kneser_ney, langid, media, merkle, mixing, simhash, substrings, token_ids, treaps
+from lodestar.llm import chat, decontaminate, html_extract, kneser_ney, langid, media, merkle, mixing, ngram_join, simhash, substrings, token_ids, treaps
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": simhash.op9_simhash,
         "op10_webp": media.op10_webp,
         "op11_merkle": merkle.op11_merkle,
+        "op12_ngram_join": ngram_join.op12_ngram_join,
         "op13_treaps": treaps.op13_treaps,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_perspectives": chat.OP4_SQL, "op11_merkle": merkle.OP11_SQL, "op13_treaps": treaps.OP13_SQL}
+    return {"op4_perspectives": chat.OP4_SQL, "op11_merkle": merkle.OP11_SQL, "op12_ngram_join": ngram_join.OP12_SQL, "op13_treaps": treaps.OP13_SQL}
