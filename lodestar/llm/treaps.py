@@ -12,6 +12,7 @@ split there. States of many queries go through numpy at once.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from lodestar.llm.shared import durable, read, scratch, small_batches, text_bytes
 
 #: Postings of a shard; a document's stay together.
-POSTINGS = 2_000_000
+POSTINGS = 1_000_000
 #: Query terms that are sent to all at once; more queries take more passes.
 BLOCK_TERMS = 200_000
 #: (term, state) pairs that a walk holds at once, and queries that it starts with.
-PAIRS, QUERIES = 400_000, 64
+PAIRS, QUERIES = 200_000, 32
 TOP = 10
 #: Rounds of pointer jumping before the rest is linked one by one.
 JUMPS = 64
@@ -57,7 +58,7 @@ def _count(batches):
 
 def counts(docs: DataFrame) -> DataFrame:
     """The corpus' counts; see ``_count``."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 200):
         return durable(docs.select("text").mapInArrow(_count, "term binary, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
 
 
@@ -98,6 +99,7 @@ def _nearest(value: np.ndarray, group: np.ndarray, step: int, equal: bool) -> np
 
 def treaps(term: np.ndarray, impact: np.ndarray) -> np.ndarray:
     """(2, n): left and right child of every posting, -1 for none; postings are ordered by term and document, equal impacts hang to the right."""
+    impact = impact.astype(np.int64)
     left, right = _nearest(impact, term, -1, True), _nearest(impact, term, 1, False)
     none = np.iinfo(np.int64).max
     value = lambda at: np.where(at >= 0, impact[at], none)
@@ -110,21 +112,36 @@ def treaps(term: np.ndarray, impact: np.ndarray) -> np.ndarray:
     return down
 
 
-def _shard(ids: list, bags: list[Counter], n: int, total: int) -> tuple:
-    """The index of some documents, in order of doc_id."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
-    number: dict[bytes, int] = {}
-    term = np.fromiter((number.setdefault(t, len(number)) for i in order for t in bags[i]), np.int64)
-    tf = np.fromiter((c for i in order for c in bags[i].values()), np.int64, len(term))
-    doc = np.repeat(np.arange(len(order)), [len(bags[i]) for i in order])
-    size = [sum(bags[i].values()) for i in order]
-    m = np.array([25 + 75 * s * n // total for s in size], dtype=np.int64)  # Python's integers do not overflow
-    impact = 1_000_000_000 * tf // (1000 * tf + 8 * m[doc])
-    by = np.argsort(term, kind="stable")
-    term, doc, impact = term[by], doc[by], impact[by]
-    first = np.searchsorted(term, np.arange(len(number) + 1)).astype(np.int32)
-    told = np.array([NO_ID if ids[i] is None else ids[i] for i in order], dtype=np.int64)
-    return told.tobytes(), list(number), first.tobytes(), doc.astype(np.int32).tobytes(), impact.astype(np.int32).tobytes(), treaps(term, impact).tobytes()
+class Postings:
+    """The postings of some documents as numbers: 8 bytes each, and their terms once."""
+
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.number: dict[bytes, int] = {}
+        self.term, self.tf, self.many, self.size = array("i"), array("i"), array("i"), []
+
+    def add(self, doc: int | None, found: list[bytes]) -> None:
+        bag, number = Counter(found), self.number
+        self.ids.append(doc)
+        self.term.extend([number.setdefault(t, len(number)) for t in bag])
+        self.tf.extend(bag.values())
+        self.many.append(len(bag))
+        self.size.append(len(found))
+
+    def shard(self, n: int, total: int) -> pa.RecordBatch:
+        """The index of these documents, in order of doc_id."""
+        order = np.array(sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is not None, self.ids[i] or 0)), dtype=np.int64)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order))
+        term, doc = np.frombuffer(self.term, np.int32), np.repeat(place, np.frombuffer(self.many, np.int32))
+        by = np.argsort(term.astype(np.int64) * len(order) + doc, kind="stable")
+        term, doc, tf = term[by], doc[by], np.frombuffer(self.tf, np.int32)[by].astype(np.int64)
+        m = np.array([25 + 75 * self.size[i] * n // total for i in order], dtype=np.int64)  # Python's integers do not overflow
+        impact = (1_000_000_000 * tf // (1000 * tf + 8 * m[doc])).astype(np.int32)
+        first = np.searchsorted(term, np.arange(len(self.number) + 1)).astype(np.int32)
+        told = np.array([NO_ID if self.ids[i] is None else self.ids[i] for i in order], dtype=np.int64)
+        columns = {"ids": told.tobytes(), "terms": list(self.number), "first": first.tobytes(), "doc": doc.tobytes(), "impact": impact.tobytes(), "down": treaps(term, impact).tobytes()}
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.binary()) if k == "terms" else pa.binary()) for k, x in columns.items()], names=list(columns))
 
 
 def build(docs: DataFrame, folder: str, postings: int = POSTINGS) -> tuple[DataFrame, int, int]:
@@ -137,30 +154,23 @@ def build(docs: DataFrame, folder: str, postings: int = POSTINGS) -> tuple[DataF
     n, total = corpus_size(counted)
 
     def run(batches):
-        ids, bags, held = [], [], 0
+        held = Postings()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                bag = Counter(terms_of(text))
-                if bag:
-                    ids.append(doc)
-                    bags.append(bag)
-                    held += len(bag)
-                if held >= postings:
-                    yield _row(_shard(ids, bags, n, total))
-                    ids, bags, held = [], [], 0
-        if held:
-            yield _row(_shard(ids, bags, n, total))
-
-    with small_batches(docs.sparkSession):
+                found = terms_of(text)
+                if found:
+                    held.add(doc, found)
+                if len(held.term) >= postings:
+                    yield held.shard(n, total)
+                    held = Postings()
+        if held.ids:
+            yield held.shard(n, total)
+
+    with small_batches(docs.sparkSession, 200):
         docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _INDEX).write.parquet(folder)
     return counted, n, total
 
 
-def _row(shard: tuple) -> pa.RecordBatch:
-    names = ["ids", "terms", "first", "doc", "impact", "down"]
-    return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.binary()) if k == "terms" else pa.binary()) for k, x in zip(names, shard)], names=names)
-
-
 class Best:
     """The k best (score, doc_id) of each query so far, more first, equal scores by rising doc_id."""
 
@@ -251,13 +261,15 @@ class Shard:
         here = self.inside(node, cut, cut + 1)
         score = np.add.reduceat(np.where(here >= 0, weight * self.impact[here], 0), first)
         best.add(query, score, self.ids[split])
-        for start, end, a, b in ((split + 1, high, cut + 1, high[state]), (low, split, low[state], cut)):
+        parts = []
+        for start, end, a, b in ((low, split, low[state], cut), (split + 1, high, cut + 1, high[state])):
             part = self.inside(node, a, b)
             held = part >= 0
             left = np.bincount(state[held], minlength=len(query))
             some = left > 0
-            if some.any():
-                yield query[some], start[some], end[some], left[some], part[held], weight[held]
+            parts.append((query[some], start[some], end[some], left[some], part[held], weight[held]))
+        if any(len(p[0]) for p in parts):
+            yield tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def weights(queries: DataFrame, counted: DataFrame, n: int) -> DataFrame:
