@@ -1,7 +1,8 @@
 """Extractors for C# and its project files: lexical stand-ins for compiler analysis.
 
-A file is cut at its type declarations and a type at its methods, so that every rule knows the type
-and method it stands in; "in source" means that a type of that name is declared in the files given.
+Patterns run over the code of the scan, which has no comments and in which strings are opaque. A file
+is cut at its type declarations and a type at its methods, so that every rule knows the type
+and method it stands in; "in source" means that a type of that name is declared in the tree.
 Confidences are lower than a compiler's facts would deserve.
 """
 
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators.extract import _sources, facts, occurrences, properties, stem, union, whole_files
+from lodestar.operators import lexing
+from lodestar.operators.extract import occurrences, stem, whole_files
+from lodestar.operators.facts import Properties as properties, Sources, extractor, facts, union
 from lodestar.operators.merge import first_by
 from lodestar.operators.resolve import capability
 
@@ -24,6 +27,7 @@ _PROPERTY = r"(?m)^[ \t]*" + _ATTRIBUTES + r"(?:public\s+)(?:virtual\s+|required
 #: What stands between parentheses, nested up to four deep.
 _NESTED = r"(?>[^()]+|\((?>[^()]+|\((?>[^()]+|\((?>[^()]+|\([^()]*\))*+\))*+\))*+\))*+"
 _STRING = r"\$?@?\"([^\"]*)\""
+SHARP = lexing.SHARP
 _COLLECTION = r"^(?:ICollection|IList|List|IEnumerable|HashSet|ISet|IReadOnlyCollection|IReadOnlyList|Collection)<\s*([\w.]+)\s*>\??$|^([\w.]+)\[\]$"
 
 
@@ -33,7 +37,7 @@ def types(files: DataFrame) -> DataFrame:
     Files may say which repository they are in.
     """
     home = F.col("repository") if "repository" in files.columns else F.lit("")
-    src = _sources(files, r"\.cs$").select("path", "text", home.alias("repository"), F.regexp_extract("text", r"(?m)^\s*namespace\s+([\w.]+)", 1).alias("namespace"), F.regexp_extract_all("text", F.lit(r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;"), 1).alias("imports"))
+    src = files.where(F.col("path").rlike(SHARP)).select("path", "text", home.alias("repository"), F.regexp_extract("text", r"(?m)^\s*namespace\s+([\w.]+)", 1).alias("namespace"), F.regexp_extract_all("text", F.lit(r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;"), 1).alias("imports"))
     rows = occurrences(src, _TYPE, 1, 2, 3, 4, 5, keep=("repository", "namespace", "imports"), rest=True)
     bases = F.regexp_extract_all("g5", F.lit(r"[\w.]+(?:<(?:[^<>]|<[^<>]*>)*>)?"), 0)
     return rows.select("path", "line", F.col("g3").alias("name"), F.col("g2").alias("word"), F.col("g1").alias("attributes"), F.col("g4").alias("parameters"), F.coalesce(bases, F.array().cast("array<string>")).alias("bases"), "repository", "namespace", "imports", "text", "from_line")
@@ -77,21 +81,23 @@ def _is_class() -> Column:
 # ---- types ---------------------------------------------------------------------------------
 
 
-def csharp_types(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_types(src: Sources) -> DataFrame:
     """Controllers, services, repositories, background jobs and middleware by base, else by name."""
     n, named = F.col("name"), lambda suffix: F.col("name").endswith(suffix)
     by_base = (F.when(any_base("Controller", "ControllerBase"), "Controller").when(any_base("BackgroundService", "IHostedService"), "BackgroundJob")
                .when(F.exists("bases", lambda b: short(b).rlike("^I.*Service$")), "Service").when(F.exists("bases", lambda b: short(b).rlike("^I.*Repository$")), "Repository"))
     by_name = F.when(named("Controller"), "Controller").when(named("Service"), "Service").when(named("Repository"), "Repository").when(named("Middleware"), "Middleware")
-    rows = types(files).where(_is_class()).withColumn("kind_", F.coalesce(by_base, by_name)).where("kind_ is not null")
-    return facts(rows, F.col("kind_"), n, properties(bases=F.array_join("bases", ", ")), F.when(by_base.isNotNull(), 0.7).otherwise(0.6))
+    rows = src.types.where(_is_class()).withColumn("kind_", F.coalesce(by_base, by_name)).where("kind_ is not null")
+    return facts(rows, F.col("kind_"), n, properties(bases=F.array_join("bases", ", ")), F.when(by_base.isNotNull(), 0.7).otherwise(0.6), ("Controller", "Service", "Repository", "BackgroundJob", "Middleware"))
 
 
-def csharp_contracts(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_contracts(src: Sources) -> DataFrame:
     """Interfaces; IMPLEMENTS and EXTENDS to types in source."""
-    declared = types(files)
+    declared = src.types
     each = declared.select("path", "line", "name", "word", F.explode("bases").alias("b")).withColumn("base", short(F.col("b")))
-    known = declared.select(F.col("name").alias("base"), F.when(_is_class(), "EXTENDS").otherwise("IMPLEMENTS").alias("how")).distinct()
+    known = src.known.select(F.col("name").alias("base"), F.when(_is_class(), "EXTENDS").otherwise("IMPLEMENTS").alias("how")).distinct()
     met = each.join(known, "base").where("base <> name")
     kind = F.when(F.col("word") == "interface", "EXTENDS").otherwise(F.col("how"))
     return union(facts(declared.where("word = 'interface'"), "Interface", F.col("name"), None, 0.8), facts(met, kind, F.col("base"), F.col("name"), 0.7))
@@ -114,18 +120,19 @@ def _entity_like(declared: DataFrame) -> DataFrame:
     return declared.where(_is_class() & ~F.col("name").rlike(TRANSFER) & ~F.col("name").rlike("(?:Service|Controller|Repository|DbContext)$"))
 
 
-def csharp_entities(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_entities(src: Sources) -> DataFrame:
     """Types of properties only: fields, validated ones and the key; HAS_MANY and REFERENCES to others in source."""
-    declared = types(files)
+    declared = src.types
     plain = declared.where(_is_class() & ~F.col("name").rlike(TRANSFER) & ~F.col("name").rlike("(?:Service|Controller)$") & ~F.exists("bases", lambda b: b.contains("DbContext")) & ~F.col("text").rlike(_METHOD))
     members = _members(plain).withColumn("target", F.regexp_replace(F.coalesce("element", "type"), r"\?$", ""))
-    known = _entity_like(declared).select(F.col("name").alias("target"), F.lit(True).alias("known")).distinct()
+    known = _entity_like(src.known).select(F.col("name").alias("target"), F.lit(True).alias("known")).distinct()
     met = members.join(known, "target", "left").withColumn("nav", F.coalesce("known", F.lit(False)) & (F.col("target") != F.col("name")))
     item = F.struct("at", F.concat("property", F.lit(": "), "type").alias("shown"), "property", F.col("attributes").rlike(VALIDATING).alias("checked"), ((F.col("property") == "Id") | F.col("attributes").rlike(r"\[(?:[^\]]*,\s*)?Key\b")).alias("key"), "nav")
     g = met.groupBy("path", "line", "name").agg(F.array_sort(F.collect_list(item)).alias("m"))
-    pick = lambda which, what, most: F.array_join(F.slice(F.transform(F.filter("m", which), lambda x: x[what]), 1, most), "; " if what == "shown" else ", ")
+    pick = lambda which, what: F.array_join(F.transform(F.filter("m", which), lambda x: x[what]), "; " if what == "shown" else ", ")
     keys = F.get(F.transform(F.filter("m", lambda x: x["key"]), lambda x: x["property"]), F.lit(0))
-    nodes = facts(g, "Entity", F.col("name"), properties(fields=pick(lambda x: ~x["nav"], "shown", 60), validated=pick(lambda x: x["checked"], "property", 40), key=keys), 0.7)
+    nodes = facts(g, "Entity", F.col("name"), properties(fields=pick(lambda x: ~x["nav"], "shown"), validated=pick(lambda x: x["checked"], "property"), key=keys), 0.7)
     return union(nodes, facts(met.where("nav"), F.when(F.col("element").isNotNull(), "HAS_MANY").otherwise("REFERENCES"), F.col("target"), F.col("name"), 0.65))
 
 
@@ -139,42 +146,44 @@ def _sets(declared: DataFrame) -> DataFrame:
     return rows.select("path", "line", "owner", "repository", F.element_at(F.split("g1", r"\."), -1).alias("entity"), F.col("g2").alias("set"))
 
 
-def csharp_data_contexts(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_data_contexts(src: Sources) -> DataFrame:
     """Data contexts and the entities they own; relations, table names, keys and indexes of fluent configuration."""
-    declared = types(files)
+    declared = src.types
     sets = _sets(declared)
     inline = occurrences(_contexts(declared), r"\.Entity<\s*([\w.]+)\s*>\s*\(", 1, rest=True).withColumnRenamed("g1", "root")
     apart = declared.withColumn("root", argument(the_base("IEntityTypeConfiguration"))).where("root is not null").select("path", "line", "root", "text", "from_line")
     chains = union(inline.select("path", "line", "root", "text", "from_line"), apart)
     step = rf"\.(HasOne|HasMany)(?:<\s*(\w+)\s*>)?\(\s*(?:\w+\s*=>\s*\w+\.(\w+))?{_NESTED}\)((?:\s*\.\w+(?:<[^>]*>)?\({_NESTED}\))*+)"
     calls = occurrences(chains, step, 1, 2, 3, 4, keep=("root",))
-    members = _members(declared).select(F.col("name").alias("root"), F.col("property").alias("g3"), F.regexp_replace(F.coalesce("element", "type"), r"\?$", "").alias("goes_to"))
+    members = _members(src.known).select(F.col("name").alias("root"), F.col("property").alias("g3"), F.regexp_replace(F.coalesce("element", "type"), r"\?$", "").alias("goes_to"))
     aimed = calls.join(first_by(members, ["root", "g3"], ["goes_to"]), ["root", "g3"], "left").withColumn("target", F.coalesce(F.nullif("g2", F.lit("")), "goes_to")).where("target <> root")
     back = F.regexp_extract("g4", r"\.(With(?:One|Many))\b", 1)
     how = (F.when((F.col("g1") == "HasOne") & (back == "WithOne"), "HAS_ONE").when((F.col("g1") == "HasMany") & (back == "WithMany"), "MANY_TO_MANY").when(F.col("g1") == "HasOne", "REFERENCES").otherwise("HAS_MANY"))
-    related = in_source(aimed, "target", declared)
+    related = in_source(aimed, "target", src.known)
     said = occurrences(chains, rf"\.(ToTable|HasKey|HasIndex)\(({_NESTED})\)", 1, 2, keep=("root",))
     of = F.when(F.col("g1") == "ToTable", F.regexp_extract("g2", _STRING, 1)).when(F.col("g2").rlike("^\\s*\""), F.regexp_extract("g2", _STRING, 1)).otherwise(F.array_join(F.regexp_extract_all("g2", F.lit(r"\b\w+\.(\w+)"), 1), ", "))
     said = said.withColumn("value", of).where("value <> ''")
-    key = F.when(F.col("g1") == "ToTable", "tableName=").when(F.col("g1") == "HasKey", "primaryKey=").otherwise("indexedProperties=")
+    only = lambda call: F.when(F.col("g1") == call, F.col("value"))
     return union(
         facts(_contexts(declared), "DataStore", F.col("name"), properties(kind=F.lit("ef-dbcontext")), 0.8), facts(sets, "Entity", F.col("entity"), None, 0.8), facts(sets, "OWNS", F.col("entity"), F.col("owner"), 0.8),
-        facts(related, how, F.col("target"), F.col("root"), 0.7), facts(said, "Entity", F.col("root"), F.concat(key, "value"), 0.8))
+        facts(related, how, F.col("target"), F.col("root"), 0.7), facts(said, "Entity", F.col("root"), properties(tableName=only("ToTable"), primaryKey=only("HasKey"), indexedProperties=only("HasIndex")), 0.8))
 
 
 #: The operations of a migration.
 MIGRATES = "CreateTable|DropTable|RenameTable|AddColumn|DropColumn|RenameColumn|AlterColumn|AddForeignKey|DropForeignKey|CreateIndex|DropIndex|AddPrimaryKey|DropPrimaryKey"
 
 
-def csharp_migrations(files: DataFrame) -> DataFrame:
-    """Migrations with what their Up does, by the names it gives, twenty at most."""
-    declared = types(files).where(_is_class() & any_base("Migration"))
+@extractor(SHARP)
+def csharp_migrations(src: Sources) -> DataFrame:
+    """Migrations with what their Up does, by the names it gives."""
+    declared = src.types.where(_is_class() & any_base("Migration"))
     ups = methods(declared).where("method = 'Up'").select("path", F.col("owner").alias("name"), "text")
     call = rf"\.({MIGRATES})(?:<[^>]*>)?\(({_NESTED})\)"
     calls = F.arrays_zip(F.regexp_extract_all("text", F.lit(call), 1).alias("call"), F.regexp_extract_all("text", F.lit(call), 2).alias("given"))
     named = lambda g: F.coalesce(F.nullif(F.regexp_extract(g, r"\bname:\s*\"([^\"]*)\"", 1), F.lit("")), F.nullif(F.regexp_extract(g, _STRING, 1), F.lit("")))
     shown = F.transform(calls, lambda c: F.when(named(c["given"]).isNull(), c["call"]).otherwise(F.concat(c["call"], F.lit("("), named(c["given"]), F.lit(")"))))
-    met = declared.select("path", "line", "name").join(ups.select("path", "name", F.array_join(F.slice(shown, 1, 20), "; ").alias("operations")), ["path", "name"], "left")
+    met = declared.select("path", "line", "name").join(ups.select("path", "name", F.array_join(shown, "; ").alias("operations")), ["path", "name"], "left")
     return facts(met, "Migration", F.col("name"), properties(operations=F.col("operations")), 0.8)
 
 
@@ -203,12 +212,13 @@ def _sql(given: Column) -> Column:
     return F.nullif(F.regexp_extract(given, r"(\$?@?\"[^\"]*\")", 1), F.lit(""))
 
 
-def csharp_database_operations(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_database_operations(src: Sources) -> DataFrame:
     """Calls on entity sets, of saving and transactions, of raw SQL and of a mapper, with the entity, the query's steps and the SQL."""
-    declared = types(files)
+    declared = src.types
     where = methods(declared.where(_is_class())).select("path", "owner", "method", "repository", "text", "from_line")
     keep = ("owner", "method", "repository")
-    sets = _sets(declared).select("repository", F.col("set").alias("g1"), "entity").distinct()
+    sets = _sets(src.known).select("repository", F.col("set").alias("g1"), "entity").distinct()
     chain = rf"\b\w+\.(?:(\w+)|Set<\s*(\w+)\s*>\(\))((?:\s*\.\s*\w+(?:<[^>()]*>)?\({_NESTED}\))+)"
     chained = occurrences(where, chain, 1, 2, 3, keep=keep).join(sets, ["repository", "g1"], "left").withColumn("entity", F.coalesce(F.nullif("g2", F.lit("")), "entity")).where("entity is not null")
     names = F.regexp_extract_all("g3", F.lit(r"\.\s*(\w+)(?:<[^>()]*>)?\((?=" + _NESTED + r"\)(?:\s*\.|\s*$))"), 1)
@@ -228,7 +238,7 @@ def csharp_database_operations(files: DataFrame) -> DataFrame:
     kind = F.when(stored(F.col("sql")) | F.col("g3").contains("CommandType.StoredProcedure"), "StoredProcedure").when(F.col("g1").startswith("Query"), "Read").otherwise("Write")
     mapped = mapped.select("path", "line", *keep, F.col("g1").alias("call"), kind.alias("operation"), F.nullif("g2", F.lit("")).alias("entity"), F.lit("Dapper").alias("approach"), F.lit("").alias("steps"), "sql")
     rows = union(queried, saved, direct, mapped)
-    detail = properties(operation=F.col("operation"), entity=F.col("entity"), approach=F.col("approach"), operators=F.col("steps"), tracking=F.when(F.col("steps").contains("AsNoTracking"), "no-tracking"), **{"async": F.when(F.col("call").endswith("Async"), "true")}, sql=F.col("sql"))
+    detail = properties(owner=F.col("owner"), method=F.col("method"), operation=F.col("operation"), entity=F.col("entity"), approach=F.col("approach"), operators=F.col("steps"), tracking=F.when(F.col("steps").contains("AsNoTracking"), "no-tracking"), **{"async": F.when(F.col("call").endswith("Async"), "true")}, sql=F.col("sql"))
     return facts(rows, "DatabaseOperation", F.concat("owner", F.lit("."), "method", F.lit(":"), "call"), detail, 0.6)
 
 
@@ -238,13 +248,14 @@ DATA_ACCESS = (
     ("OracleConnection", "ADO.NET", "Oracle"), ("IMongoCollection", "MongoDB driver", "MongoDB"), ("IMongoDatabase", "MongoDB driver", "MongoDB"), ("MongoClient", "MongoDB driver", "MongoDB"))
 
 
-def csharp_data_access(files: DataFrame) -> DataFrame:
+@extractor(SHARP, tree=True)
+def csharp_data_access(src: Sources) -> DataFrame:
     """How data is reached, each way once, in the first file that shows it."""
-    src = _sources(files, r"\.cs$")
-    table = files.sparkSession.createDataFrame(DATA_ACCESS, "marker string, approach string, db string")
-    seen = src.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(" + "|".join(m for m, _, _ in DATA_ACCESS) + r")\b"), 1))).alias("marker")).join(F.broadcast(table), "marker")
+    code = src.like(SHARP)
+    table = src.files.sparkSession.createDataFrame(DATA_ACCESS, "marker string, approach string, db string")
+    seen = code.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(" + "|".join(m for m, _, _ in DATA_ACCESS) + r")\b"), 1))).alias("marker")).join(F.broadcast(table), "marker")
     ways = seen.select("path", F.concat("approach", F.lit(" ("), "db", F.lit(")")).alias("name"), "approach", "db")
-    dapper = src.where(F.col("text").rlike(r"(?m)^\s*using\s+Dapper\b")).select("path", F.lit("Dapper (micro-ORM)").alias("name"), F.lit("Dapper (micro-ORM)").alias("approach"), F.lit("").alias("db"))
+    dapper = code.where(F.col("text").rlike(r"(?m)^\s*using\s+Dapper\b")).select("path", F.lit("Dapper (micro-ORM)").alias("name"), F.lit("Dapper (micro-ORM)").alias("approach"), F.lit("").alias("db"))
     found = first_by(union(ways, dapper), ["name"], ["path"]).withColumn("line", F.lit(1))
     return facts(found, "DataAccess", F.col("name"), properties(approach=F.col("approach"), db=F.col("db")), 0.7)
 
@@ -252,28 +263,31 @@ def csharp_data_access(files: DataFrame) -> DataFrame:
 # ---- wiring --------------------------------------------------------------------------------
 
 
-def csharp_dependencies(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_dependencies(src: Sources) -> DataFrame:
     """DEPENDS_ON: a type and the types in source that its constructors are given."""
-    declared = types(files)
+    declared = src.types
     primary = declared.where(_is_class() & (F.coalesce("parameters", F.lit("")) != "")).select("path", "line", F.col("name").alias("owner"), F.col("parameters").alias("given"))
     made = occurrences(declared.where(_is_class()).withColumnRenamed("name", "owner"), r"(?m)^[ \t]*(?:public|internal|protected|private)\s+(\w+)\s*\(([^)]*)\)\s*(?::\s*(?:base|this)[^{]*)?(?=\{|=>)", 1, 2, keep=("owner",)).where("g1 = owner")
     every = union(primary, made.select("path", "line", "owner", F.col("g2").alias("given")))
     each = every.select("path", "line", "owner", F.explode(F.array_distinct(F.regexp_extract_all("given", F.lit(r"(?:[(,]|^)\s*(?:\[[^\]]*\]\s*)?(?:\w+\.)*(\w+)(?:<[^>]*>)?\??\s+\w+"), 1))).alias("target")).where("target <> owner")
-    return facts(in_source(first_by(each, ["path", "owner", "target"], ["line"]), "target", declared), "DEPENDS_ON", F.col("target"), F.col("owner"), 0.7)
+    return facts(in_source(first_by(each, ["path", "owner", "target"], ["line"]), "target", src.known), "DEPENDS_ON", F.col("target"), F.col("owner"), 0.7)
 
 
-def csharp_registrations(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_registrations(src: Sources) -> DataFrame:
     """Registered services with their lifetime, of two type arguments, of a factory, or of open types; IMPLEMENTS what they stand for."""
-    src = _sources(files, r"\.cs$")
+    code = src.like(SHARP)
     life = r"\.Add(Scoped|Singleton|Transient)"
     forms = (life + r"<\s*([\w.]+(?:<[^<>]*>)?)\s*,\s*([\w.]+(?:<[^<>]*>)?)\s*>\s*\(", life + r"<\s*([\w.]+)\s*>\(\s*\w+\s*=>[^;]*?\bnew\s+([\w.]+)", life + r"\(\s*typeof\(([\w.]+)(?:<[^>]*>)?\)\s*,\s*typeof\(([\w.]+)(?:<[^>]*>)?\)")
-    rows = union(*[occurrences(src, f, 1, 2, 3) for f in forms]).withColumn("made", short(F.col("g3"))).withColumn("contract", short(F.col("g2")))
+    rows = union(*[occurrences(code, f, 1, 2, 3) for f in forms]).withColumn("made", short(F.col("g3"))).withColumn("contract", short(F.col("g2")))
     kind = F.when(F.col("made").endswith("Repository"), "Repository").otherwise("Service")
-    return union(facts(rows, kind, F.col("made"), properties(lifetime=F.col("g1")), 0.8), facts(rows, "IMPLEMENTS", F.col("contract"), F.col("made"), 0.8))
+    return union(facts(rows, kind, F.col("made"), properties(lifetime=F.col("g1")), 0.8, ("Repository", "Service")), facts(rows, "IMPLEMENTS", F.col("contract"), F.col("made"), 0.8))
 
 
-def csharp_program(files: DataFrame) -> DataFrame:
-    rows = whole_files(_sources(files, r"(?i)(?:^|/)Program\.cs$"))
+@extractor(SHARP)
+def csharp_program(src: Sources) -> DataFrame:
+    rows = whole_files(src.like(r"(?i)(?:^|/)Program\.cs$"))
     return facts(rows, "Component", F.lit("Program"), properties(role=F.lit("host")), 1.0)
 
 
@@ -297,35 +311,40 @@ SETUP = (
     ("UseResponseCompression", "Middleware", "Response compression", ""), ("UseHttpsRedirection", "Middleware", "HTTPS redirection", ""))
 
 
-def csharp_infrastructure(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_infrastructure(src: Sources) -> DataFrame:
     """What the framework's calls set up, with their order, first text and allowed origins; timers and hosted services as background jobs."""
-    src = _sources(files, r"\.cs$")
-    table = files.sparkSession.createDataFrame(SETUP, "g1 string, kind_ string, name_ string, detail_ string")
-    calls = occurrences(src, rf"\.((?:Add|Use|Map)\w+)(?:<[^>]*>)?\(({_NESTED})", 1, 2).join(F.broadcast(table), "g1")
+    code = src.like(SHARP)
+    table = src.files.sparkSession.createDataFrame(SETUP, "g1 string, kind_ string, name_ string, detail_ string")
+    calls = occurrences(code, rf"\.((?:Add|Use|Map)\w+)(?:<[^>]*>)?\(({_NESTED})", 1, 2).join(F.broadcast(table), "g1")
     listed = F.flatten(F.transform(F.regexp_extract_all("g2", F.lit(r"\.WithOrigins\(([^()]*)\)"), 1), lambda o: F.regexp_extract_all(o, F.lit(r"\"([^\"]+)\""), 1)))
     origins = F.when(F.col("g1") != "AddCors", F.lit(None)).when(F.col("g2").contains("AllowAnyOrigin("), "any").otherwise(F.array_join(listed, ", "))
-    detail = properties(detail=F.col("detail_"), order=F.when(F.col("kind_") == "Middleware", F.col("line").cast("string")), arg=F.regexp_extract("g2", r"^\s*\"([^\"]*)\"", 1), origins=origins)
-    declared = types(files)
+    said = dict(detail=F.col("detail_"), arg=F.regexp_extract("g2", r"^\s*\"([^\"]*)\"", 1))
+    others = calls.where("kind_ not in ('Cors', 'Middleware')")
+    declared = src.types
     timed = declared.where(F.exists("imports", lambda i: i.isin("System.Threading", "System.Timers")) | F.col("text").rlike(r"System\.(?:Threading|Timers)\.\w*Timer")).withColumnRenamed("name", "owner")
     timers = occurrences(timed, r"\bnew\s+(?:System\.(?:Threading|Timers)\.)?(PeriodicTimer|Timer)\s*\(", 1, keep=("owner",))
     return union(
-        facts(calls, F.col("kind_"), F.col("name_"), detail, 0.8), facts(timers, "BackgroundJob", F.concat("owner", F.lit(" ("), "g1", F.lit(")")), properties(detail=F.lit("timer")), 0.6),
+        facts(others, F.col("kind_"), F.col("name_"), properties(**said), 0.8, tuple({k for _, k, _, _ in SETUP} - {"Cors", "Middleware"})), facts(calls.where("kind_ = 'Cors'"), "Cors", F.col("name_"), properties(**said, origins=origins), 0.8),
+        facts(calls.where("kind_ = 'Middleware'"), "Middleware", F.col("name_"), properties(**said, order=F.col("line")), 0.8), facts(timers, "BackgroundJob", F.concat("owner", F.lit(" ("), "g1", F.lit(")")), properties(detail=F.lit("timer")), 0.6),
         facts(declared.where(_is_class() & any_base("BackgroundService", "IHostedService")), "BackgroundJob", F.col("name"), properties(detail=F.lit("hosted service")), 0.8))
 
 
-def csharp_policies(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_policies(src: Sources) -> DataFrame:
     """Authorization policies with what they require."""
-    rows = occurrences(_sources(files, r"\.cs$"), rf"\.AddPolicy\(\s*\"([^\"]+)\"\s*,\s*({_NESTED})", 1, 2).where(F.col("g2").rlike(r"\.Require|Requirements|Assertion"))
+    rows = occurrences(src.like(SHARP), rf"\.AddPolicy\(\s*\"([^\"]+)\"\s*,\s*({_NESTED})", 1, 2).where(F.col("g2").rlike(r"\.Require|Requirements|Assertion"))
     need = F.transform(F.regexp_extract_all("g2", F.lit(r"\.(Require\w+\([^()]*\))"), 1), lambda r: F.regexp_replace(r, r"[\"\s]", ""))
     return facts(rows, "AuthorizationPolicy", F.col("g1"), properties(requirements=F.array_join(need, "; ")), 0.6)
 
 
-def csharp_configuration_usage(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_configuration_usage(src: Sources) -> DataFrame:
     """Keys, environment variables and feature flags that the code reads by a literal name."""
-    src = _sources(files, r"\.cs$")
-    keyed = occurrences(src, r"(?i:\b\w*(?:config|configuration)\w*)(?:\[|\.(?:GetValue(?:<[^>]*>)?|GetSection)\()\s*\"([^\"]+)\"", 1).withColumn("source", F.lit("IConfiguration"))
-    environment = occurrences(src, r"\bEnvironment\.GetEnvironmentVariable\(\s*\"([^\"]+)\"", 1).withColumn("source", F.lit("EnvironmentVariable"))
-    flags = occurrences(src, r"(?i:\b\w*feature\w*)\.IsEnabledAsync\(\s*\"([^\"]+)\"", 1).withColumn("source", F.lit("FeatureFlag"))
+    code = src.like(SHARP)
+    keyed = occurrences(code, r"(?i:\b\w*(?:config|configuration)\w*)(?:\[|\.(?:GetValue(?:<[^>]*>)?|GetSection)\()\s*\"([^\"]+)\"", 1).withColumn("source", F.lit("IConfiguration"))
+    environment = occurrences(code, r"\bEnvironment\.GetEnvironmentVariable\(\s*\"([^\"]+)\"", 1).withColumn("source", F.lit("EnvironmentVariable"))
+    flags = occurrences(code, r"(?i:\b\w*feature\w*)\.IsEnabledAsync\(\s*\"([^\"]+)\"", 1).withColumn("source", F.lit("FeatureFlag"))
     return facts(union(keyed, environment, flags), "Configuration", F.col("g1"), properties(source=F.col("source")), 0.6)
 
 
@@ -333,18 +352,20 @@ def csharp_configuration_usage(files: DataFrame) -> DataFrame:
 FILTERS = {"authorization": ("IAuthorizationFilter", "IAsyncAuthorizationFilter"), "action": ("IActionFilter", "IAsyncActionFilter"), "exception": ("IExceptionFilter", "IAsyncExceptionFilter"), "result": ("IResultFilter", "IAsyncResultFilter"), "endpoint": ("IEndpointFilter",)}
 
 
-def csharp_filters(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_filters(src: Sources) -> DataFrame:
     kind = F.coalesce(*[F.when(any_base(*names), k) for k, names in FILTERS.items()])
-    rows = types(files).where(_is_class()).withColumn("kind_", kind).where("kind_ is not null")
+    rows = src.types.where(_is_class()).withColumn("kind_", kind).where("kind_ is not null")
     return facts(rows, "Filter", F.col("name"), properties(kind=F.col("kind_")), 0.8)
 
 
 # ---- messages ------------------------------------------------------------------------------
 
 
-def csharp_cqrs(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_cqrs(src: Sources) -> DataFrame:
     """Commands, queries, events and handlers by their contracts; a request's kind by name space, name, then by whether it has a result. HANDLES to messages in source."""
-    declared = types(files).where(_is_class())
+    declared = src.types.where(_is_class())
     n, space = F.col("name"), F.lower("namespace")
     requests = declared.withColumn("contract", the_base("IRequest")).where("contract is not null").withColumn("result", argument(F.col("contract")))
     no_result = F.col("result").isNull() | (F.col("result") == "Unit")
@@ -352,21 +373,26 @@ def csharp_cqrs(files: DataFrame) -> DataFrame:
     events = declared.where(any_base("INotification"))
     category = F.when(space.contains("integration"), "Integration").when(space.contains("domain"), "Domain").when(n.endswith("IntegrationEvent"), "Integration").when(n.endswith("DomainEvent"), "Domain")
     handlers = declared.withColumn("contract", F.explode(F.filter("bases", lambda b: short(b).isin("IRequestHandler", "INotificationHandler")))).withColumn("message", argument(F.col("contract")))
-    handlers = in_source(handlers, "message", declared)
+    handlers = in_source(handlers, "message", src.known.where(_is_class()))
     return union(
-        facts(requests, kind, n, properties(returns=F.when(~no_result, F.col("result"))), 0.7), facts(events, "Event", n, properties(category=category), 0.7),
+        facts(requests, kind, n, properties(returns=F.when(~no_result, F.col("result"))), 0.7, ("Command", "Query")), facts(events, "Event", n, properties(category=category), 0.7),
         facts(handlers, "Handler", n, None, 0.7), facts(handlers, "HANDLES", F.col("message"), n, 0.75))
 
 
-def csharp_dispatches(files: DataFrame) -> DataFrame:
-    """DISPATCHES: a type and the requests and events in source that it sends, made on the spot or held in a variable of the method."""
-    declared = types(files)
-    where = methods(declared.where(_is_class())).select("path", "owner", "text", "from_line")
-    sent = occurrences(where, r"(?i:\b_?\w*(?:mediator|sender|publisher)\w*)\.(?:Send|Publish)(?:Async)?\(\s*(?:new\s+(\w+)|(\w+)\s*[,)])", 1, 2, keep=("owner", "text"))
+def dispatched(where: DataFrame, sender: str, src: Sources) -> DataFrame:
+    """(path, line, sender, message): the requests and events in source that pieces of code send to a mediator, made on the spot or held in a variable."""
+    sent = occurrences(where, r"(?i:\b_?\w*(?:mediator|sender|publisher)\w*)\.(?:Send|Publish)(?:Async)?\(\s*(?:new\s+(\w+)|(\w+)\s*[,)])", 1, 2, keep=(sender, "text"))
     made = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"\b"), "g2", F.lit(r"\s*=\s*new\s+(\w+)")), F.lit(1))
     named = sent.withColumn("message", F.when(F.col("g1") != "", F.col("g1")).otherwise(made))
-    messages = declared.where(any_base("IRequest", "INotification"))
-    return facts(in_source(named, "message", messages), "DISPATCHES", F.col("message"), F.col("owner"), 0.6)
+    return in_source(named, "message", src.known.where(any_base("IRequest", "INotification"))).select("path", "line", sender, "message")
+
+
+@extractor(SHARP)
+def csharp_dispatches(src: Sources) -> DataFrame:
+    """DISPATCHES: a type and the requests and events in source that it sends, made on the spot or held in a variable of the method."""
+    declared = src.types
+    where = methods(declared.where(_is_class())).select("path", "owner", "text", "from_line")
+    return facts(dispatched(where, "owner", src), "DISPATCHES", F.col("message"), F.col("owner"), 0.6)
 
 
 #: The libraries of message brokers, and how they publish, consume and mark what could not be delivered.
@@ -384,24 +410,25 @@ def imports_of(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     Names meet rules by equality of their dotted beginnings, so neither side is sent to all tasks.
     """
-    each = _sources(files, r"\.cs$").select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;"), 1)).alias("import"))
+    each = files.where(F.col("path").rlike(SHARP)).select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;"), 1)).alias("import"))
     parts = F.split("import", r"\.")
     begun = each.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("space"))
     return begun.join(rules, "space").drop("space").distinct()
 
 
-def csharp_messaging(files: DataFrame) -> DataFrame:
+@extractor(SHARP, tree=True)
+def csharp_messaging(src: Sources) -> DataFrame:
     """Consumers, messages and brokers with PUBLISHES and CONSUMES; calls count only in files that import a broker's library, but for notifications."""
-    declared = types(files)
-    brokers = imports_of(files, files.sparkSession.createDataFrame(BROKERS, "space string, broker string"))
+    declared = src.types
+    brokers = imports_of(src.files, src.files.sparkSession.createDataFrame(BROKERS, "space string, broker string"))
     listening = declared.where(_is_class() & any_base(*CONSUMERS)).withColumn("message", argument(the_base(*CONSUMERS)))
-    consumed = in_source(listening, "message", declared)
+    consumed = in_source(listening, "message", src.known)
     inside = declared.join(brokers.select("path").distinct(), "path", "left_semi").withColumnRenamed("name", "owner")
-    sent = in_source(occurrences(inside, rf"\.(?:{PUBLISHES})(?:<[^>]*>)?\([^;]*?\bnew\s+(\w+)", 1, keep=("owner",)).withColumnRenamed("g1", "message"), "message", declared)
+    sent = in_source(occurrences(inside, rf"\.(?:{PUBLISHES})(?:<[^>]*>)?\([^;]*?\bnew\s+(\w+)", 1, keep=("owner",)).withColumnRenamed("g1", "message"), "message", src.known)
     taken = first_by(occurrences(inside, rf"\.({CONSUMES})(?:<[^>]*>)?\(", 1, keep=("owner",)), ["path", "owner"], ["line"])
     notes = occurrences(declared.withColumnRenamed("name", "owner"), r"(?i:\b\w*(?:email|notif|mail)\w*)\.(\w*Send\w*)\(", 1, keep=("owner",))
     first = first_by(brokers, ["broker"], ["path"]).withColumn("line", F.lit(1))
-    lost = _sources(files, r"\.cs$").join(brokers.select("path").distinct(), "path", "left_semi").where(F.col("text").rlike(UNDELIVERED))
+    lost = src.like(SHARP).join(brokers.select("path").distinct(), "path", "left_semi").where(lexing.shown(F.col("text")).rlike(UNDELIVERED))
     lost = lost.agg(F.min("path").alias("path")).where("path is not null").withColumn("line", F.lit(1))
     return union(
         facts(listening, "Consumer", F.col("name"), None, 0.7), facts(consumed, "Message", F.col("message"), None, 0.65), facts(consumed, "CONSUMES", F.col("message"), F.col("name"), 0.7),
@@ -410,39 +437,45 @@ def csharp_messaging(files: DataFrame) -> DataFrame:
         facts(first, "MessageBroker", F.col("broker"), None, 0.8), facts(lost, "Messaging", F.lit("Dead-letter queue (DLQ)"), None, 0.7))
 
 
-def csharp_outbound(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_outbound(src: Sources) -> DataFrame:
     """Calls that go out by a client, by verb and literal address."""
-    rows = occurrences(types(files).withColumnRenamed("name", "owner"), r"(?i:\b\w*(?:client|http)\w*)\.(Get|Post|Put|Delete|Patch)\w*Async(?:<[^>]*>)?\(\s*" + _STRING, 1, 2, keep=("owner",))
-    return facts(rows, "OutboundCall", F.concat(F.upper("g1"), F.lit(" "), "g2"), properties(owner=F.col("owner")), 0.6)
+    rows = occurrences(src.types.withColumnRenamed("name", "owner"), r"(?i:\b\w*(?:client|http)\w*)\.(Get|Post|Put|Delete|Patch)\w*Async(?:<[^>]*>)?\(\s*" + _STRING, 1, 2, keep=("owner",))
+    return facts(rows, "OutboundCall", F.concat(F.upper("g1"), F.lit(" "), "g2"), properties(owner=F.col("owner"), verb=F.upper("g1"), route=F.col("g2")), 0.6)
 
 
 # ---- rules ---------------------------------------------------------------------------------
 
 
-def csharp_business_rules(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_business_rules(src: Sources) -> DataFrame:
     """Messages of exceptions that checking methods of services and managers throw."""
-    owners = types(files).where(_is_class() & F.col("name").rlike("(?:Service|Manager)$"))
+    owners = src.types.where(_is_class() & F.col("name").rlike("(?:Service|Manager)$"))
     checks = methods(owners).where(F.col("method").rlike("^(?:Validate|Check|Ensure)"))
     rows = occurrences(checks, rf"throw\s+new\s+(?:\w+\.)*(InvalidOperationException|ValidationException|ArgumentException)\([^;]*?\"([^\"]*)\"", 2, keep=("owner", "method"))
     return facts(rows, "BusinessRule", F.col("g1"), properties(owner=F.col("owner"), method=F.col("method")), 0.5)
 
 
-def csharp_audits(files: DataFrame) -> DataFrame:
-    rows = occurrences(types(files).withColumnRenamed("name", "owner"), r"(?i:\b(\w*audit\w*))\.\w*Log\w*\(\s*" + _STRING, 2, keep=("owner",))
-    return facts(rows, "AuditLog", F.col("g1"), properties(source=F.col("owner")), 0.6)
+@extractor(SHARP)
+def csharp_audits(src: Sources) -> DataFrame:
+    """What a class logs to something that audits, by the entity that the first literal names; each once for a class."""
+    rows = occurrences(src.types.where(_is_class()).withColumnRenamed("name", "owner"), r"(?i:\b(\w*audit\w*))\.\w*Log\w*\([^();\"]*?" + _STRING, 2, keep=("owner",)).withColumnRenamed("g1", "entity")
+    return facts(first_by(rows, ["path", "owner", "entity"], ["line"]), "AuditLog", F.concat("owner", F.lit(":"), "entity"), properties(entity=F.col("entity"), source=F.col("owner")), 0.6)
 
 
-def csharp_functions(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.cs$"), r"\[Function\((?:nameof\()?\"?([^\")]+)\"?\)+\][^;{]*?\[(\w+)Trigger\b", 1, 2)
+@extractor(SHARP)
+def csharp_functions(src: Sources) -> DataFrame:
+    rows = occurrences(src.like(SHARP), r"\[Function\((?:nameof\()?\"?([^\")]+)\"?\)+\][^;{]*?\[(\w+)Trigger\b", 1, 2)
     return facts(rows, "AzureFunction", F.col("g1"), properties(trigger=F.col("g2")), 0.8)
 
 
 _RULE = rf"RuleFor\(\s*\w+\s*=>\s*\w+\.(\w+)\s*\)((?:\s*\.\w+(?:<[^>]*>)?\({_NESTED}\))+)"
 
 
-def csharp_validators(files: DataFrame) -> DataFrame:
+@extractor(SHARP)
+def csharp_validators(src: Sources) -> DataFrame:
     """Validators with the constraints of each field; VALIDATES to the type in source."""
-    declared = types(files)
+    declared = src.types
     rows = declared.where(_is_class()).withColumn("contract", the_base("AbstractValidator")).where("contract is not null")
     step = r"\.(\w+)(?:<[^>]*>)?\(\s*(?:\"([^\"]*)\"|(-?[\d.]+|true|false))?"
     said = lambda chain: F.transform(
@@ -450,41 +483,46 @@ def csharp_validators(files: DataFrame) -> DataFrame:
         lambda c: F.when(F.concat(c["text"], c["number"]) == "", c["name"]).otherwise(F.concat(c["name"], F.lit("("), c["text"], c["number"], F.lit(")"))))
     rules = F.zip_with(F.regexp_extract_all("text", F.lit(_RULE), 1), F.regexp_extract_all("text", F.lit(_RULE), 2), lambda f, chain: F.concat(f, F.lit(": "), F.array_join(said(chain), ", ")))
     checked = rows.withColumn("target", argument(F.col("contract")))
-    return union(facts(rows, "Validator", F.col("name"), properties(rules=F.array_join(rules, "; ")), 0.8), facts(in_source(checked, "target", declared), "VALIDATES", F.col("target"), F.col("name"), 0.8))
+    return union(facts(rows, "Validator", F.col("name"), properties(rules=F.array_join(rules, "; ")), 0.8), facts(in_source(checked, "target", src.known), "VALIDATES", F.col("target"), F.col("name"), 0.8))
 
 
-def status_workflows(files: DataFrame) -> DataFrame:
-    """(path, values): files that compare or assign at least two different status literals, at most ten listed."""
-    rows = occurrences(_sources(files, r"\.cs$"), r'\b[sS]tatus\s*(?:==|=|!=)\s*"([A-Za-z]+)"', 1)
-    g = rows.groupBy("path", F.upper("g1").alias("u")).agg(F.min("g1").alias("v")).groupBy("path").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    return g.where(F.size("vs") >= 2).select("path", F.array_join(F.slice("vs", 1, 10), ", ").alias("values"))
+@extractor(SHARP)
+def status_workflows(src: Sources) -> DataFrame:
+    """Members called status or state that a class compares with two different literals at least, whatever their case, and these."""
+    rows = occurrences(src.types.where(_is_class()).withColumnRenamed("name", "owner"), r"\b(\w*(?:Status|State))\s*==\s*" + _STRING, 1, 2, keep=("owner",)).where("g2 <> ''")
+    each = rows.groupBy("path", "owner", "g1", F.lower("g2").alias("u")).agg(F.min("g2").alias("v"), F.min("line").alias("line"))
+    g = each.groupBy("path", "owner", "g1").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.min("line").alias("line")).where(F.size("vs") >= 2)
+    return facts(g, "StatusWorkflow", F.concat("owner", F.lit("."), "g1"), properties(values=F.array_join("vs", ", ")), 0.7)
 
 
 # ---- endpoints -----------------------------------------------------------------------------
 
 
-def csharp_endpoints(files: DataFrame) -> DataFrame:
-    """Endpoints of controllers' attributes and of mapped handlers, with what authorizes them; EXPOSES from the controller."""
-    declared = types(files).where(_is_class()).withColumn("template", F.nullif(F.regexp_extract("attributes", r'\[(?:[^\]]*,\s*)?Route\("([^"]*)"', 1), F.lit(""))).withColumn("guard", F.nullif(F.regexp_extract("attributes", r"\[(?:[^\]]*,\s*)?(Authorize(?:\([^)]*\))?|AllowAnonymous)", 1), F.lit("")))
-    action = rf"(?m)^[ \t]*((?:{_BRACKETS})*?\[(?:[^\]\n]*,\s*)?Http(Get|Post|Put|Delete|Patch)(?:\(\s*\"([^\"]*)\"[^)\n]*\)|\([^)\]\n]*\))?[^\]\n]*\]\s*(?:{_BRACKETS})*)(?:(?:public|internal|async|virtual|override|static)\s+)+[\w.<>?\[\], ]+?\s+(\w+)\s*\("
-    rows = occurrences(declared.withColumnRenamed("name", "owner"), action, 1, 2, 3, 4, keep=("owner", "template", "guard"))
+@extractor(SHARP)
+def csharp_endpoints(src: Sources) -> DataFrame:
+    """Endpoints of controllers' attributes and of mapped handlers, with what authorizes them; EXPOSES from the controller, DISPATCHES to the requests that they send."""
+    declared = src.types.where(_is_class()).withColumn("template", F.nullif(F.regexp_extract("attributes", r'\[(?:[^\]]*,\s*)?Route\("([^"]*)"', 1), F.lit(""))).withColumn("guard", F.nullif(F.regexp_extract("attributes", r"\[(?:[^\]]*,\s*)?(Authorize(?:\([^)]*\))?|AllowAnonymous)", 1), F.lit("")))
+    action = rf"(?m)^[ \t]*((?:{_BRACKETS})*?\[(?:[^\]\n]*,\s*)?Http(Get|Post|Put|Delete|Patch)(?:\(\s*\"([^\"]*)\"[^)\n]*\)|\([^)\]\n]*\))?[^\]\n]*\]\s*(?:{_BRACKETS})*)(?:(?:public|internal|async|virtual|override|static)\s+)+[\w.<>?\[\], ]+?\s+(\w+)\s*\(({_NESTED})\)"
+    rows = occurrences(declared.withColumnRenamed("name", "owner"), action, 1, 2, 3, 4, 5, keep=("owner", "template", "guard"), rest=True)
     route = T.strip_constraints(T.resolve_route(F.col("owner"), F.col("template"), F.nullif(F.col("g3"), F.lit("")), F.col("g4")))
     own = F.nullif(F.regexp_extract("g1", r"\[(?:[^\]]*,\s*)?(Authorize(?:\([^)]*\))?|AllowAnonymous)", 1), F.lit(""))
     anonymous = F.when(F.col("g1").contains("AllowAnonymous"), "anonymous")
     auth = F.coalesce(anonymous, own, F.when(F.col("guard") == "AllowAnonymous", "anonymous").otherwise(F.col("guard")))
-    rows = rows.withColumn("endpoint", F.concat(F.upper("g2"), F.lit(" "), route)).withColumn("auth", auth)
-    src = _sources(files, r"\.cs$")
-    groups = occurrences(src, r"\b(\w+)\s*=\s*(\w+)\.MapGroup\(\s*\"([^\"]*)\"", 1, 2, 3).select("path", F.col("g1").alias("receiver"), F.col("g2").alias("outer"), F.col("g3").alias("prefix"))
+    given = F.regexp_replace(F.regexp_replace("g5", r"\[[^\]]*\]\s*", ""), r"\s+", " ")
+    rows = rows.withColumn("route", route).withColumn("endpoint", F.concat(F.upper("g2"), F.lit(" "), "route")).withColumn("auth", auth)
+    code = src.like(SHARP)
+    groups = occurrences(code, r"\b(\w+)\s*=\s*(\w+)\.MapGroup\(\s*\"([^\"]*)\"", 1, 2, 3).select("path", F.col("g1").alias("receiver"), F.col("g2").alias("outer"), F.col("g3").alias("prefix"))
     outer = groups.select("path", F.col("receiver").alias("outer"), F.col("prefix").alias("before"))
     groups = first_by(groups.join(outer, ["path", "outer"], "left").select("path", "receiver", F.concat_ws("/", "before", "prefix").alias("prefix")), ["path", "receiver"], ["prefix"])
-    mapped = occurrences(src, r"\b(\w+)\s*\.Map(Get|Post|Put|Delete|Patch)\(\s*\"([^\"]*)\"", 1, 2, 3, rest=True).withColumnRenamed("g1", "receiver").join(groups, ["path", "receiver"], "left")
+    mapped = occurrences(code, r"\b(\w+)\s*\.Map(Get|Post|Put|Delete|Patch)\(\s*\"([^\"]*)\"", 1, 2, 3, rest=True).withColumnRenamed("g1", "receiver").join(groups, ["path", "receiver"], "left")
     path = T.strip_constraints(F.concat(F.lit("/"), T.combine_routes(F.coalesce("prefix", F.lit("")), F.col("g3"))))
     chained = F.regexp_extract("text", r"\.(RequireAuthorization|AllowAnonymous)\(", 1)
     ends = F.regexp_extract("text", rf"^({_NESTED}\)(?:\s*\.\w+(?:<[^>]*>)?\({_NESTED}\))*+)", 1)
-    minimal = mapped.withColumn("text", ends).withColumn("endpoint", F.concat(F.upper("g2"), F.lit(" "), path)).withColumn("auth", F.when(chained == "AllowAnonymous", "anonymous").when(chained != "", "Authorize"))
+    minimal = mapped.withColumn("text", ends).withColumn("route", path).withColumn("endpoint", F.concat(F.upper("g2"), F.lit(" "), "route")).withColumn("auth", F.when(chained == "AllowAnonymous", "anonymous").when(chained != "", "Authorize"))
+    bodies = union(rows.select("path", "endpoint", "text", "from_line"), minimal.select("path", "endpoint", "text", "from_line"))
     return union(
-        facts(rows, "Endpoint", F.col("endpoint"), properties(action=F.col("g4"), auth=F.col("auth")), 0.7), facts(rows, "EXPOSES", F.col("endpoint"), F.col("owner"), 0.7),
-        facts(minimal, "Endpoint", F.col("endpoint"), properties(auth=F.col("auth")), 0.6))
+        facts(dispatched(bodies, "endpoint", src), "DISPATCHES", F.col("message"), F.col("endpoint"), 0.6), facts(rows, "Endpoint", F.col("endpoint"), properties(verb=F.upper("g2"), route=F.col("route"), authorization=F.col("auth"), action=F.col("g4"), parameters=F.trim(given)), 0.7), facts(rows, "EXPOSES", F.col("endpoint"), F.col("owner"), 0.7),
+        facts(minimal, "Endpoint", F.col("endpoint"), properties(verb=F.upper("g2"), route=F.col("route"), authorization=F.col("auth")), 0.6))
 
 
 # ---- projects ------------------------------------------------------------------------------
@@ -511,37 +549,63 @@ def capability_rules(spark) -> DataFrame:
     return spark.createDataFrame([(i, f, f"{c}|{n}") for i, (f, c, n) in enumerate(CAPABILITIES)], "rule int, fragment string, category string")
 
 
-def packages(files: DataFrame) -> DataFrame:
+#: What is read of a project file, whatever the order and quotes of its attributes.
+_ITEM = "struct<_Include:string,_Version:string,Version:string,_Condition:string>"
+PROJECT = f"_Sdk string, PropertyGroup array<struct<TargetFramework:string,TargetFrameworks:string,OutputType:string,_Condition:string>>, ItemGroup array<struct<_Condition:string,PackageReference:array<{_ITEM}>,ProjectReference:array<{_ITEM}>>>"
+
+
+def holds(condition: Column) -> Column:
+    """False for a condition of literals that does not hold; one that depends on a build's properties may."""
+    equal = F.regexp_extract(condition, r"^\s*'([^'$]*)'\s*==\s*'([^'$]*)'\s*$", 1) == F.regexp_extract(condition, r"^\s*'([^'$]*)'\s*==\s*'([^'$]*)'\s*$", 2)
+    literal = condition.rlike(r"^\s*'[^'$]*'\s*==\s*'[^'$]*'\s*$")
+    return F.when(condition.isNull(), True).when(F.lower(F.trim(condition)) == "false", False).when(literal, equal).otherwise(True)
+
+
+def _line_of(text: Column, name: Column) -> Column:
+    """The line on which a quoted name stands first."""
+    quoted = lambda q: F.instr(text, F.concat(F.lit(q), name, F.lit(q)))
+    at = F.greatest(quoted('"'), quoted("'"), F.lit(1))
+    return F.regexp_count(F.substr(text, F.lit(1), at), F.lit("\n")) + 1
+
+
+@extractor(r"\.csproj$")
+def packages(src: Sources) -> DataFrame:
     """Projects with their kind and framework, the technologies of their packages with versions, and references between projects."""
-    proj = _sources(files, r"\.csproj$").withColumn("project", stem(F.col("path")))
-    text = F.col("text")
-    kind = (F.when(text.rlike(r'(?i)<PackageReference\s[^>]*Include="[^"]*(?:xunit|nunit|MSTest|Microsoft\.NET\.Test\.Sdk)'), "test").when(text.rlike(r'(?i)<Project\s[^>]*Sdk="[^"]*Web'), "web")
-            .when(text.rlike(r"(?i)<OutputType>\s*Exe\s*<"), "executable").otherwise("library"))
-    frame = F.regexp_extract("text", r"<TargetFrameworks?>\s*([^<]*?)\s*<", 1)
-    out = facts(whole_files(proj, "project", kind.alias("kind_"), frame.alias("frame")), "Project", F.col("project"), properties(kind=F.col("kind_"), framework=F.col("frame")), 1.0)
-    refs = occurrences(proj, r'<PackageReference\s+Include="([^"]+)"(?:\s+Version="([^"]*)")?[^>/]*(?:/>|>\s*(?:<Version>\s*([^<]*?)\s*</Version>)?)', 1, 2, 3)
-    found = capability(refs.select(F.col("g1").alias("name")), capability_rules(files.sparkSession)).withColumnRenamed("name", "g1")
-    used = refs.join(found, "g1")
-    version = F.coalesce(F.nullif("g2", F.lit("")), F.nullif("g3", F.lit("")))
-    out = union(out, facts(used, "Technology", F.substring_index("category", "|", -1), properties(category=F.substring_index("category", "|", 1), package=F.col("g1"), version=version), 1.0))
-    links = occurrences(proj, r'<ProjectReference\s+Include="(?:[^"]*[\\/])?([^"\\/]+)\.csproj"', 1, keep=("project",)).where("g1 <> project")
-    return union(out, facts(links, "REFERENCES", F.col("g1"), F.col("project"), 1.0))
-
-
-def technology_usage(files: DataFrame) -> DataFrame:
-    """Technologies that files import and what their types call, six types of eight methods at most."""
-    each = _sources(files, r"\.cs$").select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*using\s+([\w.]+)\s*;"), 1)).alias("name"))
-    known = capability(each, capability_rules(files.sparkSession))
+    proj = src.like(r"\.csproj$").select("path", "text", stem(F.col("path")).alias("project"), F.from_xml("text", PROJECT, {"mode": "PERMISSIVE"}).alias("x"))
+    settings = F.filter("x.PropertyGroup", lambda g: holds(g["_Condition"]))
+    first = lambda name: F.get(F.filter(F.transform(settings, lambda g: F.trim(g[name])), lambda v: v.isNotNull() & (v != "")), F.lit(0))
+
+    def items(name: str) -> DataFrame:
+        groups = F.transform(F.filter("x.ItemGroup", lambda g: holds(g["_Condition"])), lambda g: F.filter(F.coalesce(g[name], F.array().cast(f"array<{_ITEM}>")), lambda i: holds(i["_Condition"]) & i["_Include"].isNotNull()))
+        return proj.select("path", "project", "text", F.explode(F.flatten(groups)).alias("i")).select("path", "project", F.col("i._Include").alias("include"), F.coalesce("i._Version", F.trim("i.Version")).alias("version"), _line_of(F.col("text"), F.col("i._Include")).alias("line"))
+
+    refs = items("PackageReference")
+    tested = refs.where(F.col("include").rlike(r"(?i)xunit|nunit|MSTest|Microsoft\.NET\.Test\.Sdk")).select("path", F.lit(True).alias("tested")).distinct()
+    kind = F.when(F.col("tested"), "test").when(F.col("sdk").contains("Web"), "web").when(F.lower("output") == "exe", "executable").otherwise("library")
+    projects = proj.select("path", "project", F.col("x._Sdk").alias("sdk"), first("OutputType").alias("output"), F.coalesce(first("TargetFramework"), first("TargetFrameworks")).alias("frame"), F.lit(1).alias("line")).join(tested, "path", "left")
+    found = capability(refs.select(F.col("include").alias("name")).distinct(), capability_rules(src.files.sparkSession)).withColumnRenamed("name", "include")
+    links = items("ProjectReference").withColumn("target", F.regexp_extract("include", r"([^\\/]+)\.csproj$", 1)).where("target <> '' and target <> project")
+    return union(
+        facts(projects, "Project", F.col("project"), properties(kind=kind, framework=F.col("frame")), 1.0),
+        facts(refs.join(found, "include"), "Technology", F.substring_index("category", "|", -1), properties(category=F.substring_index("category", "|", 1), package=F.col("include"), version=F.col("version")), 1.0),
+        facts(links, "REFERENCES", F.col("target"), F.col("project"), 1.0))
+
+
+@extractor(SHARP, tree=True)
+def technology_usage(src: Sources) -> DataFrame:
+    """Technologies that files import and what their types call."""
+    each = src.like(SHARP).select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*using\s+([\w.]+)\s*;"), 1)).alias("name"))
+    known = capability(each, capability_rules(src.files.sparkSession))
     tied = each.join(known, "name").select("path", "category").distinct()
-    calls = occurrences(types(files).withColumnRenamed("name", "owner"), r"(?:\b|\))\.([A-Z]\w*)(?:<[^>()]*>)?\(", 1, keep=("owner",)).select("path", "owner", F.col("g1").alias("method")).distinct()
+    calls = occurrences(src.types.withColumnRenamed("name", "owner"), r"(?:\b|\))\.([A-Z]\w*)(?:<[^>()]*>)?\(", 1, keep=("owner",)).select("path", "owner", F.col("g1").alias("method")).distinct()
     listed = calls.join(tied, "path").groupBy("category", "owner").agg(F.min("path").alias("path"), F.array_sort(F.collect_set("method")).alias("ms"))
-    listed = listed.select("category", "path", "owner", F.concat("owner", F.lit(" ("), F.array_join(F.slice("ms", 1, 8), ", "), F.lit(")")).alias("used"))
+    listed = listed.select("category", "path", "owner", F.concat("owner", F.lit(" ("), F.array_join("ms", ", "), F.lit(")")).alias("used"))
     g = listed.groupBy("category").agg(F.min("path").alias("path"), F.array_sort(F.collect_list(F.struct("owner", "path", "used"))).alias("u"))
-    usage = F.array_join(F.transform(F.slice("u", 1, 6), lambda x: x["used"]), "; ")
+    usage = F.array_join(F.transform("u", lambda x: x["used"]), "; ")
     return facts(g.withColumn("line", F.lit(1)), "Technology", F.substring_index("category", "|", -1), properties(category=F.substring_index("category", "|", 1), usage=usage), 0.5)
 
 
-EXTRACTORS = {f.__name__: f for f in (
+EXTRACTORS = {x.name: x for x in (
     csharp_types, csharp_contracts, csharp_entities, csharp_data_contexts, csharp_migrations, csharp_database_operations, csharp_data_access, csharp_dependencies, csharp_registrations, csharp_program,
     csharp_infrastructure, csharp_policies, csharp_configuration_usage, csharp_filters, csharp_cqrs, csharp_dispatches, csharp_messaging, csharp_outbound, csharp_business_rules, csharp_audits, csharp_functions,
-    csharp_validators, csharp_endpoints, packages, technology_usage)}
+    csharp_validators, status_workflows, csharp_endpoints, packages, technology_usage)}

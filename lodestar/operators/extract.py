@@ -1,9 +1,8 @@
-"""Extractors: table functions from files(path, text) to discovery rows.
+"""Extractors for scripts, and what all extractors share: table functions from sources to facts.
 
-Rows are (path, line, kind, name, detail, confidence), lines from 1. A kind in capitals is a relation from
-``detail`` to ``name``; else ``detail`` has further properties, "key=value" joined by "; ". Patterns run in the JVM; only
-what is not regular (balanced braces, nested routes) is read by Arrow-batched Python. Rules that
-stand for compiler analysis are lexical (``dotnet``), carry lower confidence and say so in their name.
+Lines count from 1. Rules about structure are joins and windows over the tokens of the scan
+(``lexing``); rules about the form of one declaration are patterns over its code, which run in the JVM.
+Neither sees comments, or what strings contain as code.
 """
 
 from __future__ import annotations
@@ -11,19 +10,23 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators import lexing
+from lodestar.operators.facts import SCHEMA, Properties as properties, Sources, extractor, facts, union
 from lodestar.operators.merge import first_by
 
-SCHEMA = "path string, line int, kind string, name string, detail string, confidence double"
+SCRIPT, JSX = lexing.SCRIPT, r"\.[tj]sx$"
+#: Script files of which facts are told: declarations, tests and configuration are none.
+TS = r"^(?!.*(?:\.d\.ts|\.(?:spec|test)\.[jt]sx?)$).*\.[jt]sx?$"
 
 
 def occurrences(files: DataFrame, pattern: str, *groups: int, keep: tuple[str, ...] = (), rest: bool = False) -> DataFrame:
     """(path, line, g1, g2, …, kept columns) for every match of ``pattern`` in ``text``.
 
-    The text is cut at the matches once; the pieces' line breaks, summed up along the array, give all
+    Strings in groups are shown as they were. The text is cut at the matches once; the pieces' line breaks, summed up along the array, give all
     lines, and the text itself does not go with the matches. A column ``from_line`` of ``files`` is the
     line that the text begins on. With ``rest`` each match has the piece up to the next one as ``text``
     and the line it begins on as ``from_line``.
@@ -42,429 +45,527 @@ def occurrences(files: DataFrame, pattern: str, *groups: int, keep: tuple[str, .
     each = rows.select("path", *keep, "first_", F.explode(F.arrays_zip("lines_", *names, *(["rest_", "broken_"] if rest else []))).alias("m_"))
     line = (F.col("first_") + F.col("m_.lines_")).cast("int")
     extra = [F.col("m_.rest_").alias("text"), (line + F.col("m_.broken_")).alias("from_line")] if rest else []
-    return each.select("path", line.alias("line"), *[F.col(f"m_.{n}").alias(n) for n in names], *keep, *extra)
+    return each.select("path", line.alias("line"), *[lexing.shown(F.col(f"m_.{n}")).alias(n) for n in names], *keep, *extra)
 
 
-def facts(rows: DataFrame, kind: Column | str, name: Column, detail: Column | None, confidence: float | Column) -> DataFrame:
-    k = F.lit(kind) if isinstance(kind, str) else kind
-    c = F.lit(confidence) if isinstance(confidence, float) else confidence
-    return rows.select("path", F.col("line").cast("int").alias("line"), k.alias("kind"), name.alias("name"), (detail if detail is not None else F.lit(None).cast("string")).alias("detail"), c.alias("confidence"))
+def stem(path: Column) -> Column:
+    """The file's name without its last extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def properties(**given: Column) -> Column:
-    """The detail text of the properties that are there, null without any."""
-    parts = [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{k}="), c)) for k, c in given.items()]
-    return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
+def whole_files(files: DataFrame, *keep: Column) -> DataFrame:
+    return files.select("path", F.lit(1).alias("line"), *keep)
 
 
-def union(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+# ---- scripts by their tokens -----------------------------------------------------------------
 
 
-def _sources(files: DataFrame, pattern: str) -> DataFrame:
-    return files.where(F.col("path").rlike(pattern))
+def _back(k: int) -> Column:
+    return F.get("back", F.lit(k))
 
 
-def stem(path: Column) -> Column:
-    """The file's name without its last extension."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+def _ahead(k: int) -> Column:
+    return F.get("ahead", F.lit(k))
 
 
-def whole_files(files: DataFrame, *keep: Column) -> DataFrame:
-    return files.select("path", F.lit(1).alias("line"), *keep)
+def _unquoted(said: Column) -> Column:
+    """A neighbour's text, of a string its content."""
+    return F.regexp_replace(said, '^"', "")
 
 
-# ---- React ---------------------------------------------------------------------------------
+def strings(t: DataFrame) -> DataFrame:
+    return t.where("kind in ('s', 't')")
 
-#: React's own hooks, from its documentation.
-BUILTIN_HOOKS = (
-    "useActionState", "useCallback", "useContext", "useDebugValue", "useDeferredValue", "useEffect", "useFormStatus", "useId", "useImperativeHandle",
-    "useInsertionEffect", "useLayoutEffect", "useMemo", "useOptimistic", "useReducer", "useRef", "useState", "useSyncExternalStore", "useTransition")
 
-#: The forms in which components, hooks and filters are written.
-_PARAMETERS = r"\(([^)]*)\)"
-_DEFAULT_COMPONENT = r"export\s+default\s+function\s+(\w+)\s*" + _PARAMETERS
-_NAMED_COMPONENT = r"export\s+(?:function\s+|const\s+)([A-Z]\w*)\s*(?::[^=]+)?(?:=\s*(?:React\.)?(?:(?:memo|forwardRef)(?:<[^>]*>)?\(\s*)?)?" + _PARAMETERS + r"\s*(?::[^={]+)?(?:=>|\{)"
+def calls(t: DataFrame) -> DataFrame:
+    """The opening marks of calls: ``name`` as it is written, ``method`` its last part and ``on`` what it is called on."""
+    called = t.where("text = '(' and kind = 'p' and name is not null and coalesce(lead, '') <> 'function'")
+    return called.withColumn("method", F.substring_index("name", ".", -1)).withColumn("on", F.regexp_replace("name", r"\.?[^.]*$", ""))
 
 
-def owner_component(text: Column) -> Column:
-    """The component that a file is about: its default export, or else its first named one."""
-    named = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"export\s+default\s+(?:async\s+)?function\s+([A-Z]\w*)", r"export\s+default\s+([A-Z]\w*)", r"export\s+(?:function|const)\s+([A-Z]\w*)")]
-    return F.coalesce(*named)
+def first_arguments(t: DataFrame) -> DataFrame:
+    """(path, at, value): the first argument of each call that begins with a string."""
+    return strings(t).where((_back(0) == "(") & (F.col("open") == F.col("i") - 1)).select("path", F.col("open").alias("at"), F.col("text").alias("value"))
 
 
-def react_components(files: DataFrame) -> DataFrame:
-    """Exported components: the kind that the file's name gives the default one, how it is rendered, what it is given, the
-    hooks of the file, and of the default one the only heading and what is shown when its only list is empty."""
-    src = _sources(files, r"\.[tj]sx$")
-    text = F.col("text")
-    hooks = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(use[A-Z]\w*)\s*\("), 1))
-    headings = F.regexp_extract_all("text", F.lit(r"<h[12][^>]*>\s*([^<{}]{1,80}?)\s*</h[12]>"), 1)
-    empties = F.regexp_extract_all("text", F.lit(r"\w+\.length\s*===\s*0\s*\?([\s\S]{0,300})"), 1)
-    shown = src.select(
-        "path", "text", F.array_join(F.slice(hooks, 1, 12), ", ").alias("hooks"), F.when(text.rlike("[\"']use client[\"']"), "client").otherwise("server").alias("rendering"),
-        F.when(F.size(headings) == 1, F.trim(F.get(headings, F.lit(0)))).alias("heading"),
-        F.when(F.regexp_count("text", F.lit(r"\w+\.length\s*===\s*0\s*\?")) == 1, F.trim(F.regexp_extract(F.get(empties, F.lit(0)), r">\s*([A-Za-z][^<>{}\r\n]{2,80}?)\s*<", 1))).alias("empty"))
-    keep = ("hooks", "rendering", "heading", "empty")
-    given = F.array_join(F.regexp_extract_all("g2", F.lit(r"(?:^|[{,])\s*(\w+)\s*(?=[,}=:?]|$)"), 1), ", ")
-    kind = F.when(F.lower(stem(F.col("path"))).isin("page", "layout", "loading", "error"), F.lower(stem(F.col("path")))).otherwise("component")
-    default = occurrences(shown, _DEFAULT_COMPONENT, 1, 2, keep=keep).where(~F.col("g1").startswith("use"))
-    named = occurrences(shown, _NAMED_COMPONENT, 1, 2, keep=keep)
-    return union(
-        facts(default, "UIComponent", F.col("g1"), properties(kind=kind, rendering=F.col("rendering"), props=given, hooks=F.col("hooks"), displayName=F.col("heading"), emptyStateLabel=F.col("empty")), 0.85),
-        facts(named, "UIComponent", F.col("g1"), properties(kind=F.lit("component"), rendering=F.col("rendering"), props=given, hooks=F.col("hooks")), 0.85))
+def elements(t: DataFrame) -> DataFrame:
+    """(path, i, line, element, open): the opening tags of components; type arguments stand right behind a name and are none."""
+    return t.where((F.col("text") == "<") & (F.col("kind") == "p") & ~(F.col("glued") & _back(0).rlike(r"^\w"))).where(_ahead(0).rlike("^[A-Z]")).withColumn("element", _ahead(0))
 
 
-def react_hooks(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"export\s+(?:default\s+)?(?:function|const)\s+(use[A-Z]\w*)\b", 1)
-    return facts(rows, "Hook", F.col("g1"), None, 0.85)
+def exported(t: DataFrame) -> DataFrame:
+    """(path, i, line, name, form, default): what a file exports by name; the form is function, class, const, let or value."""
+    place = F.array_position("back", "export").cast("int")
+    words = ("function", "class", "const", "let", "async", "abstract", "default")
+    named = t.where((F.col("kind") == "w") & (place > 0) & ~F.col("text").isin(*words)).where(F.forall(F.slice("back", F.lit(1), place - 1), lambda w: w.isin(*words)))
+    form = F.when(_back(0).isin("function", "class", "const", "let"), _back(0)).otherwise("value")
+    return named.select("path", "i", "line", F.col("text").alias("name"), form.alias("form"), (F.array_position("back", "default") > 0).alias("default"))
 
 
-def react_hook_uses(files: DataFrame) -> DataFrame:
-    """USES: a component and the hooks that its file calls, React's own ones left out."""
-    src = _sources(files, r"\.[tj]sx$").withColumn("owner", owner_component(F.col("text"))).where("owner is not null")
-    rows = occurrences(src, r"\b(use[A-Z]\w*)\s*\(", 1, keep=("owner",)).where(~F.col("g1").isin(*BUILTIN_HOOKS))
-    return facts(first_by(rows, ["path", "owner", "g1"], ["line"]), "USES", F.col("g1"), F.col("owner"), 0.7)
+def owners(t: DataFrame) -> DataFrame:
+    """(path, owner): the component that a file is about: its default export, or else the first it exports by name."""
+    capital = exported(t).where(F.col("name").rlike("^[A-Z]"))
+    return capital.groupBy("path").agg(F.min(F.struct(~F.col("default"), "i", "name"))["name"].alias("owner"))
+
+
+def listed(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the different values of a group, as they come first."""
+    first = rows.groupBy(*keys, F.col(value).alias("v_")).agg(F.min("i").alias("i_"))
+    return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i_", "v_"))), lambda x: x["v_"]), ", ").alias(name))
+
+
+def constants(t: DataFrame) -> DataFrame:
+    """(path, known): a file's names for literal strings, the last of each, as a map."""
+    last = strings(t).where("into is not null").groupBy("path", F.col("into").alias("key")).agg(F.max_by("text", "i").alias("value"))
+    return last.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("known"))
+
+
+def filled(template: Column, known: Column) -> Column:
+    """A template whose holes that only name a constant have its value; others stay."""
+    pieces = F.split(template, r"\$\{")
 
+    def closed(piece: Column) -> Column:
+        name = F.regexp_replace(F.trim(F.substring_index(piece, "}", 1)), "^this\\.", "")
+        rest = F.substr(piece, F.instr(piece, "}") + 1)
+        return F.concat(F.coalesce(F.try_element_at(known, name), F.concat(F.lit("${"), F.substring_index(piece, "}", 1), F.lit("}"))), rest)
 
-def url_bases(text: Column, pattern: str = r"(?:const|let|var)\s+(\w+)\s*=\s*[`'\"]([^`'\"]+)[`'\"]") -> Column:
-    """array<struct<name, value>> of constants that look like the beginnings of addresses; of one name the last."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("name"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("value"))
-    return F.filter(found, lambda b: b["value"].contains("/api") | b["value"].startswith("http") | b["value"].startswith("/"))
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), closed), ""))
 
 
 #: The endings of files that are no endpoints.
 ASSETS = r"(?i)\.(css|scss|png|jpe?g|gif|svg|ico|woff2?|ttf|eot|json|txt|map|mjs|js)$"
 
 
-def resolve_url(raw: Column, bases: Column) -> Column:
-    """The path that a call goes to: constants put in, host and an unknown beginning dropped; null for assets and what has no literal step."""
-    s = F.aggregate(F.reverse(bases), F.trim(raw), lambda t, b: F.replace(t, F.concat(F.lit("${"), b["name"], F.lit("}")), b["value"]))
-    s = F.regexp_replace(F.regexp_replace(s, r"^https?://[^/]+", ""), r"^\$\{[^}]*\}", "")
-    s = F.when(s.startswith("/"), s).otherwise(F.concat(F.lit("/"), s))
-    return F.when(~s.rlike(ASSETS) & F.exists(F.split(s, "/"), lambda p: p.rlike(r"^\p{L}")), s)
+def address(target: Column) -> Column:
+    """The path on its server of what a call goes to, null for assets and where no step is literal; a base that is not known is not part of it."""
+    local = F.regexp_replace(target, r"^(?:[A-Za-z][\w+.-]*:)?//[^/?]*", "")
+    steps = F.filter(F.split(F.regexp_replace(local, r"^\$\{[^}]*\}", ""), "/"), lambda s: s != "")
+    path = F.concat(F.lit("/"), F.array_join(steps, "/"))
+    return F.when((F.size(F.filter(steps, lambda s: s.rlike(r"^\p{L}"))) > 0) & ~path.rlike(ASSETS), path)
 
 
-def react_api_calls(files: DataFrame) -> DataFrame:
-    """fetch with its method, axios and wrapped clients; CALLS from the component that the file is about."""
-    src = _sources(files, r"\.[tj]sx?$").select("path", "text", url_bases(F.col("text")).alias("bases"), owner_component(F.col("text")).alias("owner"))
-    keep = ("bases", "owner")
-    fetched = occurrences(src, r"\bfetch\s*\(\s*[`'\"]([^`'\"]+)[`'\"](?:\s*,\s*\{[^}]*?method\s*:\s*[`'\"](\w+)[`'\"])?", 2, 1, keep=keep)
-    clients = occurrences(src, r"(?i)\b(?:axios|\w*(?:api|client|http)\w*)\s*\.\s*(get|post|put|patch|delete|postFormData)\s*(?:<[^>]*>)?\s*\(\s*[`'\"]([^`'\"]+)[`'\"]", 1, 2, keep=keep)
-    verb = F.when(F.coalesce("g1", F.lit("")) == "", "GET").when(F.lower("g1") == "postformdata", "POST").otherwise(F.upper("g1"))
-    calls = union(fetched, clients).withColumn("url", resolve_url(F.col("g2"), F.col("bases"))).where("url is not null").withColumn("call", F.concat(verb, F.lit(" "), "url"))
-    return union(facts(calls, "ApiCall", F.col("call"), None, 0.75), facts(calls.where("owner is not null"), "CALLS", F.col("call"), F.col("owner"), 0.7))
+def api_calls(t: DataFrame, chosen: DataFrame, confidence: float, owner: DataFrame) -> DataFrame:
+    """ApiCall nodes, and CALLS from the files' owners, of the calls ``chosen(path, i, line, verb)``, by their first argument."""
+    known = constants(t)
+    named = t.where((F.col("kind") == "w") & (_back(0) == "(") & _ahead(0).isin(")", ",")).select("path", F.col("open").alias("at"), F.concat(F.lit("${"), "text", F.lit("}")).alias("value"))
+    member = t.where((F.col("kind") == "w") & (_back(0) == ".") & (_back(1) == "this") & (_back(2) == "(") & _ahead(0).isin(")", ",")).select("path", F.col("open").alias("at"), F.concat(F.lit("${"), "text", F.lit("}")).alias("value"))
+    given = union(first_arguments(t), named, member)
+    met = chosen.join(given, [chosen["path"] == given["path"], chosen["i"] == given["at"]]).select(chosen["path"], "line", "verb", "value").join(known, "path", "left")
+    url = met.withColumn("route", address(filled(F.col("value"), F.col("known")))).where("route is not null").withColumn("call", F.concat("verb", F.lit(" "), "route")).join(owner, "path", "left")
+    return union(facts(url, "ApiCall", F.col("call"), properties(verb=F.col("verb"), route=F.col("route")), confidence), facts(url.where("owner is not null"), "CALLS", F.col("call"), F.col("owner"), 0.7))
 
 
-def react_contexts(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"(?:const|let)\s+([A-Za-z0-9]+)\s*=\s*(createContext|createStore|configureStore|create)\s*[(<]", 1, 2)
-    return facts(rows, "Context", F.col("g1"), properties(kind=F.when(F.col("g2") == "createContext", "context").otherwise("store")), 0.8)
+def uses(t: DataFrame, states: DataFrame) -> DataFrame:
+    """(path, state, field): the field that each of ``states(path, state)`` narrows, found where it is used.
 
+    It is a field that a filter's predicate compares with it, or else what it is sent as: a query's
+    parameter, a key that is appended or set, a key of an object. Of several the first in the file.
+    """
+    seen = t.where("kind = 'w'").join(states.select("path", F.col("state").alias("text")).distinct(), ["path", "text"])
+    skip = F.when((_back(0) == ".") & (_back(1) == "this"), 2).otherwise(0)  # this.state
+    left = lambda k: F.get("back", skip + k)
+    compares = ("===", "!==", "==", "!=")
+    field = F.when(left(0).isin(*compares) & (F.get("back", skip + 2) == "."), left(1)).when(_ahead(0).isin(*compares) & (_ahead(2) == "."), _ahead(3))
+    key = F.when((F.size(F.filter("ahead", lambda a: a.isNotNull())) > 0) & _ahead(0).isin(",", "}") & (left(0) == ":"), left(1))
+    filters = calls(t).where("method = 'filter'").select("path", F.col("i").alias("from_"), F.col("close").alias("to_"))
+    compared = seen.withColumn("field", field).where("field is not null").join(filters, "path").where("i between from_ and to_").select("path", F.col("text").alias("state"), "i", "field", F.lit(0).alias("rank"))
+    builders = calls(t).where("method in ('append', 'set')").select("path", F.col("i").alias("open"))
+    appended = seen.where((left(0) == ",") & left(1).startswith('"')).withColumn("field", _unquoted(left(1))).join(builders, ["path", "open"]).select("path", F.col("text").alias("state"), "i", "field", F.lit(1).alias("rank"))
+    keyed = seen.withColumn("field", _unquoted(key)).where("field is not null").select("path", F.col("text").alias("state"), "i", "field", F.lit(1).alias("rank"))
+    parameter = r"[?&]([\w-]+)=\$\{\s*(?:this\.)?(\w+)\s*\}"
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(parameter), 1).alias("field"), F.regexp_extract_all("text", F.lit(parameter), 2).alias("state"))
+    queried = t.where("kind = 't'").select("path", "i", F.explode(pairs).alias("p")).select("path", "p.state", "i", "p.field", F.lit(1).alias("rank")).join(states.select("path", "state").distinct(), ["path", "state"], "left_semi").select("path", "state", "i", "field", "rank")
+    return first_by(union(compared, appended, keyed, queried), ["path", "state"], ["rank", "i", "field"]).select("path", "state", "field")
 
-_TAG = r"<([A-Z][A-Za-z0-9]*)(?=[\s/>])"
 
+# ---- React ---------------------------------------------------------------------------------
 
-def react_routes(files: DataFrame) -> DataFrame:
-    """Routes of route elements and of router tables, each with the text up to the next one: whether and for whom it is
-    guarded, and RENDERS to every component in it."""
-    jsx = _sources(files, r"\.[tj]sx?$").where(F.col("text").contains("react-router-dom"))
-    blocks = occurrences(jsx, r"(<Route\s+path\s*=\s*[\"']([^\"']*)[\"'](?:(?!<Route\b|</Routes>)[\s\S])*)", 2, 1).withColumn("weight", F.lit(0.85))
-    tables = _sources(files, r"\.[tj]sx?$").where(F.col("text").rlike(r"create(?:Browser|Hash)Router\s*\("))
-    rows = occurrences(tables, r"(\bpath\s*:\s*[\"']([^\"']*)[\"'](?:(?!\bpath\s*:\s*[\"']|\]\s*\)|\]\s*;)[\s\S])*)", 2, 1).withColumn("weight", F.lit(0.75))
-    found = union(blocks, rows).withColumn("route", F.when(F.col("g1") == "", "(index)").otherwise(F.col("g1")))
-    guarded = F.when(F.col("g2").rlike("ProtectedRoute|PrivateRoute"), "yes").otherwise("no")
-    listed = F.regexp_extract("g2", r"allowedRoles\s*=\s*\{\s*\[([^\]]*)\]", 1)
-    roles = F.array_join(F.array_distinct(F.regexp_extract_all(listed, F.lit(r"(?:ROLES\.)?(\w+)"), 1)), ", ")
-    rendered = found.select("path", "line", "route", F.explode(F.array_distinct(F.regexp_extract_all("g2", F.lit(_TAG), 1))).alias("child")).where("child <> 'Route'")
-    return union(facts(found, "Route", F.col("route"), properties(protected=guarded, roles=roles), F.col("weight")), facts(rendered, "RENDERS", F.col("child"), F.col("route"), 0.6))
+#: React's own hooks, from its documentation.
+BUILTIN_HOOKS = (
+    "useActionState", "useCallback", "useContext", "useDebugValue", "useDeferredValue", "useEffect", "useFormStatus", "useId", "useImperativeHandle",
+    "useInsertionEffect", "useLayoutEffect", "useMemo", "useOptimistic", "useReducer", "useRef", "useState", "useSyncExternalStore", "useTransition")
+_HOOK = "^use[A-Z]"
+
+
+def component_functions(t: DataFrame) -> DataFrame:
+    """(path, i, line, name, default, at): exported functions and the place of their parameters, also within memo and forwardRef."""
+    out = exported(t)
+    marks = t.where("text = '(' and kind = 'p'")
+    declared = marks.where("lead = 'function'").select("path", "name", F.col("i").alias("at"), F.col("then").alias("follows"))
+    functions = out.where("form = 'function'").join(declared, ["path", "name"])
+    given = first_by(marks.where("into is not null").select("path", F.col("into").alias("name"), "i", F.col("name").alias("by"), "then"), ["path", "name"], ["i"])
+    plain = given.where("by is null or by = 'async'").select("path", "name", F.col("i").alias("at"), F.col("then").alias("follows"))
+    wrapped = given.where(F.col("by").rlike(r"^(?:React\.)?(?:memo|forwardRef)$")).select("path", "name", F.col("i").alias("outside"))
+    inner = first_by(marks.select("path", F.col("open").alias("outside"), F.col("i").alias("at"), F.col("then").alias("follows")), ["path", "outside"], ["at"])
+    wrapped = wrapped.join(inner, ["path", "outside"]).select("path", "name", "at", "follows")
+    values = out.where("form in ('const', 'let')").join(union(plain, wrapped), ["path", "name"])
+    return union(functions, values.select(functions.columns)).where("follows in ('{', '=>', ':')").drop("follows")
+
+
+@extractor(JSX)
+def react_components(src: Sources) -> DataFrame:
+    """Exported components: the kind that the file's name gives the default one, how it is rendered, what it is given, the
+    hooks of the file, and of the default one the only heading and what is shown when its only list is empty."""
+    t = src.script(JSX)
+    made = component_functions(t).where((F.col("default") & ~F.col("name").rlike("^use")) | F.col("name").rlike("^[A-Z]"))
+    hooks = listed(calls(t).where(F.col("method").rlike(_HOOK)), ["path"], "method", "hooks")
+    client = t.where("kind = 's' and text = 'use client'").select("path", F.lit("client").alias("rendering")).distinct()
+    words = t.where("kind = 'w'").where(_back(0).isin("(", "{", ","))
+    given = union(words.select("path", F.col("open").alias("at"), "i", "text"), words.select("path", F.col("outer").alias("at"), "i", "text")).join(made.select("path", "at"), ["path", "at"], "left_semi")
+    props = listed(given, ["path", "at"], "text", "props")
+    behind = lambda rows, pattern: rows.join(src.like(JSX).withColumnRenamed("text", "code"), "path").select("path", lexing.shown(F.trim(F.regexp_extract(F.substr("code", F.col("stop") + 1), pattern, 1))).alias("said"))
+    only = lambda rows, name: rows.groupBy("path").agg(F.count("*").alias("n"), F.max("said").alias(name)).where(F.col("n") == 1).drop("n")
+    heads = behind(t.where((F.col("text") == "<") & _ahead(0).isin("h1", "h2")), r"^\s*h[12]\b[^>]*>\s*([^<{}]+?)\s*</")
+    empties = behind(t.where((F.col("text") == "length") & (_back(0) == ".") & (F.slice("ahead", 1, 3) == F.array(F.lit("==="), F.lit("0"), F.lit("?")))), r"^[^?]*\?[^:]*?>\s*(\p{L}[^<>{}:]*?)\s*<")
+    kind = F.when(F.lower(stem(F.col("path"))).isin("page", "layout", "loading", "error"), F.lower(stem(F.col("path")))).otherwise("component")
+    rows = made
+    for more, keys in ((hooks, ["path"]), (client, ["path"]), (props, ["path", "at"]), (only(heads.where("said <> ''"), "heading"), ["path"]), (only(empties, "empty"), ["path"])):
+        rows = rows.join(more, keys, "left")
+    about = dict(rendering=F.coalesce("rendering", F.lit("server")), props=F.col("props"), hooks=F.col("hooks"))
+    return union(
+        facts(rows.where("default"), "UIComponent", F.col("name"), properties(kind=kind, **about, displayName=F.col("heading"), emptyStateLabel=F.col("empty")), 0.85),
+        facts(rows.where("not default"), "UIComponent", F.col("name"), properties(kind=F.lit("component"), **about), 0.85))
+
+
+@extractor(TS)
+def react_hooks(src: Sources) -> DataFrame:
+    rows = exported(src.script(TS)).where(F.col("name").rlike(_HOOK) & F.col("form").isin("function", "const", "let"))
+    return facts(rows, "Hook", F.col("name"), None, 0.85)
+
+
+@extractor(JSX)
+def react_hook_uses(src: Sources) -> DataFrame:
+    """USES: a component and the hooks that its file calls, React's own ones left out."""
+    t = src.script(JSX)
+    rows = calls(t).where(F.col("method").rlike(_HOOK) & ~F.col("method").isin(*BUILTIN_HOOKS)).join(owners(t), "path")
+    return facts(first_by(rows, ["path", "owner", "method"], ["i"]), "USES", F.col("method"), F.col("owner"), 0.7)
+
+
+#: What objects that send requests are called, and their methods.
+CLIENTS, VERBS = r"(?i)(?:axios|api|client|http)", ("get", "post", "put", "patch", "delete", "postFormData")
 
 
-def react_renders(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def react_api_calls(src: Sources) -> DataFrame:
+    """fetch with its method, axios and wrapped clients; CALLS from the component that the file is about."""
+    t = src.script(TS)
+    methods = strings(t).where((_back(0) == ":") & (_back(1) == "method")).select("path", F.col("outer").alias("i"), F.upper("text").alias("said"))
+    fetched = calls(t).where("name = 'fetch'").select("path", "i", "line").join(first_by(methods, ["path", "i"], ["said"]), ["path", "i"], "left").select("path", "i", "line", F.coalesce("said", F.lit("GET")).alias("verb"))
+    sent = calls(t).where(F.col("method").isin(*VERBS) & F.substring_index("on", ".", -1).rlike(CLIENTS) & ~F.col("on").startswith("this."))
+    return api_calls(t, union(fetched, sent.select("path", "i", "line", F.upper(F.regexp_replace("method", "FormData$", "")).alias("verb"))), 0.75, owners(t))
+
+
+@extractor(TS)
+def react_contexts(src: Sources) -> DataFrame:
+    rows = calls(src.script(TS)).where(F.col("method").isin("createContext", "createStore", "configureStore", "create") & F.col("into").isNotNull())
+    return facts(rows, "Context", F.col("into"), properties(kind=F.when(F.col("method") == "createContext", "context").otherwise("store")), 0.8)
+
+
+#: The components that guard what they enclose.
+GUARDS = ("ProtectedRoute", "PrivateRoute")
+
+
+def _routes(t: DataFrame, begins: Column, ends: Column, named: Column, confidence: float) -> DataFrame:
+    """(path, line, route, weight, part, i): tokens dealt to the route that begins last before them; ``named`` is where its path is told."""
+    order = Window.partitionBy("path").orderBy("i")
+    parted = t.withColumn("part", lexing.latest(F.when(begins, F.col("i")).when(ends, F.lit(-1)), order)).where("part >= 0")
+    said = F.when(named, F.struct("i", F.col("text").alias("route")))
+    head = parted.groupBy("path", "part").agg(F.min(said)["route"].alias("route"), F.min("line").alias("at")).where("route is not null")
+    route = F.when(F.col("route") == "", "(index)").otherwise(F.col("route"))
+    return parted.join(head.withColumn("route", route), ["path", "part"]).withColumn("weight", F.lit(confidence))
+
+
+@extractor(TS)
+def react_routes(src: Sources) -> DataFrame:
+    """Routes of route elements and of router tables: whether and for whom each is guarded, and RENDERS to the components in it."""
+    t = src.script(TS)
+    library = strings(t).where("text = 'react-router-dom'").select("path").distinct()
+    tag = (F.col("text") == "<") & (F.col("kind") == "p")
+    in_jsx = _routes(t.join(library, "path", "left_semi"), tag & (_ahead(0) == "Route"), tag & (_ahead(0) == "/") & (_ahead(1) == "Routes"), F.col("kind").isin("s", "t") & (_back(0) == "=") & (_back(1) == "path"), 0.85)
+    routers = calls(t).where("method in ('createBrowserRouter', 'createHashRouter')").select("path", F.col("i").alias("from_"), F.col("close").alias("to_"))
+    inside = t.join(routers, "path").where("i between from_ and to_")
+    table = _routes(inside.drop("from_", "to_"), (F.col("text") == "path") & (_ahead(0) == ":") & _ahead(1).startswith('"'), F.lit(False), F.col("kind").isin("s", "t") & (_back(0) == ":") & (_back(1) == "path"), 0.75)
+    rows = union(in_jsx, table)
+    named = elements(rows).where("element <> 'Route'")
+    braces = rows.where((F.col("text") == "{") & (_back(0) == "=") & (_back(1) == "allowedRoles")).select("path", "part", F.col("i").alias("outer"))
+    inner = rows.where((F.col("kind").isin("w", "s")) & ~F.coalesce(_ahead(0), F.lit("")).isin(".", "?.")).join(braces, ["path", "part", "outer"])
+    key = ["path", "part"]
+    guarded = named.where(F.col("element").isin(*GUARDS)).select(*key, F.lit("yes").alias("guarded")).distinct()
+    found = rows.select(*key, "route", F.col("at").alias("line"), "weight").distinct().join(guarded, key, "left").join(listed(inner, key, "text", "roles"), key, "left")
+    shown = first_by(named.select(*key, F.col("at").alias("line"), "route", "element", "i"), [*key, "element"], ["i"])
+    return union(
+        facts(found, "Route", F.col("route"), properties(path=F.col("route"), protected=F.coalesce("guarded", F.lit("no")), roles=F.col("roles")), F.col("weight")), facts(shown, "RENDERS", F.col("element"), F.col("route"), 0.6))
+
+
+@extractor(JSX)
+def react_renders(src: Sources) -> DataFrame:
     """RENDERS: the component that a file is about and the components that its markup names."""
-    src = _sources(files, r"\.[tj]sx$").withColumn("owner", owner_component(F.col("text"))).where("owner is not null")
-    each = whole_files(src, F.col("owner"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TAG), 1))).alias("child")).where("child <> owner")
-    return facts(each, "RENDERS", F.col("child"), F.col("owner"), 0.6)
+    t = src.script(JSX)
+    each = elements(t).join(owners(t), "path").where("element <> owner").select("path", "owner", "element", F.lit(1).alias("line")).distinct()
+    return facts(each, "RENDERS", F.col("element"), F.col("owner"), 0.6)
 
 
-def react_roles(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def react_roles(src: Sources) -> DataFrame:
     """The roles of a ROLES constant or a role enumeration, by name with their value."""
-    rows = occurrences(_sources(files, r"\.[tj]sx?$"), r"(?:enum\s+[A-Za-z]*Roles?\b\s*|const\s+ROLES\b[^={]*=\s*)\{([^}]*)\}", 1)
-    entry = r"(\w+)\s*[:=]\s*[\"']([^\"']+)[\"']"
-    each = rows.select("path", "line", F.explode(F.arrays_zip(F.regexp_extract_all("g1", F.lit(entry), 1).alias("name"), F.regexp_extract_all("g1", F.lit(entry), 2).alias("value"))).alias("r"))
-    return facts(each, "Role", F.col("r.name"), properties(value=F.col("r.value")), 0.9)
+    t = src.script(TS)
+    tables = t.where("text = '{' and kind = 'p'").where((F.col("into") == "ROLES") | ((F.col("lead") == "enum") & F.col("name").rlike("Roles?$"))).select("path", F.col("i").alias("open"), F.col("line").alias("at"))
+    each = strings(t).where(_back(0).isin(":", "=") & _back(1).isNotNull()).join(tables, ["path", "open"])
+    return facts(each.drop("line").withColumnRenamed("at", "line"), "Role", _unquoted(_back(1)), properties(value=F.col("text")), 0.9)
+
 
+#: What checks of roles are called, and how a permission is written.
+ROLE_CHECKS, PERMISSION = r"^(?:use\w*(?:Role|Permission)\w*|hasAnyRole|hasRole|hasPermission)$", r"^[A-Z][A-Z_]*\.[A-Z][A-Z_]*$"
 
-def react_role_gates(files: DataFrame) -> DataFrame:
-    """GATES: a file that checks roles and the first ten of those it names; files that define the checks are left out."""
-    name = stem(F.col("path"))
-    src = _sources(files, r"\.[tj]sx?$").where(F.col("text").rlike(r"\b(?:use\w*Role\w*|use\w*Permission\w*|hasAnyRole|hasRole|hasPermission)\s*\(") & ~name.rlike(r"^use[A-Z]|(?:Utils?|Helpers?|Service)$"))
-    named = F.regexp_extract_all("text", F.lit(r"(?:\bROLES\.|(?<=[\"'])(?=[A-Z][A-Z_]*\.[A-Z][A-Z_]*[\"']))(\w+(?:\.[A-Z_]+)?)"), 1)
-    return facts(whole_files(src, F.explode(F.slice(F.array_distinct(named), 1, 10)).alias("role"), name.alias("owner")), "GATES", F.col("owner"), F.col("role"), 0.6)
 
+@extractor(TS)
+def react_role_gates(src: Sources) -> DataFrame:
+    """GATES: a file that checks roles and those it names; a file that itself defines a check is left out."""
+    t = src.script(TS)
+    declared = t.where((F.col("kind") == "w") & _back(0).isin("function", "const", "let")).select("path", F.col("text").alias("method"))
+    checks = calls(t).where(F.col("method").rlike(ROLE_CHECKS)).select("path", "method").distinct()
+    defining = declared.where(F.col("method").rlike(ROLE_CHECKS)).select("path").distinct()
+    gated = checks.select("path").distinct().join(defining, "path", "left_anti")
+    roles = t.where((F.col("kind") == "w") & (_back(0) == ".") & (_back(1) == "ROLES")).select("path", F.col("text").alias("role"))
+    permissions = strings(t).where(F.col("text").rlike(PERMISSION)).select("path", F.col("text").alias("role"))
+    each = union(roles, permissions).distinct().join(gated, "path", "left_semi").withColumn("line", F.lit(1))
+    return facts(each, "GATES", stem(F.col("path")), F.col("role"), 0.6)
 
-def react_grids(files: DataFrame) -> DataFrame:
+
+@extractor(TS)
+def react_grids(src: Sources) -> DataFrame:
     """Grids and what they show: the column keys of a table library, or else the headings of each table."""
-    src = _sources(files, r"\.[tj]sx?$")
-    library = F.col("text").contains("useReactTable")
-    keys = F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(r"accessorKey\s*:\s*[`'\"](\w+)[`'\"]"), 1)), ", ")
-    grids = whole_files(src.where(library), stem(F.col("path")).alias("owner"), keys.alias("columns")).where("columns <> ''")
-    tables = occurrences(src.where(~library).withColumn("owner", stem(F.col("path"))), r"(?i)(<table\b[\s\S]*?</table\s*>)", 1, keep=("owner",))
+    t, code = src.script(TS), src.like(TS)
+    library = calls(t).where("method = 'useReactTable'").select("path").distinct()
+    keys = listed(strings(t).where((_back(0) == ":") & (_back(1) == "accessorKey")).join(library, "path", "left_semi"), ["path"], "text", "columns")
+    grids = keys.withColumn("line", F.lit(1)).withColumn("owner", stem(F.col("path")))
+    tables = occurrences(code.join(library, "path", "left_anti").withColumn("owner", stem(F.col("path"))), r"(?i)(<table\b[\s\S]*?</table\s*>)", 1, keep=("owner",))
     heads = F.transform(F.regexp_extract_all("g1", F.lit(r"(?i)<th\b[^>]*>([\s\S]*?)</th\s*>"), 1), lambda h: F.trim(F.regexp_replace(F.regexp_replace(h, "<[^>]+>", ""), r"\s+", " ")))
     shown = tables.withColumn("columns", F.array_join(F.array_distinct(F.filter(heads, lambda h: (h != "") & ~h.startswith("{"))), ", ")).where("columns <> ''")
-    nth = F.row_number().over(_by("path").orderBy("line"))
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("line", "columns"))
     named = shown.withColumn("n", nth).withColumn("name", F.when(F.col("n") == 1, F.col("owner")).otherwise(F.concat("owner", F.lit(" (table "), "n", F.lit(")"))))
     return union(facts(grids, "DataGrid", F.col("owner"), properties(columns=F.col("columns")), 0.85), facts(named, "DataGrid", F.col("name"), properties(columns=F.col("columns")), 0.8))
 
 
-def _by(*keys: str):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys)
-
-
 #: The chart libraries by what is imported.
 CHARTS = (("recharts", "recharts"), ("react-chartjs-2", "Chart.js"), ("chart.js", "Chart.js"))
 
 
-def react_charts(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def react_charts(src: Sources) -> DataFrame:
     """Files that import a charting library, by the first that they name."""
-    library = F.coalesce(*[F.when(F.col("text").rlike(f"[\"']{re.escape(i)}[\"']"), F.lit(n)) for i, n in CHARTS])
-    rows = whole_files(_sources(files, r"\.[tj]sx?$"), stem(F.col("path")).alias("owner"), library.alias("library")).where("library is not null")
-    return facts(rows, "AnalyticsChart", F.col("owner"), properties(library=F.col("library")), 0.8)
-
+    table = {name: (i, library) for i, (name, library) in enumerate(CHARTS)}
+    rank = F.coalesce(*[F.when(F.col("text") == n, F.struct(F.lit(i).alias("r"), F.lit(lib).alias("library"))) for n, (i, lib) in table.items()])
+    rows = strings(src.script(TS)).where(_back(0).isin("from", "import", "(") & F.col("text").isin(*table)).groupBy("path").agg(F.min(rank)["library"].alias("library")).withColumn("line", F.lit(1))
+    return facts(rows, "AnalyticsChart", stem(F.col("path")), properties(library=F.col("library")), 0.8)
 
-def target_field(text: Column, name: Column) -> Column:
-    """What a filter's state is compared with or sent as: a predicate's field either way round, a query string, a builder's key, an object's key."""
-    n = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    forms = (
-        (r"\.filter\s*\(\s*\w+\s*=>[\s\S]{0,120}?\.(\w+)\s*[!=]==?\s*", r"\b"), (r"\.filter\s*\(\s*\w+\s*=>[\s\S]{0,120}?", r"\s*[!=]==?\s*\w+\.(\w+)\b"),
-        (r"[?&]([\w-]+)=\$\{", r"\}"), (r"\.(?:append|set)\s*\(\s*['\"`]([\w-]+)['\"`]\s*,\s*", r"\b"), (r"(\w+)\s*:\s*", r"\s*[,}]"))
-    return F.coalesce(*[F.nullif(F.call_function("regexp_extract", text, F.concat(F.lit(a), n, F.lit(b)), F.lit(1)), F.lit("")) for a, b in forms])
 
-
-def react_filters(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def react_filters(src: Sources) -> DataFrame:
     """Filter states with their shape and the field they narrow; tab and view states only where the file fetches."""
-    src = _sources(files, r"\.[tj]sx?$").withColumn("owner", stem(F.col("path")))
-    state = lambda names: r"const\s*\[\s*(" + names + r")\s*,\s*set\w+\s*\]\s*=\s*useState"
-    filters = first_by(occurrences(src, state(r"\w*[Ff]ilters?\w*"), 1, keep=("owner", "text")), ["path", "g1"], ["line"])
-    shaped = filters.withColumn("shape", T.classify_shape(F.col("g1"))).where("shape is not null")
-    tabs = first_by(occurrences(src.where(F.col("text").rlike(r"(?i)\b(?:fetch|axios|api\w*\.(?:get|post))\s*\(")), state(r"\w*(?:[Tt]ab|[Vv]iew)\w*"), 1, keep=("owner",)), ["path", "g1"], ["line"])
+    t = src.script(TS)
+    pair = (F.col("kind") == "w") & (_back(0) == "[") & _back(1).isin("const", "let") & (_ahead(0) == ",") & (_ahead(2) == "]") & (_ahead(3) == "=") & ((_ahead(4) == "useState") | (_ahead(4) == "React"))
+    states = first_by(t.where(pair).select("path", "line", "i", F.col("text").alias("state")), ["path", "state"], ["i"])
+    filters = states.where(F.lower("state").contains("filter")).withColumn("shape", T.classify_shape(F.col("state"))).where("shape is not null").join(uses(t, states), ["path", "state"], "left")
+    fetches = calls(t).where((F.col("method") == "fetch") | (F.lower("on").rlike("^axios") | (F.lower("name") == "axios")) | (F.col("method").isin("get", "post") & F.lower("on").rlike(r"api\w*$"))).select("path").distinct()
+    tabs = states.where(F.lower("state").rlike("tab|view") & ~F.lower("state").contains("filter")).join(fetches, "path", "left_semi")
     return union(
-        facts(shaped, "Filter", F.col("g1"), properties(component=F.col("owner"), kind=F.col("shape"), targetField=target_field(F.col("text"), F.col("g1"))), 0.75),
-        facts(tabs.where(~F.col("g1").rlike("[Ff]ilter")), "Filter", F.col("g1"), properties(component=F.col("owner"), kind=F.lit("view-tab")), 0.6))
+        facts(filters, "Filter", F.col("state"), properties(component=stem(F.col("path")), shape=F.col("shape"), targetField=F.col("field")), 0.75),
+        facts(tabs, "Filter", F.col("state"), properties(component=stem(F.col("path")), shape=F.lit("view-tab")), 0.6))
 
 
-def react_imports_exports(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def react_imports_exports(src: Sources) -> DataFrame:
     """Handlers that import, export, download or upload, whether the file polls a job, and file inputs without a handler."""
-    src = _sources(files, r"\.[tj]sx?$")
-    handler = r"(?:const|function)\s+(handle(Import|Export|Download|Upload)\w*)\b"
-    polls = F.when(F.col("text").rlike(r"(?i)\bsetInterval\s*\(|\bpoll\w*\s*\(|[\"'](?:Pending|Processing)[\"']"), "polls job status")
-    rows = occurrences(src.withColumn("polls", polls), handler, 1, 2, keep=("polls",))
-    inputs = whole_files(src.where(F.col("text").rlike(r"type\s*=\s*[\"']file[\"']") & ~F.col("text").rlike(handler)), stem(F.col("path")).alias("owner"))
+    t = src.script(TS)
+    verb = F.regexp_extract("text", "^handle(Import|Export|Download|Upload)", 1)
+    handlers = t.where((F.col("kind") == "w") & _back(0).isin("const", "let", "function")).withColumn("verb", verb).where("verb <> ''")
+    waits = union(calls(t).where(F.lower("method").rlike("^(?:setinterval$|poll)")).select("path"), strings(t).where("text in ('Pending', 'Processing')").select("path")).distinct().withColumn("polls", F.lit("polls job status"))
+    inputs = strings(t).where((F.col("text") == "file") & (_back(0) == "=") & (_back(1) == "type")).select("path", F.lit(1).alias("line")).distinct().join(handlers.select("path"), "path", "left_anti")
     return union(
-        facts(rows, "ImportExport", F.col("g1"), properties(kind=F.col("g2"), **{"async": F.col("polls")}), 0.8),
-        facts(inputs, "ImportExport", F.concat("owner", F.lit(" file upload")), properties(kind=F.lit("Upload")), 0.6))
+        facts(handlers.join(waits, "path", "left"), "ImportExport", F.col("text"), properties(kind=F.col("verb"), **{"async": F.col("polls")}), 0.8),
+        facts(inputs, "ImportExport", F.concat(stem(F.col("path")), F.lit(" file upload")), properties(kind=F.lit("Upload")), 0.6))
+
+
+#: The beginnings of names of functions that check what is sent.
+CHECKING = "(?i)^(?:validate|handlesubmit|checkform|onsubmit)"
 
 
-def react_form_fields(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def react_form_fields(src: Sources) -> DataFrame:
     """Registered fields, messages that are assigned to a field's error, and, within functions that validate or submit, to any object's field."""
-    src = _sources(files, r"\.[tj]sx?$").withColumn("form", stem(F.col("path")))
-    named = first_by(occurrences(src, r"\bregister\s*\(\s*[`'\"](\w+)[`'\"]", 1, keep=("form",)), ["path", "g1"], ["line"])
-    errors = first_by(occurrences(src, r"(?:newErrors|errors)\.(\w+)\s*=\s*[`'\"]([^`'\"]+)[`'\"]", 1, 2, keep=("form",)), ["path", "g1"], ["line"])
-    inside = _python(src.select("path", "text"), _validated)
+    t = src.script(TS)
+    registers = calls(t).where("method = 'register'").select("path", "line", F.col("i").alias("at"))
+    named = first_by(registers.join(first_arguments(t), ["path", "at"]), ["path", "value"], ["at"])
+    assigned = strings(t).where((_back(0) == "=") & (_back(2) == ".")).select("path", "line", "i", _back(1).alias("field"), _back(3).alias("object"), F.col("text").alias("message"), "inside")
+    known = F.col("object").isin("errors", "newErrors")
+    errors = first_by(assigned.where(known), ["path", "field"], ["i"])
+    inside = first_by(assigned.where(~known & F.col("inside").rlike(CHECKING)), ["path", "inside", "field"], ["i"])
+    form = stem(F.col("path"))
     return union(
-        facts(named, "FormField", F.col("g1"), properties(form=F.col("form")), 0.8),
-        facts(errors, "FormField", F.col("g1"), properties(form=F.col("form"), validation=F.col("g2")), 0.8), inside)
-
-
-def balanced(text: str, at: int, opening: str, closing: str) -> int:
-    """The place after the delimiter that closes the one at ``at``; -1 if none does. Quoted text does not count."""
-    depth, quote, i = 0, "", at
-    while i < len(text):
-        c = text[i]
-        if quote:
-            i += c == "\\"
-            quote = "" if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        elif c == opening:
-            depth += 1
-        elif c == closing:
-            depth -= 1
-            if depth == 0:
-                return i + 1
-        i += 1
-    return -1
-
-
-def _python(files: DataFrame, rule) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            rows = [(path, *row) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in rule(path, text or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64()))], names=["path", "line", "kind", "name", "detail", "confidence"])
-    return files.select("path", "text").mapInArrow(run, SCHEMA)
-
-
-_BODY = r"\s*[:=]?\s*(?:\([^)]*\)|\w+)?\s*(?:=>)?\s*\{"
-_CHECKS = re.compile(r"\b(?:function\s+)?(?:validate|handlesubmit|checkform|onsubmit)\w*" + _BODY, re.I)
-_MESSAGE = re.compile(r"""\b\w+\.(\w+)\s*=\s*[`'"]([^`'"]+)[`'"]""")
-_DEFAULTS = re.compile(r"\b(?:function\s+)?(?:get\w*default\w*route\w*|default\w*route\w*for\w*)" + _BODY, re.I)
-_CASE = re.compile(r"""case\s+(?:ROLES\.)?(\w+)\s*:[\s\S]{0,120}?return\s+[`'"]([^`'"]+)[`'"]""")
-
-
-def _within(text: str, opened: re.Pattern, wanted: re.Pattern):
-    """(line, match) of the first match of each first group in every body that ``opened`` opens."""
-    for m in opened.finditer(text):
-        end = balanced(text, m.end() - 1, "{", "}")
-        seen = set()
-        for p in wanted.finditer(text, m.end(), max(end, m.end())):
-            if p[1] not in seen:
-                seen.add(p[1])
-                yield text.count("\n", 0, p.start()) + 1, p
-
-
-def _validated(path: str, text: str):
-    form = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
-    for line, p in _within(text, _CHECKS, _MESSAGE):
-        yield line, "FormField", p[1], f"form={form}; validation={p[2]}", 0.65
-
-
-def react_default_routes(files: DataFrame) -> DataFrame:
+        facts(named, "FormField", F.col("value"), properties(form=form), 0.8), facts(errors, "FormField", F.col("field"), properties(form=form, validation=F.col("message")), 0.8),
+        facts(inside, "FormField", F.col("field"), properties(form=form, validation=F.col("message")), 0.65))
+
+
+@extractor(TS)
+def react_default_routes(src: Sources) -> DataFrame:
     """ROUTES_TO: where a function of default routes sends each role."""
-    def rule(path, text):
-        for line, p in _within(text, _DEFAULTS, _CASE):
-            yield line, "ROUTES_TO", p[2], p[1], 0.65
-    return _python(_sources(files, r"\.[tj]sx?$"), rule)
+    t = src.script(TS).where(F.lower("inside").rlike(r"default\w*route"))
+    label = F.when((F.col("text") == "case") & (F.col("kind") == "w"), F.when(_ahead(1) == ".", _ahead(2)).otherwise(_unquoted(_ahead(0))))
+    order = Window.partitionBy("path", "inside").orderBy("i")
+    told = t.withColumn("role", lexing.latest(label, order)).withColumn("case", F.sum(F.when(label.isNotNull(), 1)).over(order))
+    sent = told.where((F.col("text") == "return") & (F.col("kind") == "w") & _ahead(0).startswith('"') & F.col("role").isNotNull())
+    cases = told.where(label.isNotNull()).select("path", "inside", "case", F.col("line").alias("at"))
+    first = first_by(sent.select("path", "inside", "case", "i", "role", _unquoted(_ahead(0)).alias("route")), ["path", "inside", "role"], ["i"]).join(cases, ["path", "inside", "case"]).withColumnRenamed("at", "line")
+    return facts(first, "ROUTES_TO", F.col("route"), F.col("role"), 0.65)
 
 
 # ---- Angular -------------------------------------------------------------------------------
 
 
-def angular_components(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.ts$"), r"""@Component\(\{[^}]*?selector:\s*["']([^"']+)["'][\s\S]*?export\s+class\s+([A-Za-z0-9]+)""", 1, 2)
+def classes(t: DataFrame) -> DataFrame:
+    """(path, owner): the first class that a file exports."""
+    return first_by(exported(t).where("form = 'class'").select("path", "i", F.col("name").alias("owner")), ["path"], ["i"]).select("path", "owner")
+
+
+@extractor(TS)
+def angular_components(src: Sources) -> DataFrame:
+    rows = occurrences(src.like(TS), r"""@Component\(\{[^}]*?selector:\s*["'`]([^"'`]+)["'`][\s\S]*?export\s+class\s+([A-Za-z0-9]+)""", 1, 2)
     return facts(rows, "UIComponent", F.col("g2"), properties(selector=F.col("g1")), 0.9)
 
 
-def angular_services(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.ts$"), r"@Injectable\([^)]*\)\s*export\s+class\s+([A-Za-z0-9]+)", 1)
+@extractor(TS)
+def angular_services(src: Sources) -> DataFrame:
+    rows = occurrences(src.like(TS), r"@Injectable\([^)]*\)\s*export\s+class\s+([A-Za-z0-9]+)", 1)
     return facts(rows, "UIService", F.col("g1"), None, 0.9)
 
 
-def angular_guards(files: DataFrame) -> DataFrame:
-    rows = occurrences(_sources(files, r"\.ts$"), r"export\s+(?:class|const)\s+([A-Za-z0-9]+)[^\n{]*?\b(CanActivate|CanActivateFn|CanMatchFn|Resolve|ResolveFn|HttpInterceptor|HttpInterceptorFn)\b", 1, 2)
+@extractor(TS)
+def angular_guards(src: Sources) -> DataFrame:
+    rows = occurrences(src.like(TS), r"export\s+(?:class|const)\s+([A-Za-z0-9]+)[^\n{]*?\b(CanActivate|CanActivateFn|CanMatchFn|Resolve|ResolveFn|HttpInterceptor|HttpInterceptorFn)\b", 1, 2)
     kind = F.when(F.col("g2").startswith("Can"), "Guard").when(F.col("g2").startswith("Resolve"), "Resolver").otherwise("Interceptor")
-    return facts(rows, kind, F.col("g1"), properties(contract=F.col("g2")), 0.85)
+    return facts(rows, kind, F.col("g1"), properties(contract=F.col("g2")), 0.85, ("Guard", "Resolver", "Interceptor"))
 
 
 _PRIMITIVES = ("string", "number", "boolean", "any", "unknown", "void", "object", "Date", "never", "symbol")
 
 
-def angular_dependencies(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def angular_dependencies(src: Sources) -> DataFrame:
     """DEPENDS_ON: a class and the types that its constructor is given, primitive ones left out."""
-    src = _sources(files, r"\.ts$").withColumn("owner", F.nullif(F.regexp_extract("text", r"export\s+class\s+(\w+)", 1), F.lit(""))).where("owner is not null")
-    rows = occurrences(src, r"constructor\(([^)]*)\)", 1, keep=("owner",))
-    each = rows.select("path", "line", "owner", F.explode(F.array_distinct(F.regexp_extract_all("g1", F.lit(r":\s*([A-Za-z][A-Za-z0-9]*)"), 1))).alias("t")).where(~F.col("t").isin(*_PRIMITIVES))
-    return facts(each, "DEPENDS_ON", F.col("t"), F.col("owner"), 0.8)
+    t = src.script(TS)
+    built = calls(t).where("name = 'constructor'").select("path", F.col("i").alias("open"), "line")
+    typed = t.where((F.col("kind") == "w") & (_back(0) == ":")).select("path", "open", F.col("text").alias("type"))
+    each = typed.join(built, ["path", "open"]).where(~F.col("type").isin(*_PRIMITIVES)).join(classes(t), "path").distinct()
+    return facts(each, "DEPENDS_ON", F.col("type"), F.col("owner"), 0.8)
 
 
-def angular_form_fields(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def angular_form_fields(src: Sources) -> DataFrame:
     """Form controls with the validators of their own declaration, up to the next control."""
-    rows = occurrences(_sources(files, r"\.ts$"), r"\b([a-z][A-Za-z0-9]*):\s*((?:new\s+FormControl\(|\[\s*(?=[^\]]*Validators)|this\.fb\.control\()(?:(?!\b[a-z][A-Za-z0-9]*:\s*(?:new\s+FormControl|\[|this\.fb))[^;}])*)", 1, 2)
+    rows = occurrences(src.like(TS), r"\b([a-z][A-Za-z0-9]*):\s*((?:new\s+FormControl\(|\[\s*(?=[^\]]*Validators)|this\.fb\.control\()(?:(?!\b[a-z][A-Za-z0-9]*:\s*(?:new\s+FormControl|\[|this\.fb))[^;}])*)", 1, 2)
     checks = F.array_join(F.array_distinct(F.regexp_extract_all("g2", F.lit(r"Validators\.(\w+)"), 1)), ", ")
-    return facts(rows, "FormField", F.col("g1"), properties(validation=checks), 0.8)
+    return facts(rows, "FormField", F.col("g1"), properties(form=stem(F.col("path")), validation=checks), 0.8)
 
 
-def angular_filters(files: DataFrame) -> DataFrame:
+@extractor(TS)
+def angular_filters(src: Sources) -> DataFrame:
     """Filter fields of components, with their shape and the field they narrow; what only opens and closes is none."""
-    src = _sources(files, r"\.ts$").where(F.col("text").contains("@Component")).withColumn("owner", F.regexp_extract("text", r"export\s+class\s+(\w+)", 1))
-    rows = occurrences(src, r"(?m)^\s*(?:public\s+|private\s+|protected\s+)?((?!constructor)(?:[a-z]\w*(?:Filters?|Tab)|selected[A-Z]\w*))\s*(?::[^=;\n]+)?=", 1, keep=("owner", "text"))
-    shaped = first_by(rows, ["path", "g1"], ["line"]).withColumn("shape", T.classify_shape(F.col("g1"))).where("shape is not null")
-    return facts(shaped, "Filter", F.col("g1"), properties(component=F.col("owner"), kind=F.col("shape"), targetField=target_field(F.regexp_replace("text", r"\bthis\.", ""), F.col("g1"))), 0.75)
+    t = src.script(TS)
+    components = t.where((F.col("text") == "@Component") | ((F.col("text") == "Component") & (_back(0) == "@"))).select("path").distinct()
+    named = t.where((F.col("kind") == "w") & F.col("text").rlike(r"^(?:[a-z]\w*(?:Filters?|Tab)|selected[A-Z]\w*)$") & ((_ahead(0) == "=") | (_ahead(0) == ":")) & _back(0).isin(";", "{", "}", "public", "private", "protected") & F.col("inside").isNull())
+    states = first_by(named.select("path", "line", "i", F.col("text").alias("state")), ["path", "state"], ["i"]).join(components, "path", "left_semi")
+    shaped = states.withColumn("shape", T.classify_shape(F.col("state"))).where("shape is not null").join(uses(t, states), ["path", "state"], "left").join(classes(t), "path")
+    return facts(shaped, "Filter", F.col("state"), properties(component=F.col("owner"), shape=F.col("shape"), targetField=F.col("field")), 0.75)
 
 
-def angular_http(files: DataFrame) -> DataFrame:
-    """Client calls below /api: fields of the class put in, alone or within a template, hosts dropped; CALLS from the class."""
-    src = _sources(files, r"\.ts$").select("path", "text", F.nullif(F.regexp_extract("text", r"export\s+class\s+(\w+)", 1), F.lit("")).alias("owner"), url_bases(F.col("text"), r"\b(\w+)\s*(?::\s*string\s*)?=\s*[`'\"]([^`'\"]+)[`'\"]").alias("bases"))
-    rows = occurrences(src, r"\bhttp\.(get|post|put|patch|delete)\s*(?:<[^(]*>)?\(\s*(?:[`'\"]([^`'\"]+)[`'\"]|this\.(\w+))", 1, 2, 3, keep=("owner", "bases"))
-    given = F.when(F.coalesce("g3", F.lit("")) != "", F.concat(F.lit("${"), "g3", F.lit("}"))).otherwise(F.replace(F.col("g2"), F.lit("${this."), F.lit("${")))
-    url = F.aggregate(F.reverse("bases"), given, lambda t, b: F.replace(t, F.concat(F.lit("${"), b["name"], F.lit("}")), b["value"]))
-    kept = rows.withColumn("url", F.regexp_replace(url, r"^https?://[^/]+", "")).where(F.contains("url", F.lit("/api"))).withColumn("call", F.concat(F.upper("g1"), F.lit(" "), F.regexp_extract("url", r"(/api.*)$", 1)))
-    return union(facts(kept, "ApiCall", F.col("call"), None, 0.8), facts(kept.where("owner is not null"), "CALLS", F.col("call"), F.col("owner"), 0.7))
+@extractor(TS)
+def angular_http(src: Sources) -> DataFrame:
+    """Calls of the HTTP client below /api, with the class's fields put in; CALLS from the class."""
+    t = src.script(TS)
+    sent = calls(t).where(F.col("method").isin(*VERBS[:5]) & (F.substring_index("on", ".", -1) == "http")).select("path", "i", "line", F.upper("method").alias("verb"))
+    return api_calls(t, sent, 0.8, classes(t)).where(F.col("name").contains(" /api"))
 
 
-def angular_template_tags(files: DataFrame) -> DataFrame:
+@extractor(r"\.(?:ts|html)$", tree=True)
+def angular_template_tags(src: Sources) -> DataFrame:
     """RENDERS: a component's template file names other components' selectors; paths meet whatever their case."""
-    c = angular_components(files).select(F.col("path").alias("owner_path"), F.col("name").alias("owner"), F.regexp_replace("detail", "^selector=", "").alias("selector"))
-    urls = occurrences(_sources(files, r"\.ts$"), r"""templateUrl:\s*["']\./([^"']+)["']""", 1).select(F.col("path").alias("owner_path"), F.lower(F.concat(F.regexp_replace("path", "[^/]*$", ""), "g1")).alias("template"))
-    tags = occurrences(_sources(files, r"\.html$"), r"<([a-z][a-z0-9]*-[a-z0-9-]+)", 1).select(F.lower("path").alias("template"), "line", F.col("g1").alias("selector"))
+    c = angular_components(src).select(F.col("path").alias("owner_path"), F.col("name").alias("owner"), F.col("properties")["selector"].alias("selector"))
+    urls = strings(src.script(r"\.ts$")).where((_back(0) == ":") & (_back(1) == "templateUrl")).select(F.col("path").alias("owner_path"), F.lower(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.regexp_replace("text", r"^\./", ""))).alias("template"))
+    tags = occurrences(src.like(r"\.html$"), r"<([a-z][a-z0-9]*-[a-z0-9-]+)", 1).select(F.lower("path").alias("template"), "line", F.col("g1").alias("selector"))
     met = c.select("owner_path", "owner").join(urls, "owner_path").join(tags, "template").join(c.select("selector", F.col("owner").alias("child")), "selector").where("child <> owner")
-    return met.select(F.col("owner_path").alias("path"), "line", F.lit("RENDERS").alias("kind"), F.col("child").alias("name"), F.col("owner").alias("detail"), F.lit(0.85).alias("confidence"))
-
-
-def angular_routes(files: DataFrame) -> DataFrame:
-    """Routes with their children's paths joined; a wrapper without component of its own only groups."""
-    start, path_of, part = re.compile(r":\s*Routes\s*=\s*\["), re.compile(r"""\bpath:\s*["']([^"']*)["']"""), re.compile(r"""\b(?:component:\s*([A-Za-z0-9]+)|(?:loadComponent|loadChildren):[^}]*?\.then\(\s*\(?\w+\)?\s*=>\s*\w+\.(\w+)|loadComponent|loadChildren|redirectTo:\s*["']([^"']*)["'])""")
-
-    def read(text, at, end, prefix):
-        i = at
-        while 0 <= (i := text.find("{", i, end)):
-            stop = balanced(text, i, "{", "}")
-            if stop < 0:
-                return
-            kids = text.find("children", i, stop)
-            own = text[i : kids if kids > 0 else stop]
-            p = path_of.search(own)
-            route = "/".join(x for x in (prefix, p[1] if p else "") if x)
-            c = part.search(own)
-            if c:
-                target = f"component={c[1]}" if c[1] else f"loads={c[2]}" if c[2] else f"redirectTo={c[3]}" if c[3] is not None else None
-                yield text.count("\n", 0, i) + 1, "Route", "/" + route, target, 0.85
-            if kids > 0 and (opened := text.find("[", kids, stop)) > 0:
-                yield from read(text, opened + 1, balanced(text, opened, "[", "]") - 1, route)
-            i = stop
-
-    def rule(path, text):
-        for m in start.finditer(text):
-            end = balanced(text, m.end() - 1, "[", "]")
-            if end > 0:
-                yield from read(text, m.end(), end - 1, "")
-    return _python(_sources(files, r"\.ts$"), rule)
+    return facts(met.withColumnRenamed("owner_path", "path"), "RENDERS", F.col("child"), F.col("owner"), 0.85)
 
 
+@extractor(TS)
+def angular_routes(src: Sources) -> DataFrame:
+    """Routes with their children's paths joined; a wrapper without component of its own only groups.
+
+    A route is an object of a route table or of another route's children; what names it stands in the object itself.
+    """
+    t = src.script(TS)
+    tables = t.where((F.col("text") == "[") & (F.col("into").isNotNull() | ((_back(0) == ":") & (_back(1) == "children"))))
+    roots = t.where((F.col("text") == "Routes") & (_back(0) == ":") & (_ahead(0) == "=") & (_ahead(1) == "[")).select("path", (F.col("i") + 2).alias("table"))
+    objects = t.where("text = '{' and kind = 'p'").join(tables.select("path", F.col("i").alias("open"), F.col("open").alias("above")), ["path", "open"]).select("path", F.col("i").alias("object"), "line", F.col("open").alias("table"), "above")
+    own = strings(t).where((_back(0) == ":") & _back(1).isin("path", "redirectTo")).groupBy("path", F.col("open").alias("object")).agg(F.max(F.when(_back(1) == "path", F.col("text"))).alias("step"), F.max(F.when(_back(1) == "redirectTo", F.col("text"))).alias("redirect"))
+    shown = t.where((F.col("kind") == "w") & (_back(0) == ":") & (_back(1) == "component")).groupBy("path", F.col("open").alias("object")).agg(F.max("text").alias("component"))
+    lazy = t.where((F.col("kind") == "w") & F.col("text").isin("loadComponent", "loadChildren") & (_ahead(0) == ":")).select("path", F.col("open").alias("object"), F.col("i").alias("from_"))
+    then = calls(t).where("method = 'then'").select("path", F.col("i").alias("at"), F.col("open").alias("object"), F.col("close").alias("to_"))
+    member = t.where((F.col("kind") == "w") & (_back(0) == ".") & (_back(2) == "=>")).select("path", F.col("open").alias("at"), F.col("text").alias("loads"))
+    loaded = lazy.select("path", "object").distinct().join(then.join(member, ["path", "at"]).groupBy("path", "object").agg(F.min("loads").alias("loads")), ["path", "object"], "left").withColumn("lazy", F.lit(True))
+    rows = objects
+    for more in (own, shown, loaded):
+        rows = rows.join(more, ["path", "object"], "left")
+    level = rows.join(roots, ["path", "table"], "left_semi").withColumn("route", F.coalesce("step", F.lit("")))
+    found, depth = level, 0
+    while depth < ROUTE_DEPTH:  # a level of children at a time
+        parents = level.select("path", F.col("object").alias("above"), F.col("route").alias("before"))
+        level = rows.join(parents, ["path", "above"]).withColumn("route", F.concat_ws("/", F.nullif("before", F.lit("")), F.nullif("step", F.lit("")))).select(found.columns)
+        found, depth = found.unionByName(level), depth + 1
+    told = found.where("component is not null or lazy or redirect is not null")
+    return facts(told, "Route", F.concat(F.lit("/"), "route"), properties(path=F.concat(F.lit("/"), "route"), component=F.col("component"), loads=F.col("loads"), redirectTo=F.col("redirect")), 0.85)
+
+
+#: Routes are nested so deep at most in one file.
+ROUTE_DEPTH = 6
+
 # ---- Next, shared front end, packages, security ----------------------------------------------
 
 
-def next_routes(files: DataFrame) -> DataFrame:
-    kinds = files.withColumn("kind_", F.regexp_extract("path", r"(?:^|/)app/(?:.*/)?(page|layout|loading|error)\.[tj]sx?$", 1)).where("kind_ <> ''")
-    return facts(kinds.withColumn("line", F.lit(1)), "Route", T.next_route(F.col("path")), properties(kind=F.col("kind_")), 0.9)
+@extractor(r"(?:^|/)app/(?:.*/)?(?:page|layout|loading|error)\.[tj]sx?$")
+def next_routes(src: Sources) -> DataFrame:
+    kinds = src.files.withColumn("kind_", F.regexp_extract("path", r"(?:^|/)app/(?:.*/)?(page|layout|loading|error)\.[tj]sx?$", 1)).where("kind_ <> ''")
+    return facts(kinds.withColumn("line", F.lit(1)), "Route", T.next_route(F.col("path")), properties(path=T.next_route(F.col("path")), kind=F.col("kind_")), 0.9)
 
 
+#: Identity providers by what is imported.
 _PROVIDERS = (("msal", r"@azure/msal"), ("auth0", r"@auth0/|auth0-"), ("firebase", r"firebase/auth"), ("okta", r"@okta/"), ("keycloak", r"keycloak-js"), ("next-auth", r"next-auth"), ("cognito", r"amazon-cognito|aws-amplify"))
 
 
-def frontend_auth(files: DataFrame) -> DataFrame:
+@extractor(TS, tree=True)
+def frontend_auth(src: Sources) -> DataFrame:
     """Identity providers (first file of each), token storage by key with what is done to it, and token headers."""
-    src = _sources(files, r"\.[tj]sx?$")
-    imports = occurrences(src, r"""from\s+["']([^"']+)["']""", 1)
-    rules = files.sparkSession.createDataFrame(_PROVIDERS, "provider string, pattern string")
-    hits = imports.join(F.broadcast(rules), F.rlike(F.col("g1"), F.col("pattern"))).groupBy("provider").agg(F.min(F.struct("path", "line", "g1")).alias("f"))
-    out = hits.select("f.path", "f.line", F.lit("AuthProvider").alias("kind"), F.col("provider").alias("name"), F.concat(F.lit("import="), "f.g1").alias("detail"), F.lit(0.85).alias("confidence"))
-    stored = occurrences(src, r"""\b(?:local|session)Storage\.(set|get|remove)Item\(\s*["']([^"']*[tT]oken[^"']*)["']""", 1, 2)
-    ops = stored.groupBy("g2").agg(F.min(F.struct("path", "line")).alias("f"), F.bool_or(F.col("g1") == "set").alias("s"), F.bool_or(F.col("g1") == "get").alias("g"))
+    t = src.script(TS)
+    imports = strings(t).where(_back(0) == "from").select("path", "line", F.col("text").alias("module"))
+    rules = src.files.sparkSession.createDataFrame(_PROVIDERS, "provider string, pattern string")
+    hits = imports.join(F.broadcast(rules), F.rlike(F.col("module"), F.col("pattern"))).groupBy("provider").agg(F.min(F.struct("path", "line", "module")).alias("f")).select("provider", "f.*")
+    stored = calls(t).where(F.col("on").isin("localStorage", "sessionStorage") & F.col("method").isin("setItem", "getItem", "removeItem")).select("path", "line", "method", F.col("i").alias("at")).join(first_arguments(t), ["path", "at"]).where(F.lower("value").contains("token"))
+    ops = stored.groupBy("value").agg(F.min(F.struct("path", "line")).alias("f"), F.bool_or(F.col("method") == "setItem").alias("s"), F.bool_or(F.col("method") == "getItem").alias("g")).select("value", "f.*", "s", "g")
     how = F.when(F.col("s") & F.col("g"), "get+set").when(F.col("s"), "set").when(F.col("g"), "get").otherwise("remove")
-    out = out.unionByName(ops.select("f.path", "f.line", F.lit("TokenStorage").alias("kind"), F.col("g2").alias("name"), F.concat(F.lit("operation="), how).alias("detail"), F.lit(0.75).alias("confidence")))
-    bearer = occurrences(src, r"(Bearer \$\{|setHeaders:\s*\{\s*Authorization)", 1)
-    settings = first_by(occurrences(src, r"\b(?:process\.env\.|import\.meta\.env\.)(\w*(?:CLIENT_ID|TENANT|AUTHORITY|AUDIENCE|ISSUER|DOMAIN)\w*)", 1), ["g1"], ["path", "line"])
-    return union(out, facts(bearer, "TokenAttachment", F.lit("Authorization"), None, 0.75), facts(settings, "Configuration", F.col("g1"), properties(source=F.lit("environment")), 0.85))
+    bearer = union(t.where((F.col("kind") == "t") & F.col("text").contains("Bearer ${")).select("path", "line"), t.where((F.col("text") == "Authorization") & (_back(0) == "{") & (_back(1) == ":") & (_back(2) == "setHeaders")).select("path", "line"))
+    variable = t.where((F.col("kind") == "w") & (_back(0) == ".") & (_back(1) == "env") & (_back(2) == ".") & _back(3).isin("process", "meta") & F.col("text").rlike("CLIENT_ID|TENANT|AUTHORITY|AUDIENCE|ISSUER|DOMAIN"))
+    settings = first_by(variable.select("path", "line", "text"), ["text"], ["path", "line"])
+    return union(
+        facts(hits, "AuthProvider", F.col("provider"), properties(**{"import": F.col("module")}), 0.85), facts(ops, "TokenStorage", F.col("value"), properties(operation=how), 0.75),
+        facts(bearer, "TokenAttachment", F.lit("Authorization"), None, 0.75), facts(settings, "Configuration", F.col("text"), properties(source=F.lit("environment")), 0.85))
 
 
-def configuration(files: DataFrame) -> DataFrame:
+@extractor(r"appsettings[^/]*\.json$")
+def configuration(src: Sources) -> DataFrame:
     """Connection strings' names in settings files with comments; unreadable files give nothing."""
-    parsed = _sources(files, r"appsettings[^/]*\.json$").select("path", F.from_json(F.regexp_replace("text", r",(\s*[}\]])", "$1"), "ConnectionStrings map<string,string>", {"allowComments": "true"}).alias("j"))
-    return parsed.select("path", F.explode(F.map_keys("j.ConnectionStrings")).alias("name")).select("path", F.lit(1).alias("line"), F.lit("DataStore").alias("kind"), "name", F.lit("kind=connection string").alias("detail"), F.lit(1.0).alias("confidence"))
+    parsed = src.like(r"appsettings[^/]*\.json$").select("path", F.from_json(F.regexp_replace("text", r",(\s*[}\]])", "$1"), "ConnectionStrings map<string,string>", {"allowComments": "true"}).alias("j"))
+    names = parsed.select("path", F.explode(F.map_keys("j.ConnectionStrings")).alias("key")).withColumn("line", F.lit(1))
+    return facts(names, "DataStore", F.col("key"), properties(kind=F.lit("connection string")), 1.0)
 
 
 def vulnerable_packages(reports: DataFrame) -> DataFrame:
@@ -496,7 +597,25 @@ def secrets(rows: DataFrame, key: str) -> DataFrame:
     return out
 
 
-EXTRACTORS = {f.__name__: f for f in (
+@extractor(r"\.json$")
+def vulnerabilities(src: Sources) -> DataFrame:
+    """Vulnerable packages of scanners' reports, with their severity."""
+    rows = union(vulnerable_packages(src.files), audit_findings(src.files)).withColumn("line", F.lit(1)).withColumnRenamed("name", "package")
+    return facts(rows, "Vulnerability", F.col("package"), properties(severity=F.col("severity"), type=F.lit("package")), 0.9)
+
+
+#: Settings, pipelines and sources, in which credentials are looked for.
+SCANNED = r"(?i)\.(?:json|ya?ml|config|env|xml|cs|[jt]sx?|properties|ini|tfvars)$|(?:^|/)\.env[^/]*$"
+
+
+@extractor(SCANNED)
+def secret_findings(src: Sources) -> DataFrame:
+    """A finding for each type of secret in a file, with how many there are; never their values. Comments count too little to be code, but strings do."""
+    found = secrets(src.like(SCANNED).withColumn("text", lexing.shown(F.col("text"))), "path").withColumnRenamed("type", "found")
+    return facts(found.withColumn("line", F.lit(1)), "Vulnerability", F.concat("found", F.lit(" in "), "path"), properties(severity=F.lit("High"), type=F.col("found"), hits=F.col("hits")), 0.7)
+
+
+EXTRACTORS = {x.name: x for x in (
     react_components, react_hooks, react_hook_uses, react_api_calls, react_contexts, react_routes, react_renders, react_roles, react_role_gates, react_grids, react_charts, react_filters,
     react_imports_exports, react_form_fields, react_default_routes, angular_components, angular_services, angular_guards, angular_dependencies, angular_form_fields, angular_filters, angular_http,
-    angular_template_tags, angular_routes, next_routes, frontend_auth, configuration)}
+    angular_template_tags, angular_routes, next_routes, frontend_auth, configuration, vulnerabilities, secret_findings)}

@@ -1,7 +1,8 @@
 """Report sections over a snapshot: each a DataFrame with a stable schema, and a thin text renderer.
 
 ``nodes`` has (identity, kind, properties, confidence), ``edges`` (type, from_id, to_id, seq). All
-lookups join on full identities; short names are only shown.
+lookups join on full identities; short names are only shown. Properties are named through
+``facts.prop``, which knows what extractors write for each kind.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.functions.identity import node_label, short_name
+from lodestar.operators.facts import prop
 from lodestar.operators.graph import reach
 from lodestar.operators.merge import first_by
 from lodestar.operators.resolve import top_per_group
+from lodestar.plans.lineage import stored
 
 GENERAL = "General"
 
@@ -68,7 +71,7 @@ def endpoints_by_owner(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     exposed = first_by(edges.where("type = 'EXPOSES'").select(F.col("to_id").alias("identity"), "seq", "from_id"), ["identity"], ["seq"])
     owners = nodes.select(F.col("identity").alias("from_id"), F.coalesce(F.col("properties")["name"], node_label(F.col("identity"), F.col("kind"), F.lit(None).cast("string"))).alias("owner_name"))
     met = ends.join(exposed.select("identity", "from_id"), "identity", "left").join(owners, "from_id", "left")
-    rows = met.select(F.coalesce("owner_name", F.lit(GENERAL)).alias("owner"), F.col("name").alias("endpoint"), F.col("properties")["verb"].alias("verb"), F.col("properties")["route"].alias("route"), "identity")
+    rows = met.select(F.coalesce("owner_name", F.lit(GENERAL)).alias("owner"), F.col("name").alias("endpoint"), prop("Endpoint", "verb").alias("verb"), prop("Endpoint", "route").alias("route"), prop("Endpoint", "parameters").alias("parameters"), "identity")
     w = Window.partitionBy("owner").orderBy(F.col("route").asc_nulls_first(), F.col("verb").asc_nulls_first(), "identity")
     return rows.withColumn("place", F.row_number().over(w)).drop("identity")
 
@@ -117,7 +120,7 @@ def request_flows(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFram
     components = of_kind(nodes, "UIComponent").select(F.col("identity").alias("component"))
     chain = components.join(first("CALLS", "component", "call"), "component").join(first("MAPS_TO", "call", "endpoint"), "call")
     chain = chain.join(first("DISPATCHES", "endpoint", "message"), "endpoint", "left").join(first("HANDLES", "message", "handler", back=True), "message", "left")
-    operations = of_kind(nodes, "DatabaseOperation").groupBy(F.col("properties")["owner"].alias("short")).agg(F.count("*").alias("n"))
+    operations = of_kind(nodes, "DatabaseOperation").groupBy(prop("DatabaseOperation", "owner").alias("short")).agg(F.count("*").alias("n"))
     depends = edges.where("type = 'DEPENDS_ON'").select(F.col("from_id").alias("handler"), "seq", F.col("to_id").alias("on"), T.short_type(short_name(F.col("to_id"))).alias("short")).join(operations, "short", "left")
     ranked = top_per_group(depends, ["handler"], [F.coalesce("n", F.lit(0)).desc(), "seq", "on"], 3).groupBy("handler").agg(F.array_sort(F.collect_list(F.struct("rank", "short"))).alias("d"))
     found = chain.join(ranked, "handler", "left").select(
@@ -129,15 +132,17 @@ def request_flows(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFram
 
 def technologies(nodes: DataFrame) -> DataFrame:
     """(category, name): each name once, under the category it was first given."""
-    t = of_kind(nodes, "Technology").select(F.col("properties")["category"].alias("category"), "name", "identity")
+    t = of_kind(nodes, "Technology").select(prop("Technology", "category").alias("category"), "name", "identity")
     return first_by(t, ["name"], ["identity"]).select(F.coalesce("category", F.lit("Other")).alias("category"), "name").orderBy("category", "name")
 
 
 _ER = {"HAS_MANY": "||--o{", "HAS_ONE": "||--||", "MANY_TO_MANY": "}o--o{", "REFERENCES": "}o--||"}
 
 
-def entity_relations(edges: DataFrame) -> DataFrame:
+def entity_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(line): entity relationship lines, each once."""
+    known = nodes.where("kind = 'Entity'").select("identity")
+    edges = edges.join(known.withColumnRenamed("identity", "from_id"), "from_id", "left_semi").join(known.withColumnRenamed("identity", "to_id"), "to_id", "left_semi")
     mark = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in _ER.items()])
     safe = lambda c: F.regexp_replace(short_name(F.col(c)), "[^A-Za-z0-9_]", "_")
     return edges.where(F.col("type").isin(*_ER)).select(F.concat(safe("from_id"), F.lit(" "), mark, F.lit(" "), safe("to_id")).alias("line")).distinct()
@@ -154,7 +159,7 @@ def role_access(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def role_routes(nodes: DataFrame) -> DataFrame:
     """(role, path): routes that list the role, and protected routes that list none for every role."""
     roles = of_kind(nodes, "Role").select(F.col("name").alias("role")).distinct()
-    routes = of_kind(nodes, "Route").select(F.col("properties")["path"].alias("path"), T.split_list(F.coalesce(F.col("properties")["roles"], F.lit(""))).alias("roles"), (F.col("properties")["protected"] == "yes").alias("protected"))
+    routes = of_kind(nodes, "Route").select(prop("Route", "path").alias("path"), T.split_list(F.coalesce(prop("Route", "roles"), F.lit(""))).alias("roles"), F.coalesce(prop("Route", "protected") == "yes", F.lit(False)).alias("protected"))
     listed = routes.select("path", F.explode("roles").alias("role")).join(roles, "role", "left_semi").select("role", "path")
     anyone = routes.where(F.col("protected") & (F.size("roles") == 0)).select("path")
     return listed.unionByName(roles.join(anyone, F.lit(True)).select("role", "path")).distinct()
@@ -169,32 +174,45 @@ def orphan_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def filters_by_component(nodes: DataFrame) -> DataFrame:
     """(component, single, multi, tabs): filter names by shape, sorted."""
-    f = of_kind(nodes, "Filter").select(F.coalesce(F.col("properties")["component"], F.lit(GENERAL)).alias("component"), F.col("properties")["shape"].alias("shape"), "name")
-    one = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("shape") == s, F.col("name")))), ", ")
-    return f.where("shape is not null").groupBy("component").agg(one("single-value").alias("single"), one("multi-select").alias("multi"), one("tab").alias("tabs"))
+    f = of_kind(nodes, "Filter").select(F.coalesce(prop("Filter", "component"), F.lit(GENERAL)).alias("component"), prop("Filter", "shape").alias("shape"), "name")
+    one = lambda *s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("shape").isin(*s), F.col("name")))), ", ")
+    return f.where("shape is not null").groupBy("component").agg(one("single-value").alias("single"), one("multi-select").alias("multi"), one("tab", "view-tab").alias("tabs"))
 
 
 def grouped_lists(nodes: DataFrame, kind: str, owner: str, most: int | None = None) -> DataFrame:
     """(owner, names): the names of a kind by one of its properties, different and sorted, the first ``most``."""
-    g = of_kind(nodes, kind).groupBy(F.coalesce(F.col("properties")[owner], F.lit(GENERAL)).alias("owner")).agg(F.array_sort(F.collect_set("name")).alias("names"))
+    g = of_kind(nodes, kind).groupBy(F.coalesce(prop(kind, owner), F.lit(GENERAL)).alias("owner")).agg(F.array_sort(F.collect_set("name")).alias("names"))
     return g if most is None else g.withColumn("names", F.slice("names", 1, most))
 
 
 def public_endpoints(nodes: DataFrame) -> DataFrame:
-    """(public, total)."""
-    return of_kind(nodes, "Endpoint").agg(F.count_if(F.col("properties")["authorization"].eqNullSafe("anonymous")).alias("public"), F.count("*").alias("total"))
+    """(public, total): endpoints that say so or ask for nothing are public."""
+    return of_kind(nodes, "Endpoint").agg(F.count_if(F.coalesce(prop("Endpoint", "authorization"), F.lit("anonymous")) == "anonymous").alias("public"), F.count("*").alias("total"))
 
 
 def read_only_tokens(nodes: DataFrame) -> DataFrame:
-    return of_kind(nodes, "TokenStorage").where(F.col("properties")["operation"] == "get").select("name").distinct()
+    return of_kind(nodes, "TokenStorage").where(prop("TokenStorage", "operation") == "get").select("name").distinct()
 
 
 def used_by(nodes: DataFrame) -> DataFrame:
-    """(entity, classes): the classes whose calls, as the technologies' usage texts tell, are about an entity; entities without any are left out."""
-    said = of_kind(nodes, "Technology").select(F.explode(T.split_list(F.col("properties")["usage"], ";")).alias("use"))
+    """(entity, classes): the classes that work on an entity, as database operations and the technologies' usage texts tell; entities without any are left out."""
+    said = of_kind(nodes, "Technology").select(F.explode(T.split_list(prop("Technology", "usage"), ";")).alias("use"))
     each = said.select(F.trim(F.regexp_extract("use", r"^(\w+)\s*\(", 1)).alias("class"), F.explode(F.regexp_extract_all("use", F.lit(r"\w+\((\w+)\)"), 1)).alias("entity"))
+    operations = of_kind(nodes, "DatabaseOperation").select(prop("DatabaseOperation", "owner").alias("class"), prop("DatabaseOperation", "entity").alias("entity"))
     known = of_kind(nodes, "Entity").select(F.col("name").alias("entity")).distinct()
-    return each.join(known, "entity").groupBy("entity").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    return each.unionByName(operations.where("entity is not null and class is not null")).join(known, "entity").groupBy("entity").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+
+
+def entity_fields(nodes: DataFrame, most: int = 60) -> DataFrame:
+    """(entity, key, fields): every entity with its first fields and how many more there are."""
+    e = of_kind(nodes, "Entity")
+    fields = T.split_list(F.coalesce(prop("Entity", "fields"), F.lit("")), ";")
+    return e.select(F.col("name").alias("entity"), F.coalesce(prop("Entity", "primaryKey"), prop("Entity", "key")).alias("key"), T.capped_list(fields, most).alias("fields"))
+
+
+def workflows(nodes: DataFrame, most: int = 10) -> DataFrame:
+    """(workflow, values): members with states, the first of these and how many more there are."""
+    return of_kind(nodes, "StatusWorkflow").select(F.col("name").alias("workflow"), T.capped_list(T.split_list(prop("StatusWorkflow", "values")), most).alias("values"))
 
 
 def stores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -213,10 +231,8 @@ def sequences(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def journeys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(role, steps): what each role reaches, if that are two steps or more over all roles."""
-    access = role_access(nodes, edges)
-    enough = access.agg(F.sum(F.size("endpoints")).alias("n")).where("n >= 2")
-    return access.join(enough, F.lit(True), "left_semi").select("role", F.col("endpoints").alias("steps"))
+    """(role, steps): what each role reaches, where that are two steps or more."""
+    return role_access(nodes, edges).where(F.size("endpoints") >= 2).select("role", F.col("endpoints").alias("steps"))
 
 
 def component_diagram(edges: DataFrame) -> DataFrame:
@@ -244,28 +260,69 @@ def changelog(diff_nodes: DataFrame, most: int = 15) -> DataFrame:
     return g.select("change", T.capped_list(F.col("labels"), most).alias("listed"))
 
 
-def render(title: str, section: DataFrame) -> DataFrame:
-    """One page row (path, content) of a section: a heading and a line of joined values for each row, in their order as text."""
-    line = F.concat(F.lit("- "), F.concat_ws(" · ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in section.columns]))
-    body = section.select(line.alias("l")).agg(F.array_join(F.array_sort(F.collect_list("l")), "\n").alias("b"))
-    return body.select(F.lit(title.lower().replace(" ", "-") + ".md").alias("path"), F.concat(F.lit(f"# {title}\n\n"), "b").alias("content"))
-
-
-#: Every section that a snapshot is projected to, in page order.
+#: Lines of a page's part.
+LINES = 400
+#: The page that each section is on, the rows of which it consists and their order. Every page of PAGES has a section.
 SECTIONS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "Overview": lambda n, e: overview(n), "Features": features, "Architecture": architecture_edges, "Patterns": lambda n, e: patterns(n), "Request flows": request_flows, "API reference": endpoints_by_owner,
-    "Technology": lambda n, e: technologies(n), "Data": lambda n, e: entity_relations(e), "Access": role_access, "Navigation": lambda n, e: role_routes(n), "Unused components": orphan_components,
-    "Filters": lambda n, e: filters_by_component(n), "Forms": lambda n, e: grouped_lists(n, "FormField", "form"), "Business rules": lambda n, e: grouped_lists(n, "BusinessRule", "owner"),
+    "Technology": lambda n, e: technologies(n), "Data": entity_relations, "Entities": lambda n, e: entity_fields(n), "Access": role_access, "Navigation": lambda n, e: role_routes(n), "Unused components": orphan_components,
+    "Filters": lambda n, e: filters_by_component(n), "Forms": lambda n, e: grouped_lists(n, "FormField", "form"), "Business rules": lambda n, e: grouped_lists(n, "BusinessRule", "owner"), "Workflows": lambda n, e: workflows(n),
     "Audit": lambda n, e: grouped_lists(n, "AuditLog", "entity"), "Vulnerabilities": lambda n, e: grouped_lists(n, "Vulnerability", "severity"), "Public endpoints": lambda n, e: public_endpoints(n), "Tokens": lambda n, e: read_only_tokens(n),
-    "Used by": lambda n, e: used_by(n), "Stores": stores, "Sequences": sequences, "Journeys": journeys, "Component diagram": lambda n, e: component_diagram(e)}
+    "Used by": lambda n, e: used_by(n), "Stores": stores, "Sequences": sequences, "Journeys": journeys, "Component diagram": lambda n, e: component_diagram(e), "Messages": lambda n, e: of_kind(n, "Message", "Consumer", "MessageBroker").select("kind", "name")}
+#: What the rows of a section are ordered by, where that is not their text.
+ORDERS: dict[str, tuple[str, ...]] = {"Overview": ("-n", "kind"), "API reference": ("owner", "place")}
+#: The page of each section, in order.
+PAGE_OF: dict[str, str] = {
+    "Overview": "Overview", "Features": "Features", "Journeys": "Use cases", "Sequences": "Use cases", "Architecture": "Architecture", "Patterns": "Architecture", "Request flows": "Architecture", "API reference": "API reference", "Technology": "Technology stack",
+    "Data": "Data and storage", "Entities": "Data and storage", "Stores": "Data and storage", "Used by": "Data and storage", "Audit": "Data and storage", "Public endpoints": "Security", "Vulnerabilities": "Security", "Tokens": "Security",
+    "Access": "Frontend", "Navigation": "Frontend", "Component diagram": "Frontend", "Unused components": "Frontend", "Filters": "Frontend", "Forms": "Frontend", "Messages": "Messaging", "Workflows": "Workflows", "Business rules": "Workflows"}
+
+
+def lines(section: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(line, o1, o2): a section's rows as lines, with up to two values to order them by."""
+    text = F.concat(F.lit("- "), F.concat_ws(" · ", *[F.coalesce(F.col(f"`{c}`").cast("string") if not t.startswith("array") else F.array_join(c, ", "), F.lit("")) for c, t in section.dtypes if c != "place"]))
+    def value(name: str):
+        bare = name.removeprefix("-")
+        of = F.col(f"`{bare}`")
+        number = dict(section.dtypes)[bare] not in ("string",)
+        return F.lpad((F.lit(10**15) - of if name.startswith("-") else of).cast("string"), 16, "0") if number else of
+    keys = [F.coalesce(value(n), F.lit("")) for n in order]
+    one, two = (keys + [F.lit("")] * 2)[:2]
+    return section.select(text.alias("line"), one.alias("o1"), two.alias("o2"))
 
 
 def project(nodes: DataFrame, edges: DataFrame, titles: tuple[str, ...] | None = None) -> DataFrame:
-    """(path, content, page_order) of every section, or of those named."""
-    out = None
-    for order, (title, section) in enumerate(SECTIONS.items()):
-        if titles is not None and title not in titles:
+    """(path, part, content, page_order) of every page that ``page_set`` shows, or of those with the sections named.
+
+    A page is its title and its sections, each a heading and a line for each row. The lines of all
+    pages are ordered together by range, and ranges of LINES of them are the parts: no task and no
+    row holds a page. Parts of a page are to be read in order.
+    """
+    shown = {r["page"] for r in page_set(nodes).where("shown").collect()}  # a row for each page
+    out, names = None, list(PAGES)
+    for place, (title, page) in enumerate(PAGE_OF.items()):
+        if page not in shown or (titles is not None and title not in titles):
             continue
-        page = render(title, section(nodes, edges)).withColumn("page_order", F.lit(order))
-        out = page if out is None else out.unionByName(page)
-    return out
+        rows = lines(SECTIONS[title](nodes, edges), ORDERS.get(title, ()))
+        spark = nodes.sparkSession
+        head = spark.createDataFrame([(f"# {page}", "", "", names.index(page), -1, 0), ("", "", "", names.index(page), -1, 1), (f"## {title}", "", "", names.index(page), place, -2), ("", "", "", names.index(page), place, -1)], "line string, o1 string, o2 string, page int, place int, level int")
+        body = rows.withColumn("page", F.lit(names.index(page))).withColumn("place", F.lit(place)).withColumn("level", F.lit(0))
+        part = head.unionByName(body)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return nodes.sparkSession.createDataFrame([], "path string, part int, content string, page_order int")
+    full = out.where("level = 0").select("place").distinct().unionByName(nodes.sparkSession.range(1).select(F.lit(-1).alias("place")))
+    out = out.join(F.broadcast(full), "place", "left_semi").dropDuplicates(["page", "place", "level", "o1", "o2", "line"])  # no heading without rows
+    ordered = stored(out.orderBy("page", "place", "level", "o1", "o2", "line").withColumn("spot", F.monotonically_increasing_id()))
+    first = ordered.groupBy("page", (F.shiftright("spot", 33)).alias("task")).agg(F.min("spot").alias("begins"))
+    cut = ordered.withColumn("task", F.shiftright("spot", 33)).join(F.broadcast(first), ["page", "task"]).withColumn("range", F.floor((F.col("spot") - F.col("begins")) / LINES))
+    parts = cut.groupBy("page", "task", "range").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("spot", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    parts = stored(parts)
+    number = parts.select("page", "task", "range").withColumn("part", F.row_number().over(Window.partitionBy("page").orderBy("task", "range")) - 1)
+    path = F.element_at(F.array(*[F.lit(n.lower().replace(" ", "-") + ".md") for n in names]), F.col("page") + 1)
+    return parts.join(number, ["page", "task", "range"]).select(path.alias("path"), "part", "content", F.col("page").alias("page_order"))
+
+
+def notes_page(found: DataFrame) -> DataFrame:
+    """The project's own notes as a page, if there are any."""
+    return found.select(F.lit("notes.md").alias("path"), F.lit(0).alias("part"), F.concat(F.lit("# Notes\n\n"), "text").alias("content"), F.lit(len(PAGES)).alias("page_order"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import dotnet as D
 from lodestar.operators import extract as X
+from lodestar.operators.facts import rendered
 from lodestar.plans import sources
 from lodestar.plans.starmap import Star
 from lodestar.queries.registry import query
@@ -50,10 +51,10 @@ EXPECTED: dict[str, list[tuple]] = {
         (_USERS, 2, "UIComponent", "Users__K__", "kind=component; rendering=server; props=id", 0.85), (_PAGE, 1, "UIComponent", "Page__K__", "kind=page; rendering=server", 0.85)],
     "react_hooks": [(_AUTH, 2, "Hook", "useAuth__K__", None, 0.85)],
     "react_hook_uses": [(_APP, 11, "USES", "useAuth__K__", "App__K__", 0.7)],
-    "react_api_calls": [x for n, c in ((13, "GET /api/v__K__/items"), (14, "POST /api/orders"), (15, "PUT /api/items/7")) for x in ((_APP, n, "ApiCall", c, None, 0.75), (_APP, n, "CALLS", c, "App__K__", 0.7))],
+    "react_api_calls": [x for n, c in ((13, "GET /api/v__K__/items"), (14, "POST /api/orders"), (15, "PUT /api/items/7")) for x in ((_APP, n, "ApiCall", c, "verb=" + c.replace(" ", "; route="), 0.75), (_APP, n, "CALLS", c, "App__K__", 0.7))],
     "react_contexts": [(_APP, 5, "Context", "User__K__Context", "kind=context", 0.8)],
     "react_routes": [
-        (_ROUTES, 2, "Route", "/users/__K__", "protected=yes; roles=ADMIN, OWNER", 0.85), (_ROUTES, 3, "Route", "(index)", "protected=no", 0.85), (_ROUTER, 2, "Route", "/a__K__", "protected=yes", 0.75), (_ROUTER, 3, "Route", "/b", "protected=no", 0.75),
+        (_ROUTES, 2, "Route", "/users/__K__", "path=/users/__K__; protected=yes; roles=ADMIN, OWNER", 0.85), (_ROUTES, 3, "Route", "(index)", "path=(index); protected=no", 0.85), (_ROUTER, 2, "Route", "/a__K__", "path=/a__K__; protected=yes", 0.75), (_ROUTER, 3, "Route", "/b", "path=/b; protected=no", 0.75),
         (_ROUTES, 2, "RENDERS", "ProtectedRoute", "/users/__K__", 0.6), (_ROUTES, 2, "RENDERS", "Users__K__", "/users/__K__", 0.6), (_ROUTES, 3, "RENDERS", "Home", "(index)", 0.6),
         (_ROUTER, 2, "RENDERS", "PrivateRoute", "/a__K__", 0.6), (_ROUTER, 2, "RENDERS", "Page__K__", "/a__K__", 0.6), (_ROUTER, 3, "RENDERS", "B", "/b", 0.6)],
     "react_renders": [(_APP, 0, "RENDERS", x, "App__K__", 0.6) for x in ("Empty__K__", "LineChart", "Users__K__")] + [(_PAGE, 0, "RENDERS", "Users__K__", "Page__K__", 0.6)],
@@ -62,8 +63,8 @@ EXPECTED: dict[str, list[tuple]] = {
     "react_grids": [(_GRID, 0, "DataGrid", "Grid__K__", "columns=id, name", 0.85), (_USERS, 5, "DataGrid", "Users__K__", "columns=Name, Due date", 0.8)],
     "react_charts": [(_APP, 0, "AnalyticsChart", "App__K__", "library=recharts", 0.8)],
     "react_filters": [
-        (_APP, 7, "Filter", "statusFilter", "component=App__K__; kind=single-value; targetField=state", 0.75), (_APP, 8, "Filter", "selectedFilters", "component=App__K__; kind=multi-select", 0.75),
-        (_APP, 10, "Filter", "activeTab", "component=App__K__; kind=view-tab", 0.6)],
+        (_APP, 7, "Filter", "statusFilter", "component=App__K__; shape=single-value; targetField=state", 0.75), (_APP, 8, "Filter", "selectedFilters", "component=App__K__; shape=multi-select", 0.75),
+        (_APP, 10, "Filter", "activeTab", "component=App__K__; shape=view-tab", 0.6)],
     "react_imports_exports": [(_USERS, 4, "ImportExport", "handleExportCsv", "kind=Export; async=polls job status", 0.8), (_GRID, 0, "ImportExport", "Grid__K__ file upload", "kind=Upload", 0.6)],
     "react_form_fields": [(_USERS, 5, "FormField", "email", "form=Users__K__", 0.8), (_USERS, 3, "FormField", "name", "form=Users__K__; validation=Name is required", 0.8), (_USERS, 8, "FormField", "city", "form=Users__K__; validation=City is required", 0.65)],
     "react_default_routes": [(_AUTH, 6, "ROUTES_TO", "/users/__K__", "ADMIN", 0.65), (_AUTH, 7, "ROUTES_TO", "/home", "VIEWER", 0.65)],
@@ -71,12 +72,12 @@ EXPECTED: dict[str, list[tuple]] = {
     "angular_services": [(_SERVICE, 1, "UIService", "List__K__Service", None, 0.9)],
     "angular_guards": [(_SERVICE, 3, "Guard", "Auth__K__Guard", "contract=CanActivate", 0.85), (_SERVICE, 4, "Resolver", "load", "contract=ResolveFn", 0.85)],
     "angular_dependencies": [(_LIST, 7, "DEPENDS_ON", "HttpClient", "List__K__Component", 0.8), (_LIST, 7, "DEPENDS_ON", "List__K__Service", "List__K__Component", 0.8)],
-    "angular_form_fields": [(_LIST, 6, "FormField", "name", "validation=required, email", 0.8), (_LIST, 6, "FormField", "note", None, 0.8)],
-    "angular_filters": [(_LIST, 4, "Filter", "statusFilter", "component=List__K__Component; kind=single-value; targetField=status", 0.75)],
-    "angular_http": [x for c in ("GET /api/list", "POST /api/v__K__/items", "GET /api/v__K__") for x in ((_LIST, 7, "ApiCall", c, None, 0.8), (_LIST, 7, "CALLS", c, "List__K__Component", 0.7))],
+    "angular_form_fields": [(_LIST, 6, "FormField", "name", "form=list__K__.component; validation=required, email", 0.8), (_LIST, 6, "FormField", "note", "form=list__K__.component", 0.8)],
+    "angular_filters": [(_LIST, 4, "Filter", "statusFilter", "component=List__K__Component; shape=single-value; targetField=status", 0.75)],
+    "angular_http": [x for c in ("GET /api/list", "POST /api/v__K__/items", "GET /api/v__K__") for x in ((_LIST, 7, "ApiCall", c, "verb=" + c.replace(" ", "; route="), 0.8), (_LIST, 7, "CALLS", c, "List__K__Component", 0.7))],
     "angular_template_tags": [(_LIST, 2, "RENDERS", "Row__K__Component", "List__K__Component", 0.85)],
-    "angular_routes": [(_NG, 1, "Route", "/a__K__", "component=AComponent", 0.85), (_NG, 1, "Route", "/a__K__/b", "component=BComponent", 0.85), (_NG, 1, "Route", "/g/c", "component=CComponent", 0.85), (_NG, 2, "Route", "/l", "loads=LazyModule", 0.85), (_NG, 2, "Route", "/old", "redirectTo=a__K__", 0.85)],
-    "next_routes": [(_PAGE, 0, "Route", "/items/{id}", "kind=page", 0.9)],
+    "angular_routes": [(_NG, 1, "Route", "/a__K__", "path=/a__K__; component=AComponent", 0.85), (_NG, 1, "Route", "/a__K__/b", "path=/a__K__/b; component=BComponent", 0.85), (_NG, 1, "Route", "/g/c", "path=/g/c; component=CComponent", 0.85), (_NG, 2, "Route", "/l", "path=/l; loads=LazyModule", 0.85), (_NG, 2, "Route", "/old", "path=/old; redirectTo=a__K__", 0.85)],
+    "next_routes": [(_PAGE, 0, "Route", "/items/{id}", "path=/items/{id}; kind=page", 0.9)],
     "configuration": [(_SETTINGS, 0, "DataStore", "Main__K__", "kind=connection string", 1.0)],
     "csharp_types": [
         (_CTL, 3, "Controller", "Orders__K__Controller", "bases=ControllerBase", 0.7), (_DATA, 27, "Repository", "Order__K__Repository", "bases=IOrder__K__Store", 0.6), (_MSG, 4, "Service", "Order__K__Service", None, 0.6),
@@ -91,10 +92,10 @@ EXPECTED: dict[str, list[tuple]] = {
         (_DATA, 9, "Entity", "Order__K__", "tableName=orders__K__", 0.8), (_DATA, 9, "Entity", "Order__K__", "primaryKey=Code", 0.8)],
     "csharp_migrations": [(_DATA, 35, "Migration", "Init__K__", "operations=CreateTable(orders__K__); AddColumn(note)", 0.8)],
     "csharp_database_operations": [
-        (_CTL, 26, "DatabaseOperation", "MakeOrder__K__Handler.Handle:Add", f"operation=Insert; entity=Order__K__; {_EF}", 0.6), (_CTL, 27, "DatabaseOperation", "MakeOrder__K__Handler.Handle:SaveChangesAsync", f"operation=Persist; {_EF}; async=true", 0.6),
-        (_DATA, 30, "DatabaseOperation", "Order__K__Repository.Open:ToListAsync", f"operation=Read; entity=Order__K__; {_EF}; operators=AsNoTracking, Where, OrderBy; tracking=no-tracking; async=true", 0.6),
-        (_DATA, 31, "DatabaseOperation", "Order__K__Repository.Raw:FromSqlRaw", f'operation=StoredProcedure; entity=Order__K__; {_EF}; sql="EXEC find__K__"', 0.6),
-        (_DATA, 31, "DatabaseOperation", "Order__K__Repository.Raw:Query", 'operation=Read; entity=Order__K__; approach=Dapper; sql="select 1"', 0.6)],
+        (_CTL, 26, "DatabaseOperation", "MakeOrder__K__Handler.Handle:Add", f"owner=MakeOrder__K__Handler; method=Handle; operation=Insert; entity=Order__K__; {_EF}", 0.6), (_CTL, 27, "DatabaseOperation", "MakeOrder__K__Handler.Handle:SaveChangesAsync", f"owner=MakeOrder__K__Handler; method=Handle; operation=Persist; {_EF}; async=true", 0.6),
+        (_DATA, 30, "DatabaseOperation", "Order__K__Repository.Open:ToListAsync", f"owner=Order__K__Repository; method=Open; operation=Read; entity=Order__K__; {_EF}; operators=AsNoTracking, Where, OrderBy; tracking=no-tracking; async=true", 0.6),
+        (_DATA, 31, "DatabaseOperation", "Order__K__Repository.Raw:FromSqlRaw", f'owner=Order__K__Repository; method=Raw; operation=StoredProcedure; entity=Order__K__; {_EF}; sql="EXEC find__K__"', 0.6),
+        (_DATA, 31, "DatabaseOperation", "Order__K__Repository.Raw:Query", 'owner=Order__K__Repository; method=Raw; operation=Read; entity=Order__K__; approach=Dapper; sql="select 1"', 0.6)],
     "csharp_dependencies": [(_CTL, 7, "DEPENDS_ON", "Order__K__Service", "Orders__K__Controller", 0.7), (_CTL, 23, "DEPENDS_ON", "Shop__K__DbContext", "MakeOrder__K__Handler", 0.7)],
     "csharp_registrations": [x for n, made, contract, life, kind in ((3, "Order__K__Repository", "IOrder__K__Store", "Scoped", "Repository"), (4, "Clock__K__", "IClock", "Singleton", "Service"), (5, "Listed__K__", "IList", "Transient", "Service"))
                              for x in ((_PROG, n, kind, made, f"lifetime={life}", 0.8), (_PROG, n, "IMPLEMENTS", contract, made, 0.8))],
@@ -107,15 +108,16 @@ EXPECTED: dict[str, list[tuple]] = {
         (_CTL, 21, "Handler", "MakeOrder__K__Handler", None, 0.7), (_CTL, 21, "HANDLES", "MakeOrder__K__Command", "MakeOrder__K__Handler", 0.75)],
     "csharp_dispatches": [
         (_CTL, 9, "DISPATCHES", "GetOrder__K__Query", "Orders__K__Controller", 0.6), (_CTL, 15, "DISPATCHES", "MakeOrder__K__Command", "Orders__K__Controller", 0.6), (_CTL, 28, "DISPATCHES", "Order__K__Made", "MakeOrder__K__Handler", 0.6)],
-    "csharp_outbound": [(_MSG, 12, "OutboundCall", "GET https://other/api/__K__", "owner=Order__K__Service", 0.6)],
+    "csharp_outbound": [(_MSG, 12, "OutboundCall", "GET https://other/api/__K__", "owner=Order__K__Service; verb=GET; route=https://other/api/__K__", 0.6)],
     "csharp_business_rules": [(_MSG, 8, "BusinessRule", "must be open __K__", "owner=Order__K__Service; method=ValidateOrder", 0.5)],
-    "csharp_audits": [(_MSG, 9, "AuditLog", "order changed", "source=Order__K__Service", 0.6)],
+    "csharp_audits": [(_MSG, 9, "AuditLog", "Order__K__Service:order changed", "entity=order changed; source=Order__K__Service", 0.6)],
     "csharp_functions": [(_MSG, 26, "AzureFunction", "Hook__K__", "trigger=Queue", 0.8)],
     "csharp_validators": [(_MSG, 18, "Validator", "Order__K__Validator", "rules=Name: NotEmpty, MaximumLength(50); Age: GreaterThan(0)", 0.8), (_MSG, 18, "VALIDATES", "Order__K__Sent", "Order__K__Validator", 0.8)],
     "csharp_endpoints": [
-        (_CTL, 8, "Endpoint", "GET /api/Orders__K__/{id}", 'action=Get; auth=Authorize(Roles = "admin")', 0.7), (_CTL, 10, "Endpoint", "POST /api/Orders__K__", "action=Create; auth=anonymous", 0.7),
+        (_CTL, 8, "Endpoint", "GET /api/Orders__K__/{id}", 'verb=GET; route=/api/Orders__K__/{id}; authorization=Authorize(Roles = "admin"); action=Get; parameters=int id', 0.7), (_CTL, 10, "Endpoint", "POST /api/Orders__K__", "verb=POST; route=/api/Orders__K__; authorization=anonymous; action=Create; parameters=Order__K__Dto dto", 0.7),
+        (_CTL, 9, "DISPATCHES", "GetOrder__K__Query", "GET /api/Orders__K__/{id}", 0.6), (_CTL, 15, "DISPATCHES", "MakeOrder__K__Command", "POST /api/Orders__K__", 0.6),
         (_CTL, 8, "EXPOSES", "GET /api/Orders__K__/{id}", "Orders__K__Controller", 0.7), (_CTL, 10, "EXPOSES", "POST /api/Orders__K__", "Orders__K__Controller", 0.7),
-        (_PROG, 12, "Endpoint", "GET /shop__K__/items/{id}", "auth=Authorize", 0.6), (_PROG, 13, "Endpoint", "POST /shop__K__/in/items", None, 0.6), (_PROG, 14, "Endpoint", "DELETE /all", None, 0.6)],
+        (_PROG, 12, "Endpoint", "GET /shop__K__/items/{id}", "verb=GET; route=/shop__K__/items/{id}; authorization=Authorize", 0.6), (_PROG, 13, "Endpoint", "POST /shop__K__/in/items", "verb=POST; route=/shop__K__/in/items", 0.6), (_PROG, 14, "Endpoint", "DELETE /all", "verb=DELETE; route=/all", 0.6)],
     "packages": [
         (_PROJ, 0, "Project", "Api__K__", "kind=web; framework=net8.0", 1.0), (_PROJ, 1, "Technology", "MediatR (CQRS/mediator)", "category=Application; package=MediatR; version=12.__K__", 1.0),
         (_PROJ, 1, "Technology", "Dapper", "category=Data Access; package=Dapper; version=2.1", 1.0), (_PROJ, 1, "REFERENCES", "Core__K__", "Api__K__", 1.0)],
@@ -143,6 +145,7 @@ def _templates(name: str) -> list:
     return sources.ANGULAR if name.startswith("angular") else sources.DOTNET if name in D.EXTRACTORS or name == "configuration" else sources.REACT
 
 
+EXPECTED["status_workflows"] = [(_MSG, 8, "StatusWorkflow", "Order__K__Service.Status", "values=Closed, Open", 0.7)]
 EXTRACTORS = X.EXTRACTORS | D.EXTRACTORS
 _MIDDLEWARE = f" union all select replace('{_PROG}', '__K__', k), 11 + gap, 'Middleware', 'Authentication', 'order=' || (11 + gap), 0.8::double from keys"
 _BROKERS = f""" union all select min(replace(p, '__K__', k)), 1, 'MessageBroker', b, null, 0.8::double from keys cross join (values ('{_PROG}', 'MassTransit'), ('{_MSG}', 'RabbitMQ')) b(p, b) group by b
@@ -152,17 +155,16 @@ _MORE = {"csharp_infrastructure": _MIDDLEWARE, "csharp_messaging": _BROKERS}
 
 for _name, _extract in EXTRACTORS.items():
     if _name in EXPECTED:
-        _register(f"extract_{_name}", lambda spark, sf_dir, n=_name, x=_extract: x(sources.files(Star(spark, sf_dir), _templates(n))), sources.facts_sql(EXPECTED[_name]) + _MORE.get(_name, ""))
+        _register(f"extract_{_name}", lambda spark, sf_dir, n=_name, x=_extract: rendered(x(sources.files(Star(spark, sf_dir), _templates(n)))), sources.facts_sql(EXPECTED[_name]) + _MORE.get(_name, ""))
     elif _name in OF_ALL:
-        _register(f"extract_{_name}", lambda spark, sf_dir, n=_name, x=_extract: x(sources.files(Star(spark, sf_dir), _templates(n))).drop("line"), OF_ALL[_name])
+        _register(f"extract_{_name}", lambda spark, sf_dir, n=_name, x=_extract: rendered(x(sources.files(Star(spark, sf_dir), _templates(n)))).drop("line"), OF_ALL[_name])
 
 
 @query(f"""with keys as (select s_suppkey::varchar as k from supplier),
-owners as (select replace(o, '__K__', k) as owner, k, ms from keys cross join (values ('Orders__K__Controller', ['Send']), ('MakeOrder__K__Handler', ['Add', 'Publish', 'SaveChangesAsync'])) t(o, ms)),
-six as (select owner || ' (' || array_to_string(ms, ', ') || ')' as used, row_number() over (order by owner) as n from owners)
-select (select min(replace('{_CTL}', '__K__', k)) from keys) as path, 'Technology' as kind, 'MediatR (CQRS/mediator)' as name, 'category=Application; usage=' || string_agg(used, '; ' order by n) as detail, 0.5::double as confidence from six where n <= 6""")
+owners as (select replace(o, '__K__', k) as owner, ms from keys cross join (values ('Orders__K__Controller', ['Send']), ('MakeOrder__K__Handler', ['Add', 'Publish', 'SaveChangesAsync'])) t(o, ms))
+select (select min(replace('{_CTL}', '__K__', k)) from keys) as path, 'Technology' as kind, 'MediatR (CQRS/mediator)' as name, 'category=Application; usage=' || string_agg(owner || ' (' || array_to_string(ms, ', ') || ')', '; ' order by owner) as detail, 0.5::double as confidence from owners""")
 def extract_technology_usage(spark, sf_dir):
-    found = D.technology_usage(sources.files(Star(spark, sf_dir), sources.DOTNET))
+    found = rendered(D.technology_usage(sources.files(Star(spark, sf_dir), sources.DOTNET)))
     return found.where("name = 'MediatR (CQRS/mediator)'").drop("line")
 
 
@@ -180,11 +182,6 @@ def extract_audit_json(spark, sf_dir):
     return X.audit_findings(sources.files(Star(spark, sf_dir), [("a__K__.json", '{"vulnerabilities":{"lodash__K__":{"severity":"high"}}}'), ("bad__K__.json", "{")]))
 
 
-@query(f"select replace('{_MSG}', '__K__', s_suppkey::varchar) as path, 'Closed, Open' as values from supplier")
-def extract_status_workflows(spark, sf_dir):
-    return D.status_workflows(sources.files(Star(spark, sf_dir), sources.DOTNET))
-
-
 _TREE = [("a__K__/App.slnx", '<Solution><Project Path="Api/Api__K__.csproj" /></Solution>'), ("a__K__/Api/Api__K__.csproj", ""), ("a__K__/Old/Old.csproj", ""), ("a__K__/web/package.json", '{"dependencies":{"react":"1"}}'),
          ("a__K__/site/package.json", '{"dependencies":{"react":"1"}}'), ("a__K__/site/next.config.js", ""), ("a__K__/ng/angular.json", "{}")]
 

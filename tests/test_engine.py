@@ -115,7 +115,6 @@ def test_extractors_find_lines_and_skip_lookalikes(spark):
     assert values(extract.react_components(files).select("path", "line", "name")) == [("a.tsx", 2, "Card")]
     assert values(extract.react_hooks(files).select("line", "name")) == [(4, "useThing")]
     assert extract.react_charts(files).count() == 0
-    assert extract.balanced("x{'}' {}}y", 1, "{", "}") == 9 and extract.balanced("{", 0, "{", "}") == -1
 
 
 def test_text_rules(spark):
@@ -227,3 +226,109 @@ def test_sources_and_files(spark, tmp_path):
     assert [r.path for r in repositories.sources(files).collect()] == ["src/a.ts"]
     assert tuple(repositories.notes(files, 10).first()) == ("README.md", "r" * 10 + "\n…")
     assert repositories.notes(files.where("false")).count() == 0
+
+
+def test_lexing_keeps_places_and_hides_comments_and_strings():
+    from lodestar.operators import lexing
+
+    text = """const a = "x // {"; // y "z"
+/* class Q {} */ const t = `b ${"}"} c`; const r = /["'`]/g; it's
+call(a, { method: 'POST' });
+"""
+    code, tokens = lexing.read(text, "script")
+    assert len(code) == len(text) and code.count("\n") == text.count("\n") and "class" not in code and "z" not in code
+    assert lexing.read(code, "script")[0] == code  # nothing left to hide
+    by = {(t[0], t[1]): t for t in tokens}
+    assert by["s", "x // {"][11] == "a" and by["t", 'b ${"}"} c'][11] == "t" and ("r", "[\"'`]") in by
+    post = by["s", "POST"]
+    assert tokens[post[6]][1] == "{" and tokens[post[7]][9] == "call" and tokens[post[7]][13] == len(tokens) - 2 and post[2] == 3
+    sharp = 'var s = @"a ""b"" { // no"; var c = \'"\'; #region X\n#region class Y\n$"""q "class Z" """;'
+    code, tokens = lexing.read(sharp, "sharp")
+    assert len(code) == len(sharp) and "class" not in code and [t[1] for t in tokens if t[0] == "s"] == ['a ""b"" { // no', '"', 'q "class Z" ']
+    assert lexing.read("", "sharp") == ("", []) and lexing.read('"open\n{', "script")[0] == '"open\n{'
+
+
+@pytest.mark.parametrize("wrap", ["comment", "string"])
+def test_nothing_is_found_in_comments_and_strings(spark, wrap):
+    from lodestar.operators import dotnet
+    from lodestar.operators.facts import Sources
+    from lodestar.plans import sources
+
+    rows = []
+    for path, text in sources.REACT + sources.ANGULAR + sources.DOTNET:
+        text = text.replace("__K__", "1").replace("*/", "").replace("/*", "")
+        if path.endswith((".ts", ".tsx")):
+            text = f"/* {text} */" if wrap == "comment" else "const x = '" + text.replace("\\", "").replace("'", "").replace("\n", "\\n") + "';"
+        elif path.endswith(".cs"):
+            text = f"/* {text} */" if wrap == "comment" else 'var x = @"' + text.replace('"', '""') + '";'
+        else:
+            continue
+        rows.append((path.replace("__K__", "1"), text))
+    src = Sources.of(spark.createDataFrame(rows, "path string, text string"))
+    for name, x in (extract.EXTRACTORS | dotnet.EXTRACTORS).items():
+        if name in ("next_routes", "csharp_program", "packages", "configuration", "vulnerabilities", "secret_findings", "angular_template_tags"):
+            continue  # by path, not by code, or about strings
+        assert x(src).count() == 0, name
+
+
+def test_properties_are_declared_once_for_both_sides(spark):
+    from lodestar.operators import dotnet, facts
+    from lodestar.plans import sources
+
+    with pytest.raises(ValueError, match="Endpoint has no property speed"):
+        facts.prop("Endpoint", "speed")
+    with pytest.raises(ValueError, match="Hook has no property kind"):
+        facts.facts(spark.range(1), "Hook", F.lit("x"), facts.Properties(kind=F.lit("y")), 1.0)
+    src = facts.Sources.of(spark.createDataFrame([(p, t) for p, t in sources.REACT + sources.ANGULAR + sources.DOTNET], "path string, text string"))
+    read = {"Endpoint": {"verb", "route", "authorization", "parameters"}, "Filter": {"component", "shape"}, "Route": {"path", "protected", "roles"}, "DatabaseOperation": {"owner", "entity"}, "AuditLog": {"entity"}, "BusinessRule": {"owner"}, "FormField": {"form"}, "TokenStorage": {"operation"}, "Entity": {"fields"}, "StatusWorkflow": {"values"}}
+    some = (extract.react_routes, extract.react_filters, extract.react_form_fields, extract.frontend_auth, dotnet.csharp_endpoints, dotnet.csharp_database_operations, dotnet.csharp_audits, dotnet.csharp_business_rules, dotnet.csharp_entities, dotnet.status_workflows)
+    wrote = {}
+    for x in some:
+        for r in x(src).where("source is null").select("kind", F.explode(F.map_keys("properties")).alias("p")).distinct().collect():
+            wrote.setdefault(r.kind, set()).add(r.p)
+    assert all(names <= wrote[kind] for kind, names in read.items())
+    assert all(p in facts.PROPERTIES[k] for k, ps in wrote.items() for p in ps)
+
+
+def test_projects_are_read_as_xml(spark):
+    from lodestar.operators import dotnet
+
+    text = """<Project Sdk='Microsoft.NET.Sdk'>
+  <!-- <PackageReference Include="Serilog" Version="1" /> -->
+  <PropertyGroup Condition="'a' == 'b'"><OutputType>Exe</OutputType></PropertyGroup>
+  <ItemGroup>
+    <PackageReference Version='2.1' Include='Dapper' PrivateAssets="all"/>
+    <PackageReference Include="MediatR" Condition="false" Version="9" />
+    <PackageReference Include="Polly" Condition="'$(X)' == 'y'"><Version> 8 </Version></PackageReference>
+  </ItemGroup>
+  <ItemGroup Condition="'1' == '2'"><PackageReference Include="NLog" Version="5" /></ItemGroup>
+</Project>"""
+    rows = {(r.kind, r.name): r for r in dotnet.packages(spark.createDataFrame([("a/B.csproj", text), ("c/Bad.csproj", "<Project"), ("d/Empty.csproj", None)], "path string, text string")).collect()}
+    assert set(rows) == {("Project", "B"), ("Project", "Bad"), ("Project", "Empty"), ("Technology", "Dapper"), ("Technology", "Polly")}
+    assert rows["Technology", "Dapper"].properties["version"] == "2.1" and rows["Technology", "Dapper"].line == 5 and rows["Technology", "Polly"].properties["version"] == "8"
+    assert rows["Project", "B"].properties["kind"] == "library"
+
+
+def test_resolvers_use_each_others_edges_in_any_order(spark):
+    from lodestar.operators import resolvers
+
+    evidence = lambda repo: [(repo, "c", "e", "m", 1.0, "f", 1, "s")]
+    nodes = spark.createDataFrame([
+        (1, "call", "ApiCall", {"name": "GET /a", "verb": "GET", "route": "/a"}, evidence("web"), 1.0), (2, "end", "Endpoint", {"name": "GET /a", "verb": "GET", "route": "/a"}, evidence("api"), 1.0),
+        (3, "rw", "SourceRepository", {"name": "web"}, evidence("web"), 1.0), (4, "ra", "SourceRepository", {"name": "api"}, evidence("api"), 1.0)], f"seq long, identity string, kind string, properties map<string,string>, evidence {resolvers_evidence()}, confidence double")
+    edges = spark.createDataFrame([("PUBLISHES", "p", "m", 0.5), ("CONSUMES", "c", "m", 0.5)], "type string, from_id string, to_id string, confidence double")
+    expected = {("MAPS_TO", "call", "end"), ("DEPENDS_ON", "rw", "ra"), ("PUBLISHES", "p", "c")}
+    for registry in (resolvers.REGISTRY, resolvers.REGISTRY[::-1]):
+        assert {tuple(r)[:3] for r in resolvers.resolved(nodes, edges, registry).collect()} == expected
+    grows = resolvers.Resolver("grows", lambda n, e, new: new.select(F.concat("to_id", F.lit("x")).alias("from_id"), F.concat("to_id", F.lit("xx")).alias("to_id"), F.lit(1.0).alias("confidence")), "PUBLISHES", ("PUBLISHES",))
+    old, resolvers.ROUNDS = resolvers.ROUNDS, 3
+    try:
+        with pytest.raises(RuntimeError, match="still add"):
+            resolvers.resolved(nodes, edges, (grows,))
+    finally:
+        resolvers.ROUNDS = old
+
+
+def resolvers_evidence():
+    from lodestar.sources.stores import EVIDENCE
+    return EVIDENCE
