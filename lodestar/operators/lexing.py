@@ -118,7 +118,7 @@ def read(text: str, language: str) -> tuple[str, list[tuple]]:
             code.append(re.sub(r"[^\n]", " ", raw))
             continue
         if kind in "str":
-            head, tail = _bounds(raw) if kind != "r" else (1, 1)
+            head, tail = _bounds(raw) if kind != "r" else (1, len(raw) - raw.rindex("/"))
             body = raw[head : len(raw) - tail]
             code.append(raw[:head] + body.translate(_MOVE) + raw[len(raw) - tail :])
             shown = body
