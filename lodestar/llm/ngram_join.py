@@ -55,7 +55,7 @@ class Fragments:
     def __init__(self, percent: int = PERCENT) -> None:
         if not 50 <= percent < 100:
             raise ValueError("similarity is from 50 to 99 per cent")
-        self.percent = percent
+        self.percent, self.bits = percent, SEGMENT_BITS
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND)))
@@ -75,6 +75,10 @@ class Fragments:
         most = self.differing(2 * (self.edges[band + 1] - 1))
         return max(most + 2, int(np.ceil(SPARE * most)))
 
+    def segments(self, size: int) -> int:
+        """Into how many segments sets are cut to be counted, where the larger one has this size."""
+        return 1 << ((max(size, 1) - 1) >> self.bits).bit_length()
+
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """The keys of one set; none if only equal sets are similar to it."""
         size = len(grams)
@@ -94,13 +98,8 @@ class Fragments:
         return np.concatenate(out).view(np.int64)
 
 
-def segments_of(size: int) -> int:
-    """Into how many segments sets are cut to be counted, where the larger one has this size."""
-    return 1 << ((max(size, 1) - 1) >> SEGMENT_BITS).bit_length()
-
-
-def _segments_column(size: Column) -> Column:
-    many = F.shiftright(size - 1, SEGMENT_BITS)
+def _segments_column(size: Column, bits: int) -> Column:
+    many = F.shiftright(size - 1, bits)
     return F.when(many <= 0, F.lit(1)).otherwise(F.pow(F.lit(2), F.length(F.bin(many))).cast("int"))
 
 
@@ -145,7 +144,7 @@ def _cut(cut: Fragments):
             doc, cuts, part, grams = [], [], [], []
             for own, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x = np.frombuffer(packed, dtype=np.uint64)
-                for n in sorted({segments_of(len(x)), segments_of(cut.partner(len(x)))}):
+                for n in sorted({cut.segments(s) for s in range(len(x), cut.partner(len(x)) + 1, max(len(x) // 8, 1))} | {cut.segments(cut.partner(len(x)))}):
                     ends = np.searchsorted(x, np.array([p * ((1 << 64) // n) for p in range(1, n)], dtype=np.uint64))
                     for p, piece in enumerate(np.split(x, ends)):
                         if len(piece):
@@ -171,7 +170,7 @@ def similar_pairs(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFr
     """The (a, b) of ``pairs(a, b, size_a, size_b)`` that share enough, counted segment by segment and summed."""
     one = segments.select(F.col("doc").alias("a"), "cuts", "part", F.col("grams").alias("one"))
     two = segments.select(F.col("doc").alias("b"), "cuts", "part", F.col("grams").alias("two"))
-    asked = pairs.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), _segments_column(F.greatest("size_a", "size_b")).cast("int").alias("cuts")).distinct()
+    asked = pairs.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), _segments_column(F.greatest("size_a", "size_b"), SEGMENT_BITS).cast("int").alias("cuts")).distinct()
     met = asked.hint("merge").join(one, ["a", "cuts"]).hint("merge").join(two, ["b", "cuts", "part"])
     partial = met.select("a", "b", "sizes", "one", "two").mapInArrow(_count, "a long, b long, sizes long, shared long")
     summed = partial.groupBy("a", "b", "sizes").agg(F.sum("shared").alias("shared"))
