@@ -175,3 +175,31 @@ def cycle_paths(edges: DataFrame) -> DataFrame:
         frontier = durable(step.join(closed.select("root"), "root", "left_anti").join(seen, ["root", "node"], "left_anti"))
         seen = _grown(seen, frontier.select("root", "node"), rounds)
     return (out if out is not None else frontier.select("root", "path")).select("root", F.array_join("path", " -> ").alias("path"))
+
+
+def inherited(types: DataFrame, most: int = 64) -> DataFrame:
+    """(node, value): of ``types(node, parent, value)`` each node's own value, or that of the nearest base type that has one.
+
+    Every round doubles how far a node has looked, so rounds grow with the logarithm of the longest
+    chain; a chain that goes round in a circle ends after ``most`` rounds with what it met.
+    """
+    own = durable(types.select("node", F.when(F.col("value").isNull(), F.col("parent")).alias("next"), "value"))
+    for _ in range(most):
+        if own.where("next is not null").isEmpty():
+            break
+        up = own.select(F.col("node").alias("next"), F.col("next").alias("beyond"), F.col("value").alias("theirs"))
+        open_, done = own.where("next is not null").join(up, "next", "left"), own.where("next is null")
+        step = open_.select("node", F.when(F.col("theirs").isNull(), F.col("beyond")).alias("next"), F.col("theirs").alias("value"))
+        own = durable(done.unionByName(step))
+    return own.where("value is not null").select("node", "value")
+
+
+def authorization(methods: DataFrame, types: DataFrame) -> DataFrame:
+    """(method, access) of ``methods(method, node, attributes)`` with ``types(node, parent, attributes)``: what decides who may call a method.
+
+    Its own attributes come first, then its class's, then those of the nearest base that has any;
+    where both stand side by side AllowAnonymous outweighs Authorize. Null: nothing is said.
+    """
+    said = lambda: F.when(F.col("attributes").contains("AllowAnonymous"), "anonymous").when(F.col("attributes").contains("Authorize"), F.regexp_extract("attributes", r"Authorize(?:\([^)]*\))?", 0))
+    of_type = inherited(types.select("node", "parent", said().alias("value"))).withColumnRenamed("value", "theirs")
+    return methods.select("method", "node", said().alias("own")).join(of_type, "node", "left").select("method", F.coalesce("own", "theirs").alias("access"))

@@ -326,3 +326,20 @@ def project(nodes: DataFrame, edges: DataFrame, titles: tuple[str, ...] | None =
 def notes_page(found: DataFrame) -> DataFrame:
     """The project's own notes as a page, if there are any."""
     return found.select(F.lit("notes.md").alias("path"), F.lit(0).alias("part"), F.concat(F.lit("# Notes\n\n"), "text").alias("content"), F.lit(len(PAGES)).alias("page_order"))
+
+
+#: Characters of a page's facts that a text model is given.
+GROUNDING = 6000
+
+
+def grounded(facts: DataFrame, order: list, most: int = GROUNDING) -> DataFrame:
+    """(page, text, facts): the first lines of each page of ``facts(page, line, ...)`` in the given order that fit into ``most`` characters together.
+
+    No more lines than characters can fit, so each page is cut to that many before its lengths are
+    summed up; a line that does not fit ends the text.
+    """
+    by = Window.partitionBy("page").orderBy(*order, "line")
+    some = facts.where("line is not null").withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
+    total = F.sum(F.length("line") + 1).over(Window.partitionBy("page").orderBy("n"))
+    fit = some.withColumn("total", total - 1).where(F.col("total") <= most)
+    return fit.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"), F.count("*").alias("facts"))

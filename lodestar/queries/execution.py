@@ -209,3 +209,46 @@ def estate_runs(spark, sf_dir):
         for app, r in engine.run_estate(spark, store, estate, files, f"r{turn}", f"2024-01-0{turn + 1} 00:00:00", some, _PAGES).items():
             rows.append((f"{name} {app}", r.status, r.version or 0))
     return spark.createDataFrame(rows, "name string, status string, version int")
+
+
+@query("""with f as (select coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id as path, doc_id, n_chars from documents)
+select path, case when doc_id % 13 = 0 then 'added' when doc_id % 11 = 0 then 'deleted' else 'changed' end as change from f
+where (doc_id % 13 = 0) <> (doc_id % 11 = 0) or (doc_id % 13 <> 0 and doc_id % 11 <> 0 and doc_id % 7 = 0)""")
+def changed_files(spark, sf_dir):
+    """Every document as a file in its source's and language's folder, before and after some came, went and were written again."""
+    from lodestar.operators import trees
+    d = Star(spark, sf_dir).table("documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    before = d.where("doc_id % 13 <> 0").select(path.alias("path"), F.xxhash64("text").alias("digest"))
+    after = d.where("doc_id % 11 <> 0").select(path.alias("path"), F.when(F.col("doc_id") % 7 == 0, F.xxhash64(F.concat(F.coalesce("text", F.lit("")), F.lit("x")))).otherwise(F.xxhash64("text")).alias("digest"))
+    return trees.changed_files(before, after)
+
+
+_ACCESS = "case when {s} = 'BUILDING' then '[AllowAnonymous]' when {s} = 'MACHINERY' then '[Authorize(Roles = \"a\")]' when {s} = 'FURNITURE' and {k} % 2 = 0 then '[Authorize, AllowAnonymous]' end"
+
+
+@query(f"""with recursive t as (select c_custkey as node, case when c_custkey >= 2 then c_custkey // 2 end as parent, {_ACCESS.format(s="c_mktsegment", k="c_custkey")} as attributes from customer),
+said as (select node, parent, case when attributes like '%AllowAnonymous%' then 'anonymous' when attributes is not null then 'Authorize(Roles = "a")' end as value from t),
+walk(node, up, value) as (select node, parent, value from said union all select walk.node, said.parent, said.value from walk join said on said.node = walk.up where walk.value is null),
+known as (select node, max(value) as value from walk where value is not null group by node),
+own as (select o_orderkey as method, o_custkey as node, case when o_orderstatus = 'P' then 'anonymous' end as own from orders)
+select method, coalesce(own, value) as access from own left join known using (node)""")
+def inherited_access(spark, sf_dir):
+    """Orders as methods of customers, each of which is a type whose base has half its key: who may call what."""
+    from lodestar.operators import graph
+    star = Star(spark, sf_dir)
+    types = star.table("customer").select(F.col("c_custkey").alias("node"), F.expr("case when c_custkey >= 2 then c_custkey div 2 end").alias("parent"), F.expr(_ACCESS.format(s="c_mktsegment", k="c_custkey")).alias("attributes"))
+    methods = star.table("orders").select(F.col("o_orderkey").alias("method"), F.col("o_custkey").alias("node"), F.when(F.col("o_orderstatus") == "P", "[AllowAnonymous]").alias("attributes"))
+    return graph.authorization(methods, types)
+
+
+@query("""with f as (select coalesce(source, 'none') as page, n_chars, doc_id, coalesce(lang, '-') || ' ' || doc_id || ': ' || coalesce(n_chars, 0) || ' characters' as line from documents),
+ranked as (select *, row_number() over (partition by page order by n_chars desc nulls last, doc_id, line) as n from f),
+summed as (select *, sum(length(line) + 1) over (partition by page order by n) - 1 as total from ranked)
+select page, string_agg(line, chr(10) order by n) as text, count(*)::bigint as facts from summed where total <= 400 group by page""")
+def grounded_pages(spark, sf_dir):
+    """Documents as facts about their source, the longest first, as many as 400 characters hold."""
+    d = Star(spark, sf_dir).table("documents")
+    line = F.concat(F.coalesce("lang", F.lit("-")), F.lit(" "), F.col("doc_id").cast("string"), F.lit(": "), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit(" characters"))
+    rows = d.select(F.coalesce("source", F.lit("none")).alias("page"), "n_chars", "doc_id", line.alias("line"))
+    return R.grounded(rows, [F.col("n_chars").desc_nulls_last(), F.col("doc_id").asc()], 400)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.plans.lineage import shared_folder
+
 
 def incremental(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> None:
     """Each micro-batch of files(path, text) replaces its paths' facts. Facts are appended under their batch id and
@@ -44,8 +45,7 @@ def sessions(events: DataFrame, gap: str, watermark: str = "10 minutes") -> Data
 
 def drained(result: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Runs a streaming result over what is there now and returns its rows."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-")
-    base = f"{folder}/stream-{os.urandom(8).hex()}"
+    base = f"{shared_folder(spark)}/stream-{os.urandom(8).hex()}"
     q = result.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(result.schema).parquet(f"{base}/out")

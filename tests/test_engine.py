@@ -332,3 +332,35 @@ def test_resolvers_use_each_others_edges_in_any_order(spark):
 def resolvers_evidence():
     from lodestar.sources.stores import EVIDENCE
     return EVIDENCE
+
+
+def test_changed_files_and_folders(spark):
+    from lodestar.operators import trees
+
+    files = lambda **f: spark.createDataFrame([(k.replace("_", "/"), v) for k, v in f.items()] or [], "path string, digest string")
+    one, two = files(a="1", d_b="2", d_e_c="3", x_y="4"), files(a="1", d_b="9", d_e_c="3", d_n="5", x_y=None)
+    assert trees.changed_files(None, one) is None and trees.changed_files(one, one).count() == 0 and trees.changed_files(files(), files()).count() == 0
+    assert values(trees.changed_files(one, two)) == [("d/b", "changed"), ("d/n", "added"), ("x/y", "changed")]
+    assert values(trees.changed_files(one, files())) == [(p, "deleted") for p in ("a", "d/b", "d/e/c", "x/y")]
+    same = {r.folder: r for r in trees.folder_digests(one).collect()}
+    assert set(same) == {"", "d", "d/e", "x"} and same["d/e"].parent == "d" and same[""].parent is None and same["x"].own == same["x"].whole
+
+
+def test_inherited_values_take_few_rounds(spark, monkeypatch):
+    chain = [(f"n{i}", f"n{i + 1}" if i < 40 else None, "top" if i == 40 else None) for i in range(41)] + [("a", "b", None), ("b", "a", None), ("lone", "gone", None), ("own", "n3", "mine")]
+    rounds = []
+    kept = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: rounds.append(1) or kept(df))
+    got = dict(values(graph.inherited(spark.createDataFrame(chain, "node string, parent string, value string"), 8)))
+    assert got == {f"n{i}": "top" for i in range(41)} | {"own": "mine"} and len(rounds) <= 9
+    methods = spark.createDataFrame([("m1", "C", "[Authorize]"), ("m2", "C", None), ("m3", "D", "[AllowAnonymous, Authorize]"), ("m4", "E", None), ("m5", None, None)], "method string, node string, attributes string")
+    types = spark.createDataFrame([("C", "B", None), ("B", None, "[Authorize(Policy = 1)]"), ("D", "B", None), ("E", "B", "[AllowAnonymous]")], "node string, parent string, attributes string")
+    assert dict(values(graph.authorization(methods, types))) == {"m1": "Authorize", "m2": "Authorize(Policy = 1)", "m3": "anonymous", "m4": "anonymous", "m5": None}
+
+
+def test_grounding_stays_within_its_budget(spark):
+    from lodestar.operators import reports
+
+    rows = spark.createDataFrame([("p", i, "x" * n) for i, n in enumerate((3, 4, 50, 1))] + [("q", 0, "y" * 99), ("q", 1, None)], "page string, at int, line string")
+    got = {r.page: (r.text, r.facts) for r in reports.grounded(rows, [F.col("at").asc()], 10).collect()}
+    assert got == {"p": ("xxx\nxxxx", 2)} and reports.grounded(rows.limit(0), [F.col("at").asc()]).count() == 0
