@@ -10,6 +10,8 @@ from lodestar.queries import registry
 DATA = os.environ.get("LODESTAR_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = registry.oracle_sql()
+#: Several whole runs each, of which test_run has its own: only where asked for.
+SLOW = {"engine_carry_forward", "engine_versions", "engine_incremental"} if not os.environ.get("LODESTAR_SLOW") else set()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
@@ -26,7 +28,7 @@ def rows(df):
     return sorted(repr(tuple(clean(v.item() if hasattr(v, "item") else v) for v in r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
 def test_twin(spark, duck, name):
     ours, theirs = registry.queries()[name](spark, DATA).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
