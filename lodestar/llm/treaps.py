@@ -167,7 +167,8 @@ def build(docs: DataFrame, folder: str, postings: int = POSTINGS) -> tuple[DataF
             yield held.shard(n, total)
 
     with small_batches(docs.sparkSession, 200):
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _INDEX).write.parquet(folder)
+        # a file for each shard: rows of one file are held together, by its writer and by its reader, whatever their size
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _INDEX).write.option("maxRecordsPerFile", 1).parquet(folder)
     return counted, n, total
 
 
@@ -317,6 +318,7 @@ def search(spark: SparkSession, folder: str, asked: DataFrame, k: int = TOP) ->
                     shard = Shard(*(c[row].as_py() for c in batch.columns))
                     for at in range(0, len(queries), QUERIES):
                         shard.search(queries[at : at + QUERIES], best, at)
+                    del shard  # before the next one is read
             q, place = np.nonzero(best.score > 0)
             doc = best.doc[q, place]
             asked_, items = [held.value[i][0] for i in q], [held.value[i][1] for i in q]

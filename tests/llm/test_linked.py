@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,12 @@ def test_rank_of_nothing(spark, docs, empty):
     assert treaps.rank(empty, items).count() == 0 and treaps.rank(docs, items.limit(0)).count() == 0
 
 
+def test_shards_stand_in_files_of_their_own(spark, docs, tmp_path):
+    treaps.build(docs.coalesce(1), str(tmp_path / "index"), 300)
+    rows = [pq.read_metadata(f).num_rows for f in (tmp_path / "index").glob("*.parquet")]
+    assert len(rows) > 1 and set(rows) == {1}  # no file's rows are held together, however many a task writes
+
+
 def test_treaps_are_search_trees_and_heaps():
     r = np.random.default_rng(9)
     for _ in range(30):
