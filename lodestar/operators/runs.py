@@ -33,9 +33,26 @@ def token_ledger(uses: DataFrame) -> DataFrame:
 
 
 def trailing_sum(uses: DataFrame, tier: str, ts: str, tokens: str, seconds: int = 60) -> DataFrame:
-    """Each use with ``used``: the tokens of its tier in the trailing window, itself included."""
-    over = f"sum({tokens}) over (partition by {tier} order by {ts} range between interval {seconds} seconds preceding and current row)"
-    return uses.withColumn("used", F.expr(over))
+    """Each use with ``used``: the whole-number tokens of its tier in the trailing window, itself included.
+
+    Time is cut into spans of the window's length, so a window is the span so far and what is left of
+    the span before: all of it at the start, less each use when it has left the window. A running sum
+    over a span's uses and those departures gives every window, whatever the number of uses in it, and
+    spans are summed side by side.
+    """
+    micros = F.expr(f"cast(1000000 * cast(cast(`{ts}` - cast('1970-01-01 00:00:00' as {dict(uses.dtypes)[ts]}) as interval second) as decimal(24,6)) as bigint)")
+    length = seconds * 1_000_000
+    own = F.struct(*[F.col(f"`{c}`") for c in uses.columns])
+    # at one moment uses come together and before departures; uses without time are their own span
+    rows = uses.select(own.alias("own"), F.col(f"`{tier}`").alias("tier"), micros.alias("at"), F.col(f"`{tokens}`").alias("n")).withColumn("span", F.floor(F.col("at") / F.lit(length).cast("decimal(20,0)")).cast("long"))
+    none = F.lit(None).cast(rows.schema["own"].dataType)
+    timed = rows.where("at is not null and n is not null").groupBy("tier", "span", "at").agg(F.sum("n").alias("n"), F.count("*").alias("many"))
+    begun = timed.groupBy("tier", "span").agg(F.sum("n").alias("n"), F.sum("many").alias("many")).select("tier", (F.col("span") + 1).alias("span"), ((F.col("span") + 1) * length).alias("at"), F.lit(0).alias("turn"), "n", "many", none.alias("own"))
+    left = timed.select("tier", (F.col("span") + 1).alias("span"), (F.col("at") + length).alias("at"), F.lit(2).alias("turn"), (-F.col("n")).alias("n"), (-F.col("many")).alias("many"), none.alias("own"))
+    here = rows.select("tier", "span", "at", F.lit(1).alias("turn"), "n", F.col("n").isNotNull().cast("long").alias("many"), "own")
+    by = Window.partitionBy("tier", "span").orderBy("at", "turn")  # rows of one moment and turn are summed together
+    summed = here.unionByName(begun).unionByName(left).withColumn("used", F.when(F.sum("many").over(by) > 0, F.sum("n").over(by)))
+    return summed.where("turn = 1").select("own.*", "used")
 
 
 def admitted(uses: DataFrame, most: int, tier: str, ts: str, tokens: str, seconds: int = 60, order: str | None = None) -> DataFrame:

@@ -364,3 +364,22 @@ def test_grounding_stays_within_its_budget(spark):
     rows = spark.createDataFrame([("p", i, "x" * n) for i, n in enumerate((3, 4, 50, 1))] + [("q", 0, "y" * 99), ("q", 1, None)], "page string, at int, line string")
     got = {r.page: (r.text, r.facts) for r in reports.grounded(rows, [F.col("at").asc()], 10).collect()}
     assert got == {"p": ("xxx\nxxxx", 2)} and reports.grounded(rows.limit(0), [F.col("at").asc()]).count() == 0
+
+
+def test_trailing_sums_at_the_window_edges(spark):
+    from datetime import datetime, timedelta
+
+    from lodestar.operators import runs
+    start, rng = datetime(2024, 3, 1), random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), start + timedelta(seconds=rng.choice([0, 1, 59, 60, 61, 119, 120, 121, 300]), microseconds=rng.choice([0, 0, 1, 999_999])), rng.choice([0, 1, 5, 70, None, -2])) for i in range(200)]
+    rows += [(1000 + i, "a", datetime(1969, 12, 31, 23, 59, 30 + i), 1) for i in range(30)] + [(2000, "n", start, None), (2001, "t", None, 4), (2002, "t", None, 5)]
+    uses = spark.createDataFrame(rows, "id long, tier string, ts timestamp_ntz, tokens long")
+
+    def used(t, at):
+        some = [n for _, u, x, n in rows if u == t and n is not None and (x is None if at is None else x is not None and at - timedelta(seconds=60) <= x <= at)]
+        return sum(some) if some else None
+
+    summed = runs.trailing_sum(uses, "tier", "ts", "tokens", 60)
+    assert summed.columns == ["id", "tier", "ts", "tokens", "used"]
+    assert sorted((r.id, r.used) for r in summed.collect()) == sorted((i, used(t, at)) for i, t, at, _ in rows)
+    assert all("tier" in line and "span" in line for line in summed._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" +-:").startswith("Window"))  # no window over a whole tier
