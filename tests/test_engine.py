@@ -383,3 +383,13 @@ def test_trailing_sums_at_the_window_edges(spark):
     assert summed.columns == ["id", "tier", "ts", "tokens", "used"]
     assert sorted((r.id, r.used) for r in summed.collect()) == sorted((i, used(t, at)) for i, t, at, _ in rows)
     assert all("tier" in line and "span" in line for line in summed._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" +-:").startswith("Window"))  # no window over a whole tier
+
+
+def test_pairs_of_a_common_value_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "SIDE", 7)
+    left = [(i, "hot" if i < 30 else None if i < 33 else f"k{i}") for i in range(40)]
+    right = [(100 + i, "hot" if i < 50 else None if i < 52 else f"k{i - 20}") for i in range(60)] + [(7, "hot"), (7, "hot")]
+    make = lambda rows: spark.createDataFrame(rows, "id long, p string")
+    found = resolve.equal_property(make(left), make(right), "p")
+    assert values(found) == sorted(((a, b, p) for a, p in left for b, q in right if p is not None and p == q), key=repr)
+    assert max(found.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 30 * 52  # the common value's pairs are in several tasks
