@@ -393,3 +393,45 @@ def test_pairs_of_a_common_value_are_dealt(spark, monkeypatch):
     found = resolve.equal_property(make(left), make(right), "p")
     assert values(found) == sorted(((a, b, p) for a, p in left for b, q in right if p is not None and p == q), key=repr)
     assert max(found.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 30 * 52  # the common value's pairs are in several tasks
+
+
+def test_generated_sources_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    from lodestar.plans import sources
+    from lodestar.plans.starmap import Star
+    spark.range(40).selectExpr("id as s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    star, templates = Star(spark, str(tmp_path)), [("a__K__.ts", "x__K__"), ("b__K__.cs", "y")]
+    whole = values(sources.files(star, templates))
+    monkeypatch.setattr(sources, "FILES", 8)
+    dealt = sources.files(star, templates)
+    assert dealt.rdd.getNumPartitions() == 10 and values(dealt) == whole and len(whole) == 80
+
+
+@pytest.mark.parametrize("tokens", [1, 7, 10**6])
+def test_scan_hands_on_files_together(monkeypatch, tokens):
+    import pyarrow as pa
+
+    from lodestar.operators import lexing
+    monkeypatch.setattr(lexing, "TOKENS", tokens)
+    files = [("a.ts", "const a = f('x'); // no", "r1"), ("b.html", "<p><!-- no -->x</p>", "r2"), ("c.cs", "class C : B { }", "r3"), ("d.cs", None, "r4"), (None, "x", "r5"), ("e.tsx", "g(`t`)", None)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f[k] for f in files], pa.string()) for k in range(3)], names=["path", "text", "repository"])
+    out = list(lexing._run([batch]))
+    assert len(out) == {1: 3, 7: 2, 10**6: 1}[tokens]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["path"], r["repository"]) for r in rows] == [(f[0], f[2]) for f in files]
+    for r, (path, text, _) in zip(rows, files):
+        language = {"ts": "script", "tsx": "script", "cs": "sharp"}.get((path or "").rsplit(".", 1)[-1])
+        if language:
+            code, told = lexing.read(text or "", language)
+            assert r["text"] == code and [tuple(t.values()) for t in r["tokens"]] == told
+        else:
+            assert r["tokens"] == []
+
+
+def test_neighbours_of_tokens(spark):
+    from lodestar.operators import lexing
+    scanned = lexing.scan(spark.createDataFrame([("a.ts", "a b c d 'e' f g h"), ("b.ts", "")], "path string, text string"))
+    said = ["a", "b", "c", "d", '"e', "f", "g", "h"]
+    rows = {r["i"]: r for r in lexing.explode(scanned).collect()}
+    assert sorted(rows) == list(range(8))
+    for i, r in rows.items():
+        assert r["back"] == said[max(0, i - 6) : i][::-1] and r["ahead"] == said[i + 1 : i + 7] and r["path"] == "a.ts"
