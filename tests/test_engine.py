@@ -435,3 +435,19 @@ def test_neighbours_of_tokens(spark):
     assert sorted(rows) == list(range(8))
     for i, r in rows.items():
         assert r["back"] == said[max(0, i - 6) : i][::-1] and r["ahead"] == said[i + 1 : i + 7] and r["path"] == "a.ts"
+
+
+def test_brief_scan_gives_code_and_words(spark):
+    from lodestar.operators import lexing
+    from lodestar.plans import sources
+    rng = random.Random(7)
+    bits = ["class A", " /* x \n y */", "// no\n", '@"a ""b"" {"', '$"q {x}"', '"""raw "q" """', "'c'", "\n  #region z\n", "#if x\n", "@word", "a.b?.c", '"open\n', "'", "é9_", "1.5f", "{}", "\\", "x=>y;"]
+    texts = [t for _, t in sources.DOTNET] + ["", *("".join(rng.choices(bits, k=12)) for _ in range(300))]
+    for text in texts:
+        code, tokens = lexing.read(text, "sharp")
+        assert lexing.brief(text) == (code, list(dict.fromkeys(t[1] for t in tokens if t[0] == "w")))
+    files = spark.createDataFrame([("a.cs", "class A { A b; }", "k1"), ("b.ts", "let x = 'y'", "k2"), ("c.cs", None, "k3"), ("d.md", "class", "k4")], "path string, text string, key string").coalesce(1)
+    whole, short = ({r["path"]: r for r in lexing.scan(files, b).collect()} for b in (False, True))
+    assert {p: (r["text"], r["key"]) for p, r in whole.items()} == {p: (r["text"], r["key"]) for p, r in short.items()}
+    assert {p: r["words"] for p, r in short.items()} == {"a.cs": ["class", "A", "b"], "b.ts": [], "c.cs": [], "d.md": []}
+    assert whole["a.cs"]["tokens"] and not short["a.cs"]["tokens"] and short["b.ts"]["tokens"] == whole["b.ts"]["tokens"]
