@@ -451,3 +451,14 @@ def test_brief_scan_gives_code_and_words(spark):
     assert {p: (r["text"], r["key"]) for p, r in whole.items()} == {p: (r["text"], r["key"]) for p, r in short.items()}
     assert {p: r["words"] for p, r in short.items()} == {"a.cs": ["class", "A", "b"], "b.ts": [], "c.cs": [], "d.md": []}
     assert whole["a.cs"]["tokens"] and not short["a.cs"]["tokens"] and short["b.ts"]["tokens"] == whole["b.ts"]["tokens"]
+
+
+def test_report_pages_tells_every_page():
+    import duckdb
+
+    from lodestar.operators import reports
+    from lodestar.queries import registry
+    con = duckdb.connect()
+    con.execute("create table supplier as select range as s_suppkey from range(3)")
+    told = {r[0] for r in con.execute(registry.oracle_sql()["report_pages"]).fetchall()}  # the twin compares the rows
+    assert told == {p.lower().replace(" ", "-") + ".md" for p in reports.PAGES} - {"messaging.md", "workflows.md"}
