@@ -462,3 +462,23 @@ def test_report_pages_tells_every_page():
     con.execute("create table supplier as select range as s_suppkey from range(3)")
     told = {r[0] for r in con.execute(registry.oracle_sql()["report_pages"]).fetchall()}  # the twin compares the rows
     assert told == {p.lower().replace(" ", "-") + ".md" for p in reports.PAGES} - {"messaging.md", "workflows.md"}
+
+
+def test_brief_scan_is_the_whole_scan_for_any_order_of_marks():
+    from lodestar.operators import lexing
+    rng = random.Random(1)
+    parts = ["a", "$", "@", '"', '""', '"""', "\\", "\n", "\n#if ", "#", "  #region it's", "'", "'x'", "//", "/*", "*/", "9", "1.5f", "é", "_x", " ", "{", '$@"c:\\"', 'x$"b{c}"', '$$"""q"""', "."]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        code, tokens = lexing.read(text, "sharp")
+        assert lexing.brief(text) == (code, list(dict.fromkeys(t[1] for t in tokens if t[0] == "w"))), text
+
+
+def test_matches_are_found_by_one_pass_of_a_pattern(spark):
+    from lodestar.operators.extract import occurrences
+    text = "x\n\ufdd0a1;\n\na2\ufdd1\n;b\na3;"
+    rows = occurrences(spark.createDataFrame([("p", text), ("q", "none"), ("r", "")], "path string, text string"), r"a(\d)([^;]*);(z)?", 1, 2, 3, rest=True)
+    assert [tuple(r) for r in rows.select("path", "line", "g1", "g2", "g3", "from_line").orderBy("line").collect()] == [("p", 2, "1", "", "", 2), ("p", 4, "2", "\ufdd1\n", "", 5), ("p", 6, "3", "", "", 6)]
+    assert [r["text"] for r in rows.orderBy("line").collect()] == ["\n\n", "b\n", ""]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("regexp_replace(") <= 2  # at most once more, to leave files without matches out
