@@ -1,9 +1,12 @@
-"""Near-duplicate removal with MinHash bucket keys and exact verification.
+"""Near-duplicate removal by Golay-code fuzzy hashing with exact verification.
 
 Texts are compared as lower-case words. Equal word sequences are collapsed first. The others get
-``BANDS`` bucket keys of ``ROWS`` minima each over their five-word shingles: two texts of Jaccard
-similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, whatever their words are, which
-is 0.99998 at 0.8 and more above. Links are verified by the exact Jaccard similarity
+``TABLES`` fingerprints of 23 bits over their five-word shingles, as many as the perfect Golay code has: each bit
+is one of the least shingle of an order of its own, so two texts of Jaccard similarity s differ in (1 - s) / 2 of them,
+whatever their words are, where the bits of a SimHash at 0.8 would differ in a sixth.
+A bucket key is a codeword index of a fingerprint (``simhash.golay_keys``: fingerprints at most two bits apart share one)
+with the least shingles of ``WHOLE`` more orders, which keep texts apart that share a common passage.
+Two texts share a key of a table with probability 0.515 at 0.8, and none in ``TABLES`` with 0.00001, less above. Links are verified by the exact Jaccard similarity
 of five-word shingles. In large buckets one member
 is verified against all others first: the one that is in the most large buckets, which is where the
 text that others were made from stands. After that, pairs of a bucket whose documents no links have
@@ -25,11 +28,13 @@ from pyspark.sql import functions as F
 from lodestar.llm.components import SALTS, components
 from lodestar.llm.kneser_ney import word_hashes
 from lodestar.llm.shared import IS_SPACE, durable, mix64, small_batches
+from lodestar.llm.simhash import golay_keys
 
 WORDS = 5
 SIMILAR = 0.8
-BANDS = 36
-ROWS = 6
+TABLES = 16
+BITS = 23
+WHOLE = 2
 #: Buckets of more members are compared with one of them first.
 PAIRS = 16
 #: Sizes of possible partners are matched in steps of this ratio.
@@ -66,21 +71,32 @@ def _blocks(texts: list[bytes]):
         at = end
 
 
-#: Odd factors that reorder scrambled hashes, one for each minimum.
-_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | _U(1)
+#: Odd factors that reorder scrambled hashes: of each table one for each bit, and WHOLE more.
+_FACTORS = (mix64(np.arange(1, TABLES * (BITS + WHOLE) + 1, dtype=np.uint64)) | _U(1)).reshape(TABLES, BITS + WHOLE)
 
 
-def keys_of(every: list[np.ndarray]) -> np.ndarray:
-    """(texts, BANDS): the bucket keys of each text's shingle hashes, of which it has one at least."""
+def fingerprints(every: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, TABLES) twice: the fingerprints of each text's shingle hashes, of which it has one at least, and the hashes of the minima that go with them."""
     x = mix64(np.concatenate(every))
     first = np.concatenate([[0], np.cumsum([len(h) for h in every])[:-1]])
-    keys = np.empty((len(every), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(every), band, dtype=np.uint64)
-        for f in _FACTORS[band * ROWS : (band + 1) * ROWS]:
-            key = mix64(key ^ np.minimum.reduceat(x * f, first))
-        keys[:, band] = key
-    return keys.view(np.int64)
+    words, minima = np.zeros((2, len(every), TABLES), dtype=np.uint64)
+    for table, factors in enumerate(_FACTORS):
+        minima[:, table] = table
+        for f in factors[BITS:]:
+            minima[:, table] = mix64(minima[:, table] ^ np.minimum.reduceat(x * f, first))
+        for bit, f in enumerate(factors[:BITS]):
+            words[:, table] |= (mix64(np.minimum.reduceat(x * f, first)) >> _U(63)) << _U(bit)
+    return words, minima
+
+
+def keys_of(every: list[np.ndarray]) -> list[np.ndarray]:
+    """The different bucket keys of each text's shingle hashes, of which it has one at least."""
+    words, minima = fingerprints(every)
+    row, index = golay_keys(words.ravel())
+    keys = mix64(minima.ravel()[row] ^ index)
+    order = np.argsort(row, kind="stable")
+    ends = np.searchsorted(row[order], np.arange(1, len(every)) * TABLES)
+    return np.split(keys[order].view(np.int64), ends)
 
 
 def shingle_hashes(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -211,7 +227,7 @@ def _groups(docs: DataFrame, similar: float) -> DataFrame:
     copies = salted.hint("merge").join(told_firsts, ["same", "salt"]).where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     links = durable(copies)
     different = described.hint("merge").join(links.select(F.col("b").alias("doc")), "doc", "left_anti").select("doc", "keys")
-    keyed = different.mapInArrow(_unpack_keys, "key long, doc long").distinct()
+    keyed = different.mapInArrow(_unpack_keys, "key long, doc long").repartition("key").distinct()  # one exchange for all three uses
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     kept = durable(keyed.hint("merge").join(met, "key"))
     wanted = kept.select("doc").distinct()

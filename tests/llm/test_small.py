@@ -699,6 +699,27 @@ def test_similar_texts_meet_in_a_bucket():
     assert pairs >= 200 and min(similar) < 0.81 and met == pairs
 
 
+def test_bucket_keys_are_codewords_of_fingerprints():
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    base = fresh(300)
+    every = [neardup.shingle_hashes(w) for w in (base, np.concatenate([base[:290], fresh(10)]), fresh(300), base[:5], base[:1])]
+    words, minima = neardup.fingerprints(every)
+    keys = neardup.keys_of(every)
+    assert words.shape == minima.shape == (5, neardup.TABLES) and int(words.max()) < 1 << 23
+    assert [len(set(k.tolist())) for k in keys] == [len(k) for k in keys]
+    for text in range(5):  # one or six keys a table, as the code has it
+        assert len(keys[text]) == len(simhash.golay_keys(words[text])[0])
+    for i in range(5):
+        for j in range(i):
+            close = (minima[i] == minima[j]) & (np.bitwise_count(words[i] ^ words[j]) <= simhash.MAX_DISTANCE)
+            shared = set(keys[i].tolist()) & set(keys[j].tolist())
+            assert not close.any() or shared
+            assert (minima[i] == minima[j]).any() or not shared
+    assert set(keys[0].tolist()) & set(keys[1].tolist()) and not set(keys[0].tolist()) & set(keys[2].tolist())
+    assert [k.tolist() for k in neardup.keys_of(every[3:])] == [k.tolist() for k in keys[3:]]
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     frame = docs
     bench = spark.createDataFrame([(1, corpus()[5][1])], "item_id long, text string")
