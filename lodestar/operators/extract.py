@@ -547,8 +547,8 @@ _PROVIDERS = (("msal", r"@azure/msal"), ("auth0", r"@auth0/|auth0-"), ("firebase
 @extractor(TS, tree=True)
 def frontend_auth(src: Sources) -> DataFrame:
     """Identity providers (first file of each), token storage by key with what is done to it, and token headers."""
-    t = src.script(TS)
-    imports = strings(t).where(_back(0) == "from").select("path", "line", F.col("text").alias("module"))
+    t = src.script(TS, few=True)
+    imports = strings(t).where(_back(0) == "from").groupBy(F.col("text").alias("module")).agg(F.min(F.struct("path", "line")).alias("at")).select("at.*", "module")
     rules = src.files.sparkSession.createDataFrame(_PROVIDERS, "provider string, pattern string")
     hits = imports.join(F.broadcast(rules), F.rlike(F.col("module"), F.col("pattern"))).groupBy("provider").agg(F.min(F.struct("path", "line", "module")).alias("f")).select("provider", "f.*")
     stored = calls(t).where(F.col("on").isin("localStorage", "sessionStorage") & F.col("method").isin("setItem", "getItem", "removeItem")).select("path", "line", "method", F.col("i").alias("at")).join(first_arguments(t), ["path", "at"]).where(F.lower("value").contains("token"))

@@ -482,3 +482,29 @@ def test_matches_are_found_by_one_pass_of_a_pattern(spark):
     assert [r["text"] for r in rows.orderBy("line").collect()] == ["\n\n", "b\n", ""]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and plan.count("regexp_replace(") <= 2  # at most once more, to leave files without matches out
+
+
+def test_rules_work_out_the_neighbours_they_ask_for(spark):
+    from lodestar.operators import extract as X
+    from lodestar.operators.facts import Sources
+    files = spark.createDataFrame([("a.ts", "f('x', y); z"), ("a.d.ts", "f('x')"), ("b.tsx", "g(`t`)"), ("c.js", "h('q')"), ("d.ts", "")], "path string, text string")
+    src = Sources.of(files)
+    found = X.first_arguments(src.script(X.TS, few=True))
+    assert sorted(tuple(r) for r in found.collect()) == [("a.ts", 1, "x"), ("b.tsx", 1, "t"), ("c.js", 1, "q")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(" not in plan  # of the twelve neighbours only one
+    assert plan.index("Generate") < plan.index("RLIKE")  # a file's path is looked at once, before its tokens are told apart
+    rows, whole = ({(r["path"], r["i"]): r.asDict() for r in t.collect()} for t in (src.script(few=True), src.script()))
+    for r in rows.values():
+        assert len(r["back"]) == len(r["ahead"]) == 6
+        r["back"], r["ahead"] = ([x for x in r[side] if x is not None] for side in ("back", "ahead"))
+    assert rows == whole and len(rows) == 8 + 3 * 4
+
+
+def test_providers_are_looked_for_in_different_modules(spark):
+    from lodestar.operators import extract as X
+    files = [(f"p{k}.ts", '\n' * (k % 3) + 'import { A } from "@auth0/a";\nimport b from "./b";\nimport { P } from "@azure/msal-react";') for k in range(9, 0, -1)] + [("q.ts", 'import { Q } from "auth0-js";')]
+    found = X.frontend_auth(spark.createDataFrame(files, "path string, text string"))
+    assert sorted((r["path"], r["line"], r["name"], r["properties"]["import"]) for r in found.collect()) == [("p1.ts", 2, "auth0", "@auth0/a"), ("p1.ts", 4, "msal", "@azure/msal-react")]
+    met = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, RLIKE(")
+    assert len(met) == 2 and "Aggregate [text" in met[1].split("Join")[0]  # each module meets the rules once
