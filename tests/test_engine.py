@@ -508,3 +508,14 @@ def test_providers_are_looked_for_in_different_modules(spark):
     assert sorted((r["path"], r["line"], r["name"], r["properties"]["import"]) for r in found.collect()) == [("p1.ts", 2, "auth0", "@auth0/a"), ("p1.ts", 4, "msal", "@azure/msal-react")]
     met = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, RLIKE(")
     assert len(met) == 2 and "Aggregate [text" in met[1].split("Join")[0]  # each module meets the rules once
+
+
+@pytest.mark.parametrize("name", ["frontend_auth", "react_imports_exports"])
+def test_few_looks_write_the_scan_alone(spark, monkeypatch, name):
+    from lodestar.operators import extract as X
+    from lodestar.operators import facts
+    from lodestar.plans import sources
+    written = []
+    monkeypatch.setattr(facts, "stored", lambda df: written.append(df.columns) or df)
+    found = X.EXTRACTORS[name](spark.createDataFrame(sources.REACT, "path string, text string"))
+    assert found.count() and written == [["path", "text", "tokens", "words"]]
