@@ -337,7 +337,7 @@ def react_role_gates(src: Sources) -> DataFrame:
 @extractor(TS)
 def react_grids(src: Sources) -> DataFrame:
     """Grids and what they show: the column keys of a table library, or else the headings of each table."""
-    t, code = src.script(TS), src.like(TS)
+    t, code = src.script(TS, few=True), src.like(TS)
     library = calls(t).where("method = 'useReactTable'").select("path").distinct()
     keys = listed(strings(t).where((_back(0) == ":") & (_back(1) == "accessorKey")).join(library, "path", "left_semi"), ["path"], "text", "columns")
     grids = keys.withColumn("line", F.lit(1)).withColumn("owner", stem(F.col("path")))

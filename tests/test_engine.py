@@ -510,7 +510,7 @@ def test_providers_are_looked_for_in_different_modules(spark):
     assert len(met) == 2 and "Aggregate [text" in met[1].split("Join")[0]  # each module meets the rules once
 
 
-@pytest.mark.parametrize("name", ["frontend_auth", "react_imports_exports"])
+@pytest.mark.parametrize("name", ["frontend_auth", "react_imports_exports", "react_grids"])
 def test_few_looks_write_the_scan_alone(spark, monkeypatch, name):
     from lodestar.operators import extract as X
     from lodestar.operators import facts
