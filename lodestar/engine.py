@@ -404,6 +404,8 @@ def _publish(store: Store, application: str, nodes: DataFrame, edges: DataFrame,
     store.append("versions", told.agg(F.count("*").alias("pages")).select(F.lit(application).alias("application"), F.lit(version).alias("version"), F.lit(created_at).cast("timestamp").alias("created_at"), "pages"))
     store.append("fallbacks", told.select(F.lit(application).alias("application"), F.lit(version).alias("version"), "path", F.lit("NoProvider").alias("reason"), F.lit(created_at).cast("timestamp").alias("at")))
     if differing is not None and version > 1:
+        labels = S.change_labels(*differing).select(F.lit(application).alias("application"), F.lit(version).alias("version"), "app", "list", "label")
+        store.append("version_labels", labels)
         store.append("version_changes", S.version_change(application, version, *differing))
     return version
 

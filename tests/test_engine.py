@@ -519,3 +519,19 @@ def test_few_looks_write_the_scan_alone(spark, monkeypatch, name):
     monkeypatch.setattr(facts, "stored", lambda df: written.append(df.columns) or df)
     found = X.EXTRACTORS[name](spark.createDataFrame(sources.REACT, "path string, text string"))
     assert found.count() and written == [["path", "text", "tokens", "words"]]
+
+
+def _changed(spark):
+    n = spark.createDataFrame([(f"node://app:{a}/x:{i}", "added") for a in "AB" for i in range(7)] + [("node://repo:1/x:0", "added")], "identity string, change string")
+    e = spark.createDataFrame([("T", "node://app:A/x:1", "node://app:B/x:2", "removed"), ("T", "node://app:A/x:1", "node://app:A/x:2", "removed"), ("T", "node://repo:1/x:0", "node://app:B/x:2", "added")], "type string, from_id string, to_id string, change string")
+    return n, e
+
+
+def test_a_version_counts_what_its_labels_tell(spark):
+    n, e = _changed(spark)
+    record = snapshots.version_change("A", 2, n, e)
+    assert values(record) == [("A", 2, 14, 0, 0, 2, ["A", "B"], 1, 1)]  # an edge without an owner crosses, but is in no list
+    assert "collect_list" not in record._jdf.queryExecution().toString()  # no row holds a list
+    assert snapshots.change_labels(n, e).groupBy("list").count().where("list = 'removed_edges'").first()["count"] == 2
+    none = snapshots.version_change("A", 2, n.limit(0), e.limit(0))
+    assert values(none) == [("A", 2, 0, 0, 0, 0, [], 0, 0)]
