@@ -535,3 +535,18 @@ def test_a_version_counts_what_its_labels_tell(spark):
     assert snapshots.change_labels(n, e).groupBy("list").count().where("list = 'removed_edges'").first()["count"] == 2
     none = snapshots.version_change("A", 2, n.limit(0), e.limit(0))
     assert values(none) == [("A", 2, 0, 0, 0, 0, [], 0, 0)]
+
+
+def test_digests_of_lists_go_through_batches(spark):
+    import hashlib
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a list goes on in the next batch
+    try:
+        got = snapshots.list_digests(snapshots.change_labels(*_changed(spark)))
+        rows = {r["app"]: tuple(r)[1:] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    md5 = lambda *labels: hashlib.md5(",".join(sorted(labels)).encode()).hexdigest()
+    nodes = {a: md5(*[f"node://app:{a}/x:{i}" for i in range(7)]) for a in "AB"}
+    assert rows == {"A": (nodes["A"], "", "", md5("T node://app:A/x:1 -> node://app:B/x:2", "T node://app:A/x:1 -> node://app:A/x:2")), "B": (nodes["B"], "", "", "")}
+    assert "collect_list" not in got._jdf.queryExecution().toString()
