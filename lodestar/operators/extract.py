@@ -17,6 +17,7 @@ from lodestar.functions import text as T
 from lodestar.operators import lexing
 from lodestar.operators.facts import SCHEMA, Properties as properties, Sources, extractor, facts, union
 from lodestar.operators.merge import first_by
+from lodestar.plans.lineage import few, stored
 
 SCRIPT, JSX = lexing.SCRIPT, r"\.[tj]sx$"
 #: Script files of which facts are told: declarations, tests and configuration are none.
@@ -281,13 +282,13 @@ def _routes(t: DataFrame, begins: Column, ends: Column, named: Column, confidenc
 def react_routes(src: Sources) -> DataFrame:
     """Routes of route elements and of router tables: whether and for whom each is guarded, and RENDERS to the components in it."""
     t = src.script(TS)
-    library = strings(t).where("text = 'react-router-dom'").select("path").distinct()
+    library = strings(t).where("text = 'react-router-dom'").select("path").distinct()  # sent to all, if few: only the tokens of such files are shuffled
     tag = (F.col("text") == "<") & (F.col("kind") == "p")
-    in_jsx = _routes(t.join(library, "path", "left_semi"), tag & (_ahead(0) == "Route"), tag & (_ahead(0) == "/") & (_ahead(1) == "Routes"), F.col("kind").isin("s", "t") & (_back(0) == "=") & (_back(1) == "path"), 0.85)
+    in_jsx = _routes(t.join(few(library), "path", "left_semi"), tag & (_ahead(0) == "Route"), tag & (_ahead(0) == "/") & (_ahead(1) == "Routes"), F.col("kind").isin("s", "t") & (_back(0) == "=") & (_back(1) == "path"), 0.85)
     routers = calls(t).where("method in ('createBrowserRouter', 'createHashRouter')").select("path", F.col("i").alias("from_"), F.col("close").alias("to_"))
-    inside = t.join(routers, "path").where("i between from_ and to_")
+    inside = t.join(few(routers), "path").where("i between from_ and to_")
     table = _routes(inside.drop("from_", "to_"), (F.col("text") == "path") & (_ahead(0) == ":") & _ahead(1).startswith('"'), F.lit(False), F.col("kind").isin("s", "t") & (_back(0) == ":") & (_back(1) == "path"), 0.75)
-    rows = union(in_jsx, table)
+    rows = stored(union(in_jsx, table))  # its windows pass over all tokens of the scripts: written once, not worked out at each of the looks below
     named = elements(rows).where("element <> 'Route'")
     braces = rows.where((F.col("text") == "{") & (_back(0) == "=") & (_back(1) == "allowedRoles")).select("path", "part", F.col("i").alias("outer"))
     inner = rows.where((F.col("kind").isin("w", "s")) & ~F.coalesce(_ahead(0), F.lit("")).isin(".", "?.")).join(braces, ["path", "part", "outer"])

@@ -550,3 +550,11 @@ def test_digests_of_lists_go_through_batches(spark):
     nodes = {a: md5(*[f"node://app:{a}/x:{i}" for i in range(7)]) for a in "AB"}
     assert rows == {"A": (nodes["A"], "", "", md5("T node://app:A/x:1 -> node://app:B/x:2", "T node://app:A/x:1 -> node://app:A/x:2")), "B": (nodes["B"], "", "", "")}
     assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_routes_work_out_their_windows_once(spark):
+    """The tokens dealt to routes are written once: no window stands in the plan of the rules that look at them."""
+    text = 'import { Route } from "react-router-dom";\nconst a = <Routes><Route path="/u" element={<PrivateRoute><Users /></PrivateRoute>} /></Routes>;\n'
+    found = extract.react_routes(spark.createDataFrame([("r/src/a.tsx", text), ("r/src/b.ts", 'const r = createBrowserRouter([{ path: "/b", element: <B /> }]);\n')], "path string, text string"))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.kind, r.name) for r in found.collect()} == {("Route", "/u"), ("Route", "/b"), ("RENDERS", "PrivateRoute"), ("RENDERS", "Users"), ("RENDERS", "B")}
