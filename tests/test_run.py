@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar import engine
+from lodestar.operators import dotnet
 from lodestar.plans import sources
 from lodestar.sources.stores import Pages, Store
 
@@ -93,3 +94,20 @@ def test_specs_follow_each_other():
         engine.ordered([spec("a", 0, "b"), spec("b", 0, "a")])
     with pytest.raises(ValueError, match="unknown x"):
         engine.ordered([spec("a", 0, "x")])
+
+
+def test_declarations_are_kept_with_their_files(spark, tmp_path):
+    """A first scan is handed on as it was written, scopes follow from kept digests, and rows that a failed attempt left twice change nothing."""
+    files = [("a.cs", "public class A\n{\n  [Key]\n  public int Id { get; set; }\n  public List<B> Bs { get; set; }\n}\n"), ("b.cs", "public class B\n{\n  public A Of { get; set; }\n}\n"), ("c.cs", "var x = 1;\n")]
+    tree = engine.tree_of(spark.createDataFrame([(*f, "r", "c1") for f in files], "path string, text string, repository string, commit string"))
+    store = Store(spark, str(tmp_path / "store"))
+    _, types, count, written = engine.scans(store, tree)
+    assert count == 3 and written and types.count() == 2
+    assert [(m.name, m.type, m.property, m.element) for m in sorted(dotnet._members(types).collect())] == [("A", "int", "Id", None), ("A", "List<B>", "Bs", "B"), ("B", "A", "Of", None)]
+    told = lambda: sorted(map(tuple, engine.scopes(store, tree).collect()))
+    before = told()
+    assert sum(scope == 0 for _, scope in before) == 1  # the file that names no type
+    store.append("digests", spark.createDataFrame(store.read("digests").collect(), engine._DIGESTS))
+    assert told() == before
+    _, types, count, written = engine.scans(store, tree)
+    assert count == 0 and not written and types.count() == 2
